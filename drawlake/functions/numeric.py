@@ -126,3 +126,8 @@ def bernoulli_energy(x: Column, p: Column) -> Column:
 
 def vector(x: pd.Series) -> np.ndarray:
     return np.stack(x.to_list()).astype(np.float64)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix product without the threads of a linear-algebra library, which can block in forked workers."""
+    return np.einsum("ik,kj->ij", a, b)

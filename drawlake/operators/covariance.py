@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawlake.functions.numeric import log_sum_exp_by, stratified_normal
+from drawlake.functions.numeric import log_sum_exp_by, product, stratified_normal
 
 MOST_TRAIN = 3000
 
@@ -30,7 +30,7 @@ class Spec:
         if self.constant and (keep is None or "constant" in keep):
             out += self.constant**2
         if self.linear and (keep is None or "linear" in keep):
-            out += (a * np.square(self.linear)) @ b.T
+            out += product(a * np.square(self.linear), b.T)
         for i, (scale, rel, power) in enumerate(self.parts):
             if keep is None or str(i) in keep:
                 d = np.abs(a[:, None, :] - b[None, :, :]) * rel
@@ -79,17 +79,18 @@ def gp_predict(x: np.ndarray, t: np.ndarray, test: DataFrame, key: str, inputs:
     factors = []
     for idx, spec in draws:
         low = np.linalg.cholesky(spec.matrix(x, x) + (spec.noise**2 + spec.jitter**2) * np.eye(len(x)))
-        factors.append((idx, spec, np.linalg.inv(low)))
-    shared = test.sparkSession.sparkContext.broadcast((x, t, factors))
+        inverse = np.linalg.inv(low)
+        factors.append((idx, spec, inverse, inverse @ t))
+    shared = test.sparkSession.sparkContext.broadcast((x, factors))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, t, factors = shared.value
+        x, factors = shared.value
         for batch in batches:
             z = batch[inputs].to_numpy(np.float64)
-            for idx, spec, inverse in factors:
-                k = spec.matrix(z, x) @ inverse.T
+            for idx, spec, inverse, solved in factors:
+                k = product(spec.matrix(z, x), inverse.T)
                 own = np.array([spec.matrix(r[None], r[None])[0, 0] for r in z]) if spec.linear else np.full(len(z), spec.matrix(z[:1], z[:1])[0, 0]) if len(z) else np.zeros(0)
-                yield pd.DataFrame({key: batch[key].to_numpy(), "idx": idx, "mean": k @ (inverse @ t), "variance": np.maximum(own + spec.jitter**2 - (k * k).sum(1), 1e-30)})
+                yield pd.DataFrame({key: batch[key].to_numpy(), "idx": idx, "mean": product(k, solved[:, None])[:, 0], "variance": np.maximum(own + spec.jitter**2 - (k * k).sum(1), 1e-30)})
 
     return test.select(key, *inputs).mapInPandas(run, f"{key} long, idx long, mean double, variance double")
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawlake.functions.numeric import log_sum_exp_by, stratified_normal
+from drawlake.functions.numeric import log_sum_exp_by, product, stratified_normal
 
 #: Most draws that are broadcast at once (packed parameters, not rows).
 MOST_DRAWS = 10_000
@@ -109,9 +109,9 @@ class Network:
         for i, unit in enumerate(self.units):
             total = np.zeros((len(x), 1))
             if draw.get("ih") and draw["ih"][i] is not None:
-                total = total + x @ draw["ih"][i]
+                total = total + product(x, draw["ih"][i])
             if i and draw.get("hh"):
-                total = total + layers[-1] @ draw["hh"][i - 1]
+                total = total + product(layers[-1], draw["hh"][i - 1])
             if draw.get("bh"):
                 total = total + draw["bh"][i]
             layers.append(self.UNITS[unit](total))
@@ -119,10 +119,10 @@ class Network:
 
     def output(self, x: np.ndarray, draw: dict) -> np.ndarray:
         layers = self.hidden(x, draw)
-        out = sum((h @ w for i, (h, w) in enumerate(zip(layers, draw["ho"])) if self.keep is None or i in self.keep), np.zeros((len(x), 1)))
+        out = sum((product(h, w) for i, (h, w) in enumerate(zip(layers, draw["ho"])) if self.keep is None or i in self.keep), np.zeros((len(x), 1)))
         if self.keep is None:  # components leave out direct links and biases
             if draw.get("io") is not None:
-                out = out + x @ draw["io"]
+                out = out + product(x, draw["io"])
             if draw.get("bo") is not None:
                 out = out + draw["bo"]
         return out

@@ -193,11 +193,12 @@ def _receptors(spark, d):
     return table(spark, d, "customer").select(k.alias("receptor"), ((k % 60) / 4.0).alias("x"), ((k % 7) / 2.0).alias("y"), F.lit(0.5).alias("z"), F.lit(6.0).alias("t"))
 
 
-@query(f"SELECT s.src, r.receptor, round({_PLUME}, 6) AS c FROM {_SRC} s JOIN {_REC} r ON r.x > s.x AND r.receptor < 200")
+@query(f"SELECT s.src, round(sum({_PLUME}), 6) AS total, round(max({_PLUME}), 6) AS peak FROM {_SRC} s JOIN {_REC} r ON r.x > s.x GROUP BY s.src")
 def c1_plume(spark, d):
-    r = _receptors(spark, d).where("receptor < 200").select("receptor", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"))
+    r = _receptors(spark, d).select("receptor", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"))
     rows = r.join(F.broadcast(_sources(spark, d)), F.col("rx") > F.col("x"))
-    return rounded(rows.select("src", "receptor", C.plume(F.col("rx") - F.col("x"), F.col("ry") - F.col("y"), F.col("z"), F.col("rz"), F.col("u")).alias("c")))
+    c = C.plume(F.col("rx") - F.col("x"), F.col("ry") - F.col("y"), F.col("z"), F.col("rz"), F.col("u"))
+    return rounded(rows.groupBy("src").agg(F.sum(c).alias("total"), F.max(c).alias("peak")))
 
 
 _TOTAL = f"(SELECT log_id, idx, receptor, sum({_PLUME} * q * CASE WHEN 6 - (r.x - s.x) / 2 >= start AND 6 - (r.x - s.x) / 2 < stop THEN 1 ELSE 0 END) AS total FROM {_SRC} s JOIN {_REC} r ON r.x > s.x GROUP BY ALL)"
