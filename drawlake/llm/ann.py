@@ -56,7 +56,12 @@ class Tree:
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances between unit rows."""
-    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
+    return np.sqrt(np.maximum(2 - 2 * products(a, b), 0))
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of all rows, without the threads of a linear-algebra library, which can block in forked workers."""
+    return np.einsum("ik,jk->ij", a, b)
 
 
 class Search:
@@ -86,7 +91,7 @@ class Search:
             self._walk(b, rest[gap[first] <= self.factor * self.reach[rest] + SLACK])
 
     def _leaf(self, rows: np.ndarray, active: np.ndarray) -> None:
-        rough = self.q_unit[active] @ self.tree.unit[rows].T
+        rough = products(self.q_unit[active], self.tree.unit[rows])
         floor = self.best_score[active, -1]
         if len(rows) > self.k:
             floor = np.maximum(floor, np.partition(rough, -self.k - 1, axis=1)[:, -self.k - 1])  # one more: the query itself may be there
