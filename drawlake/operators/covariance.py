@@ -74,12 +74,21 @@ def packed(train: DataFrame, inputs: list[str], target: str, order: str) -> tupl
     return rows[inputs].to_numpy(np.float64), rows[target].to_numpy(np.float64)
 
 
+def _lower_inverse(low: np.ndarray) -> np.ndarray:
+    """Inverse of a lower triangular matrix by forward substitution."""
+    out = np.zeros_like(low)
+    for i in range(len(low)):
+        out[i, :i] = -(low[i, :i, None] * out[:i, :i]).sum(0) / low[i, i]
+        out[i, i] = 1 / low[i, i]
+    return out
+
+
 def gp_predict(x: np.ndarray, t: np.ndarray, test: DataFrame, key: str, inputs: list[str], draws: list[tuple[int, Spec]]) -> DataFrame:
     """``(key, idx, mean, variance)``: the factor of each draw is made once and broadcast, test cases come in batches."""
     factors = []
     for idx, spec in draws:
         low = np.linalg.cholesky(spec.matrix(x, x) + (spec.noise**2 + spec.jitter**2) * np.eye(len(x)))
-        inverse = np.linalg.inv(low)
+        inverse = _lower_inverse(low)
         factors.append((idx, spec, inverse, inverse @ t))
     shared = test.sparkSession.sparkContext.broadcast((x, factors))
 
