@@ -10,7 +10,6 @@ from drawlake.operators import likelihood as L
 from drawlake.operators import predict as P
 from drawlake.plans.base import CASES, NETS, PAIRS, cases, nets, pairs, query, rounded, table
 
-_T, _O, _SD, _B = (F.col(c) for c in ("t", "o", "sd", "b"))
 _GAUSS = "(-pow((t - o) / sd, 2) / 2 - ln(sd) - 0.5 * ln(2 * pi()))"
 
 
@@ -20,17 +19,17 @@ def _sum(spark, d, value):
 
 @query(f"SELECT case_id, round(sum({_GAUSS}), 6) AS log_prob FROM {PAIRS} GROUP BY case_id")
 def l1_gaussian(spark, d):
-    return _sum(spark, d, L.gaussian(_T, _O, _SD))
+    return _sum(spark, d, L.gaussian(F.col("t"), F.col("o"), F.col("sd")))
 
 
 @query(f"SELECT case_id, round(sum(lgamma(2.5) - lgamma(2) - 0.5 * ln(4 * pi()) - ln(sd) - 2.5 * ln(1 + pow((t - o) / sd, 2) / 4)), 6) AS log_prob FROM {PAIRS} GROUP BY case_id")
 def l2_student(spark, d):
-    return _sum(spark, d, L.student(_T, _O, _SD, 4.0))
+    return _sum(spark, d, L.student(F.col("t"), F.col("o"), F.col("sd"), 4.0))
 
 
 @query(f"SELECT case_id, round(sum(-ln(1 + exp(CASE WHEN b = 1 THEN -o ELSE o END))), 6) AS log_prob FROM {PAIRS} GROUP BY case_id")
 def l3_binary(spark, d):
-    return _sum(spark, d, L.binary(_B, _O))
+    return _sum(spark, d, L.binary(F.col("b"), F.col("o")))
 
 
 @query(f"SELECT case_id, round(sum(CASE CAST(case_id % 3 AS INTEGER) WHEN 0 THEN o WHEN 1 THEN x2 ELSE sd END - ln(exp(o) + exp(x2) + exp(sd))), 6) AS log_prob FROM {PAIRS} GROUP BY case_id")
@@ -42,7 +41,7 @@ def l4_softmax(spark, d):
 def l5_poisson(spark, d):
     k = F.col("case_id")
     t = F.when(k % 4 == 0, -(k % 5)).otherwise(k % 5).cast("double")
-    return rounded(pairs(spark, d).where("not (case_id % 4 = 0 and case_id % 5 = 0)").select("case_id", "idx", L.poisson(t, _O / 4).alias("log_prob")))
+    return rounded(pairs(spark, d).where("not (case_id % 4 = 0 and case_id % 5 = 0)").select("case_id", "idx", L.poisson(t, F.col("o") / 4).alias("log_prob")))
 
 
 _SURV = "(SELECT *, CASE WHEN case_id % 4 = 0 THEN -1 ELSE 1 END * (0.1 + (case_id % 23) / 10.0) AS s FROM " + PAIRS + ")"
@@ -55,7 +54,7 @@ def _surv(spark, d, rows):
 
 @query(f"SELECT case_id, round(sum(CASE WHEN s < 0 THEN s * exp(o / 4) ELSE o / 4 - s * exp(o / 4) END), 6) AS log_prob FROM {_SURV} GROUP BY case_id")
 def l6_survival(spark, d):
-    return rounded(_surv(spark, d, pairs(spark, d)).groupBy("case_id").agg(F.sum(L.survival(_T, _O / 4)).alias("log_prob")))
+    return rounded(_surv(spark, d, pairs(spark, d)).groupBy("case_id").agg(F.sum(L.survival(F.col("t"), F.col("o") / 4)).alias("log_prob")))
 
 
 @query(f"""WITH b(piece, start, stop) AS (VALUES (0, 0.0, 0.5), (1, 0.5, 1.0), (2, 1.0, 1e30)),
@@ -108,19 +107,19 @@ def p2_net_components(spark, d):
 
 @query(f"SELECT case_id, round(sum(w / (1 + exp(-o))) / sum(w), 6) AS mean FROM {PAIRS} GROUP BY case_id")
 def p3_model_guess(spark, d):
-    return rounded(P.predict_mean(pairs(spark, d), ["case_id"], 1 / (1 + F.exp(-_O)), F.col("w")))
+    return rounded(P.predict_mean(pairs(spark, d), ["case_id"], 1 / (1 + F.exp(-F.col("o"))), F.col("w")))
 
 
 @query(f"SELECT case_id, round(sum(w * o) / sum(w), 6) AS mean FROM {PAIRS} GROUP BY case_id")
 def p4_predict_mean(spark, d):
-    return rounded(P.predict_mean(pairs(spark, d), ["case_id"], _O, F.col("w")))
+    return rounded(P.predict_mean(pairs(spark, d), ["case_id"], F.col("o"), F.col("w")))
 
 
 _LP = f"(SELECT case_id, ln(sum(w * exp({_GAUSS})) / sum(w)) AS log_prob FROM {PAIRS} GROUP BY case_id)"
 
 
 def _log_prob(spark, d):
-    return P.predict_log_prob(pairs(spark, d), ["case_id"], L.gaussian(_T, _O, _SD), F.col("w"))
+    return P.predict_log_prob(pairs(spark, d), ["case_id"], L.gaussian(F.col("t"), F.col("o"), F.col("sd")), F.col("w"))
 
 
 @query(f"SELECT case_id, round(log_prob, 6) AS log_prob FROM {_LP}")
@@ -137,12 +136,12 @@ def p6_predict_mode(spark, d):
 
 @query()
 def p7_median_quantiles(spark, d):
-    return P.pooled_quantiles(pairs(spark, d), ["case_id"], _O, _SD)
+    return P.pooled_quantiles(pairs(spark, d), ["case_id"], F.col("o"), F.col("sd"))
 
 
 @query(f"SELECT case_id, round(sum(w * exp(o / 5)) / sum(w), 6) AS mean_of_medians FROM {PAIRS} GROUP BY case_id")
 def p8_mean_of_medians(spark, d):
-    return rounded(P.mean_of_medians(pairs(spark, d), ["case_id"], F.exp(_O / 5), F.col("w")))
+    return rounded(P.mean_of_medians(pairs(spark, d), ["case_id"], F.exp(F.col("o") / 5), F.col("w")))
 
 
 def _score_sql(*names):
@@ -152,21 +151,21 @@ def _score_sql(*names):
 @query(f"WITH m AS (SELECT case_id, any_value(t) AS t, sum(w * o) / sum(w) AS m FROM {PAIRS} GROUP BY case_id) SELECT {_score_sql(('log_prob', 'log_prob'), ('squared', 'pow(t - m, 2)'), ('absolute', 'abs(t - m)'))} FROM m JOIN {_LP} USING (case_id)")
 def p9_score(spark, d):
     rows = pairs(spark, d)
-    both = P.predict_mean(rows, ["case_id"], _O, F.col("w")).join(_log_prob(spark, d), "case_id").join(cases(spark, d).select("case_id", "t"), "case_id")
+    both = P.predict_mean(rows, ["case_id"], F.col("o"), F.col("w")).join(_log_prob(spark, d), "case_id").join(cases(spark, d).select("case_id", "t"), "case_id")
     e = F.col("t") - F.col("mean")
     return rounded(P.score(both, {"log_prob": F.col("log_prob"), "squared": e * e, "absolute": F.abs(e)}))
 
 
 @query(f"WITH m AS (SELECT case_id, sum(w / (1 + exp(-o))) / sum(w) AS p FROM {PAIRS} GROUP BY case_id) SELECT {_score_sql(('log_prob', '(p * ln(p) + (1 - p) * ln(1 - p))'), ('wrong', 'least(p, 1 - p)'), ('squared', '(p * (1 - p))'))} FROM m")
 def p10_expected_score(spark, d):
-    p = P.predict_mean(pairs(spark, d), ["case_id"], 1 / (1 + F.exp(-_O)), F.col("w"))
+    p = P.predict_mean(pairs(spark, d), ["case_id"], 1 / (1 + F.exp(-F.col("o"))), F.col("w"))
     return rounded(P.score(p, P.expected_binary_scores(F.col("mean"))))
 
 
 @query(f"SELECT case_id, round(avg(exp(o / 5 + 0.1 + sd * sd / 50)), 6) AS raw, round(avg({_GAUSS} + ln(5) - (o / 5 + 0.1)), 6) AS log_prob FROM {PAIRS} GROUP BY case_id")
 def p11_raw_scale(spark, d):
     spec = (True, -0.1, 5.0)
-    return rounded(pairs(spark, d).groupBy("case_id").agg(F.avg(P.raw_scale(_O, _SD * _SD, spec)).alias("raw"), F.avg(P.raw_log_prob(L.gaussian(_T, _O, _SD), F.exp(_O / 5 + 0.1), spec)).alias("log_prob")))
+    return rounded(pairs(spark, d).groupBy("case_id").agg(F.avg(P.raw_scale(F.col("o"), F.col("sd") * F.col("sd"), spec)).alias("raw"), F.avg(P.raw_log_prob(L.gaussian(F.col("t"), F.col("o"), F.col("sd")), F.exp(F.col("o") / 5 + 0.1), spec)).alias("log_prob")))
 
 
 @query(_NET_SQL.replace(CASES, "(SELECT c_custkey AS case_id, c_nationkey * 0.25 AS x1, c_acctbal / 5000 AS x2 FROM customer)"))
@@ -177,7 +176,7 @@ def p12_evaluate_on_grid(spark, d):
 
 @query(f"SELECT idx, round(-avg({_GAUSS}), 6) AS minus_log_prob, round(avg(abs(t - o)), 6) AS absolute, round(avg(pow(t - o, 2)), 6) AS squared FROM {PAIRS} GROUP BY idx")
 def p13_draw_losses(spark, d):
-    return rounded(pairs(spark, d).groupBy("idx").agg((-F.avg(L.gaussian(_T, _O, _SD))).alias("minus_log_prob"), F.avg(F.abs(_T - _O)).alias("absolute"), F.avg((_T - _O) ** 2).alias("squared")))
+    return rounded(pairs(spark, d).groupBy("idx").agg((-F.avg(L.gaussian(F.col("t"), F.col("o"), F.col("sd")))).alias("minus_log_prob"), F.avg(F.abs(F.col("t") - F.col("o"))).alias("absolute"), F.avg((F.col("t") - F.col("o")) ** 2).alias("squared")))
 
 
 def _net_at(x1):
@@ -211,7 +210,7 @@ def p17_batch_gradient(spark, d):
 
 @query(f"SELECT case_id, idx, c AS label, round(exp(-pow(t - o - c, 2)) / sum(exp(-pow(t - o - c, 2))) OVER (PARTITION BY case_id, idx), 6) AS p FROM {PAIRS} CROSS JOIN (VALUES (0), (1)) v(c)")
 def p18_class_from_joint(spark, d):
-    rows = pairs(spark, d).withColumn("label", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("l", -((_T - _O - F.col("label")) ** 2))
+    rows = pairs(spark, d).withColumn("label", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("l", -((F.col("t") - F.col("o") - F.col("label")) ** 2))
     return rounded(P.class_from_joint(rows, ["case_id", "idx"], "label", "l"))
 
 
