@@ -140,19 +140,17 @@ def _score(model: Model):
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``score``, the probability of label 1; null text is empty, rows stay as they are."""
-    read = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1])
-    return read.mapInArrow(_score(model), f"{kinds}, score double")
+    """``(kept, score)``: the columns ``keep`` as a struct, and the probability of label 1; null text is empty, rows stay as they are."""
+    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col("text").cast("string").alias("text"))
+    return read.mapInArrow(_score(model), f"kept {read.schema['kept'].dataType.simpleString()}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every document."""
     scored = score(docs, fit(docs, labels), ["doc_id"])
-    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    return scored.select("kept.doc_id", held_out(F.col("kept.doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
     """The documents that score ``cut`` or more, with their columns unchanged."""
-    scored = score(docs, fit(docs, labels), docs.columns + ["text"] if "text" not in docs.columns else docs.columns)
-    return scored.where(F.col("score") >= cut).select(*docs.columns)
+    return score(docs, fit(docs, labels), docs.columns).where(F.col("score") >= cut).select("kept.*")
