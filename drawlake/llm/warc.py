@@ -63,6 +63,7 @@ def _write(root: str, roll_bytes: int, date: str, level: int):
         task = TaskContext.get()
         shard, attempt = task.partitionId(), uuid.uuid4().hex
         made, out, size, count, digest, temporary = [], None, 0, 0, None, ""
+        refers: tuple[int | None, int | None] = (None, None)  # the last referral read; it stands right before its pages
 
         def close() -> None:
             nonlocal out
@@ -73,11 +74,14 @@ def _write(root: str, roll_bytes: int, date: str, level: int):
             out = None
 
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(i) for i in range(4))):
+            for page_id, page, url, html, refers_to in zip(*(batch.column(i) for i in range(5))):
+                if not page.as_py():
+                    refers = (page_id.as_py(), refers_to.as_py())
+                    continue
                 if out is None:
                     temporary, size, count, digest = f"{base}/.tmp-{attempt}-{len(made)}", 0, 0, hashlib.sha256()
                     out = store.open_output_stream(temporary, compression=None)
-                raw = record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py(), date)
+                raw = record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers[1] if refers[0] == page_id.as_py() else None, date)
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                 member = packer.compress(raw) + packer.flush()
                 out.write(member)
@@ -108,12 +112,14 @@ def write_warc(pages: DataFrame, root: str, min_bytes: int = 0, roll_bytes: int
     """
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    full = pages.join(referrals(pages, min_bytes), "page_id", "left").select("page_id", "url", "html", "refers_to")
+    # referrals travel with the pages through the one sort, each right before its page, so pages are shuffled once
+    rows = pages.select("page_id", F.lit(True).alias("page"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    full = rows.unionByName(referrals(pages, min_bytes).withColumn("page", F.lit(False)), allowMissingColumns=True)
     parts = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(f"{root}/data")
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
-    ordered = full.repartitionByRange(parts, F.col("page_id").asc_nulls_last()).sortWithinPartitions(F.col("page_id").asc_nulls_last(), "url", "html")
+    ordered = full.repartitionByRange(parts, F.col("page_id").asc_nulls_last()).sortWithinPartitions(F.col("page_id").asc_nulls_last(), "page", "url", "html")
     ordered.mapInArrow(_write(f"{root}/data", roll_bytes, date, level), MANIFEST).write.parquet(f"{root}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
