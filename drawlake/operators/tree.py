@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_own: list[str] = []
+from drawlake.sources.tables import scratch_path
 
 
 def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not _own:
-            _own.append(f"file://{tempfile.mkdtemp(prefix='drawlake-tree-')}")
-        base = _own[0]
-    path = f"{base.rstrip('/')}/tree-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tree")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

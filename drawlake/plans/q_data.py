@@ -37,6 +37,13 @@ def s4_bind_columns(spark, d):
     return S.bind_columns(S.bind_columns(c.select("row_id", "c_acctbal"), c.select("row_id", "c_nationkey")), 2.5)
 
 
+@query('SELECT c_custkey, c_acctbal AS "w3@2" FROM customer')
+def s5_write_table(spark, d):
+    path = S.scratch_path(spark, "table")
+    S.write_table(table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("w3@2")), path)
+    return spark.read.option("header", True).schema("c_custkey long, `w3@2` double").csv(path)
+
+
 @query(f"WITH s AS (SELECT idx, value FROM {DRAWS} WHERE log_id = '1'), t AS (SELECT idx, value FROM {DRAWS} WHERE log_id = '0') SELECT idx, value FROM t UNION ALL SELECT (SELECT max(idx) FROM t) + row_number() OVER (ORDER BY idx), value FROM s")
 def s6_append_draws(spark, d):
     q = draws(spark, d).select("log_id", "idx", "value")

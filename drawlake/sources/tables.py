@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; in one of our own only where that is unset (tests)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='drawlake-')}")
+        base = _own[0]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
 def numbered(lines: DataFrame) -> DataFrame:
     """Add ``row_id`` from 1 in the order in which the rows stand (files in order of name)."""
