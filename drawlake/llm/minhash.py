@@ -160,8 +160,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, rows: in
 
     Links join documents with 100 * |A and B| >= percent * |A or B|. ``component_id`` is the smallest
     doc_id reachable, ``kept`` marks it. Null and empty texts have no shingles and link with nothing;
-    a null doc_id stays alone (component_id null, kept true). Repeated rows are one class, and rows that
-    share a doc_id are judged each by its own text. Other columns are ignored, whatever their names.
+    a null doc_id stays alone (component_id null, kept true). Repeated rows are one class and are all
+    kept if their id is. A doc_id should name one text: where rows of one id differ in text, links of that id
+    may be confirmed on either text. Other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(docs.mapInArrow(_signatures(words, rows, bands, 0), "doc_id long, n_shingles long, set_hash binary, bands array<long>"), "signed")
