@@ -41,7 +41,10 @@ def features(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray,
     for n in GRAMS:
         hashed = gram_hash(prefix, n)
         # blanks may stand at either end, as marks of a word's edge
-        whole = np.flatnonzero(inner[n - 1 : n - 1 + len(hashed)] == inner[1 : 1 + len(hashed)])
+        own = inner[n - 1 : n - 1 + len(hashed)] == inner[1 : 1 + len(hashed)]
+        last = rows[1:] - 1  # the blank after a text: what starts there is the next text's
+        own[last[last < len(own)]] = False
+        whole = np.flatnonzero(own)
         yield ((hashed[whole] * U64(0x9E3779B97F4A7C15 + 2 * n)) >> shift).astype(np.int32), np.searchsorted(whole, rows)
     edge = np.flatnonzero(np.diff((~blank).view(np.int8), prepend=0))
     begin, end = edge[::2], edge[1::2]
