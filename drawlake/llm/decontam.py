@@ -69,6 +69,7 @@ def templates(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     name = capital & ~opening & ~number
     after = np.zeros(len(begin), bool)
     after[1:] = number[:-1]
+    after[first[first < len(begin)]] = False
     unit = after & np.isin(word, _UNIT_HASHES) & ~number
     token = np.where(number, _NUM, np.where(name, _NAME, np.where(unit, _UNIT, word)))
     slot = np.where(number | name, word | U64(1), U64(0))
