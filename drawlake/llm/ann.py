@@ -47,10 +47,10 @@ class Tree:
         away = distance(self.unit[rows], self.unit[point][None])[:, 0]
         radius = float(np.median(away))
         inside = away <= radius
-        if inside.all():  # many equal distances: nothing to split by
+        if inside.all():
             inside = away < radius
-            if not inside.any():
-                return rows
+        if min(inside.sum(), (~inside).sum()) < len(rows) // 8:  # many equal distances: nothing to split by, and splitting off a few would nest too deep
+            return rows
         return point, float(away[inside].max()), float(away[~inside].min()), self._build(rows[inside]), self._build(rows[~inside])
 
 
