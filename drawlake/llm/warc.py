@@ -141,6 +141,19 @@ def parse_member(raw: bytes) -> tuple:
     return page, head.get("WARC-Target-URI"), payload, size, digest, head["WARC-Type"], int(refers_to) if refers_to else None
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The gzip members of a file, unpacked; fed in small slices, as the unpacker copies whatever follows a member."""
+    view, at, step = memoryview(data), 0, 1 << 14
+    while at < len(view):
+        one, parts = zlib.decompressobj(31), []
+        while not one.eof:
+            if at >= len(view):
+                raise ValueError("a member is cut off")
+            parts.append(one.decompress(view[at : at + step]))
+            at = min(at + step, len(view)) - len(one.unused_data)
+        yield b"".join(parts)
+
+
 def _read(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
@@ -150,11 +163,9 @@ def _read(with_payload: bool):
 
         for batch in batches:
             for content in batch.column(0):
-                data, rows, held = content.as_py(), [], 0
-                while data:
-                    one = zlib.decompressobj(31)
-                    row = parse_member(one.decompress(data))
-                    data = one.unused_data if len(one.unused_data) < 1 << 16 else memoryview(one.unused_data)
+                rows, held = [], 0
+                for raw in members(content.as_py()):
+                    row = parse_member(raw)
                     held += row[3]
                     rows.append(row if with_payload else (*row[:2], None, *row[3:]))
                     if len(rows) >= 2000 or with_payload and held > 16 << 20:
