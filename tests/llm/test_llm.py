@@ -139,6 +139,16 @@ def test_quality_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_quality_scores_do_not_depend_on_neighbours():
+    texts = ["", "one two", "", "zebra and more", "  ", "x"]
+    model = quality.Model(np.random.default_rng(0).normal(size=1 << quality.BITS).astype(np.float32), 0.3)
+
+    def score(some):
+        return np.concatenate([model.score_block(data, starts) for _, _, data, starts in quality.blocks(pa.array(some))])
+
+    assert np.allclose(score(texts), [score([t])[0] for t in texts], atol=1e-12) and score([""])[0] == 1 / (1 + np.exp(-0.3))
+
+
 def test_quality_odd_rows(spark, odd):
     table = spark.createDataFrame([(3, 1, 0), (6, 0, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(odd, table).collect()
@@ -197,6 +207,15 @@ def test_decontamination(spark):
     assert decontam.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_templates_do_not_depend_on_neighbours():
+    texts = ["there were 12", "in the end Anna left", "", "c 4", "days of 7 days", "Peter Smith 8 9"]
+
+    def template(some):
+        return [t[a:b].tolist() for _, _, data, starts in decontam.blocks(pa.array(some)) for t, _, bounds, _ in [decontam.templates(data, starts)] for a, b in zip(bounds[:-1], bounds[1:])]
+
+    assert template(texts) == [template([t])[0] for t in texts]
+
+
 def test_decontamination_finds_whole_items(spark, sf_dir):
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
@@ -224,6 +243,12 @@ def test_nearest_against_brute_force(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_tree_of_equal_distances_is_shallow():
+    unit = np.eye(1500)
+    found = ann.Search(ann.Tree(unit), unit, np.arange(1500), unit[:20], np.arange(20), 3, 1.0)
+    assert all(list(found.best_id[i]) == [j for j in range(4) if j != i][:3] for i in range(20))
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (2, 0, None, "x"), (3, 0, "system", "y"), (1, 70, "bob", "late")]
     got = {(r.conv_id, r.perspective, r.part): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -248,6 +273,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_warc_members():
+    import gzip
+
+    raw = [b"a", b"", np.random.default_rng(0).bytes(70_000), b"bc" * 40_000]
+    data = b"".join(gzip.compress(x) for x in raw)
+    assert list(warc.members(data)) == raw and list(warc.members(b"")) == []
+    with pytest.raises(ValueError):
+        list(warc.members(data[:-3]))
+
+
 def test_packing(spark, odd, sf_dir):
     from tokenizers import Tokenizer
 
