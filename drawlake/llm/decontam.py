@@ -2,14 +2,16 @@
 
 Texts become token templates: numbers, names (capitalised inside a sentence) and units after a number turn
 into typed placeholders, runs of one placeholder into one; other words are lower-cased and stripped of
-marks. Windows of five template tokens of the benchmark are joined by hash with those of the documents. A
-document's windows that match an item are aligned, and the values in their slots must map one to one (each
-benchmark value always to the same document value); windows that break the mapping do not count. A
-document is contaminated by an item if it holds ``share`` or more of the item's windows, or a run of
+marks. A capitalised word that opens a sentence may be a name or a plain word: windows over it are formed
+under both readings (as a name it also takes up the names that follow it), on both sides. Windows of five
+template tokens of the benchmark are joined by hash with those of the documents. A document's windows that match an item are aligned, and the values in their slots must map one to one (each
+benchmark value always to the same document value); windows that break the mapping do not count, and a
+window counts if one of its readings keeps it. A document is contaminated by an item if it holds ``share`` or more of the item's windows, or a run of
 ``run_words`` words of it. So re-parameterised questions are caught as well as copies.
 
 Scale. The benchmark is joined as a broadcast hash table in blocks of at most ``block_windows`` windows
-(8 bytes each); a benchmark beyond that is joined block by block. Documents are not shuffled.
+(17 bytes each reading; two readings for each opening word in it); a benchmark beyond that is joined block
+by block. Documents are not shuffled; their windows are formed and looked up ``STARTS`` places at a time.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from drawlake.llm.bytesops import BYTE_VALUES, LOWER, U64, blocks, mix, prefix_h
 from drawlake.llm.common import union_all
 
 WINDOW = 5
+STARTS = 1 << 16
 #: Unit words, fixed values.
 UNITS = "mm cm m km in ft mi g kg mg lb oz l ml s sec min h hours hour minutes minute seconds days day years year percent dollars euros usd eur mph kmh c f".split()
 _MARKS = np.arange(256, dtype=np.uint8)
@@ -52,7 +55,10 @@ _UNIT_HASHES = _unit_hashes()
 
 
 def templates(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, slot value or 0, bounds of each text's tokens, bytes of each token's end) of a block."""
+    """(token, slot value or 0, bounds of each text's tokens, bytes of each token's end) of a block.
+
+    A capitalised word that opens a sentence stands as plain word with the slot value of a name.
+    """
     low = _lower(data)
     begin, end = word_bounds(_MARKS[low])
     word = mix(range_hash(prefix_hash(BYTE_VALUES[low]), begin, end))
@@ -72,7 +78,7 @@ def templates(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     after[first[first < len(begin)]] = False
     unit = after & np.isin(word, _UNIT_HASHES) & ~number
     token = np.where(number, _NUM, np.where(name, _NAME, np.where(unit, _UNIT, word)))
-    slot = np.where(number | name, word | U64(1), U64(0))
+    slot = np.where(number | capital, word | U64(1), U64(0))
     keep = np.ones(len(token), bool)
     keep[1:] = (token[1:] != token[:-1]) | ~(number | name)[1:]
     keep[first[first < len(keep)]] = True
@@ -80,80 +86,123 @@ def templates(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return token[kept], slot[kept], np.searchsorted(begin[kept], starts), end[kept]
 
 
-def windows(token: np.ndarray) -> np.ndarray:
-    out = np.zeros(max(len(token) - WINDOW + 1, 0), U64)
+def _either(token: np.ndarray, slot: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a token may be plain word or name, and whether it is left out if the one before it is read as a name."""
+    either = (slot != 0) & (token != _NUM) & (token != _NAME)
+    after = np.zeros(len(token) + 1, bool)
+    after[1:] = either
+    after[bounds] = False
+    return either, after[:-1] & (token == _NAME)
+
+
+def windows(token: np.ndarray, slot: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first token, hash, reading) of all windows of a block's texts, ``STARTS`` places at a time; bit k of a reading: its token k is an opening word read as a name."""
+    either, joined = _either(token, slot, bounds)
+    joined = np.append(joined, False)
+    stop = np.repeat(bounds[1:], np.diff(bounds))
+    for low in range(0, len(token), STARTS):
+        start = np.arange(low, min(low + STARTS, len(token)))
+        at, key, reading = start, np.zeros(len(start), U64), np.zeros(len(start), np.uint8)
+        for k in range(WINDOW):
+            inside = at < stop[start]
+            start, at, key, reading = start[inside], at[inside], key[inside], reading[inside]
+            factor = U64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1)
+            two = np.flatnonzero(either[at])
+            key, as_name = key + token[at] * factor, key[two] + np.full(len(two), _NAME) * factor
+            start, key, reading = np.append(start, start[two]), np.append(key, as_name), np.append(reading, reading[two] | np.uint8(1 << k))
+            at = np.append(at + 1, at[two] + 1 + joined[at[two] + 1])
+        yield start, mix(key), reading
+
+
+def _places(at: int, reading: int, either: np.ndarray, joined: np.ndarray) -> tuple[list[tuple[int, bool]], list[int]]:
+    """(token, whether its slot counts) of a window, and the tokens it leaves out."""
+    out, gone = [], []
     for k in range(WINDOW):
-        out += token[k : k + len(out)] * U64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1)
-    return mix(out)
+        as_name = bool(reading >> k & 1)
+        out.append((at, as_name or not either[at]))
+        at += 1
+        if as_name and at < len(joined) and joined[at]:
+            gone.append(at)
+            at += 1
+    return out, gone
 
 
 def _index(items: list[tuple[int, str]]) -> dict:
-    """Sorted window hashes of the items with item and place, and each item's slots."""
-    hashes, owner, place, slots, size = [], [], [], [], []
+    """Sorted window hashes of the items with item, place and reading, and each item's slots."""
+    hashes, owner, place, reading, slots, either, joined, size = [], [], [], [], [], [], [], []
     for _, _, data, starts in blocks(pa.array([t or "" for _, t in items], pa.string())):
         token, slot, bounds, _ = templates(data, starts)
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            w = windows(token[a:b])
-            hashes.append(w)
-            owner.append(np.full(len(w), len(size), np.int32))
-            place.append(np.arange(len(w), dtype=np.int32))
-            slots.append(slot[a:b])
-            size.append(len(w))
-    hashes, owner, place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hashes, U64), (owner, np.int32), (place, np.int32)))
+        for start, key, read in windows(token, slot, bounds):
+            text = np.searchsorted(bounds, start, "right") - 1
+            hashes.append(key)
+            owner.append((text + len(size)).astype(np.int32))
+            place.append((start - bounds[text]).astype(np.int32))
+            reading.append(read)
+        for out, x in zip((slots, either, joined), (slot, *_either(token, slot, bounds))):
+            out += [x[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        size += [max(int(n) - WINDOW + 1, 0) for n in np.diff(bounds)]
+    hashes, owner, place, reading = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hashes, U64), (owner, np.int32), (place, np.int32), (reading, np.uint8)))
     order = np.argsort(hashes, kind="stable")
-    return {"hash": hashes[order], "owner": owner[order], "place": place[order], "slots": slots, "size": size, "ids": [i for i, _ in items]}
+    return {"hash": hashes[order], "owner": owner[order], "place": place[order], "reading": reading[order], "slots": slots, "either": either, "joined": joined, "size": size, "ids": [i for i, _ in items]}
 
 
-def _aligned(match: np.ndarray, doc_slot: np.ndarray, item_slot: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Which (document place, item place) rows keep a one-to-one slot mapping, and whether any value was changed."""
+def _aligned(match: list[tuple[int, int, int, int]], doc: tuple, item: tuple) -> tuple[set[int], set[int], bool]:
+    """Item places held by (document place, item place, readings of both) rows that keep a one-to-one slot mapping, item tokens left out by them, and whether any value was changed."""
     forth: dict[int, int] = {}
     back: dict[int, int] = {}
-    good, changed = np.ones(len(match), bool), False
-    for r, (p, q) in enumerate(match):
-        here = [(int(item_slot[q + k]), int(doc_slot[p + k])) for k in range(WINDOW) if item_slot[q + k] or doc_slot[p + k]]
-        if any(forth.get(a, b) != b or back.get(b, a) != a for a, b in here):
-            good[r] = False
+    held, gone, seen, changed = set(), set(), set(), False
+    # last those that start behind an opening word that may belong to the same name; of one place the readings with fewer names come first
+    for p, q, doc_reading, item_reading in sorted(match, key=lambda m: int(doc[2][m[0]]) + int(item[2][m[1]])):
+        if (p, q) in seen:
             continue
-        for a, b in here:
-            forth[a], back[b] = b, a
-            changed |= a != b
-    return good, changed
-
-
-def judge(token: np.ndarray, slot: np.ndarray, index: dict, share: float, run_words: int) -> list[tuple[int, float, bool]]:
-    """(item number, share of its windows, re-parameterised) for the items that contaminate a text."""
-    w = windows(token)
-    if not len(w) or not len(index["hash"]):
-        return []
-    lo = np.searchsorted(index["hash"], w, "left")
-    hit = np.flatnonzero(index["hash"][np.minimum(lo, len(index["hash"]) - 1)] == w)
-    if not len(hit):
-        return []
-    lo, hi = lo[hit], np.searchsorted(index["hash"], w[hit], "right")
-    rows = np.repeat(hit, hi - lo)
+        left, _ = _places(p, doc_reading, *doc[1:])
+        right, out = _places(q, item_reading, *item[1:])
+        here = [(int(item[0][j]) * jn, int(doc[0][i]) * n) for (i, n), (j, jn) in zip(left, right)]
+        here = [x for x in here if x != (0, 0)]
+        f, b = {}, {}
+        if any(forth.get(x, f.setdefault(x, y)) != y or back.get(y, b.setdefault(y, x)) != x for x, y in here):
+            continue
+        forth.update(f)
+        back.update(b)
+        changed |= any(x != y for x, y in here)
+        seen.add((p, q))
+        held.add(q)
+        gone.update(out)
+    return held, gone, changed
+
+
+def judge(hits: tuple[np.ndarray, np.ndarray, np.ndarray], doc: tuple, index: dict, share: float, run_words: int) -> list[tuple[int, float, bool]]:
+    """(item number, share of its windows, re-parameterised) for the items that contaminate a text, by its windows that match: (first token, hash, reading)."""
+    start, key, read = hits
+    lo, hi = np.searchsorted(index["hash"], key, "left"), np.searchsorted(index["hash"], key, "right")
+    rows = np.repeat(np.arange(len(key)), hi - lo)
     at = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange(len(rows))
     owner, place = index["owner"][at], index["place"][at]
+    names = np.bitwise_count(read[rows]) + np.bitwise_count(index["reading"][at])
     out = []
     for item in np.unique(owner):
-        own = owner == item
-        p, q = rows[own], place[own]
+        own = np.flatnonzero(owner == item)
+        p, q = start[rows[own]], place[own]
         total = index["size"][item]
-        if len(np.unique(q)) < min(share * total, run_words - WINDOW + 1):
+        may = int(index["joined"][item].sum())  # a token left out takes its place with it
+        if len(np.unique(q)) < min(share * (total - may), run_words - WINDOW + 1 - may):
             continue
         best, changed = 0.0, False
         # copies at different places of the text are judged each by its own mapping
         shift = p - q
-        order = np.lexsort((p, shift))
-        p, q, shift = p[order], q[order], shift[order]
-        for group in np.split(np.arange(len(p)), np.flatnonzero(np.diff(shift) > 2 * WINDOW) + 1):
-            match = np.stack([p[group], q[group]], 1)
-            good, differs = _aligned(match, slot, index["slots"][item])
-            kept = np.unique(match[good, 1])
-            if not len(kept):
+        own = own[np.lexsort((names[own], p, shift))]
+        p, q = start[rows[own]], place[own]
+        shift = p - q
+        match = list(zip(p.tolist(), q.tolist(), read[rows[own]].tolist(), index["reading"][at[own]].tolist()))
+        cuts = [0, *(np.flatnonzero(np.diff(shift) > 2 * WINDOW) + 1).tolist(), len(match)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            places, gone, differs = _aligned(match[a:b], doc, (index["slots"][item], index["either"][item], index["joined"][item]))
+            if not places:
                 continue
+            kept = np.array(sorted(places | gone))
             runs = np.split(kept, np.flatnonzero(np.diff(kept) > 1) + 1)
             longest = max(len(r) for r in runs) + WINDOW - 1
-            held = len(kept) / total
+            held = min(1.0, len(places - gone) / max(1, total - len(gone)))
             if held >= share or longest >= run_words:
                 if held > best:
                     best, changed = held, differs
@@ -162,6 +211,18 @@ def judge(token: np.ndarray, slot: np.ndarray, index: dict, share: float, run_wo
     return out
 
 
+def _hits(token: np.ndarray, slot: np.ndarray, bounds: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, hash, reading) of a block's windows that stand in the index, by first token."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.uint8))]
+    if len(hashes):
+        for part in windows(token, slot, bounds):
+            here = hashes[np.minimum(np.searchsorted(hashes, part[1]), len(hashes) - 1)] == part[1]
+            found.append(tuple(x[here] for x in part))
+    start, key, reading = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(start, kind="stable")
+    return start[order], key[order], reading[order]
+
+
 def _probe(shared, share: float, run_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -169,9 +230,11 @@ def _probe(shared, share: float, run_words: int):
             items, shares, changed = [], [], []
             for _, _, data, starts in blocks(batch.column(1)):
                 token, slot, bounds, _ = templates(data, starts)
-                some = np.isin(windows(token), index["hash"])
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    found = judge(token[a:b], slot[a:b], index, share, run_words) if some[a:b].any() else []
+                hits = _hits(token, slot, bounds, index["hash"])
+                doc = (slot, *_either(token, slot, bounds))
+                edge = np.searchsorted(hits[0], bounds)
+                for a, b in zip(edge[:-1], edge[1:]):
+                    found = judge(tuple(x[a:b] for x in hits), doc, index, share, run_words) if a < b else []
                     items.append([index["ids"][i] for i, _, _ in found])
                     shares.append(max((s for _, s, _ in found), default=0.0))
                     changed.append(any(c for _, _, c in found))

@@ -207,6 +207,42 @@ def test_decontamination(spark):
     assert decontam.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_sentence_openings(spark):
+    """A name that opens a sentence is a slot; an item's opening word may stand as a name or in lower case."""
+    items = ["Alice has 12 apples. Bob gives her 5 kg more. How many does Alice have now?", "Name seven large rivers of northern Europe", "Peter Smith went home early with three red apples and two old hats"]
+    found = {
+        1: (items[0].replace("Alice", "Carol").replace("Bob", "Dave").replace("12", "31").replace("5", "8"), [0]),
+        2: (f"then they asked: {items[1]} quickly", [1]),
+        3: (f"they then asked {items[1]} quickly", [1]),
+        4: ("we had to name seven large rivers of northern Europe", [1]),
+        5: (f"they said that {items[2]} today", [2]),
+        6: (items[2].replace("Peter Smith", "Anna Jones"), [2]),
+        7: (items[2].replace("Peter Smith", "Anna"), [2]),
+        # one name for two
+        8: ("Carol has 12 apples. Dave gives her 5 kg more. How many does Dave have now?", []),
+        9: ("Name five small towns of southern Spain", []),
+        10: (f"{words(40, 1)}. {items[0]}", [0]),
+    }
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, (t, _) in found.items()], DOCS)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.contamination(docs, bench).collect()}
+    assert {k: r.items for k, r in got.items()} == {k: i for k, (_, i) in found.items()}
+    assert [k for k in got if got[k].reparameterised] == [1, 6, 7]
+
+
+def test_windows_in_parts(monkeypatch):
+    texts = ["Anna Berg met Peter. Yes. No. Bob said: Carl Dahl has 5 kg", "", "One two", "Over the hill. Far away Ida Lund 7 8 sang"] * 3
+    [(_, _, data, starts)] = decontam.blocks(pa.array(texts))
+    token, slot, bounds, _ = decontam.templates(data, starts)
+
+    def all_windows():
+        return sorted(row for part in decontam.windows(token, slot, bounds) for row in zip(*(x.tolist() for x in part)))
+
+    whole = all_windows()
+    monkeypatch.setattr(decontam, "STARTS", 3)
+    assert all_windows() == whole and len(set(whole)) == len(whole)
+
+
 def test_templates_do_not_depend_on_neighbours():
     texts = ["there were 12", "in the end Anna left", "", "c 4", "days of 7 days", "Peter Smith 8 9"]
 
