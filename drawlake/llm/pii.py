@@ -4,7 +4,8 @@ Rules give the base spans (email, ip, card, phone). The field labels tokens (run
 digits, single marks) with O or begin/inside of a kind, over word-shape features of the token and its
 neighbours. It is trained in numpy from the small labelled table below and decoded by Viterbi over padded
 batches. Tokens further than ``REACH`` characters from a digit, ``@`` or ``(at)`` have O as their only
-label, so only stretches around those are decoded. Decoded spans must pass the kind's arithmetic test
+label, so only stretches around those are decoded; overlapping reaches are one stretch. A stretch of more
+than ``TILE`` tokens is decoded in tiles that see ``MARGIN`` tokens more on both sides. Decoded spans must pass the kind's arithmetic test
 (Luhn, parts up to 255, digit counts) and may not overlap a base span.
 """
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 60
+TILE = 256
+MARGIN = 64
 _TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -253,49 +256,62 @@ def train(lines: tuple[str, ...] = LABELLED, epochs: int = 40, rate: float = 0.3
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text within ``REACH`` of a trigger, not across lines and not within a word."""
+    """Parts of the text within ``REACH`` of a trigger, to the next blank on both sides, not across lines; overlapping ones are one."""
     out: list[list[int]] = []
+    end = -1  # of the line
     for m in _TRIGGER.finditer(text):
         p = m.start()
-        if out and p < out[-1][1]:
+        if p > end:
+            line = text.rfind("\n", out[-1][1] if out else 0, p) + 1
+            end = text.find("\n", p)
+            end = len(text) if end < 0 else end
+        if out and p + REACH <= out[-1][1] or out and out[-1][1] == end:
             continue
-        lo = max(text.rfind("\n", 0, p) + 1, p - REACH, out[-1][1] if out else 0)
-        hi = p + REACH
-        line = text.find("\n", p, hi)
-        hi = len(text) if line < 0 and hi > len(text) else line if line >= 0 else hi
-        if lo == p - REACH and lo > 0:
-            blank = text.find(" ", lo, p)
-            lo = blank + 1 if blank >= 0 else lo
-        out.append([lo, hi])
+        last = out[-1][1] if out else 0
+        lo = p - REACH
+        if lo > max(line, last):
+            lo = max(text.rfind(" ", max(line, last), lo) + 1, line, last)
+        lo = max(lo, line)
+        hi = text.find(" ", p + REACH, end) if p + REACH < end else end
+        hi = end if hi < 0 else hi
+        if out and lo <= last and line <= last:
+            out[-1][1] = hi
+        else:
+            out.append([lo, hi])
     return [(a, b) for a, b in out]
 
 
 def find_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
     base = [base_spans(t) if _TRIGGER.search(t) else [] for t in texts]
-    work = []
+    work, tiles = [], []
     for i, text in enumerate(texts):
         for lo, hi in stretches(text):
             tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
             if tokens:
-                work.append((i, tokens))
+                step = TILE if len(tokens) > TILE else len(tokens)
+                tiles += [(len(work), at, max(at - MARGIN, 0), min(at + step + MARGIN, len(tokens))) for at in range(0, len(tokens), step)]
+                work.append((i, tokens, np.zeros(len(tokens), np.int8)))
     spans = [list(b) for b in base]
-    work.sort(key=lambda w: len(w[1]))
-    for at in range(0, len(work), 512):
-        some = work[at : at + 512]
-        paths = field.viterbi([field.emissions(_features(texts[i], tokens)) for i, tokens in some])
-        for (i, tokens), path in zip(some, paths):
-            t = 0
-            while t < len(path):
-                label = _LABELS[path[t]]
-                end = t + 1
-                if label[0] == "B":
-                    while end < len(path) and _LABELS[path[end]] == "I" + label[1:]:
-                        end += 1
-                    s, e, kind = tokens[t][0], tokens[end - 1][1], label[2:]
-                    if passes(kind, texts[i][s:e]) and not any(a < e and s < b for a, _, b in spans[i]):
-                        spans[i].append((s, KINDS.index(kind), e))
-                t = end
+    tiles.sort(key=lambda x: x[3] - x[2])
+    for at in range(0, len(tiles), 512):
+        some = tiles[at : at + 512]
+        paths = field.viterbi([field.emissions(_features(texts[work[w][0]], work[w][1][lo:hi])) for w, _, lo, hi in some])
+        for (w, own, lo, _), path in zip(some, paths):
+            label = work[w][2][own : own + TILE] if len(work[w][1]) > TILE else work[w][2]
+            label[:] = path[own - lo : own - lo + len(label)]
+    for i, tokens, path in work:
+        t = 0
+        while t < len(path):
+            label = _LABELS[path[t]]
+            end = t + 1
+            if label[0] == "B":
+                while end < len(path) and _LABELS[path[end]] == "I" + label[1:]:
+                    end += 1
+                s, e, kind = tokens[t][0], tokens[end - 1][1], label[2:]
+                if passes(kind, texts[i][s:e]) and not any(a < e and s < b for a, _, b in spans[i]):
+                    spans[i].append((s, KINDS.index(kind), e))
+            t = end
     return [(b, sorted(s)) for b, s in zip(base, spans)]
 
 

@@ -186,6 +186,40 @@ def test_pii_field_adds_and_spares():
     assert not base and {pii.KINDS[k] for _, k, _ in spans} == {"email", "phone"} and not clean
 
 
+def test_pii_added_span_at_every_offset():
+    """Wherever a span stands behind other digits of its line, the field sees all of it."""
+    field = pii.train()
+    for found, kind in (("(212) 555-0184", 3), ("anna (at) host.example.org", 0)):
+        for digits in ("7", "7 of 9 in"):
+            texts = [f"{digits} {('word ' * 30)[-n:]}call {found} today" for n in range(5, 131)]
+            for text, (_, spans) in zip(texts, pii.find_spans(texts, field)):
+                s = text.index(found)
+                assert (s, kind, s + len(found)) in spans, text
+
+
+def test_pii_long_line(monkeypatch):
+    """A line decoded in tiles has the spans of the line decoded at once, wherever the tiles meet."""
+    field = pii.train()
+    text = "".join(f"call (212) 555-{1000 + i} or mail anna (at) host{i}.example.org, {i} of " for i in range(150))
+    assert pii.stretches(text) == [(0, len(text))]
+    tiled = pii.find_spans([text], field)
+    monkeypatch.setattr(pii, "TILE", 1 << 20)
+    assert tiled == pii.find_spans([text], field) and len(tiled[0][1]) == 300
+
+
+def test_pii_stretches_cover_reach():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        text = "".join(rng.choice(list("abcdefgh  \n1"), 400, p=[0.11] * 8 + [0.05, 0.05, 0.01, 0.01]))
+        parts = pii.stretches(text)
+        assert all(a[1] < b[0] or "\n" in text[a[1] : b[0] + 1] for a, b in zip(parts[:-1], parts[1:]))
+        for a, b in parts:
+            assert "\n" not in text[a:b] and (a == 0 or text[a - 1] in " \n") and (b == len(text) or text[b] in " \n")
+        for m in re.finditer("1", text):
+            lo, hi = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start()) % (len(text) + 1)
+            assert any(a <= max(lo, m.start() - 60) and min(hi, m.start() + 60) <= b for a, b in parts)
+
+
 def test_pii_odd_rows(spark, odd):
     assert pii.find_pii(odd).count() == 9 and pii.find_pii(odd.limit(0)).count() == 0
     docs = spark.createDataFrame([(1, "to a.b@c.org now", "en", "s", 1), (2, None, "en", "s", 1)], DOCS)
