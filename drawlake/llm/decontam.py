@@ -11,7 +11,7 @@ window counts if one of its readings keeps it. A document is contaminated by an
 
 Scale. The benchmark is joined as a broadcast hash table in blocks of at most ``block_windows`` windows
 (17 bytes each reading; two readings for each opening word in it); a benchmark beyond that is joined block
-by block. Documents are not shuffled; their windows are formed and looked up ``STARTS`` places at a time.
+by block, over documents written once with a number for each row. Documents are not shuffled; their windows are formed and looked up ``STARTS`` places at a time.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawlake.llm.bytesops import BYTE_VALUES, LOWER, U64, blocks, mix, prefix_hash, range_hash, word_bounds
-from drawlake.llm.common import union_all
+from drawlake.llm.common import materialize, union_all
 
 WINDOW = 5
 STARTS = 1 << 16
@@ -223,53 +223,83 @@ def _hits(token: np.ndarray, slot: np.ndarray, bounds: np.ndarray, hashes: np.nd
     return start[order], key[order], reading[order]
 
 
+def _judged(column: pa.Array, index: dict, share: float, run_words: int) -> tuple[list[list], list[float], list[bool]]:
+    """(ids of the items found, largest share, re-parameterised) of each text."""
+    items, shares, changed = [], [], []
+    for _, _, data, starts in blocks(column):
+        token, slot, bounds, _ = templates(data, starts)
+        hits = _hits(token, slot, bounds, index["hash"])
+        doc = (slot, *_either(token, slot, bounds))
+        edge = np.searchsorted(hits[0], bounds)
+        for a, b in zip(edge[:-1], edge[1:]):
+            found = judge(tuple(x[a:b] for x in hits), doc, index, share, run_words) if a < b else []
+            items.append([index["ids"][i] for i, _, _ in found])
+            shares.append(max((s for _, s, _ in found), default=0.0))
+            changed.append(any(c for _, _, c in found))
+    return items, shares, changed
+
+
 def _probe(shared, share: float, run_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
-            items, shares, changed = [], [], []
-            for _, _, data, starts in blocks(batch.column(1)):
-                token, slot, bounds, _ = templates(data, starts)
-                hits = _hits(token, slot, bounds, index["hash"])
-                doc = (slot, *_either(token, slot, bounds))
-                edge = np.searchsorted(hits[0], bounds)
-                for a, b in zip(edge[:-1], edge[1:]):
-                    found = judge(tuple(x[a:b] for x in hits), doc, index, share, run_words) if a < b else []
-                    items.append([index["ids"][i] for i, _, _ in found])
-                    shares.append(max((s for _, s, _ in found), default=0.0))
-                    changed.append(any(c for _, _, c in found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64())), pa.array(shares, pa.float64()), pa.array(changed, pa.bool_())], ["doc_id", "items", "share", "changed"])
+            items, shares, changed = _judged(batch.column(2), shared.value, share, run_words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.list_(pa.int64())), pa.array(shares, pa.float64()), pa.array(changed, pa.bool_())], ["row", "doc_id", "items", "share", "changed"])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, run_words: int = 30, block_windows: int = 2_000_000) -> DataFrame:
-    """``(doc_id, contaminated, n_items, items, share, reparameterised)`` for each row of ``docs``.
+def _sieve(shared, share: float, run_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, _, _ = _judged(batch.column(batch.num_columns - 1), shared.value, share, run_words)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array([not x for x in items], pa.bool_()))
 
-    ``items`` are the ids of the benchmark items found (sorted), ``share`` the largest share of one item's
-    windows, ``reparameterised`` whether some item was found with other slot values. Null and empty texts
-    are clean. Items with fewer than five template tokens have no window and match nothing. Rows that
-    share a doc_id are judged each; with an empty benchmark all are clean. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return run
+
+
+def _shared(benchmark: DataFrame, block_windows: int) -> list:
+    """The benchmark's blocks as broadcast tables."""
     bench = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     # windows are fewer than words, and words fewer than half the bytes
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 2
     parts = max(1, -(-size // block_windows))
-    found = []
+    out = []
     for part in range(parts):
         items = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).distinct().orderBy("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast(_index(items))
-        found.append(read.mapInArrow(_probe(shared, share, run_words), "doc_id long, items array<long>, share double, changed boolean"))
-    if parts > 1:
-        # one verdict per document; blocks hold different items
-        found = [union_all(found).groupBy("doc_id").agg(F.flatten(F.collect_list("items")).alias("items"), F.max("share").alias("share"), F.max("changed").alias("changed"))]
-    items = F.array_sort(F.array_distinct("items"))
-    return found[0].select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("items"), "share", F.col("changed").alias("reparameterised"))
+        out.append(benchmark.sparkSession.sparkContext.broadcast(_index(items)))
+    return out
+
 
+def _verdicts(rows: DataFrame, shared: list, share: float, run_words: int) -> DataFrame:
+    """``(row, doc_id, items, share, changed)`` for each of ``rows(row, doc_id, text)``; with several blocks their numbers must stay the same."""
+    found = [rows.mapInArrow(_probe(x, share, run_words), "row long, doc_id long, items array<long>, share double, changed boolean") for x in shared]
+    if len(found) == 1:
+        return found[0]
+    # one verdict per row; blocks hold different items
+    return union_all(found).groupBy("row", "doc_id").agg(F.flatten(F.collect_list("items")).alias("items"), F.max("share").alias("share"), F.max("changed").alias("changed"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, run_words: int = 13, block_windows: int = 2_000_000) -> DataFrame:
+    """``(doc_id, contaminated, n_items, items, share, reparameterised)`` for each row of ``docs``.
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The documents without those that hold a benchmark item; columns are unchanged."""
-    gone = contamination(docs, benchmark, **settings).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    ``items`` are the ids of the benchmark items found (sorted), ``share`` the largest share of one item's
+    windows, ``reparameterised`` whether some item was found with other slot values. Null and empty texts
+    are clean. Items with fewer than five template tokens have no window and match nothing. Rows that
+    share a doc_id are judged each; with an empty benchmark all are clean. Other columns are ignored.
+    """
+    shared = _shared(benchmark, block_windows)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _verdicts(rows if len(shared) == 1 else materialize(rows, "rows"), shared, share, run_words)
+    items = F.array_sort(F.array_distinct("items"))
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("items"), "share", F.col("changed").alias("reparameterised"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, run_words: int = 13, block_windows: int = 2_000_000) -> DataFrame:
+    """The rows without those that hold a benchmark item, each by its own text; columns are unchanged."""
+    shared = _shared(benchmark, block_windows)
+    text = docs["text"].cast("string")
+    if len(shared) == 1:
+        return docs.select("*", text.alias("_judged")).mapInArrow(_sieve(shared[0], share, run_words), docs.schema)
+    kept = materialize(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), text.alias("text")), "rows")
+    gone = _verdicts(kept.select("row", F.lit(None).cast("long").alias("doc_id"), "text"), shared, share, run_words).where(F.size("items") > 0).select("row")
+    return kept.join(gone, "row", "left_anti").select("doc.*")

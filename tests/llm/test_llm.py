@@ -253,7 +253,7 @@ def test_decontamination_of_sentence_openings(spark):
         6: (items[2].replace("Peter Smith", "Anna Jones"), [2]),
         7: (items[2].replace("Peter Smith", "Anna"), [2]),
         # one name for two
-        8: ("Carol has 12 apples. Dave gives her 5 kg more. How many does Dave have now?", []),
+        8: (items[0].replace("Alice", "Carol").replace("Bob", "Carol"), []),
         9: ("Name five small towns of southern Spain", []),
         10: (f"{words(40, 1)}. {items[0]}", [0]),
     }
@@ -264,6 +264,20 @@ def test_decontamination_of_sentence_openings(spark):
     assert [k for k in got if got[k].reparameterised] == [1, 6, 7]
 
 
+def test_decontamination_judges_rows(spark):
+    """Rows with equal or null ids keep verdicts of their own, in one block and in several; runs of 13 words count."""
+    item = words(59, 31)
+    run = " ".join(item.split()[20:33])
+    rows = [(1, item), (1, "clean"), (None, item), (None, "clean too"), (None, None), (2, f"{words(9, 1)} {run} {words(9, 2)}"), (3, " ".join(run.split()[:8]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    bench = spark.createDataFrame([(10, item), (11, words(30, 32))], "item_id long, text string")
+    for block in (2_000_000, 40):
+        got = decontam.contamination(docs, bench, block_windows=block).collect()
+        assert sorted((str(r.doc_id), r.contaminated) for r in got) == [("1", False), ("1", True), ("2", True), ("3", False), ("None", False), ("None", False), ("None", True)]
+        left = decontam.drop_contaminated(docs, bench, block_windows=block)
+        assert left.columns == docs.columns and {(r.doc_id, r.text) for r in left.collect()} == {rows[1], rows[3], rows[4], rows[6]}
+
+
 def test_windows_in_parts(monkeypatch):
     texts = ["Anna Berg met Peter. Yes. No. Bob said: Carl Dahl has 5 kg", "", "One two", "Over the hill. Far away Ida Lund 7 8 sang"] * 3
     [(_, _, data, starts)] = decontam.blocks(pa.array(texts))
