@@ -7,10 +7,14 @@ all its slots are filled, since later levels can only give larger values. Bands
 candidates; links are confirmed on the full sets.
 
 Scale. Identical sets are one class. In each band bucket all members are compared with the smallest
-one only; buckets whose members are then still in different components are searched further, in
-blocks of bounded size, where members already joined are skipped. So copies never become all pairs,
-and no link between different components is lost but by banding: with 4 rows and 20 bands a pair at
-0.85 is missed with probability below 4e-7.
+one only. Members of buckets that then still hold several components are searched once more, each class once
+however many buckets it is in. Their elements are ordered from rare to frequent; two sets that are similar
+enough must share one of their first elements, so sets fall into clusters that are joined by such elements.
+A cluster with several components is compared in blocks of bounded size, which count all common
+elements by inverted lists and give one link for each pair of components they join. So copies never
+become all pairs, a full set travels once unless its cluster outgrows a block, and no link between different
+components is lost but by banding: with 4 rows and 20 bands a pair at 0.85 is missed with probability below
+4e-7.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from drawlake.llm.bytesops import BYTE_VALUES, LOWER, U64, blocks, mix, prefix_hash, range_hash, word_bounds
 from drawlake.llm.common import connected_components, materialize
 
-BLOCK = 800
+BLOCK = 1_000_000  # elements
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int) -> list[np.ndarray]:
@@ -97,111 +101,168 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def _signatures(words: int, rows: int, bands: int, seed_slots: int):
+def _signatures(words: int, rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, digest, keys = batch.column(0), [], [], []
-            for _, _, data, starts in blocks(batch.column(1)):
+            n, digest, keys = [], [], []
+            for _, _, data, starts in blocks(batch.column(2)):
                 sets = shingle_sets(data, starts, words)
                 n += [len(s) for s in sets]
                 digest += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 keys.append(band_keys(super_minhash(sets, rows * bands), rows).view(np.int64))
             flat = np.concatenate(keys).reshape(-1) if keys else np.zeros(0, np.int64)
             bands_column = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), bands_column], ["doc_id", "n_shingles", "set_hash", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), bands_column], ["doc_id", "text_hash", "n_shingles", "set_hash", "bands"])
 
     return run
 
 
-def _sets(words: int):
+def _elements(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for _, _, data, starts in blocks(batch.column(1)):
                 out += [s.view(np.int64) for s in shingle_sets(data, starts, words)]
-            offsets = np.zeros(len(out) + 1, np.int32)
-            np.cumsum([len(s) for s in out], out=offsets[1:])
-            flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["rep", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out)], ["id", "elements"])
 
     return run
 
 
-def _search_block(percent: int):
-    """Links between members of one bucket block that are in different components."""
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(s) for s in arrays], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), pa.int64()))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs(u, v)`` whose full sets are similar enough."""
+    side = lambda name: sets.select(F.col("id").alias(name), F.col("elements").alias(f"s{name}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("both", F.size(F.array_intersect("su", "sv")))
+    return both.where(f"100 * both >= {percent} * (size(su) + size(sv) - both)").select("u", "v")
+
+
+def _first_elements(asked: DataFrame, percent: int) -> DataFrame:
+    """``(id, element)``: the elements of ``asked(doc, id, elements)`` of which similar sets must share one.
+
+    A set's elements stand in order of how many sets hold them, then of value, and the first
+    n - ceil(n * percent / 100) + 1 count. Elements of one set only come first and are left out.
+    """
+    held = asked.select("doc", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+    common = held.groupBy("element").agg(F.count("*").alias("sets")).where("sets > 1")
+    shared = held.join(common, "element").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "element"))).alias("own"))
+    first = F.size("own") - F.ceil(F.col("n") * percent / 100) + 1
+    rows = shared.withColumn("own", F.slice("own", F.lit(1), F.greatest(first, F.lit(0)).cast("int")))
+    return rows.select("doc", F.explode("own.element").alias("element")).join(asked.select("doc", "id"), "doc").select("id", "element")
+
+
+def _overlaps(percent: int):
+    """Links that join different components within each block of a batch."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep", kind="stable").drop_duplicates("rep")
-        sets = [np.sort(np.asarray(s, np.int64).view(U64)) for s in rows["elements"]]
-        ids, side = rows["rep"].to_numpy(), rows["side"].to_numpy()
-        two = len(set(side)) > 1
-        n = np.array([len(s) for s in sets])
+    def block(rows: pd.DataFrame) -> list[tuple]:
+        rows = rows.drop_duplicates("id")
+        ids, side = rows["id"].to_numpy(), rows["side"].to_numpy()
         names, comp = np.unique(rows["component"].to_numpy(), return_inverse=True)
+        if len(names) < 2:
+            return []
+        n = np.array([len(x) for x in rows["elements"]])
+        bounds = np.r_[0, np.cumsum(n)]
+        _, code = np.unique(np.concatenate(rows["elements"].to_list()), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        holder = np.repeat(np.arange(len(n)), n)[order]  # of each element in turn
+        starts = np.r_[0, np.cumsum(np.bincount(code))]
         links = []
-        for i in range(len(ids)):
-            near = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-            near[: i + 1] = False
-            if two:
-                near &= side != side[i]
-            for j in np.flatnonzero(near & (comp != comp[i])):
-                if comp[j] == comp[i]:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (n[i] + n[j] - both):
+        for i in np.flatnonzero(side == side.min()):
+            own = code[bounds[i] : bounds[i + 1]]
+            size = starts[own + 1] - starts[own]
+            at = np.repeat(starts[own] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            both = np.bincount(holder[at], minlength=len(n))
+            for j in np.flatnonzero((100 * both >= percent * (n[i] + n - both)) & (comp != comp[i])):
+                if comp[j] != comp[i]:
                     links.append((ids[i], ids[j]))
                     comp[comp == comp[j]] = comp[i]
-        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+        return links
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        found = [link for _, rows in batch.groupby(["cluster", "lo", "hi"]) for link in block(rows)]
+        return pd.DataFrame(found, columns=["u", "v"], dtype="object")
 
     return run
 
 
+def _missing_links(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components among the members of buckets that hold several."""
+    named = members.where("size > 2").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    unsettled = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    asked = named.join(unsettled, "key", "left_semi").select("id", "component").distinct()
+    asked = materialize(asked.join(sets, "id").select(F.monotonically_increasing_id().alias("doc"), "id", "component", "elements"), "asked")
+    first = _first_elements(asked.drop("component"), percent).join(asked.select("id", "component"), "id")
+    first = materialize(first, "first")
+    pivots = first.groupBy("element").agg(F.min("id").alias("pivot"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("element", "pivot")
+    edges = first.join(pivots, "element").where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v"))
+    clusters = connected_components(edges).withColumnRenamed("component", "cluster")
+
+    rows = clusters.join(asked, "id")
+    parts = rows.groupBy("cluster").agg(F.ceil(F.sum(F.size("elements")) / BLOCK).cast("int").alias("parts"))
+    rows = rows.join(parts, "cluster").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("cluster", "id", "component", "elements", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
+    bins = max(64, asked.count() // 1000)  # several small clusters share a task
+    batch = F.when(F.col("hi") == 0, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("cluster", "lo", "hi"))
+    return rows.groupBy(batch.alias("batch")).applyInPandas(_overlaps(percent), "u binary, v binary")
+
+
+def _components(docs: DataFrame, words: int, percent: int, rows: int, bands: int) -> DataFrame:
+    """``(doc_id, text_hash, n_shingles, component_id)`` for each row of ``docs(doc_id, text)``."""
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    signed = materialize(docs.mapInArrow(_signatures(words, rows, bands), "doc_id long, text_hash long, n_shingles long, set_hash binary, bands array<long>"), "signed")
+    real, alone = signed.where("n_shingles > 0 and doc_id is not null"), signed.where("n_shingles = 0 or doc_id is null")
+    classes = real.groupBy(F.col("set_hash").alias("id")).agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = materialize(classes, "classes")
+
+    spread = classes.select("id", "n_shingles", F.explode("bands").alias("key"))  # keys of different bands differ
+    buckets = spread.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    members = materialize(spread.join(buckets, "key").select("key", "size", "id", "n_shingles", "pivot"), "buckets")
+    pairs = members.where("id <> pivot.id").where(f"100 * least(n_shingles, pivot.n_shingles) >= {percent} * greatest(n_shingles, pivot.n_shingles)")
+    pairs = pairs.select(F.col("pivot.id").alias("u"), F.col("id").alias("v")).distinct()
+
+    wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "rep.doc_id", "rep.text_hash")
+    texts = docs.join(wanted, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+    sets = materialize(texts.select("id", "text").mapInArrow(_elements(words), "id binary, elements array<long>"), "sets")
+    links = materialize(_confirmed(pairs, sets, percent), "links")
+    found = connected_components(links)
+    more = materialize(_missing_links(members, found, sets, percent), "more")
+    if not more.isEmpty():
+        found = connected_components(links.unionByName(more))
+
+    linked = found.join(classes.select("id", F.col("rep.doc_id").alias("doc_id")), "id")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = classes.select("id", "rep.doc_id").join(linked.join(least, "component").select("id", "least"), "id", "left").select(F.col("id").alias("set_hash"), F.coalesce("least", "doc_id").alias("component_id"))
+    out = ["doc_id", "text_hash", "n_shingles", "component_id"]
+    return real.join(named, "set_hash").select(out).unionByName(alone.withColumn("component_id", F.col("doc_id")).select(out))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, rows: int = 4, bands: int = 20) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_shingles, component_id, kept)``, one row for each row.
 
     Links join documents with 100 * |A and B| >= percent * |A or B|. ``component_id`` is the smallest
-    doc_id reachable, ``kept`` marks it. Null and empty texts have no shingles and link with nothing;
+    doc_id reachable, ``kept`` marks it. Null, empty and blank texts have no shingles and link with nothing;
     a null doc_id stays alone (component_id null, kept true). Repeated rows are one class and are all
-    kept if their id is. A doc_id should name one text: where rows of one id differ in text, links of that id
-    may be confirmed on either text. Other columns are ignored, whatever their names.
+    kept if their id is. Rows of one doc_id with different texts are judged each by its own text, and links
+    do not run through a common id. Very long texts are used whole; no rows give no rows. Other columns are
+    ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(docs.mapInArrow(_signatures(words, rows, bands, 0), "doc_id long, n_shingles long, set_hash binary, bands array<long>"), "signed")
-    real = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "classes")
-
-    spread = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    buckets = spread.groupBy("band", "key").agg(F.min(F.struct("rep", "n_shingles")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    members = spread.join(buckets, ["band", "key"]).select("band", "key", "size", "rep", "n_shingles", "pivot")
-    members = materialize(members, "buckets")
-    pairs = members.where("rep <> pivot.rep").select(F.col("pivot.rep").alias("u"), F.col("rep").alias("v"), F.col("pivot.n_shingles").alias("nu"), F.col("n_shingles").alias("nv"))
-    pairs = pairs.where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)").distinct()
-
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "rep long, elements array<long>").groupBy("rep").agg(F.first("elements").alias("elements")), "sets")
-    side = lambda name: sets.select(F.col("rep").alias(name), F.col("elements").alias(f"s{name}"))
-    both = F.size(F.array_intersect("su", "sv"))
-    links = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("both", both)
-    links = materialize(links.where(f"100 * both >= {percent} * (nu + nv - both)").select("u", "v"), "links")
-    found = connected_components(links)
-
-    named = members.where("size > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("band", "key", "size", "rep", F.coalesce("component", "rep").alias("component"))
-    open_buckets = named.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    cut = named.drop("size").join(open_buckets.select("band", "key", "n"), ["band", "key"]).withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.select("band", "key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "component")
-    more = cut.join(sets, "rep").groupBy("band", "key", "lo", "hi").applyInPandas(_search_block(percent), "u long, v long")
-    more = materialize(more.distinct(), "more")
-    if not more.isEmpty():
-        found = connected_components(links.unionByName(more))
-
-    named = classes.select("n_shingles", "set_hash", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "set_hash", F.coalesce("component", "rep").alias("found"))
-    out = signed.drop("bands").join(named, ["n_shingles", "set_hash"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))
+    out = _components(docs, words, percent, rows, bands)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the documents that are not the smallest of their component; columns are unchanged."""
-    gone = near_duplicates(docs, **settings).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 3, bands: int = 24) -> DataFrame:
+    """``docs`` without the rows whose doc_id is not the smallest of their component; columns are unchanged.
+
+    A row is dropped by its own text: another text under the same doc_id stays. Repeated rows stay or go
+    together; null ids stay.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    gone = _components(own, words, percent, rows, bands).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
+    return docs.join(gone, same, "left_anti")
