@@ -1,11 +1,14 @@
 """Deterministic sharded WARC writer and reader.
 
-Pages are range-sorted by id. Each partition writes records as separate gzip members and starts a new
-file as soon as the compressed size passes a limit. Record ids, dates and digests are functions of the
-page, so a second run gives equal bytes. A file is written under a temporary name that is unique to the
-attempt and then renamed to its final name; the rows that the tasks return are the manifest, written as a
-table once all tasks have ended. Readers take only files that a manifest lists, so leftovers of lost
-attempts are never read.
+Pages are sorted by id and cut into shards of about equal size. The cuts come from exact sums over ranges of
+ids, refined where a range is heavy; an id (or the null id) that outweighs a shard is split further by the
+digest of its payload. So shards depend on the pages alone, not on how Spark deals or samples them. A
+shard's records are separate gzip members; a new file starts as soon as the compressed size passes a limit.
+Record ids, dates and digests are functions of the page, so a second run gives equal files and an equal
+manifest. A file is written under a temporary name that is unique to the attempt and then renamed to its final
+name; two attempts of a task make equal bytes. The rows that the tasks return are the manifest, written as a
+table once all tasks have ended. Readers open the files that the manifest lists, and only those, and check
+number of records, size and sha256 of each against it.
 
 Of records with equal payloads of at least ``min_bytes`` bytes, the one with the smallest page id is a
 response and the others are revisits that refer to it.
@@ -19,13 +22,16 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawlake.llm.common import scratch_path
 
 MANIFEST = "file string, records long, bytes long, sha256 string"
+SPLIT = 32
 READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -57,31 +63,34 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def _write(root: str, roll_bytes: int, date: str, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
-        from pyspark import TaskContext
 
         store, base = fs.FileSystem.from_uri(root)
-        task = TaskContext.get()
-        shard, attempt = task.partitionId(), uuid.uuid4().hex
-        made, out, size, count, digest, temporary = [], None, 0, 0, None, ""
-        refers: tuple[int | None, int | None] = (None, None)  # the last referral read; it stands right before its pages
+        attempt = uuid.uuid4().hex
+        made, out, shard, files, size, count, digest, temporary = [], None, None, 0, 0, 0, None, ""
+        refers: tuple = (None, None, None)  # the last referral read; it stands right before its pages
 
         def close() -> None:
-            nonlocal out
-            final = f"shard-{shard:06d}-{len(made):04d}.warc.gz"
+            nonlocal out, files
+            final = f"shard-{shard:06d}-{files:04d}.warc.gz"
             out.close()
             store.move(temporary, f"{base}/{final}")
             made.append((final, count, size, digest.hexdigest()))
-            out = None
+            out, files = None, files + 1
 
         for batch in batches:
-            for page_id, page, url, html, refers_to in zip(*(batch.column(i) for i in range(5))):
+            for where, page_id, sha1, page, url, html, refers_to in zip(*(batch.column(i) for i in range(7))):
+                where, key = where.as_py(), (page_id.as_py(), sha1.as_py())
                 if not page.as_py():
-                    refers = (page_id.as_py(), refers_to.as_py())
+                    refers = (*key, refers_to.as_py())
                     continue
+                if where != shard:
+                    if out is not None:
+                        close()
+                    shard, files = where, 0
                 if out is None:
                     temporary, size, count, digest = f"{base}/.tmp-{attempt}-{len(made)}", 0, 0, hashlib.sha256()
                     out = store.open_output_stream(temporary, compression=None)
-                raw = record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers[1] if refers[0] == page_id.as_py() else None, date)
+                raw = record(key[0], url.as_py(), (html.as_py() or "").encode(), refers[2] if refers[:2] == key else None, date)
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                 member = packer.compress(raw) + packer.flush()
                 out.write(member)
@@ -91,35 +100,105 @@ def _write(root: str, roll_bytes: int, date: str, level: int):
                     close()
         if out is not None:
             close()
-        files = list(zip(*made)) if made else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(files[0], pa.string()), pa.array(files[1], pa.int64()), pa.array(files[2], pa.int64()), pa.array(files[3], pa.string())], ["file", "records", "bytes", "sha256"])
+        columns = list(zip(*made)) if made else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["file", "records", "bytes", "sha256"])
 
     return run
 
 
 def referrals(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """``(page_id, refers_to)`` for the pages whose payload another page with a smaller id has."""
-    known = pages.where("page_id is not null").select("page_id", F.octet_length("html").alias("n"), F.unhex(F.sha1(F.col("html").cast("binary"))).alias("digest")).where(F.col("n") >= min_bytes)
-    first = known.groupBy("digest", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("size")).where("size > 1").drop("size")
-    return known.join(first, ["digest", "n"]).where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    """``(page_id, sha1, refers_to)`` for the payloads of ``pages(page_id, sha1, n)`` that another page with a smaller id has."""
+    known = pages.where("page_id is not null").where(F.col("n") >= min_bytes).select("page_id", "sha1", "n")
+    first = known.groupBy("sha1", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("size")).where("size > 1").drop("size")
+    return known.join(first, ["sha1", "n"]).where("page_id > refers_to").select("page_id", "sha1", "refers_to").distinct()
+
+
+def _range_sums(edges: np.ndarray):
+    """Bytes by range of ids; range i starts at ``edges[i]``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(edges), np.int64)
+        for batch in batches:
+            at = np.searchsorted(edges, batch.column(0).to_numpy(zero_copy_only=False), "right") - 1
+            np.add.at(total, at, batch.column(1).to_numpy(zero_copy_only=False))
+        kept = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(total[kept])], ["range", "n"])
+
+    return run
+
+
+def shard_ranges(sizes: DataFrame, shards: int) -> tuple[list[int], list[int], list[int]]:
+    """(first id, first shard, number of shards) of ranges of ids, so that shards of ``sizes(page_id, n)`` hold about equally many bytes.
+
+    Ranges of more than an eighth of a shard are split ``SPLIT`` ways, again and again, until they are small or
+    hold one id: the driver keeps at most a few hundred numbers a shard. A range has several shards
+    only if it is one id.
+    """
+    ends = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
+    if ends[0] is None:
+        return [0], [0], [1]
+    low, high, target = ends[0], ends[1] + 1, max(1, -(-ends[2] // shards))
+    edges, sums = [low], {low: ends[2]}
+    while True:
+        after = dict(zip(edges, [*edges[1:], high]))
+        heavy = [e for e in edges if sums.get(e, 0) > target // 8 and after[e] - e > 1]
+        if not heavy:
+            break
+        cuts = [e + (after[e] - e) * i // SPLIT for e in heavy for i in range(SPLIT)]
+        edges = sorted({*edges, *cuts})
+        found = sizes.where("page_id is not null").mapInArrow(_range_sums(np.array(edges, np.int64)), "range long, n long").groupBy("range").agg(F.sum("n").alias("n")).collect()
+        sums = {edges[r["range"]]: r["n"] for r in found}
+    starts, first, count, shard, held = [], [], [], 0, 0
+    for e in edges:
+        n = sums.get(e, 0)
+        if held and held + n > target:
+            shard, held = shard + 1, 0
+        many = -(-n // target) if n > target else 1
+        if many > 1 or not first or first[-1] != shard or count[-1] > 1:
+            starts.append(e)
+            first.append(shard)
+            count.append(many)
+        shard, held = (shard + many, 0) if many > 1 else (shard, held + n)
+    return starts, first, count
+
+
+def _sharded(ranges: tuple[list[int], list[int], list[int]], null_shards: int) -> Column:
+    """The shard of a page, by its id and, where one id has several, its payload's digest; null ids come last."""
+    starts, first, count = (np.array(x, np.int64) for x in ranges)
+    last, spread = int((first + count).max()), F.xxhash64("sha1")
+
+    @F.pandas_udf("long")
+    def known(page_id: pd.Series, spread: pd.Series) -> pd.Series:
+        at = np.maximum(np.searchsorted(starts, page_id.to_numpy(), "right") - 1, 0)
+        return pd.Series(first[at] + spread.to_numpy() % count[at])
+
+    known = known(F.coalesce("page_id", F.lit(0).cast("long")), spread)
+    return F.when(F.col("page_id").isNull(), last + F.pmod(spread, F.lit(null_shards).cast("long"))).otherwise(known).cast("long")
 
 
 def write_warc(pages: DataFrame, root: str, min_bytes: int = 0, roll_bytes: int = 32 << 20, shards: int | None = None, date: str = "2024-01-01T00:00:00Z", level: int = 6) -> DataFrame:
     """Write ``pages(page_id, url, html, ...)`` below ``root`` and return the manifest, also written to ``root/manifest``.
 
     Null html is empty; a null page id is written as a response of its own; rows that share a page id are
-    written each. Other columns are ignored.
+    written each, and judged each by its own payload. Very long pages are written whole; no rows give an empty
+    manifest. Other columns are ignored.
     """
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    # referrals travel with the pages through the one sort, each right before its page, so pages are shuffled once
-    rows = pages.select("page_id", F.lit(True).alias("page"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
-    full = rows.unionByName(referrals(pages, min_bytes).withColumn("page", F.lit(False)), allowMissingColumns=True)
+    pages = pages.withColumn("sha1", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    weight = pages.select("page_id", (F.octet_length("html") + 500).cast("long").alias("n"))
     parts = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = shard_ranges(weight, parts)
+    nulls, total = weight.agg(F.sum(F.when(F.col("page_id").isNull(), F.col("n"))), F.sum("n")).first()
+    shard = _sharded(ranges, max(1, -(-(nulls or 0) * parts // max(total or 1, 1))))
+    # referrals travel with the pages through the one sort, each right before its page, so pages are shuffled once
+    rows = pages.select("page_id", "sha1", F.lit(True).alias("page"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    known = referrals(pages.select("page_id", "sha1", F.octet_length("html").alias("n")), min_bytes)
+    full = rows.unionByName(known.withColumn("page", F.lit(False)), allowMissingColumns=True).select(shard.alias("shard"), "*")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(f"{root}/data")
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
-    ordered = full.repartitionByRange(parts, F.col("page_id").asc_nulls_last()).sortWithinPartitions(F.col("page_id").asc_nulls_last(), "page", "url", "html")
+    ordered = full.repartitionByRange(parts, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "sha1", "page", "url", "html")
     ordered.mapInArrow(_write(f"{root}/data", roll_bytes, date, level), MANIFEST).write.parquet(f"{root}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
@@ -141,52 +220,70 @@ def parse_member(raw: bytes) -> tuple:
     return page, head.get("WARC-Target-URI"), payload, size, digest, head["WARC-Type"], int(refers_to) if refers_to else None
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, unpacked; fed in small slices, as the unpacker copies whatever follows a member."""
-    view, at, step = memoryview(data), 0, 1 << 14
-    while at < len(view):
+def members(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The gzip members of a file, unpacked; the file comes in small pieces, as the unpacker copies whatever follows a member."""
+    left = b""
+    pieces = iter(pieces)
+    while left := left or next(pieces, b""):
         one, parts = zlib.decompressobj(31), []
         while not one.eof:
-            if at >= len(view):
+            if not left:
                 raise ValueError("a member is cut off")
-            parts.append(one.decompress(view[at : at + step]))
-            at = min(at + step, len(view)) - len(one.unused_data)
+            parts.append(one.decompress(left))
+            left = one.unused_data or (b"" if one.eof else next(pieces, b""))
         yield b"".join(parts)
 
 
-def _read(with_payload: bool):
+def _read(root: str, with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
         types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
         for batch in batches:
-            for content in batch.column(0):
+            for listed in batch.to_pylist():
+                digest, size, count = hashlib.sha256(), 0, 0
+
+                def pieces(name: str) -> Iterator[bytes]:
+                    nonlocal size
+                    with store.open_input_stream(f"{base}/{name}", compression=None) as f:
+                        while piece := f.read(1 << 14):
+                            digest.update(piece)
+                            size += len(piece)
+                            yield piece
+
                 rows, held = [], 0
-                for raw in members(content.as_py()):
+                for raw in members(pieces(listed["file"])):
                     row = parse_member(raw)
-                    held += row[3]
+                    held, count = held + row[3], count + 1
                     rows.append(row if with_payload else (*row[:2], None, *row[3:]))
                     if len(rows) >= 2000 or with_payload and held > 16 << 20:
                         yield batch_of(rows)
                         rows, held = [], 0
                 if rows:
                     yield batch_of(rows)
+                if (count, size, digest.hexdigest()) != (listed["records"], listed["bytes"], listed["sha256"]):
+                    raise ValueError(f"{listed['file']} is not what the manifest says")
 
     return run
 
 
 def read_warc(spark: SparkSession, root: str, with_payload: bool = False) -> DataFrame:
-    """The records of all files that the manifest below ``root`` lists."""
+    """The records of all files that the manifest below ``root`` lists; a missing or changed file is an error."""
     listed = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(f"{root}/data")
-    files = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(listed.select("file"), "file", "left_semi")
-    return files.select("content").mapInArrow(_read(with_payload), READ)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(parts, "file").mapInArrow(_read(f"{root}/data", with_payload), READ)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write the pages to the shared folder, read the archives back and return what they hold for each page."""
+    """Write the pages to the shared folder, read the archives back and return what they hold for each page.
+
+    Nulls, repeated rows and ids, very long pages and empty tables are as ``write_warc`` says.
+    """
     root = scratch_path(pages.sparkSession, "warc")
     write_warc(pages, root, min_bytes)
     return read_warc(pages.sparkSession, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
