@@ -69,6 +69,34 @@ def test_near_duplicates_chain_in_hot_bucket(spark):
     assert {r.doc_id: r.component_id for r in got} == components(sets, 85)
 
 
+@pytest.mark.parametrize("block", [1_000_000, 700])
+def test_near_duplicates_of_one_family(spark, monkeypatch, block):
+    """Versions of one text, each with changes of its own, lie around the threshold; blocks of any size find all links."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    base, rows = words(90, 6).split(), []
+    for i in range(60):
+        text = list(base)
+        for at in rng.choice(90, rng.integers(1, 5), replace=False):
+            text[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(text), "en", "s", 1))
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(88)} for i, t, *_ in rows}
+    want = components(sets, 85)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and 1 < len(set(want.values())) < 60
+
+
+def test_near_duplicates_of_one_id(spark):
+    """Rows of one id are judged each by their own text, and do not tie other texts together."""
+    a, b = words(50, 1), words(50, 2)
+    rows = [(5, a), (5, b), (3, a), (7, b + " more"), (7, b + " more"), (9, words(50, 3))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == {(5, 3, False): 1, (5, 5, True): 1, (3, 3, True): 1, (7, 5, False): 2, (9, 9, True): 1}
+    left = [(r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs, words=3, percent=85).collect()]
+    assert sorted(left) == sorted([(5, b), (3, a), rows[5]])
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 62, 400).astype(np.uint64)
@@ -163,6 +191,30 @@ def test_langid_held_out(spark, sf_dir):
     assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.95
 
 
+def test_langid_is_sparse_and_calibrated(spark, sf_dir):
+    """The temperature lies inside its limits, lowers the loss on held-out rows, and most weights are zero."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    assert 0.05 < model.temperature < 20 and (model.weights == 0).mean() > 0.5
+    rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    right = np.array([r.lang_pred == r.lang for r in rows])
+    score = np.clip(np.array([r.score for r in rows]), 1e-9, 1 - 1e-9)
+    assert abs(score.mean() - right.mean()) < 0.05
+    assert -np.mean(np.where(right, np.log(score), np.log(1 - score))) < 0.1
+
+
+def test_calibration_finds_the_least_loss():
+    rng = np.random.default_rng(0)
+    logits = rng.normal(size=(4000, 3)) * 2
+    p = np.exp(logits)
+    labels = np.array([rng.choice(3, p=x / x.sum()) for x in p])
+    assert langid.calibrate(logits * 5, labels) == pytest.approx(5, rel=0.1)
+    sure = np.eye(3)[np.arange(60) % 3] * 9
+    assert 0.1 < langid.calibrate(sure, np.arange(60) % 3) < 10
+    targets = np.eye(3)[labels]
+    assert langid.log_loss(logits * 5, targets, 5.0) < langid.log_loss(logits * 5, targets, 1.0)
+
+
 def test_langid_odd_rows(spark, odd):
     got = {r.doc_id: r.lang_pred for r in langid.identify(odd).collect()}
     assert got[1] == got[2] == got[8] == "und" and got[3] in ("en", "fr")  # these random letters carry no language
@@ -362,9 +414,51 @@ def test_warc_members():
 
     raw = [b"a", b"", np.random.default_rng(0).bytes(70_000), b"bc" * 40_000]
     data = b"".join(gzip.compress(x) for x in raw)
-    assert list(warc.members(data)) == raw and list(warc.members(b"")) == []
+    for step in (7, 1 << 14, len(data)):
+        assert list(warc.members(data[i : i + step] for i in range(0, len(data), step))) == raw
+    assert list(warc.members([])) == []
     with pytest.raises(ValueError):
-        list(warc.members(data[:-3]))
+        list(warc.members([data[:-3]]))
+
+
+def test_warc_is_deterministic(spark, tmp_path):
+    """However the pages are dealt, files and manifest are equal; a file that was changed or lost is an error."""
+    rows = [(i * i, f"http://{i}", "<p>" + words(1 + i % 50, i % 300) + "</p>") for i in range(900)] + [(None, "n", words(9, i)) for i in range(300)]
+    manifests = []
+    for n, parts in enumerate((3, 17)):
+        pages = spark.createDataFrame(rows[:: 1 - 2 * n], "page_id long, url string, html string").repartition(parts)
+        manifests.append(warc.write_warc(pages, f"file://{tmp_path}/{n}", roll_bytes=9000, shards=5).collect())
+    assert len(manifests[0]) > 8 and sorted(map(tuple, manifests[0])) == sorted(map(tuple, manifests[1]))
+    assert all(m.file in {p.name for p in (tmp_path / "0/data").iterdir()} for m in manifests[1])
+    assert warc.read_warc(spark, f"file://{tmp_path}/0").count() == 1200
+    one = tmp_path / "0/data" / manifests[0][0].file
+    one.write_bytes((tmp_path / "0/data" / manifests[0][1].file).read_bytes())
+    with pytest.raises(Exception, match="manifest says"):
+        warc.read_warc(spark, f"file://{tmp_path}/0").collect()
+    (tmp_path / "1/data" / manifests[0][0].file).unlink()
+    with pytest.raises(Exception):
+        warc.read_warc(spark, f"file://{tmp_path}/1").collect()
+
+
+def test_warc_odd_rows(spark, tmp_path):
+    """Rows of one page id are judged by their own payload; repeated rows, very long pages and hot ids are whole."""
+    long = words(60_000, 3)
+    rows = [(3, "a", "same"), (7, "b", "same"), (7, "c", "own"), (7, "b", "same"), (9, "d", long), (2, "e", long)] + [(5, "hot", words(30, i)) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive(pages).collect())
+    assert got[7, 4, "revisit", 3] == 2 and got[7, 3, "response", None] == 1 and got[9, len(long), "revisit", 2] == 1
+    assert sum(n for (p, *_), n in got.items() if p == 5) == 200
+
+
+def test_shard_ranges(spark):
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([rng.integers(0, 1 << 40, 800), np.full(400, 77), np.arange(10**12, 10**12 + 300)])
+    sizes = spark.createDataFrame([(int(i), 10) for i in ids], "page_id long, n long")
+    starts, first, count = warc.shard_ranges(sizes, 10)
+    assert starts == sorted(starts) and first == sorted(first) and count[starts.index(77)] == 3
+    where = np.searchsorted(starts, ids, "right") - 1
+    assert max(np.bincount(where)[i] / count[i] for i in range(len(starts))) <= 150
+    assert warc.shard_ranges(sizes.limit(0), 4) == ([0], [0], [1])
 
 
 def test_packing(spark, odd, sf_dir):
