@@ -10,57 +10,124 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawlake.functions.numeric import log_sum_exp_by, product, stratified_normal
+from drawlake.functions.numeric import lgamma, log_sum_exp_by, product, stratified_normal
+from drawlake.operators.pairing import paired
 
 MOST_TRAIN = 3000
+#: Most training cases whose inputs are sent to all tasks by ``leading_spectrum``.
+MOST_SPECTRUM = 200_000
+
+
+@dataclass
+class Part:
+    """exp(2 scale - sum of abs(rel * d)^power), or of log(1 + (rel d)^2) for power -1.
+
+    ``omit`` names inputs left out, ``delta`` inputs whose d is 0 if equal and 1 if not, and ``times`` inputs by whose
+    products the part is multiplied (numbers of inputs, from 0).
+    """
+
+    scale: float
+    rel: list[float]
+    power: float = 2.0
+    omit: frozenset[int] = frozenset()
+    delta: frozenset[int] = frozenset()
+    times: frozenset[int] = frozenset()
 
 
 @dataclass
 class Spec:
-    """Constant, linear scales (squared when used) and parts (scale, relevances, power); scales are logs, relevances plain."""
+    """Constant, linear scales (squared when used) and parts; scales of parts are logs, relevances plain.
+
+    ``omit`` names inputs that the linear part leaves out; with ``spread`` k, an input in ``spreads`` also takes the
+    squared scales of the k inputs on both sides.
+    """
 
     constant: float = 0.0
     linear: list[float] = field(default_factory=list)
-    parts: list[tuple[float, list[float], float]] = field(default_factory=list)
+    parts: list = field(default_factory=list)
     noise: float = 0.1
     jitter: float = 0.0
+    omit: frozenset[int] = frozenset()
+    spread: int = 0
+    spreads: frozenset[int] = frozenset()
+
+    def __post_init__(self) -> None:
+        self.parts = [p if isinstance(p, Part) else Part(*p) for p in self.parts]
+
+    def slopes(self) -> list[float]:
+        """Variance of each input's coefficient in the linear part."""
+        used = [i for i in range(len(self.linear)) if i not in self.omit]
+        near = lambda i: [j for j in used if j == i or i in self.spreads and abs(i - j) <= self.spread]
+        return [sum(self.linear[j] ** 2 for j in near(i)) if i in used else 0.0 for i in range(len(self.linear))]
 
     def matrix(self, a: np.ndarray, b: np.ndarray, keep: set[str] | None = None) -> np.ndarray:
         out = np.zeros((len(a), len(b)))
         if self.constant and (keep is None or "constant" in keep):
             out += self.constant**2
         if self.linear and (keep is None or "linear" in keep):
-            out += product(a * np.square(self.linear), b.T)
-        for i, (scale, rel, power) in enumerate(self.parts):
-            if keep is None or str(i) in keep:
-                d = np.abs(a[:, None, :] - b[None, :, :]) * rel
-                out += np.exp(2 * scale - (np.log1p(d * d) if power == -1 else d**power).sum(-1))
+            out += product(a * self.slopes(), b.T)
+        for k, p in enumerate(self.parts):
+            if keep is None or str(k) in keep:
+                total, factor = np.zeros((len(a), len(b))), 1.0
+                for i, r in enumerate(p.rel):
+                    x, y = a[:, i, None], b[None, :, i]
+                    if i not in p.omit:
+                        d = np.abs(r * ((x != y) if i in p.delta else (x - y)))
+                        total += np.log1p(d * d) if p.power == -1 else d**p.power
+                    if i in p.times:
+                        factor = factor * x * y
+                out += np.exp(2 * p.scale - total) * factor
+        return out
+
+    def diagonal(self, a: np.ndarray) -> np.ndarray:
+        """Covariance of each point with itself."""
+        out = np.full(len(a), float(self.constant**2))
+        if self.linear:
+            out += (a * a * self.slopes()).sum(1)
+        for p in self.parts:
+            out += np.exp(2 * p.scale) * np.prod([a[:, i] ** 2 for i in p.times], axis=0)
         return out
 
-    def column(self, a: list[Column], b: list[Column]) -> Column:
-        out = F.lit(self.constant**2)
-        for s, x, y in zip(self.linear, a, b):
-            out = out + s * s * x * y
-        for scale, rel, power in self.parts:
-            total = F.lit(0.0)
-            for r, x, y in zip(rel, a, b):
-                d = r * F.abs(x - y)
-                total = total + (F.log1p(d * d) if power == -1 else d if power == 1 else d * d if power == 2 else F.pow(d, F.lit(float(power))))
-            out = out + F.exp(2 * scale - total)
+    def column(self, a: list[Column], b: list[Column], keep: set[str] | None = None) -> Column:
+        out = F.lit(float(self.constant**2) if keep is None or "constant" in keep else 0.0)
+        if keep is None or "linear" in keep:
+            for s, x, y in zip(self.slopes(), a, b):
+                out = out + s * x * y if s else out
+        for k, p in enumerate(self.parts):
+            if keep is not None and str(k) not in keep:
+                continue
+            total, factor = F.lit(0.0), None
+            for i, (r, x, y) in enumerate(zip(p.rel, a, b)):
+                if i not in p.omit:
+                    d = F.abs(r * ((x != y).cast("double") if i in p.delta else x - y))
+                    total = total + (F.log1p(d * d) if p.power == -1 else d if p.power == 1 else d * d if p.power == 2 else F.pow(d, F.lit(float(p.power))))
+                if i in p.times:
+                    factor = x * y if factor is None else factor * x * y
+            part = F.exp(2 * p.scale - total)
+            out = out + (part if factor is None else part * factor)
         return out
 
 
-def covariance(a: DataFrame, b: DataFrame, inputs: list[str], spec: Spec) -> DataFrame:
-    """``(i, j, c)`` for all pairs of a(i, inputs) and b(j, inputs)."""
+def covariance(a: DataFrame, b: DataFrame, inputs: list[str], spec: Spec, keep: set[str] | None = None) -> DataFrame:
+    """``(i, j, c)`` for all pairs of a(i, inputs) and b(j, inputs), of all parts or those named in ``keep`` (constant, linear, 0, 1, ...)."""
     left = a.select("i", *[F.col(x).alias(f"a_{x}") for x in inputs])
     right = b.select("j", *[F.col(x).alias(f"b_{x}") for x in inputs])
-    return left.crossJoin(right).select("i", "j", spec.column([F.col(f"a_{x}") for x in inputs], [F.col(f"b_{x}") for x in inputs]).alias("c"))
+    return paired(left, right).select("i", "j", spec.column([F.col(f"a_{x}") for x in inputs], [F.col(f"b_{x}") for x in inputs], keep).alias("c"))
+
 
+def train_covariance(train: DataFrame, inputs: list[str], spec: Spec, lags: dict[int, float] | None = None, noise: DataFrame | None = None) -> DataFrame:
+    """Covariance of targets: jitter and noise on the diagonal, noise correlations at lags of i.
 
-def train_covariance(train: DataFrame, inputs: list[str], spec: Spec, lags: dict[int, float] | None = None) -> DataFrame:
-    """Covariance of targets: jitter and noise on the diagonal, noise correlations at lags of i."""
+    ``noise(i, variance)`` gives each case a noise variance of its own, instead of the common one and its lags.
+    """
     pairs = covariance(train, train.withColumnRenamed("i", "j"), inputs, spec)
-    extra = F.when(F.col("i") == F.col("j"), spec.jitter**2 + spec.noise**2)
+    same = F.col("i") == F.col("j")
+    if noise is not None:
+        if lags:
+            raise ValueError("noise by case has no correlations")
+        own = noise.select("i", F.col("variance").alias("_n"))
+        return pairs.join(own, "i").withColumn("c", F.col("c") + F.when(same, spec.jitter**2 + F.col("_n")).otherwise(0.0)).drop("_n")
+    extra = F.when(same, spec.jitter**2 + spec.noise**2)
     for lag, rho in (lags or {}).items():
         extra = extra.when(F.abs(F.col("i") - F.col("j")) == lag, rho * spec.noise**2)
     return pairs.withColumn("c", F.col("c") + extra.otherwise(0.0))
@@ -98,8 +165,7 @@ def gp_predict(x: np.ndarray, t: np.ndarray, test: DataFrame, key: str, inputs:
             z = batch[inputs].to_numpy(np.float64)
             for idx, spec, inverse, solved in factors:
                 k = product(spec.matrix(z, x), inverse.T)
-                own = np.array([spec.matrix(r[None], r[None])[0, 0] for r in z]) if spec.linear else np.full(len(z), spec.matrix(z[:1], z[:1])[0, 0]) if len(z) else np.zeros(0)
-                yield pd.DataFrame({key: batch[key].to_numpy(), "idx": idx, "mean": product(k, solved[:, None])[:, 0], "variance": np.maximum(own + spec.jitter**2 - (k * k).sum(1), 1e-30)})
+                yield pd.DataFrame({key: batch[key].to_numpy(), "idx": idx, "mean": product(k, solved[:, None])[:, 0], "variance": np.maximum(spec.diagonal(z) + spec.jitter**2 - (k * k).sum(1), 1e-30)})
 
     return test.select(key, *inputs).mapInPandas(run, f"{key} long, idx long, mean double, variance double")
 
@@ -110,9 +176,86 @@ def latent_average(mean: Column, variance: Column, function, points: int = 100)
     return F.aggregate(F.transform(z, lambda q: function(mean + F.sqrt(variance) * q)), F.lit(0.0), lambda s, v: s + v) / points
 
 
-def covariance_spectrum(x: np.ndarray, spec: Spec) -> np.ndarray:
-    """Eigenvalues of the training covariance of one draw, largest first."""
-    return np.linalg.eigvalsh(spec.matrix(x, x) + (spec.noise**2 + spec.jitter**2) * np.eye(len(x)))[::-1]
+def gaussian_log_prob(t: Column, mean: Column, variance: Column, noise: float) -> Column:
+    """Log density of a real target; a missing one counts 0."""
+    v = variance + noise**2
+    return F.when(t.isNull(), 0.0).otherwise(-((t - mean) ** 2) / (2 * v) - 0.5 * F.log(2 * np.pi * v))
+
+
+def binary_probability(mean: Column, variance: Column, points: int = 100) -> Column:
+    """Probability of 1 under a logistic link."""
+    return latent_average(mean, variance, lambda z: 1 / (1 + F.exp(-z)), points)
+
+
+def count_prediction(t: Column, mean: Column, variance: Column, points: int = 100) -> dict[str, Column]:
+    """Mean count, and log probability of the count t, where the log rate is the latent value."""
+    factor = lgamma(t + 1)
+    return {"mean": latent_average(mean, variance, F.exp, points), "log_prob": F.log(latent_average(mean, variance, lambda z: F.exp(t * z - F.exp(z)), points)) - factor}
+
+
+def class_probabilities(means: list[Column], variances: list[Column], points: int = 101) -> Column:
+    """Array of class probabilities under a softmax link of independent latent values.
+
+    The values take the same ``points`` normal quantiles (a prime number), each class in an order of its own.
+    """
+    z = stratified_normal(points)
+    orders = [[(k * (2 * j + 1) + j) % points for k in range(points)] for j in range(len(means))]
+    steps = [F.array(*[F.lit(z[k]) for k in order]) for order in orders]
+
+    def at(k: Column) -> Column:
+        each = F.array(*[F.exp(m + F.sqrt(v) * F.element_at(s, k)) for m, v, s in zip(means, variances, steps)])
+        total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+        return F.transform(each, lambda x: x / total)
+
+    zero = F.array(*[F.lit(0.0) for _ in means])
+    rows = F.transform(F.sequence(F.lit(1), F.lit(points)), at)
+    return F.transform(F.aggregate(rows, zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q)), lambda p: p / points)
+
+
+def leading_spectrum(train: DataFrame, inputs: list[str], order: str, spec: Spec, count: int, spare: int = 8, rounds: int = 12) -> DataFrame:
+    """``(rank, eigenvalue, vector)``: the largest eigenvalues of the training covariance of one draw, with unit vectors.
+
+    Block iteration: in each round tasks multiply their rows of the covariance, which is never formed as a whole,
+    by a block of vectors; the vectors are then made orthogonal. Inputs and the block (a few numbers for each
+    case, at most ``MOST_SPECTRUM`` cases) are sent to all tasks. Elements of a vector stand in the order of
+    ``order``; signs are such that a vector's sum is not negative.
+    """
+    spark = train.sparkSession
+    if train.limit(MOST_SPECTRUM + 1).count() > MOST_SPECTRUM:
+        raise ValueError(f"a spectrum is for up to {MOST_SPECTRUM} training cases")
+    x = train.select(*[F.col(c).cast("double") for c in inputs], order).orderBy(order).toArrow()
+    x = np.stack([x.column(c).to_numpy() for c in inputs], axis=1).reshape(-1, len(inputs))
+    n = len(x)
+    width = min(n, count + spare)
+    points = spark.sparkContext.broadcast(x)
+
+    def multiply(v: np.ndarray) -> np.ndarray:
+        block = spark.sparkContext.broadcast(v)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            all_x, v = points.value, block.value
+            for batch in batches:
+                for rows in np.array_split(batch["id"].to_numpy(), max(1, len(batch) * len(all_x) // 4_000_000)):
+                    out = product(spec.matrix(all_x[rows], all_x), v) + (spec.noise**2 + spec.jitter**2) * v[rows]
+                    yield pd.DataFrame({"i": rows, "v": list(out)})
+
+        found = spark.range(n).mapInPandas(run, "i long, v array<double>").toArrow()
+        out = np.zeros_like(v)
+        out[found.column("i").to_numpy()] = np.stack(found.column("v").to_pylist())
+        block.unpersist()
+        return out
+
+    if not n:
+        return spark.createDataFrame([], "rank int, eigenvalue double, vector array<double>")
+    v = np.linalg.qr(np.random.default_rng(1).normal(size=(n, width)))[0]
+    for _ in range(rounds):
+        v = np.linalg.qr(multiply(v))[0]
+    small = product(v.T, multiply(v))
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    v = product(v, turn[:, ::-1])
+    v *= np.where(v.sum(0) < 0, -1.0, 1.0)
+    rows = [(k, float(values[::-1][k]), v[:, k].tolist()) for k in range(min(count, width))]
+    return spark.createDataFrame(rows, "rank int, eigenvalue double, vector array<double>")
 
 
 def relevance(linear: Column, log_scale: Column, rel: Column, power: float) -> Column:
@@ -125,5 +268,5 @@ def kernel_density(train: DataFrame, test: DataFrame, key: str, columns: list[st
     a = train.select(*[F.col(c).alias(f"a_{c}") for c in columns])
     d = sum(((F.col(c) - F.col(f"a_{c}")) ** 2 for c in columns), F.lit(0.0))
     log_k = -d / (2 * width * width) - len(columns) * (0.5 * np.log(2 * np.pi) + np.log(width))
-    out = log_sum_exp_by(test.select(key, *columns).crossJoin(a), [key], log_k, "_l", _n=F.lit(1))
+    out = log_sum_exp_by(paired(test.select(key, *columns), a), [key], log_k, "_l", _n=F.lit(1))
     return out.select(key, (F.col("_l") - F.log("_n")).alias("log_density"))

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from drawlake.sources.tables import numbered
+
 
 def parse_transform(text: str) -> tuple[bool, float | str, float | str]:
     """``L+T xS`` as (take log, shift, scale); ``I`` is the identity, ``@`` stands for a value from training data."""
@@ -103,5 +105,15 @@ def grid_n(spark: SparkSession, dims: list[tuple[float, float, int]]) -> DataFra
     return out
 
 
+def case_indicators(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
+    """``(key, split, hot)``: a 0/1 vector for each case, with a place for each training case (in order of ``key``)
+    and one more that all test cases share."""
+    own = numbered(train.select(key).orderBy(key), "_place").withColumn("split", F.lit("train"))
+    rows = own.unionByName(test.select(key, F.lit(None).cast("long").alias("_place"), F.lit("test").alias("split")))
+    n = train.agg(F.count("*").alias("_n"))
+    rows = rows.crossJoin(F.broadcast(n)).withColumn("_place", F.coalesce(F.col("_place") - 1, F.col("_n")))
+    return rows.select(key, "split", F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n")), lambda i: (i == F.col("_place")).cast("int")).alias("hot"))
+
+
 def one_hot(column: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == column).cast("int"))

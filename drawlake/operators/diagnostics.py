@@ -24,28 +24,46 @@ def parse_quantities(text: str) -> list[tuple[str, int, int | None]]:
 
 
 def quantity_table(q: DataFrame, text: str) -> DataFrame:
-    """One row per draw, a column for each quantity asked for in order (``w3@2`` style names)."""
+    """One row per draw, a column for each quantity asked for in order (``w3@2`` style names); one that no draw has is an error."""
     names, wanted = [], []
     for name, low, high in parse_quantities(text):
         for p in [None] if high is None else range(low, high + 1):
             names.append(name if p is None else f"{name}@{p}")
             wanted.append((name, p))
     column = F.when(F.col("pos").isNull(), F.col("quantity")).otherwise(F.concat("quantity", F.lit("@"), "pos"))
+    has = q.agg(*[F.max((F.col("quantity") == n) & (F.col("pos").isNull() if p is None else F.col("pos") == p)).alias(f"h{i}") for i, (n, p) in enumerate(wanted)]).first()
+    unknown = [name for i, name in enumerate(names) if not has[f"h{i}"]]
+    if unknown:
+        raise ValueError(f"unknown quantities {', '.join(unknown)}")
     rows = q.where(F.col("quantity").isin(*{n for n, _ in wanted})).withColumn("_c", column)
     return rows.groupBy("log_id", "idx").pivot("_c", names).agg(F.first("value"))
 
 
 def quantity_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Values of y against x by draw and position; a side with one value per draw serves all positions."""
-    a = x.select("log_id", "idx", F.col("pos").alias("px"), F.col("value").alias("x"))
-    b = y.select("log_id", "idx", F.col("pos").alias("py"), F.col("value").alias("y"))
-    return a.join(b, ["log_id", "idx"]).where(F.col("px").isNull() | F.col("py").isNull() | (F.col("px") == F.col("py")))
+    """Values of y against x by draw, in order of position; one value of a side serves all of the other.
+
+    Other numbers of values that differ are an error.
+    """
+    draw = ["log_id", "idx"]
+    sides = []
+    for df, p, name in ((x, "px", "x"), (y, "py", "y")):
+        w = Window.partitionBy(*draw)
+        sides.append(df.select(*draw, F.col("pos").alias(p), F.col("value").alias(name)).withColumn(f"_r{name}", F.row_number().over(w.orderBy(p))).withColumn(f"_n{name}", F.count("*").over(w)))
+    fits = (F.col("_nx") == F.col("_ny")) | (F.col("_nx") == 1) | (F.col("_ny") == 1)
+    both = sides[0].join(sides[1], draw).where(~fits | (F.col("_nx") == 1) | (F.col("_ny") == 1) | (F.col("_rx") == F.col("_ry")))
+    checked = F.when(fits, F.col("idx")).otherwise(F.raise_error(F.lit("numbers of values differ")).cast("long"))
+    return both.withColumn("idx", checked).drop("_rx", "_ry", "_nx", "_ny")
 
 
 def index_quantities(n: int, index: Column) -> dict[str, Column]:
     return {"t": index, f"t{n}": 1 + (index - 1) % n}
 
 
+def position_quantities(n: int, pos: Column) -> dict[str, Column]:
+    """Array positions, and their remainders."""
+    return {"#": pos, f"#{n}": pos % n}
+
+
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
     """Count and share by equal bin of [low, high); shares are of all values, empty bins are shown."""
     b = F.floor(bins * (value - low) / (high - low))
@@ -86,12 +104,22 @@ def series_moments(series: DataFrame, presumed: float | None = None) -> DataFram
 
 def se_from_submeans(series: DataFrame, presumed: float | None = None) -> DataFrame:
     """Standard error from the realizations' means, if there are several of equal length."""
-    per = series.groupBy("realization").agg(F.count("value").alias("n"), F.avg("value").alias("m"))
+    per = _submeans(series)
     r = F.count("*")
     about = F.var_pop("m") if presumed is None else F.avg((F.col("m") - presumed) ** 2)
     return per.agg(r.alias("realizations"), F.when((r > 1) & (F.min("n") == F.max("n")), F.sqrt(about / (r - 1))).alias("se"))
 
 
+def _submeans(series: DataFrame) -> DataFrame:
+    return series.groupBy("realization").agg(F.count("value").alias("n"), F.avg("value").alias("m"))
+
+
+def se_by_length(series: DataFrame) -> DataFrame:
+    """``(n, realizations, se)``: the same for each length of realization; null where only one has it."""
+    r = F.count("*")
+    return _submeans(series).groupBy("n").agg(r.alias("realizations"), F.when(r > 1, F.sqrt(F.var_pop("m") / (r - 1))).alias("se"))
+
+
 def _chunked(series: DataFrame, max_lag: int, chunk: int = 100_000) -> DataFrame:
     """Rows with their chunk; the first ``max_lag`` rows after a chunk are repeated at its end (``own`` false)."""
     here = F.floor((F.col("t") - 1) / chunk)
@@ -160,7 +188,7 @@ def weight_stats(df: DataFrame, log_weight: Column, by: list[str] | None = None)
     by = by or []
     rows = df.select(*by, log_weight.alias("lw"))
     top = rows.groupBy(*by).agg(F.max("lw").alias("top"))
-    joined = rows.join(F.broadcast(top), by) if by else rows.crossJoin(F.broadcast(top))
+    joined = rows.join(top, by) if by else rows.crossJoin(F.broadcast(top))
     w = F.exp(F.col("lw") - F.col("top"))
     s = joined.groupBy(*by).agg(F.first("top").alias("top"), F.count("*").alias("n"), F.avg(w).alias("m"), F.var_samp(w).alias("v"), F.var_samp("lw").alias("log_variance"))
     v = F.coalesce(F.col("v") / F.col("m") ** 2, F.lit(0.0))

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawlake.sources.tables import numbered
+
 
 def parse_range(text: str) -> tuple[int, int | None, int, int | None]:
     """``low:high%mod`` or ``low:high+num`` as (low, high, mod, num); low is 1 if left out, a single number stands alone."""
@@ -79,18 +81,37 @@ def require_complete(df: DataFrame, *needed: DataFrame) -> DataFrame:
     return df
 
 
-def append_draws(target: DataFrame, source: DataFrame) -> DataFrame:
-    """``target`` with the source draws after its last index, numbered on in their order."""
+def incomplete_counts(df: DataFrame, *needed: DataFrame) -> DataFrame:
+    """``(log_id, kept, dropped)``: how many draws ``require_complete`` keeps and drops, by log."""
+    full = require_complete(df.select("log_id", "idx").distinct(), *needed).withColumn("_has", F.lit(1))
+    both = df.select("log_id", "idx").distinct().join(full, ["log_id", "idx"], "left")
+    return both.groupBy("log_id").agg(F.count("_has").alias("kept"), (F.count("*") - F.count("_has")).alias("dropped"))
+
+
+def _order(indexes: DataFrame) -> DataFrame:
+    """``(idx, new)``: distinct indexes numbered from 1, by a range sort and partition sizes."""
+    return numbered(indexes.select("idx").distinct().orderBy("idx"), "new")
+
+
+def append_draws(target: DataFrame, source: DataFrame, chosen: str | None = None, at_last: bool = False) -> DataFrame:
+    """``target`` with the source draws in the range ``chosen`` after its last index, numbered on in their order.
+
+    With ``at_last`` numbering starts at the last index itself, which so gets further records.
+    """
+    source = source if chosen is None else select_range(source, chosen)
     last = target.agg(F.coalesce(F.max("idx"), F.lit(0)).alias("last"))
-    numbers = source.select("idx").distinct().withColumn("new", F.row_number().over(Window.orderBy("idx")))
-    moved = source.join(numbers, "idx").crossJoin(F.broadcast(last)).withColumn("idx", F.col("last") + F.col("new")).select(*target.columns)
+    moved = source.join(_order(source), "idx").crossJoin(F.broadcast(last))
+    moved = moved.withColumn("idx", F.col("last") + F.col("new") - (1 if at_last else 0)).select(*target.columns)
     return target.unionByName(moved)
 
 
-def copy_draws(source: DataFrame, low: int, step: int, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """Renumber draws low, low + step, ...; records of ignored types go, those at negative index stay as they are."""
+def copy_draws(source: DataFrame, low: int, step: int, ignore: tuple[str, ...] = (), chosen: str | None = None) -> DataFrame:
+    """Draws in the range ``chosen``, renumbered low, low + step, ...; records of ignored types go, those at negative
+    index stay as they are."""
     kept = source.where(~F.col("type").isin(*ignore)) if ignore else source
-    numbers = kept.where("idx >= 0").select("idx").distinct().withColumn("new", low + step * (F.row_number().over(Window.orderBy("idx")) - 1))
+    if chosen is not None:
+        kept = kept.where("idx < 0").unionByName(select_range(kept.where("idx >= 0"), chosen))
+    numbers = _order(kept.where("idx >= 0")).withColumn("new", low + step * (F.col("new") - 1))
     return kept.join(numbers, "idx", "left").withColumn("idx", F.coalesce(F.col("new").cast("long"), F.col("idx"))).select(*source.columns)
 
 
@@ -109,13 +130,37 @@ def differing_records(a: DataFrame, b: DataFrame, ignore: tuple[str, ...] = ())
     return both.where(F.col("l").isNull() | F.col("r").isNull() | ~F.col("p").eqNullSafe(F.col("q"))).select("type")
 
 
-def run_quantities(cols: dict[str, Column]) -> dict[str, Column]:
-    """Rejection rate, evaluations per call, weight, clipped log weight and minutes from iteration records."""
-    c = cols
-    return {
-        "rejection_rate": F.when(c["proposals"] > 0, c["rejects"] / c["proposals"]),
-        "evals_per_call": F.when(c["slice_calls"] > 0, c["slice_evals"] / c["slice_calls"]),
-        "weight": F.exp(c["log_weight"]),
-        "clipped": F.least(F.greatest(c["log_weight"], F.lit(-100.0)), F.lit(100.0)),
-        "minutes": c["time_ms"] / 60000.0,
-    }
+def run_quantity(letter: str, columns: dict[str, Column], n: int | None = None) -> Column:
+    """One quantity of iteration records by its letter and modifier.
+
+    r: share of proposals rejected; e: slice evaluations per call; k: minutes of cpu time. Q: weight, Q0: log weight,
+    Qn: log weight, at least -n. D: delta, at most n (1000 if left out). C0: proposals accepted in a row;
+    C1: rejected in a row, Cn: the same passed through n^2 c (1 - exp(-0.6 c - c^2)) with c its n-th part.
+    """
+    c = columns
+    if letter == "r":
+        return F.when(c["proposals"] > 0, c["rejects"] / c["proposals"])
+    if letter == "e":
+        return F.when(c["slice_calls"] > 0, c["slice_evals"] / c["slice_calls"])
+    if letter == "k":
+        return c["time_ms"] / 60000.0
+    if letter == "Q":
+        w = c["log_weight"]
+        return F.exp(w) if n is None else w if n == 0 else F.greatest(w, F.lit(-float(n)))
+    if letter == "D":
+        return F.least(c["delta"], F.lit(1000.0 if n is None else float(n)))
+    if letter == "C":
+        run = c["consecutive_accepts"]
+        if n == 0:
+            return F.greatest(run, F.lit(0)).cast("double")
+        back = F.greatest(-run, F.lit(0)).cast("double")
+        part = back / (n or 1)
+        return n * n * part * (1 - F.exp(-0.6 * part - part * part)) if n and n > 1 else back
+    raise ValueError(f"no quantity {letter}")
+
+
+def temperature_quantities(df: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Add ``temp_index`` (place in the schedule, null if it has no such temperature) and ``upper_end`` (the larger of that
+    and the place next in the direction ``temp_dir``) to draws with ``inv_temp`` and ``temp_dir``."""
+    out = df.join(schedule.select("temp_index", "inv_temp"), "inv_temp", "left")
+    return out.withColumn("upper_end", F.greatest(F.col("temp_index"), F.col("temp_index") + F.col("temp_dir")))

@@ -1,53 +1,106 @@
-"""Sources ``(log_id, idx, src, x, y, z, q, start, stop)`` seen by receptors."""
+"""Sources ``(log_id, idx, src, x, y, z, q, start, stop, u)`` seen by receptors ``(receptor, x, y, z[, t])``."""
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drawlake.functions.numeric import log_phi
+from drawlake.operators.pairing import paired
+from drawlake.operators.predict import pooled_quantiles, predict_log_prob, predict_mean
 
-def plume(dx: Column, dy: Column, zs: Column, zr: Column, u: Column, spread: float = 0.1) -> Column:
-    """Steady Gaussian plume with ground reflection: 0 upwind, width in proportion to the distance downwind."""
-    s = spread * dx
-    side = F.exp(-dy * dy / (2 * s * s))
-    up = F.exp(-((zr - zs) ** 2) / (2 * s * s)) + F.exp(-((zr + zs) ** 2) / (2 * s * s))
-    return F.when(dx > 0, side * up / (2 * math.pi * s * s * u)).otherwise(0.0)
 
+@dataclass
+class Flow:
+    """Widths across the flow grow as a * d / sqrt(1 + b * d), in y and in z."""
 
-def active(dx: Column, u: Column, t: Column, start: Column, stop: Column) -> Column:
-    """Whether what was released between start and stop passes the receptor at time t."""
-    left = t - dx / u
-    return (left >= start) & (left < stop)
+    ay: float = 0.1
+    by: float = 0.0
+    az: float = 0.1
+    bz: float = 0.0
 
 
-def receptor_total(sources: DataFrame, receptors: DataFrame, power: float = 1.0, timed: bool = False) -> DataFrame:
-    """Sum over sources of kernel times q^(1/power) by draw and receptor; only downwind pairs are evaluated."""
+def plume(xd: Column, yd: Column, zs: Column, zr: Column, u: Column, flow: Flow) -> Column:
+    """Steady plume with ground reflection; ``xd`` and ``yd`` are source minus receptor, and 0 comes from xd <= 0."""
+    sy = flow.ay * xd / F.sqrt(1 + flow.by * xd)
+    sz = flow.az * xd / F.sqrt(1 + flow.bz * xd)
+    side = F.exp(log_phi(yd / sy)) / sy
+    up = (F.exp(log_phi((zs - zr) / sz)) + F.exp(log_phi((zs + zr) / sz))) / sz
+    return F.when(xd > 0, side * up / u).otherwise(0.0)
+
+
+def active(xd: Column, u: Column, t: Column, start: Column, stop: Column) -> Column:
+    """Whether what passes at time t was released from start to stop, both included."""
+    return (t - xd / u).between(start, stop)
+
+
+def receptor_total(sources: DataFrame, receptors: DataFrame, flow: Flow, power: float = 1.0, timed: bool = False, draws: DataFrame | None = None) -> DataFrame:
+    """``(log_id, idx, receptor, total)``: sum over sources of kernel times q^(1/power), for every draw and receptor.
+
+    Receptors that no source reaches get 0. ``draws(log_id, idx)`` adds draws that have no source at all.
+    """
     r = receptors.select("receptor", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"), *(["t"] if timed else []))
-    pairs = r.join(F.broadcast(sources), F.col("rx") > F.col("x"))
-    dx = F.col("rx") - F.col("x")
-    value = plume(dx, F.col("ry") - F.col("y"), F.col("z"), F.col("rz"), F.col("u")) * F.pow(F.col("q"), F.lit(1 / power))
+    xd = F.col("x") - F.col("rx")
+    value = plume(xd, F.col("y") - F.col("ry"), F.col("z"), F.col("rz"), F.col("u"), flow) * F.pow(F.col("q"), F.lit(1 / power))
     if timed:
-        value = F.when(active(dx, F.col("u"), F.col("t"), F.col("start"), F.col("stop")), value).otherwise(0.0)
-    return pairs.groupBy("log_id", "idx", "receptor").agg(F.sum(value).alias("total"))
+        value = F.when(active(xd, F.col("u"), F.col("t"), F.col("start"), F.col("stop")), value).otherwise(0.0)
+    out = paired(r, sources).select("log_id", "idx", "receptor", value.alias("v"))
+    if draws is not None:
+        out = out.unionByName(paired(r.select("receptor"), draws.select("log_id", "idx").distinct()).withColumn("v", F.lit(0.0)))
+    return out.groupBy("log_id", "idx", "receptor").agg(F.sum("v").alias("total"))
+
+
+def detector_prediction(totals: DataFrame, draws: DataFrame, observed: DataFrame) -> DataFrame:
+    """``(receptor, mean, log_prob, median, q10, ...)`` over draws ``(log_id, idx, log_width[, w])``.
+
+    The log probability is that of ``observed(receptor, value)`` with Gaussian noise of width exp(log_width),
+    null where nothing was observed. Quantiles are of the pooled predictive points and need equal weights.
+    """
+    weighted = "w" in draws.columns
+    rows = totals.join(draws.select("log_id", "idx", F.exp("log_width").alias("sd"), *(["w"] if weighted else [])), ["log_id", "idx"])
+    w = F.col("w") if weighted else F.lit(1.0)
+    out = predict_mean(rows, ["receptor"], F.col("total"), w)
+    seen = rows.join(observed.where("value is not null").select("receptor", "value"), "receptor")
+    log_prob = log_phi((F.col("value") - F.col("total")) / F.col("sd")) - F.log("sd")
+    out = out.join(predict_log_prob(seen, ["receptor"], log_prob, w), "receptor", "left")
+    return out if weighted else out.join(pooled_quantiles(rows, ["receptor"], F.col("total"), F.col("sd")), "receptor")
+
+
+def overlap(start: Column, stop: Column, low: Column, high: Column) -> Column:
+    """Share of the time cell low..high that lies within start..stop."""
+    missed = F.greatest(start - low, F.lit(0.0)) + F.greatest(high - stop, F.lit(0.0))
+    return F.greatest(1 - missed / (high - low), F.lit(0.0))
+
 
+def intensity_grid(sources: DataFrame, weights: DataFrame, dims: dict[str, tuple[float, float, int]], times: tuple[float, int] | None = None) -> DataFrame:
+    """Weighted expected intensity by cell of the ``dims`` (low, high, number) and of ``times`` (latest time, number).
 
-def intensity_grid(sources: DataFrame, weights: DataFrame, dims: dict[str, tuple[float, float, int]]) -> DataFrame:
-    """Weighted expected intensity by cell; an upper edge belongs to the last cell, empty cells are shown."""
-    rows = sources.join(F.broadcast(weights), ["log_id", "idx"])
+    An upper edge belongs to the last cell. A source counts in a time cell by the share of the cell in which
+    it is active. Cells without sources are shown.
+    """
+    rows = sources.join(weights, ["log_id", "idx"]).withColumn("_v", F.col("w") * F.col("q"))
     cells = sources.sparkSession.range(1).select()
     for c, (low, high, n) in dims.items():
         b = F.when(F.col(c) == high, n - 1).otherwise(F.floor(n * (F.col(c) - low) / (high - low)))
         rows = rows.where(F.col(c).between(low, high)).withColumn(f"{c}_cell", b.cast("int"))
         cells = cells.withColumn(f"{c}_cell", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     keys = [f"{c}_cell" for c in dims]
+    if times:
+        latest, n = times
+        cell = F.col("t_cell")
+        every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        rows, cells, keys = rows.withColumn("t_cell", every), cells.withColumn("t_cell", every), [*keys, "t_cell"]
+        if n > 1:
+            rows = rows.withColumn("_v", F.col("_v") * overlap(F.col("start"), F.col("stop"), cell * (latest / n), (cell + 1) * (latest / n)))
     total = weights.agg(F.sum("w").alias("_t"))
-    sums = rows.groupBy(*keys).agg(F.sum(F.col("w") * F.col("q")).alias("_s"))
-    return cells.join(F.broadcast(sums), keys, "left").crossJoin(F.broadcast(total)).select(*keys, (F.coalesce("_s", F.lit(0.0)) / F.col("_t")).alias("intensity"))
+    sums = rows.groupBy(*keys).agg(F.sum("_v").alias("_s"))
+    return cells.join(sums, keys, "left").crossJoin(F.broadcast(total)).select(*keys, (F.coalesce("_s", F.lit(0.0)) / F.col("_t")).alias("intensity"))
 
 
-def source_quantities(sources: DataFrame) -> DataFrame:
-    """Count, total and largest intensity, released amount and mean duration by draw."""
+def source_quantities(sources: DataFrame, power: float = 1.0) -> DataFrame:
+    """By draw: count, total and largest intensity q^(1/power), intensities in decreasing order, released amount, mean duration."""
     duration = F.col("stop") - F.col("start")
-    return sources.groupBy("log_id", "idx").agg(F.count("*").alias("n"), F.sum("q").alias("total_q"), F.max("q").alias("max_q"), F.sum(F.col("q") * duration).alias("released"), F.avg(duration).alias("mean_duration"))
+    q = F.pow(F.col("q"), F.lit(1 / power)) if power != 1 else F.col("q")
+    return sources.groupBy("log_id", "idx").agg(F.count("*").alias("n"), F.sum(q).alias("total_q"), F.max(q).alias("max_q"), F.sort_array(F.collect_list(q), asc=False).alias("sorted_q"), F.sum(q * duration).alias("released"), F.avg(duration).alias("mean_duration"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drawlake.functions.numeric import HALF_LOG_2PI, array_log_sum_exp, lgamma
+from drawlake.functions.numeric import HALF_LOG_2PI, array_log_sum_exp, lgamma, log_gamma
 
 
 def gaussian(t: Column, o: Column, sd: Column) -> Column:
@@ -42,15 +42,18 @@ def poisson(t: Column, log_rate: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def censored_poisson(most: pd.Series, log_rate: pd.Series) -> pd.Series:
-    out = []
-    for a, r in zip(most, log_rate):
-        if pd.isna(a) or pd.isna(r) or a < 0:
-            out.append(None)
-            continue
-        k = np.arange(int(a) + 1)
-        terms = k * r - np.exp(r) - np.concatenate([[0], np.cumsum(np.log(np.maximum(k[1:], 1)))])
-        out.append(terms.max() + np.log(np.exp(terms - terms.max()).sum()))
-    return pd.Series(out, dtype="float64")
+    a, r = most.to_numpy(np.float64), log_rate.to_numpy(np.float64)
+    known = np.isfinite(a) & np.isfinite(r) & (a >= 0)
+    out = np.full(len(a), np.nan)
+    order = np.flatnonzero(known)
+    order = order[np.argsort(a[order], kind="stable")]
+    for rows in np.array_split(order, max(1, len(order) // 256)):  # rows of like limits share a grid
+        if len(rows):
+            k = np.arange(int(a[rows].max()) + 1, dtype=np.float64)
+            terms = np.where(k <= a[rows, None], k * r[rows, None] - np.exp(r[rows, None]) - log_gamma(k + 1), -np.inf)
+            top = terms.max(1)
+            out[rows] = top + np.log(np.exp(terms - top[:, None]).sum(1))
+    return pd.Series(out).where(known, None).astype("Float64")
 
 
 def survival(t: Column, log_hazard: Column) -> Column:
@@ -90,25 +93,69 @@ def piecewise_median(hazards: Column, breaks: list[float]) -> Column:
     return out
 
 
+def piecewise_mean(hazards: Column, breaks: list[float]) -> Column:
+    """Mean time under hazards constant between breaks: each piece adds its share of the survivors' time."""
+    edges = [0.0, *breaks]
+    out, alive = F.lit(0.0), F.lit(1.0)
+    for i, a in enumerate(edges):
+        h = hazards[i]
+        out = out + alive * (a + 1 / h)
+        if i + 1 < len(edges):
+            alive = alive * F.exp(-h * (edges[i + 1] - a))
+            out = out - alive * (edges[i + 1] + 1 / h)
+    return out
+
+
 def joined_outputs(outputs: Column, parts: int) -> Column:
     """Outputs in groups of ``parts`` joined by log-sum-exp, one value per target."""
     n = (F.size(outputs) / parts).cast("int")
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: array_log_sum_exp(F.slice(outputs, i * parts + 1, F.lit(parts))))
 
 
-def replicate(kind: str, seed: int, o: Column, sd: Column | None = None) -> Column:
-    """Random targets from the predictive model (gaussian, binary, count, survival)."""
-    if kind == "gaussian":
-        return o + sd * F.randn(seed)
+def uniform(key: Column, seed: str) -> Column:
+    """A value between 0 and 1 that depends on key and seed alone, however the rows are dealt."""
+    digits = F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(seed))), 1, 12)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def replicate(kind: str, key: Column, seed: str, o: Column, sd: Column | None = None, alpha: float | None = None) -> Column:
+    """A random target from the predictive model: gaussian, t (``alpha`` degrees of freedom), binary, class (``o`` an
+    array of log probabilities up to a constant), count (``o`` the log rate) or survival (``o`` the log hazard)."""
+    u, v = uniform(key, f"{seed}u"), uniform(key, f"{seed}v")
+    turn = F.cos(2 * math.pi * v)
+    if kind == "gaussian":  # Box and Muller
+        return o + sd * F.sqrt(-2 * F.log(u)) * turn
+    if kind == "t":  # Bailey's form of the same
+        return o + sd * F.sqrt(alpha * (F.pow(u, F.lit(-2 / alpha)) - 1)) * turn
     if kind == "binary":
-        return (F.rand(seed) < 1 / (1 + F.exp(-o))).cast("double")
+        return (u < 1 / (1 + F.exp(-o))).cast("double")
+    if kind == "class":
+        p = F.transform(o, lambda x: F.exp(x - array_log_sum_exp(o)))
+        upto = F.transform(F.sequence(F.lit(1), F.size(o) - 1), lambda n: F.aggregate(F.slice(p, F.lit(1), n), F.lit(0.0), lambda s, x: s + x))
+        return F.size(F.filter(upto, lambda c: c <= u)).cast("double")
     if kind == "survival":
-        return -F.log1p(-F.rand(seed)) / F.exp(o)
+        return -F.log(u) / F.exp(o)
     if kind == "count":
-        return _poisson_draw(F.exp(o), F.rand(seed))
+        return _poisson_quantile(F.exp(o), u)
     raise ValueError(kind)
 
 
 @F.pandas_udf(T.DoubleType())
-def _poisson_draw(rate: pd.Series, u: pd.Series) -> pd.Series:
-    return pd.Series([float(np.random.default_rng(int(x * 2**53)).poisson(r)) for r, x in zip(rate, u)], dtype="float64")
+def _poisson_quantile(rate: pd.Series, u: pd.Series) -> pd.Series:
+    """Smallest k whose cumulative probability reaches u: bracket and halve on sums of log-space terms around the rate."""
+    r, p = rate.to_numpy(np.float64), u.to_numpy(np.float64)
+    out = np.full(len(r), np.nan)
+    known = np.isfinite(r) & np.isfinite(p)
+    spread = np.ceil(12 * np.sqrt(np.maximum(r, 1)) + 30)
+    low = np.where(known, np.maximum(np.floor(r) - spread, 0), 0)
+    width = np.where(known, np.floor(r) + spread - low + 1, 0).astype(np.int64)
+    order = np.argsort(width, kind="stable")
+    for rows in np.array_split(order, max(1, len(order) // 256)):  # rows of like rates share a grid
+        rows = rows[known[rows]]
+        for part in np.array_split(rows, max(1, int(len(rows) * width[rows].max(initial=0)) >> 21)):
+            if len(part):
+                k = low[part, None] + np.arange(width[part].max())
+                mass = np.exp(k * np.log(r[part, None]) - r[part, None] - log_gamma(k + 1))
+                total = np.cumsum(mass, axis=1)
+                out[part] = low[part] + (total < p[part, None]).sum(1)
+    return pd.Series(out)

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawlake.functions.numeric import log_sum_exp_by
+from drawlake.functions.numeric import array_log_sum_exp, log_sum_exp, log_sum_exp_by, stratified_normal
+from drawlake.operators.pairing import paired
 
 DRAW = ["log_id", "idx"]
 
@@ -61,25 +62,77 @@ def log_normal(t: Column, mean: Column, sd: Column) -> Column:
     return -((t - mean) ** 2) / (2 * sd * sd) - F.log(sd) - 0.5 * math.log(2 * math.pi)
 
 
-def component_log_density(cases: DataFrame, comps: DataFrame) -> DataFrame:
-    """log density of each case (case_id, target, t) under each component; missing targets count nothing."""
-    rows = cases.join(F.broadcast(comps), "target")
-    return rows.groupBy("case_id", *DRAW, "comp").agg(F.sum(F.coalesce(log_normal(F.col("t"), F.col("offset"), F.col("sd")), F.lit(0.0))).alias("log_density"))
+def log_logistic(t: Column, offset: Column) -> Column:
+    """Log probability of a 0/1 target whose log odds are ``offset``."""
+    s = F.when(t == 0, -offset).otherwise(offset)
+    return F.least(s, F.lit(0.0)) - F.log1p(F.exp(-F.abs(s)))
+
+
+def _target_log_density(kind: str, t: Column, offset: Column, sd: Column | None) -> Column:
+    one = log_normal(t, offset, sd) if kind == "real" else log_logistic(t, offset)
+    return F.when(t.isNotNull(), one).otherwise(0.0)
+
+
+def component_log_density(cases: DataFrame, comps: DataFrame, kind: str = "real") -> DataFrame:
+    """log density of each case (case_id, target, t) under each component, for real or binary targets; missing targets count nothing."""
+    names = [*DRAW, "comp", F.col("target").alias("_target"), "offset", *(["sd"] if kind == "real" else [])]
+    rows = paired(cases, comps.select(names), F.col("target") == F.col("_target"))
+    value = _target_log_density(kind, F.col("t"), F.col("offset"), F.col("sd") if kind == "real" else None)
+    return rows.groupBy("case_id", *DRAW, "comp").agg(F.sum(value).alias("log_density"))
+
+
+def new_component_log_density(cases: DataFrame, hypers: DataFrame, kind: str = "real", points: int = 100) -> DataFrame:
+    """log density of each case under a component that holds no case yet, as component 0.
+
+    ``hypers(log_id, idx, target, mean, sd[, noise])`` give the distribution of its offsets. Each target's
+    density is averaged over ``points`` fixed normal quantiles, and the averages of the targets are multiplied.
+    """
+    names = [*DRAW, F.col("target").alias("_target"), "mean", "sd", *(["noise"] if kind == "real" else [])]
+    rows = paired(cases, hypers.select(names), F.col("target") == F.col("_target"))
+    z = F.array(*[F.lit(q) for q in stratified_normal(points)])
+    each = F.transform(z, lambda q: _target_log_density(kind, F.col("t"), F.col("mean") + F.col("sd") * q, F.col("noise") if kind == "real" else None))
+    rows = rows.withColumn("_l", array_log_sum_exp(each) - math.log(points))
+    return rows.groupBy("case_id", *DRAW).agg(F.sum("_l").alias("log_density")).withColumn("comp", F.lit(0).cast("long")).select("case_id", *DRAW, "comp", "log_density")
 
 
 def responsibilities(density: DataFrame, weight: DataFrame) -> DataFrame:
-    rows = density.join(F.broadcast(weight), [*DRAW, "comp"]).withColumn("_l", F.col("log_density") + F.log("weight"))
+    rows = density.join(weight, [*DRAW, "comp"]).withColumn("_l", F.col("log_density") + F.log("weight"))
+    return _softmax(rows, "_l")
+
+
+def _softmax(rows: DataFrame, value: str) -> DataFrame:
     w = Window.partitionBy("case_id", *DRAW)
-    p = F.exp(F.col("_l") - F.max("_l").over(w))
+    p = F.exp(F.col(value) - F.max(value).over(w))
     return rows.withColumn("_p", p).select("case_id", *DRAW, "comp", (F.col("_p") / F.sum("_p").over(w)).alias("p"))
 
 
+def left_out_responsibilities(density: DataFrame, freq: DataFrame, assign: DataFrame, share: float = 0.0) -> DataFrame:
+    """Responsibilities in proportion to (n + share) * density, each case's own component counted without it.
+
+    ``share`` is the concentration that one component has. A case that is alone in its component stays there
+    only if ``share`` is positive.
+    """
+    own = assign.select(*DRAW, "case_id", F.col("comp").alias("_own"))
+    rows = density.join(freq, [*DRAW, "comp"]).join(own, [*DRAW, "case_id"])
+    n = F.col("n") - F.when(F.col("comp") == F.col("_own"), 1).otherwise(0) + share
+    return _softmax(rows.where(n > 0).withColumn("_l", F.log(n) + F.col("log_density")), "_l")
+
+
 def mixture_log_prob(density: DataFrame, weight: DataFrame, draw_weight: DataFrame | None = None) -> DataFrame:
-    """Predictive log probability of each case: components within draws, then the mean over draws, in one sum."""
-    rows = density.join(F.broadcast(weight), [*DRAW, "comp"])
-    n = weight.select(*DRAW).distinct().count()
-    out = log_sum_exp_by(rows, ["case_id"], F.col("log_density") + F.log("weight"), "_l")
-    return out.select("case_id", (F.col("_l") - math.log(max(n, 1))).alias("log_prob"))
+    """Predictive log probability of each case: components within draws, then the weighted mean over draws, in one sum.
+
+    ``draw_weight(log_id, idx, w)`` weighs draws, which count alike without it. A new component (0) of positive
+    weight needs its density among ``density`` (see ``new_component_log_density``); otherwise this is an error.
+    """
+    new = weight.where("comp = 0 and weight > 0")
+    if not new.isEmpty() and density.where("comp = 0").isEmpty():
+        raise ValueError("the new component has weight but no density")
+    draws = weight.select(*DRAW).distinct() if draw_weight is None else draw_weight
+    draws = draws.select(*DRAW, (F.lit(1.0) if draw_weight is None else F.col("w")).alias("_w"))
+    total = draws.agg(F.sum("_w").alias("_t"))
+    rows = density.join(weight, [*DRAW, "comp"]).join(draws, DRAW).where("weight > 0 and _w > 0")
+    out = log_sum_exp_by(rows, ["case_id"], F.col("log_density") + F.log("weight") + F.log("_w"), "_l")
+    return out.crossJoin(F.broadcast(total)).select("case_id", (F.col("_l") - F.log("_t")).alias("log_prob"))
 
 
 def component_stats(assign: DataFrame, cases: DataFrame, prior_mean: float, prior_sd: float, noise: float) -> DataFrame:
@@ -89,6 +142,14 @@ def component_stats(assign: DataFrame, cases: DataFrame, prior_mean: float, prio
     return s.select(*DRAW, "comp", "target", "n", (F.col("s") / F.col("n")).alias("mean"), ((prior_mean / prior_sd**2 + F.col("s") / noise**2) / precision).alias("offset_mean"), (1 / precision).alias("offset_variance"))
 
 
+def pooled_noise(assign: DataFrame, cases: DataFrame, comps: DataFrame, shape: float, width: float) -> DataFrame:
+    """By draw, over all targets and cases: number and sum of squared residuals about the components' offsets, and the
+    shape and mean of the noise precision's conditional gamma under a prior of this shape and width."""
+    rows = assign.join(cases, "case_id").join(comps.select(*DRAW, "comp", "target", "offset"), [*DRAW, "comp", "target"])
+    s = rows.where("t is not null").groupBy(*DRAW).agg(F.count("*").alias("n"), F.sum((F.col("t") - F.col("offset")) ** 2).alias("squares"))
+    return s.select(*DRAW, "n", "squares", (shape + F.col("n")).alias("shape"), ((shape + F.col("n")) / (shape * width**2 + F.col("squares"))).alias("precision"))
+
+
 def bernoulli_mixture_log_prob(cases: DataFrame, bits: list[str], table: list[tuple[float, list[float]]]) -> DataFrame:
     """log probability of 0/1 rows under a known mixture of product Bernoulli distributions."""
     parts = []
@@ -97,6 +158,4 @@ def bernoulli_mixture_log_prob(cases: DataFrame, bits: list[str], table: list[tu
         for b, p in zip(bits, ps):
             total = total + F.when(F.col(b) == 1, math.log(p)).otherwise(math.log(1 - p))
         parts.append(total)
-    from drawlake.functions.numeric import log_sum_exp
-
     return cases.withColumn("log_prob", log_sum_exp(*parts))

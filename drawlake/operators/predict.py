@@ -10,16 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlake.functions.numeric import log_sum_exp_by, product, stratified_normal
+from drawlake.operators.pairing import paired
 
-#: Most draws that are broadcast at once (packed parameters, not rows).
+#: Most draws that are broadcast at once.
 MOST_DRAWS = 10_000
 
 
 def cross(cases: DataFrame, draws: DataFrame) -> DataFrame:
-    """Every draw on every case: the draws, checked to be few, are broadcast; cases are not shuffled."""
-    if draws.limit(MOST_DRAWS + 1).count() > MOST_DRAWS:
-        return cases.crossJoin(draws)
-    return cases.crossJoin(F.broadcast(draws))
+    """Every draw on every case. Few draws are broadcast and cases not shuffled; more come in blocks of ``MOST_DRAWS``."""
+    return paired(cases, draws, most=MOST_DRAWS)
 
 
 def weight(draws: DataFrame) -> DataFrame:
@@ -44,32 +43,77 @@ def predict_mode(means: DataFrame, keys: list[str], classes: list[str]) -> DataF
     return means.select(*keys, *classes, (-best["k"]).alias("mode"))
 
 
-def pooled_quantiles(rows: DataFrame, keys: list[str], mean: Column, sd: Column, points: int = 101, shares: tuple[float, ...] = (0.1, 0.01)) -> DataFrame:
+def binary_mode(p: Column, target: Column | None = None) -> dict[str, Column]:
+    """The guess 1 if the mean probability exceeds 0.5, else 0; with a target also whether it is wrong."""
+    guess = (p > 0.5).cast("int")
+    return {"mode": guess} if target is None else {"mode": guess, "wrong": (guess != target).cast("int")}
+
+
+def class_scores(means: list[Column], target: Column) -> dict[str, Column]:
+    """Of each case: whether the class of largest mean probability (the lowest of equals) is wrong, its squared error
+    against the 0/1 vector, and the log probability of the target."""
+    best = F.array_max(F.array(*[F.struct(p.alias("p"), F.lit(-i).alias("k")) for i, p in enumerate(means)]))
+    squared = sum(((p - (target == i).cast("double")) ** 2 for i, p in enumerate(means)), F.lit(0.0))
+    return {"wrong": (-best["k"] != target).cast("double"), "squared": squared, "log_prob": F.log(F.get(F.array(*means), target.cast("int")))}
+
+
+def pooled_quantiles(rows: DataFrame, keys: list[str], mean: Column, sd: Column, points: int = 101, shares: tuple[float, ...] = (0.1, 0.01), w: Column | None = None) -> DataFrame:
     """Median and lower/upper quantiles of the pooled predictive points, ``points`` normal quantiles per draw.
 
     For even n the median is the mean of the two in the middle; a quantile is sorted[int(0.5 + f n)] and its mirror.
-    Values of a case are sorted within the case, never globally.
+    Two numbers per draw and case are gathered by case; the points are formed and sorted in Arrow batches.
+    Weighted draws are refused: with ``w`` given, weights that differ are an error.
     """
-    z = F.array(*[F.lit(x) for x in stratified_normal(points)])
-    pool = rows.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(F.transform(z, lambda q: mean + sd * q)))).alias("_v"))
-    n = F.size("_v")
-    out = [((F.get("_v", F.floor(n / 2).cast("int")) + F.get("_v", F.floor((n - 1) / 2).cast("int"))) / 2).alias("median")]
-    for f in shares:
-        at = F.floor(0.5 + f * n).cast("int")
-        out += [F.get("_v", at).alias(f"q{round(f * 100):02d}"), F.get("_v", n - 1 - at).alias(f"q{round(100 - f * 100)}")]
-    return pool.select(*keys, *out)
+    if w is not None:
+        ends = rows.agg(F.min(w).alias("a"), F.max(w).alias("b")).first()
+        if ends["a"] != ends["b"]:
+            raise ValueError("quantiles of weighted draws are not defined")
+    z = np.array(stratified_normal(points))
+    names = ["median", *(n for f in shares for n in (f"q{round(f * 100):02d}", f"q{round(100 - f * 100)}"))]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def quantiles(mean: pd.Series, sd: pd.Series) -> pd.DataFrame:
+        out = np.full((len(mean), len(names)), np.nan)
+        for i, (m, s) in enumerate(zip(mean, sd)):
+            v = (np.asarray(m)[:, None] + np.asarray(s)[:, None] * z).ravel()
+            n = len(v)
+            at = [n // 2, (n - 1) // 2]
+            for f in shares:
+                low = int(0.5 + f * n)
+                at += [low, n - 1 - low]
+            v = np.partition(v, sorted({*at}))[at]
+            out[i] = [(v[0] + v[1]) / 2, *v[2:]]
+        return pd.DataFrame(out, columns=names)
+
+    pool = rows.groupBy(*keys).agg(F.collect_list(F.struct(mean.alias("m"), sd.alias("s"))).alias("_v"))
+    return pool.select(*keys, quantiles("_v.m", "_v.s").alias("_q")).select(*keys, "_q.*")
 
 
 def mean_of_medians(rows: DataFrame, keys: list[str], median: Column, w: Column) -> DataFrame:
     return rows.groupBy(*keys).agg((F.sum(w * median) / F.sum(w)).alias("mean_of_medians"))
 
 
-def score(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Average and standard error sqrt((E[x^2] - E[x]^2) / (N - 1)) of each column."""
+def score(df: DataFrame, columns: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """Average and standard error sqrt((E[x^2] - E[x]^2) / (N - 1)) of each column, of all rows or by target."""
     out = []
     for name, x in columns.items():
         out += [F.avg(x).alias(name), F.sqrt(F.greatest(F.avg(x * x) - F.avg(x) ** 2, F.lit(0.0)) / (F.count(x) - 1)).alias(f"{name}_se")]
-    return df.agg(F.count("*").alias("n"), *out)
+    return df.groupBy(*(by or [])).agg(F.count("*").alias("n"), *out)
+
+
+def target_scores(rows: DataFrame, error: Column, case: str = "case_id", target: str = "j") -> DataFrame:
+    """Average squared and absolute errors with standard errors, for each target and (null target) summed over a case's targets."""
+    errors = rows.select(case, target, (error * error).alias("squared"), F.abs(error).alias("absolute"))
+    columns = {"squared": F.col("squared"), "absolute": F.col("absolute")}
+    sums = errors.groupBy(case).agg(F.sum("squared").alias("squared"), F.sum("absolute").alias("absolute"))
+    total = score(sums, columns).withColumn(target, F.lit(None).cast(rows.schema[target].dataType))
+    return score(errors, columns, [target]).unionByName(total)
+
+
+def expected_class_losses(p: Column) -> dict[str, Column]:
+    """Expected error and entropy of a case, from the array of its class probabilities."""
+    entropy = F.aggregate(p, F.lit(0.0), lambda s, x: s - F.when(x > 0, x * F.log(x)).otherwise(0.0))
+    return {"class_error": 1 - F.array_max(p), "entropy": entropy}
 
 
 def expected_binary_scores(p: Column) -> dict[str, Column]:
@@ -128,9 +172,10 @@ class Network:
         return out
 
 
-def net_forward(cases: DataFrame, key: str, inputs: list[str], draws: list[tuple[str, int, dict]], network: Network) -> DataFrame:
-    """``(key, log_id, idx, j, o)``: outputs of every draw on every case, cases in Arrow batches, draws packed once."""
+def net_forward(cases: DataFrame, key: str, inputs: list[str], draws: list[tuple[str, int, dict]], network: Network, keep: list[str] | None = None) -> DataFrame:
+    """``(key, log_id, idx, j, o)`` and the inputs in ``keep``: outputs of every draw on every case, cases in Arrow batches, draws packed once."""
     shared = cases.sparkSession.sparkContext.broadcast(draws)
+    kept = keep or []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -138,9 +183,10 @@ def net_forward(cases: DataFrame, key: str, inputs: list[str], draws: list[tuple
             for log_id, idx, draw in shared.value:
                 o = network.output(x, draw)
                 n, k = o.shape
-                yield pd.DataFrame({key: np.repeat(batch[key].to_numpy(), k), "log_id": log_id, "idx": idx, "j": np.tile(np.arange(k), n), "o": o.ravel()})
+                yield pd.DataFrame({**{c: np.repeat(batch[c].to_numpy(), k) for c in (key, *kept)}, "log_id": log_id, "idx": idx, "j": np.tile(np.arange(k), n), "o": o.ravel()})
 
-    return cases.select(key, *inputs).mapInPandas(run, f"{key} long, log_id string, idx long, j int, o double")
+    kinds = "".join(f"{c} double, " for c in kept)
+    return cases.select(key, *[F.col(c).cast("double") for c in inputs]).mapInPandas(run, f"{key} long, {kinds}log_id string, idx long, j int, o double")
 
 
 def hidden_spread(cases: DataFrame, inputs: list[str], draws: list[tuple[str, int, dict]], network: Network) -> DataFrame:
@@ -187,6 +233,7 @@ def gradient_fit(cases: DataFrame, inputs: list[str], target: str, steps: int =
 
     Steps are divided by N + 1. Returns (step, mean squared error before it, weights with the bias last).
     """
+    cases = cases.select(*inputs, target).persist()  # one read serves all steps
     n = cases.count()
     w = np.zeros(len(inputs) + 1)
     trace = []
@@ -197,9 +244,58 @@ def gradient_fit(cases: DataFrame, inputs: list[str], target: str, steps: int =
         trace.append((t, row["loss"], w.tolist()))
         g = np.array([*(row[f"g{i}"] for i in range(len(inputs))), row["gb"]]) + prior * w
         w = w - step / (n + 1) * g
+    cases.unpersist()
     return trace
 
 
+def network_fit(cases: DataFrame, inputs: list[str], target: str, start: dict, network: Network, steps: int, step: float, validation: str | None = None, prior: float = 0.0) -> list[tuple[int, float, float | None, dict]]:
+    """Full-batch gradient descent of a network with one layer of tanh units on squared error.
+
+    Every step broadcasts the parameters, sums partial gradients of Arrow batches over the cases and divides
+    by N + 1. Rows where the boolean column ``validation`` holds give a second loss only. Returns (step, loss, loss on
+    validation rows, parameters), all before the step's move. Cases are persisted for the passes.
+    """
+    if network.units != ["tanh"]:
+        raise ValueError("gradients are for one layer of tanh units")
+    keep = F.lit(False) if validation is None else F.col(validation)
+    rows = cases.select(*[F.col(c).cast("double") for c in inputs], F.col(target).cast("double").alias("_t"), keep.alias("_v")).where("_t is not null").persist()
+    names = [n for n in ("ih", "bh", "ho", "io", "bo") if start.get(n) is not None]
+    flat = lambda p: [np.asarray(p[n][0] if n in ("ih", "bh", "ho") else p[n], np.float64) for n in names]
+    shapes = [x.shape for x in flat(start)]
+
+    def gradient(now: dict):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                x, t, held = batch[inputs].to_numpy(np.float64), batch["_t"].to_numpy(np.float64), batch["_v"].to_numpy(bool)
+                hidden = network.hidden(x, now)[0]
+                e = network.output(x, now)[:, 0] - t
+                own = np.where(held, 0.0, e)[:, None]
+                back = product(own, now["ho"][0].T) * (1 - hidden * hidden)
+                parts = {"ih": product(x.T, back), "bh": back.sum(0), "ho": product(hidden.T, own), "io": product(x.T, own), "bo": own.sum(0)}
+                sums = np.concatenate([[(own**2).sum(), (~held).sum(), (e[held] ** 2).sum(), held.sum()], *(parts[n].ravel() for n in names)])
+                yield pd.DataFrame({"i": np.arange(len(sums)), "s": sums})
+
+        return run
+
+    trace, now = [], start
+    for at in range(steps):
+        found = {r["i"]: r["s"] for r in rows.mapInPandas(gradient(now), "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()}
+        if not found:
+            break
+        sums = np.array([found[i] for i in range(len(found))])
+        trace.append((at, sums[0] / max(sums[1], 1), sums[2] / sums[3] if sums[3] else None, now))
+        parts = np.split(sums[4:], np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
+        moved = [w - step / (sums[1] + 1) * (g.reshape(s) + prior * w) for w, g, s in zip(flat(now), parts, shapes)]
+        now = {n: [w] if n in ("ih", "bh", "ho") else w for n, w in zip(names, moved)}
+    rows.unpersist()
+    return trace
+
+
+def early_stop(trace: list[tuple[int, float, float | None, dict]]) -> tuple[int, float, float | None, dict]:
+    """The first step with the smallest validation loss."""
+    return min(trace, key=lambda r: (r[2], r[0]))
+
+
 def class_from_joint(rows: DataFrame, keys: list[str], label: str, log_density: str) -> DataFrame:
     """Class probabilities from joint log densities with each class filled in."""
     w = Window.partitionBy(*keys)

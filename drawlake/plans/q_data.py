@@ -50,6 +50,19 @@ def s6_append_draws(spark, d):
     return D.append_draws(q.where("log_id = '0'").select("idx", "value"), q.where("log_id = '1'").select("idx", "value"))
 
 
+@query(f"WITH s AS (SELECT idx, value FROM {DRAWS} WHERE log_id = '1' AND idx BETWEEN 7 AND (SELECT max(idx) // 2 FROM {DRAWS}) AND idx % 3 = 0), t AS (SELECT idx, value FROM {DRAWS} WHERE log_id = '0') SELECT idx, value FROM t UNION ALL SELECT (SELECT max(idx) FROM t) + row_number() OVER (ORDER BY idx) - 1, value FROM s")
+def s6_append_at_last(spark, d):
+    q = draws(spark, d).select("log_id", "idx", "value")
+    half = q.agg(F.max("idx")).first()[0] // 2
+    return D.append_draws(q.where("log_id = '0'").select("idx", "value"), q.where("log_id = '1'").select("idx", "value"), f"7:{half}%3", at_last=True)
+
+
+@query(f"SELECT CAST(100 + 2 * (dense_rank() OVER (ORDER BY idx) - 1) AS BIGINT) AS idx, o_orderpriority AS type, value FROM {DRAWS} WHERE idx BETWEEN 5 AND (SELECT max(idx) // 2 FROM {DRAWS}) AND idx % 2 = 0")
+def s7_copy_range(spark, d):
+    q = draws(spark, d).select("idx", F.col("o_orderpriority").alias("type"), "value")
+    return D.copy_draws(q, 100, 2, chosen=f"5:{q.agg(F.max('idx')).first()[0] // 2}%2")
+
+
 @query(f"SELECT CAST(10 + 5 * (dense_rank() OVER (ORDER BY idx) - 1) AS BIGINT) AS idx, o_orderpriority AS type, value FROM {DRAWS} WHERE o_orderpriority <> '5-LOW'")
 def s7_copy_draws(spark, d):
     return D.copy_draws(draws(spark, d).select("idx", F.col("o_orderpriority").alias("type"), "value"), 10, 5, ("5-LOW",))
@@ -132,14 +145,22 @@ def s19_one_hot(spark, d):
     return table(spark, d, "embeddings").select("vec_id", data.one_hot(F.col("label"), 10).alias("hot"))
 
 
-@query(f"SELECT log_id, idx, value FROM {DRAWS} WHERE idx BETWEEN 5 AND 9000 AND idx % 3 = 0")
+@query("WITH n AS (SELECT count(*) AS n FROM supplier WHERE s_suppkey % 3 > 0) SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN 'train' ELSE 'test' END AS split, list_transform(range(n + 1), lambda i: CASE WHEN i = CASE WHEN s_suppkey % 3 > 0 THEN row_number - 1 ELSE n END THEN 1 ELSE 0 END) AS hot FROM (SELECT s_suppkey, row_number() OVER (PARTITION BY s_suppkey % 3 > 0 ORDER BY s_suppkey) AS row_number FROM supplier), n")
+def s19_case_indicators(spark, d):
+    t = table(spark, d, "supplier").select("s_suppkey")
+    return data.case_indicators(t.where("s_suppkey % 3 > 0"), t.where("s_suppkey % 3 = 0"), "s_suppkey")
+
+
+@query(f"SELECT log_id, idx, value FROM {DRAWS} WHERE idx BETWEEN 5 AND (SELECT max(idx) - 100 FROM {DRAWS}) AND idx % 3 = 0")
 def d1_select_range(spark, d):
-    return D.select_range(draws(spark, d).select("log_id", "idx", "value"), "5:9000%3")
+    q = draws(spark, d).select("log_id", "idx", "value")
+    return D.select_range(q, f"5:{q.agg(F.max('idx')).first()[0] - 100}%3")
 
 
-@query(f"WITH t AS (SELECT unnest([100, 325, 550, 775, 1000]) AS t) SELECT log_id, min(idx) AS idx FROM {DRAWS}, t WHERE idx BETWEEN t AND 1000  GROUP BY log_id, t.t")
+@query(f"WITH m AS (SELECT max(idx) AS m FROM {DRAWS}), t AS (SELECT m, unnest([CAST(floor(10 + i * (m - 10) / 24.0 + 0.5) AS BIGINT) for i in range(25)]) AS t FROM m) SELECT DISTINCT log_id, idx FROM (SELECT log_id, min(idx) AS idx FROM {DRAWS}, t WHERE idx BETWEEN t AND m GROUP BY log_id, t.t)")
 def d2_select_evenly(spark, d):
-    return D.select_evenly(draws(spark, d).select("log_id", "idx"), 100, 1000, 5)
+    q = draws(spark, d).select("log_id", "idx")
+    return D.select_evenly(q, 10, q.agg(F.max("idx")).first()[0], 25)
 
 
 @query(f"SELECT log_id, idx FROM {ITERS} WHERE time_ms / 60000.0 BETWEEN 5 AND 60")
@@ -158,10 +179,10 @@ def d5_at_temperature(spark, d):
     return D.at_temperature(iters(spark, d), 1.0, also_highest=True).select("log_id", "idx", "new_idx")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS log_id, event_type AS type, max(event_id) AS idx, arg_max(value, event_id) AS value FROM events WHERE event_id <= 5000 GROUP BY ALL")
+@query("SELECT CAST(user_id AS VARCHAR) AS log_id, event_type AS type, max(event_id) AS idx, arg_max(value, event_id) AS value FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY ALL")
 def d6_state_as_of(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("log_id"), F.col("event_type").alias("type"), F.col("event_id").alias("idx"), "value")
-    return D.state_as_of(e, 5000)
+    return D.state_as_of(e, e.agg(F.max("idx")).first()[0] // 2)
 
 
 @query(f"SELECT log_id, idx, round(log_weight + (idx % 10) / 10.0, 6) AS log_weight FROM {DRAWS} WHERE idx % 2 = 0")
@@ -178,6 +199,13 @@ def d8_require_complete(spark, d):
     return D.require_complete(q, has)
 
 
+@query(f"WITH h AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R') SELECT log_id, count(k) AS kept, count(*) - count(k) AS dropped FROM {DRAWS} LEFT JOIN h ON k = idx GROUP BY log_id")
+def d8_incomplete_counts(spark, d):
+    q = draws(spark, d).select("log_id", "idx")
+    has = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("idx")).distinct().join(q, "idx")
+    return D.incomplete_counts(q, has)
+
+
 @query(f"SELECT case_id, round(CASE WHEN x1 = 0 THEN 0 ELSE 2 * x1 * (x2 + 1) END - sin(x1) * exp(-abs(x2)) + pow(x1, 3) / pi(), 6) AS f, round(ln(1 + exp(x2)), 6) AS g FROM {CASES}")
 def f1_formula(spark, d):
     c = formulas.with_definitions(cases(spark, d), {"f": "2x1(x2+1) - Sin(x1)Exp[-Abs(x2)] + x1^3/Pi", "g": "Log{1+Exp(x2)}"})
@@ -233,7 +261,10 @@ def f9_external(spark, d):
     return rounded(c.select("case_id", formulas.formula("Hyp(x1, x2)", c).alias("v")))
 
 
-@query()
+_SERIES = "CASE WHEN x2 = 0 THEN 0 ELSE list_sum([exp((2 * n + 1) * ln(x2) - (n + 1) * ln(2) - lgamma(n + 1.5) + 0.5 * ln(pi())) for n in range(60)]) END"
+
+
+@query(f"SELECT case_id, round(-x2 * x2 / 2 - 0.5 * ln(2 * pi()), 6) AS log_phi, round(0.5 + exp(-x2 * x2 / 2) / sqrt(2 * pi()) * {_SERIES}, 6) AS cdf, round(0.5 - exp(-x2 * x2 / 2) / sqrt(2 * pi()) * {_SERIES}, 6) AS mirrored, round(x2, 6) AS back FROM {CASES}")
 def f10_normal_functions(spark, d):
     x = F.col("x2")
-    return cases(spark, d).select("case_id", N.log_phi(x).alias("log_phi"), N.normal_cdf(x).alias("cdf"), N.normal_quantile(N.normal_cdf(x)).alias("back"))
+    return rounded(cases(spark, d).select("case_id", N.log_phi(x).alias("log_phi"), N.normal_cdf(x).alias("cdf"), N.normal_cdf(-x).alias("mirrored"), N.normal_quantile(N.normal_cdf(x)).alias("back")))

@@ -34,22 +34,36 @@ def q3_index_quantities(spark, d):
     return draws(spark, d).select("idx", *[c.alias(n) for n, c in A.index_quantities(4, F.col("idx")).items()])
 
 
+@query("SELECT l_orderkey AS idx, l_linenumber AS \"#\", l_linenumber % 3 AS \"#3\", max(l_quantity) AS value FROM lineitem GROUP BY ALL")
+def q3_positions(spark, d):
+    return _q(spark, d).select("idx", *[c.alias(n) for n, c in A.position_quantities(3, F.col("pos")).items()], "value")
+
+
 @query(f"WITH b AS (SELECT floor(20 * (value - 0.5) / 3.5) AS bin FROM {DRAWS} WHERE value >= 0.5 AND value < 4) SELECT r.g AS bin, round(0.5 + (r.g + 0.5) * 3.5 / 20, 6) AS centre, count(b.bin) AS n, round(count(b.bin) / (SELECT count(*) FROM orders), 6) AS share FROM range(20) r(g) LEFT JOIN b ON b.bin = r.g GROUP BY r.g")
 def q4_histogram(spark, d):
     return rounded(A.histogram(draws(spark, d), F.col("value"), 0.5, 4.0, 20))
 
 
-@query(f"SELECT log_id, idx, round(exp(log_weight), 6) AS weight, round(least(greatest(log_weight, -100), 100), 6) AS clipped, round(idx * 0.7 / 60, 6) AS minutes, CASE WHEN idx % 3 > 0 THEN round((idx % 2) / (idx % 3), 6) END AS rejection_rate FROM {DRAWS}")
+@query(f"""SELECT log_id, idx, round(exp(log_weight), 6) AS q, round(log_weight * 29.123 - 4, 6) AS q0, round(greatest(log_weight * 29.123 - 4, -2), 6) AS q2, round(least(log_weight * 5000, 1000), 6) AS d, round(least(log_weight * 5000, 700), 6) AS d700,
+round(idx * 0.7 / 60, 6) AS k, CASE WHEN idx % 3 > 0 THEN round((idx % 2) / (idx % 3), 6) END AS r, CASE WHEN idx % 5 > 0 THEN round((idx % 11) / (idx % 5), 6) END AS e,
+CAST(greatest(idx % 41 - 20, 0) AS DOUBLE) AS c0, CAST(greatest(20 - idx % 41, 0) AS DOUBLE) AS c1, round(9 * (greatest(20 - idx % 41, 0) / 3.0) * (1 - exp(-0.6 * (greatest(20 - idx % 41, 0) / 3.0) - pow(greatest(20 - idx % 41, 0) / 3.0, 2))), 6) AS c3 FROM {DRAWS}""")
 def q5_run_quantities(spark, d):
-    i = F.col("idx")
-    q = D.run_quantities({"proposals": i % 3, "rejects": i % 2, "slice_calls": i, "slice_evals": i, "log_weight": F.col("log_weight"), "time_ms": i * 700})
-    return rounded(draws(spark, d).select("log_id", "idx", *[q[c].alias(c) for c in ("weight", "clipped", "minutes", "rejection_rate")]))
+    i, w = F.col("idx"), F.col("log_weight")
+    c = {"proposals": i % 3, "rejects": i % 2, "slice_calls": i % 5, "slice_evals": i % 11, "log_weight": w, "delta": w * 5000, "time_ms": i * 700, "consecutive_accepts": i % 41 - 20}
+    low = c | {"log_weight": w * 29.123 - 4}
+    q = {"q": D.run_quantity("Q", c), "q0": D.run_quantity("Q", low, 0), "q2": D.run_quantity("Q", low, 2), "d": D.run_quantity("D", c), "d700": D.run_quantity("D", c, 700), "k": D.run_quantity("k", c), "r": D.run_quantity("r", c), "e": D.run_quantity("e", c)}
+    q |= {f"c{n}": D.run_quantity("C", c, n) for n in (0, 1, 3)}
+    return rounded(draws(spark, d).select("log_id", "idx", *[x.alias(n) for n, x in q.items()]))
+
+
+_PLACE = "CASE inv_temp WHEN 0.125 THEN 0 WHEN 0.25 THEN 1 WHEN 0.5 THEN 2 WHEN 0.75 THEN 3 ELSE 4 END"
 
 
-@query(f"SELECT log_id, idx, CAST(inv_temp AS DOUBLE) AS inv_temp, CAST(CASE inv_temp WHEN 0.125 THEN 0 WHEN 0.25 THEN 1 WHEN 0.5 THEN 2 WHEN 0.75 THEN 3 ELSE 4 END AS INTEGER) AS temp_index FROM {ITERS}")
+@query(f"SELECT log_id, idx, CAST(inv_temp AS DOUBLE) AS inv_temp, CAST({_PLACE} AS INTEGER) AS temp_index, CAST(idx % 2 * 2 - 1 AS INTEGER) AS temp_dir, CAST({_PLACE} + CASE WHEN idx % 2 = 1 THEN 1 ELSE 0 END AS INTEGER) AS upper_end FROM {ITERS}")
 def q6_temperature(spark, d):
     temps = spark.createDataFrame([(0, 0.125), (1, 0.25), (2, 0.5), (3, 0.75), (4, 1.0)], "temp_index int, inv_temp double")
-    return iters(spark, d).join(F.broadcast(temps), "inv_temp").select("log_id", "idx", "inv_temp", "temp_index")
+    rows = iters(spark, d).withColumn("temp_dir", (F.col("idx") % 2 * 2 - 1).cast("int"))
+    return D.temperature_quantities(rows, temps).select("log_id", "idx", "inv_temp", "temp_index", "temp_dir", "upper_end")
 
 
 @query("SELECT l_suppkey, arg_min(l_orderkey, (l_extendedprice, l_orderkey)) AS l_orderkey, min(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY l_suppkey")
@@ -72,11 +86,9 @@ def a1_series_moments(spark, d):
     return rounded(A.series_moments(series(spark, d)))
 
 
-@query(f"WITH p AS (SELECT realization, avg(value) AS m FROM {SERIES} WHERE t <= 20 GROUP BY realization HAVING count(*) = 20) SELECT count(*) AS realizations, round(sqrt(var_pop(m) / (count(*) - 1)), 6) AS se FROM p")
+@query(f"WITH p AS (SELECT realization, count(*) AS n, avg(value) AS m FROM {SERIES} GROUP BY realization) SELECT n, count(*) AS realizations, CASE WHEN count(*) > 1 THEN round(sqrt(var_pop(m) / (count(*) - 1)), 6) END AS se FROM p GROUP BY n")
 def a2_se_from_submeans(spark, d):
-    s = series(spark, d)
-    long = s.groupBy("realization").agg(F.max("t").alias("n")).where("n >= 20").select("realization")
-    return rounded(A.se_from_submeans(s.where("t <= 20").join(long, "realization", "left_semi")))
+    return rounded(A.se_by_length(series(spark, d)))
 
 
 _COV = f"s AS (SELECT realization, t, value - (SELECT avg(value) FROM {SERIES}) AS d FROM {SERIES}), c AS (SELECT b.t - a.t AS lag, avg(a.d * b.d) AS covariance, count(*) AS pairs FROM s a JOIN s b ON a.realization = b.realization AND b.t BETWEEN a.t AND a.t + 10 GROUP BY ALL)"

@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from drawlake.functions.numeric import stratified_normal
 from drawlake.operators import covariance as G
+from drawlake.operators import data
 from drawlake.operators import likelihood as L
 from drawlake.operators import predict as P
 from drawlake.plans.base import CASES, NETS, PAIRS, cases, nets, pairs, query, rounded, table
@@ -72,17 +74,29 @@ def l8_joined_outputs(spark, d):
     return cases(spark, d).select("case_id", F.transform(L.joined_outputs(F.array("x1", "x2", "t", "b"), 2), lambda x: F.round(x, 6)).alias("outputs"))
 
 
-@query(f"SELECT case_id, round(1 / exp(x1 / 5), 6) AS mean, round(ln(2) / exp(x1 / 5), 6) AS median, round(CASE WHEN ln(2) / exp(x1 / 5) <= 0.5 THEN ln(2) / exp(x1 / 5) ELSE 0.5 + (ln(2) - 0.5 * exp(x1 / 5)) / exp(x2) END, 6) AS pieces FROM {CASES}")
+@query(f"SELECT case_id, round(1 / exp(x1 / 5), 6) AS mean, round(ln(2) / exp(x1 / 5), 6) AS median, round(CASE WHEN ln(2) / exp(x1 / 5) <= 0.5 THEN ln(2) / exp(x1 / 5) ELSE 0.5 + (ln(2) - 0.5 * exp(x1 / 5)) / exp(x2) END, 6) AS pieces, round(1 / exp(x1 / 5) + exp(-0.5 * exp(x1 / 5)) * (1 / exp(x2) - 1 / exp(x1 / 5)), 6) AS pieces_mean FROM {CASES}")
 def l9_survival_guess(spark, d):
     g = L.survival_guess(F.col("x1") / 5)
     two = L.piecewise_median(F.array(F.exp(F.col("x1") / 5), F.exp("x2")), [0.5])
-    return rounded(cases(spark, d).select("case_id", g["mean"].alias("mean"), g["median"].alias("median"), two.alias("pieces")))
+    mean = L.piecewise_mean(F.array(F.exp(F.col("x1") / 5), F.exp("x2")), [0.5])
+    return rounded(cases(spark, d).select("case_id", g["mean"].alias("mean"), g["median"].alias("median"), two.alias("pieces"), mean.alias("pieces_mean")))
 
 
-@query()
+def _uniform(seed):
+    """The SQL of ``L.uniform`` of the case."""
+    return f"((CAST('0x' || substr(md5(case_id || ':{seed}'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)"
+
+
+@query(f"""SELECT case_id, round(x1 + 0.5 * sqrt(-2 * ln({_uniform('au')})) * cos(2 * pi() * {_uniform('av')}), 6) AS real,
+round(x1 + 0.5 * sqrt(4 * (pow({_uniform('bu')}, -0.5) - 1)) * cos(2 * pi() * {_uniform('bv')}), 6) AS heavy,
+CAST({_uniform('cu')} < 1 / (1 + exp(-x1)) AS DOUBLE) AS bin,
+CAST(CASE WHEN exp(x1) / (exp(x1) + exp(x2) + exp(t)) > {_uniform('du')} THEN 0 WHEN (exp(x1) + exp(x2)) / (exp(x1) + exp(x2) + exp(t)) > {_uniform('du')} THEN 1 ELSE 2 END AS DOUBLE) AS class,
+round(-ln({_uniform('eu')}) / exp(x2), 6) AS surv,
+CAST((SELECT min(k) FROM (SELECT k, sum(exp(k * x2 - exp(x2) - lgamma(k + 1))) OVER (ORDER BY k) AS upto FROM range(60) r(k)) WHERE upto >= {_uniform('fu')}) AS DOUBLE) AS count FROM {CASES}""")
 def l10_replicate(spark, d):
-    c = cases(spark, d)
-    return c.select("case_id", L.replicate("gaussian", 1, F.col("x1"), F.lit(0.5)).alias("real"), L.replicate("binary", 2, F.col("x1")).alias("bin"), L.replicate("survival", 3, F.col("x2")).alias("surv"), L.replicate("count", 4, F.col("x2")).alias("count"))
+    k, x1, x2 = F.col("case_id"), F.col("x1"), F.col("x2")
+    kinds = {"real": ("gaussian", "a", x1, F.lit(0.5)), "heavy": ("t", "b", x1, F.lit(0.5), 4.0), "bin": ("binary", "c", x1), "class": ("class", "d", F.array("x1", "x2", "t")), "surv": ("survival", "e", x2), "count": ("count", "f", x2)}
+    return rounded(cases(spark, d).select("case_id", *[L.replicate(kind, k, *rest).alias(name) for name, (kind, *rest) in kinds.items()]))
 
 
 _NET_SQL = f"SELECT case_id, 'n' AS log_id, idx, CAST(0 AS INTEGER) AS j, round(bias + w1 * tanh(w1 * x1 + w2 * x2 + 0.1) + w2 * tanh(0.5 * x1 - w1 * x2 - 0.2) + 0.3 * x2, 6) AS o FROM {CASES} CROSS JOIN {NETS}"
@@ -134,9 +148,18 @@ def p6_predict_mode(spark, d):
     return rounded(P.predict_mode(means.withColumn("c", 1 - F.col("a") - F.col("b")), ["case_id"], ["a", "b", "c"]).drop("c"))
 
 
-@query()
+@query(f"WITH m AS (SELECT case_id, any_value(b) AS b, sum(w / (1 + exp(-o))) / sum(w) AS p FROM {PAIRS} GROUP BY case_id) SELECT case_id, round(p, 6) AS p, CAST(p > 0.5 AS INTEGER) AS mode, CAST((p > 0.5) <> (b = 1) AS INTEGER) AS wrong FROM m")
+def p6_binary_mode(spark, d):
+    p = P.predict_mean(pairs(spark, d), ["case_id"], 1 / (1 + F.exp(-F.col("o"))), F.col("w")).join(cases(spark, d).select("case_id", "b"), "case_id")
+    return rounded(p.select("case_id", F.col("mean").alias("p"), *[c.alias(n) for n, c in P.binary_mode(F.col("mean"), F.col("b")).items()]))
+
+
+_Z101 = ", ".join(map(repr, stratified_normal(101)))
+
+
+@query(f"WITH v AS (SELECT case_id, list_sort(flatten(list([o + sd * z for z in [{_Z101}]]))) AS v FROM {PAIRS} GROUP BY case_id) SELECT case_id, round((list_extract(v, len(v) // 2 + 1) + list_extract(v, (len(v) - 1) // 2 + 1)) / 2, 6) AS median, " + ", ".join(f"round(list_extract(v, CAST(floor(0.5 + {f} * len(v)) AS BIGINT) + 1), 6) AS q{a}, round(list_extract(v, len(v) - CAST(floor(0.5 + {f} * len(v)) AS BIGINT)), 6) AS q{b}" for f, a, b in ((0.1, 10, 90), (0.01, "01", 99))) + " FROM v")
 def p7_median_quantiles(spark, d):
-    return P.pooled_quantiles(pairs(spark, d), ["case_id"], F.col("o"), F.col("sd"))
+    return rounded(P.pooled_quantiles(pairs(spark, d), ["case_id"], F.col("o"), F.col("sd")))
 
 
 @query(f"SELECT case_id, round(sum(w * exp(o / 5)) / sum(w), 6) AS mean_of_medians FROM {PAIRS} GROUP BY case_id")
@@ -156,6 +179,26 @@ def p9_score(spark, d):
     return rounded(P.score(both, {"log_prob": F.col("log_prob"), "squared": e * e, "absolute": F.abs(e)}))
 
 
+@query(f"""WITH m AS (SELECT case_id, avg(exp(o) / (exp(o) + exp(x2) + exp(sd))) AS a, avg(exp(x2) / (exp(o) + exp(x2) + exp(sd))) AS b, avg(exp(sd) / (exp(o) + exp(x2) + exp(sd))) AS c FROM {PAIRS} GROUP BY case_id),
+e AS (SELECT CAST((CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END) <> case_id % 3 AS DOUBLE) AS wr, pow(a - CAST(case_id % 3 = 0 AS DOUBLE), 2) + pow(b - CAST(case_id % 3 = 1 AS DOUBLE), 2) + pow(c - CAST(case_id % 3 = 2 AS DOUBLE), 2) AS sq, ln(CASE case_id % 3 WHEN 0 THEN a WHEN 1 THEN b ELSE c END) AS lp FROM m)
+SELECT {_score_sql(('wrong', 'wr'), ('squared', 'sq'), ('log_prob', 'lp'))} FROM e""")
+def p9_class_score(spark, d):
+    s = F.exp("o") + F.exp("x2") + F.exp("sd")
+    means = pairs(spark, d).groupBy("case_id").agg(F.avg(F.exp("o") / s).alias("a"), F.avg(F.exp("x2") / s).alias("b"), F.avg(F.exp("sd") / s).alias("c"))
+    return rounded(P.score(means, P.class_scores([F.col("a"), F.col("b"), F.col("c")], F.col("case_id") % 3)))
+
+
+@query(f"""WITH m AS (SELECT case_id, any_value(t) AS t0, any_value(b) AS t1, sum(w * o) / sum(w) AS m0, sum(w / (1 + exp(-o))) / sum(w) AS m1 FROM {PAIRS} GROUP BY case_id),
+e AS (SELECT case_id, 0 AS j, t0 - m0 AS e FROM m UNION ALL SELECT case_id, 1, t1 - m1 FROM m), s AS (SELECT j, e * e AS sq, abs(e) AS ab FROM e UNION ALL SELECT NULL, sum(e * e), sum(abs(e)) FROM e GROUP BY case_id)
+SELECT CAST(j AS INTEGER) AS j, {_score_sql(('squared', 'sq'), ('absolute', 'ab'))} FROM s GROUP BY j""")
+def p9_target_scores(spark, d):
+    rows = pairs(spark, d)
+    w = F.col("w")
+    means = rows.groupBy("case_id").agg(F.first("t").alias("t0"), F.first("b").alias("t1"), (F.sum(w * F.col("o")) / F.sum(w)).alias("m0"), (F.sum(w / (1 + F.exp(-F.col("o")))) / F.sum(w)).alias("m1"))
+    each = means.select("case_id", F.posexplode(F.array(F.col("t0") - F.col("m0"), F.col("t1") - F.col("m1"))).alias("j", "e"))
+    return rounded(P.target_scores(each, F.col("e")))
+
+
 @query(f"WITH m AS (SELECT case_id, sum(w / (1 + exp(-o))) / sum(w) AS p FROM {PAIRS} GROUP BY case_id) SELECT {_score_sql(('log_prob', '(p * ln(p) + (1 - p) * ln(1 - p))'), ('wrong', 'least(p, 1 - p)'), ('squared', '(p * (1 - p))'))} FROM m")
 def p10_expected_score(spark, d):
     p = P.predict_mean(pairs(spark, d), ["case_id"], 1 / (1 + F.exp(-F.col("o"))), F.col("w"))
@@ -168,10 +211,18 @@ def p11_raw_scale(spark, d):
     return rounded(pairs(spark, d).groupBy("case_id").agg(F.avg(P.raw_scale(F.col("o"), F.col("sd") * F.col("sd"), spec)).alias("raw"), F.avg(P.raw_log_prob(L.gaussian(F.col("t"), F.col("o"), F.col("sd")), F.exp(F.col("o") / 5 + 0.1), spec)).alias("log_prob")))
 
 
-@query(_NET_SQL.replace(CASES, "(SELECT c_custkey AS case_id, c_nationkey * 0.25 AS x1, c_acctbal / 5000 AS x2 FROM customer)"))
+_GRID = "(SELECT i * (n + 1) + j + 1 AS case_id, lo1 + i * (hi1 - lo1) / n AS x1, lo2 + j * (hi2 - lo2) / n AS x2 FROM (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS n, min(c_acctbal / 1000) AS lo1, max(c_acctbal / 1000) AS hi1, min((c_custkey % 17) / 10.0) AS lo2, max((c_custkey % 17) / 10.0) AS hi2 FROM customer) m CROSS JOIN LATERAL (SELECT unnest(range(n + 1)) AS i) p CROSS JOIN LATERAL (SELECT unnest(range(n + 1)) AS j) q)"
+
+
+@query(_NET_SQL.replace(CASES, _GRID).replace("SELECT case_id,", "SELECT round(x1, 6) AS x1, round(x2, 6) AS x2,"))
 def p12_evaluate_on_grid(spark, d):
-    points = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), (F.col("c_nationkey") * 0.25).alias("x1"), (F.col("c_acctbal") / 5000).alias("x2"))
-    return rounded(P.net_forward(points, "case_id", ["x1", "x2"], _draws(spark, d), P.Network(["tanh"])))
+    """Outputs over a grid that spans the cases and has about as many points."""
+    m = cases(spark, d).agg(F.count("*").alias("n"), *[f(c).alias(f"{n}{i}") for i, c in enumerate(("x1", "x2")) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    size = int(m["n"] ** 0.5)
+    points = data.grid_n(spark, [(m["lo0"], m["hi0"], size), (m["lo1"], m["hi1"], size)])
+    points = points.withColumn("case_id", F.xxhash64("x1", "x2"))
+    out = P.net_forward(points, "case_id", ["x1", "x2"], _draws(spark, d), P.Network(["tanh"]), keep=["x1", "x2"])
+    return rounded(out.drop("case_id"))
 
 
 @query(f"SELECT idx, round(-avg({_GAUSS}), 6) AS minus_log_prob, round(avg(abs(t - o)), 6) AS absolute, round(avg(pow(t - o, 2)), 6) AS squared FROM {PAIRS} GROUP BY idx")
@@ -179,6 +230,13 @@ def p13_draw_losses(spark, d):
     return rounded(pairs(spark, d).groupBy("idx").agg((-F.avg(L.gaussian(F.col("t"), F.col("o"), F.col("sd")))).alias("minus_log_prob"), F.avg(F.abs(F.col("t") - F.col("o"))).alias("absolute"), F.avg((F.col("t") - F.col("o")) ** 2).alias("squared")))
 
 
+@query(f"WITH p AS (SELECT idx, exp(o) / (exp(o) + exp(x2) + exp(sd)) AS a, exp(x2) / (exp(o) + exp(x2) + exp(sd)) AS b, exp(sd) / (exp(o) + exp(x2) + exp(sd)) AS c FROM {PAIRS}) SELECT idx, round(avg(1 - greatest(a, b, c)), 6) AS class_error, round(avg(-a * ln(a) - b * ln(b) - c * ln(c)), 6) AS entropy FROM p GROUP BY idx")
+def p13_class_losses(spark, d):
+    s = F.exp("o") + F.exp("x2") + F.exp("sd")
+    losses = P.expected_class_losses(F.array(F.exp("o") / s, F.exp("x2") / s, F.exp("sd") / s))
+    return rounded(pairs(spark, d).groupBy("idx").agg(*[F.avg(c).alias(n) for n, c in losses.items()]))
+
+
 def _net_at(x1):
     return f"(w1 * tanh(w1 * ({x1}) + w2 * x2 + 0.1) + w2 * tanh(0.5 * ({x1}) - w1 * x2 - 0.2))"
 
@@ -208,6 +266,19 @@ def p17_batch_gradient(spark, d):
     return rounded(spark.createDataFrame([(t, loss) for t, loss, _ in trace], "step int, loss double"))
 
 
+@query()
+def p17_network_ensemble(spark, d):
+    """Networks from two starts, trained on two halves and stopped early on the other half; their mean prediction."""
+    rows = cases(spark, d).withColumn("first", F.col("case_id") % 2 == 0).withColumn("second", F.col("case_id") % 2 == 1)
+    chosen = []
+    for k, half in enumerate(("first", "second")):
+        rng = np.random.default_rng(k)
+        start = {"ih": [rng.normal(0, 0.3, (2, 4))], "bh": [np.zeros(4)], "ho": [rng.normal(0, 0.3, (4, 1))], "bo": np.zeros(1)}
+        trace = P.network_fit(rows, ["x1", "x2"], "t", start, P.Network(["tanh"]), steps=6, step=0.05, validation=half)
+        chosen.append(("e", k, P.early_stop(trace)[3]))
+    return P.predict_mean(P.net_forward(rows, "case_id", ["x1", "x2"], chosen, P.Network(["tanh"])), ["case_id"], F.col("o"), F.lit(1.0))
+
+
 @query(f"SELECT case_id, idx, c AS label, round(exp(-pow(t - o - c, 2)) / sum(exp(-pow(t - o - c, 2))) OVER (PARTITION BY case_id, idx), 6) AS p FROM {PAIRS} CROSS JOIN (VALUES (0), (1)) v(c)")
 def p18_class_from_joint(spark, d):
     rows = pairs(spark, d).withColumn("label", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("l", -((F.col("t") - F.col("o") - F.col("label")) ** 2))
@@ -235,6 +306,21 @@ def g2_train_covariance(spark, d):
     return rounded(G.train_covariance(_train(spark, d), ["x1", "x2"], _SPEC, {1: 0.5}))
 
 
+_PARTS = G.Spec(constant=0.5, linear=[0.3, 0.2], spread=1, spreads=frozenset({0}), parts=[G.Part(0.1, [0.4, 0.6], 1.0, delta=frozenset({1})), G.Part(-0.2, [0.3, 0.3], -1, omit=frozenset({1}), times=frozenset({1}))])
+
+
+@query(f"SELECT a.i, b.i AS j, round(0.13 * a.x1 * b.x1 + 0.04 * a.x2 * b.x2 + exp(0.2 - 0.4 * abs(a.x1 - b.x1) - CASE WHEN a.x2 = b.x2 THEN 0 ELSE 0.6 END) + exp(-0.4) / (1 + pow(0.3 * (a.x1 - b.x1), 2)) * a.x2 * b.x2, 6) AS c FROM {_TRAIN} a CROSS JOIN {_TRAIN} b")
+def g1_covariance_parts(spark, d):
+    t = _train(spark, d)
+    return rounded(G.covariance(t, t.withColumnRenamed("i", "j"), ["x1", "x2"], _PARTS, keep={"linear", "0", "1"}))
+
+
+@query(f"SELECT a.i, b.i AS j, round({_COV_SQL} + CASE WHEN a.i = b.i THEN 0.0001 + 0.1 + (a.i % 5) / 10.0 ELSE 0 END, 6) AS c FROM {_TRAIN} a CROSS JOIN {_TRAIN} b")
+def g2_noise_by_case(spark, d):
+    t = _train(spark, d)
+    return rounded(G.train_covariance(t, ["x1", "x2"], _SPEC, noise=t.select("i", (0.1 + (F.col("i") % 5) / 10.0).alias("variance"))))
+
+
 def _gp(spark, d):
     x, t = G.packed(_train(spark, d), ["x1", "x2"], "t", "i")
     return G.gp_predict(x, t, cases(spark, d), "case_id", ["x1", "x2"], [(1, _SPEC), (2, G.Spec(constant=0.4, parts=[(0.0, [0.5, 0.5], 2.0)], noise=0.4))])
@@ -247,14 +333,34 @@ def g3_gp_predict(spark, d):
 
 @query()
 def g4_gp_class_probability(spark, d):
-    p = _gp(spark, d).withColumn("p", G.latent_average(F.col("mean"), F.col("variance"), lambda z: 1 / (1 + F.exp(-z))))
+    p = _gp(spark, d).withColumn("p", G.binary_probability(F.col("mean"), F.col("variance")))
     return p.groupBy("case_id").agg(F.avg("p").alias("p"))
 
 
+_Z100 = ", ".join(map(repr, stratified_normal(100)))
+_ORDERS = [[(k * (2 * j + 1) + j) % 101 for k in range(101)] for j in range(3)]
+_TRIPLES = ", ".join(f"[{', '.join(repr(stratified_normal(101)[order[k]]) for order in _ORDERS)}]" for k in range(101))
+
+
+@query(f"""WITH l AS (SELECT case_id, x1 / 5 AS m, 0.1 + x2 / 4 AS v, CAST(case_id % 4 AS INTEGER) AS k, t, b FROM {CASES}),
+z AS (SELECT *, [1 / (1 + exp(-(m + sqrt(v) * z))) for z in [{_Z100}]] AS ps, [exp(m + sqrt(v) * z) for z in [{_Z100}]] AS rs FROM l),
+c AS (SELECT case_id, [[exp(m + sqrt(v) * q[1]), exp(0.3 + sqrt(0.2::DOUBLE) * q[2]), exp(v + sqrt(0.5::DOUBLE) * q[3])] for q in [{_TRIPLES}]] AS e FROM l)
+SELECT case_id, round(-pow(t - m, 2) / (2 * (v + 0.09)) - 0.5 * ln(2 * pi() * (v + 0.09)), 6) AS real_log_prob, round(list_avg(ps), 6) AS p, round(ln(CASE WHEN b = 1 THEN list_avg(ps) ELSE 1 - list_avg(ps) END), 6) AS binary_log_prob,
+round(list_avg(rs), 6) AS count_mean, round(ln(list_avg([pow(r, k) * exp(-r) for r in rs])) - lgamma(k + 1), 6) AS count_log_prob,
+[round(list_avg([x[1] / (x[1] + x[2] + x[3]) for x in e]), 6), round(list_avg([x[2] / (x[1] + x[2] + x[3]) for x in e]), 6), round(list_avg([x[3] / (x[1] + x[2] + x[3]) for x in e]), 6)] AS classes FROM z JOIN c USING (case_id)""")
+def g4_latent_predictions(spark, d):
+    """Predictions of all kinds of target from a Gaussian latent value of known mean and variance."""
+    m, v, k = F.col("x1") / 5, 0.1 + F.col("x2") / 4, (F.col("case_id") % 4).cast("double")
+    p = G.binary_probability(m, v)
+    count = G.count_prediction(k, m, v)
+    classes = G.class_probabilities([m, F.lit(0.3), v], [v, F.lit(0.2), F.lit(0.5)])
+    out = cases(spark, d).select("case_id", G.gaussian_log_prob(F.col("t"), m, v, 0.3).alias("real_log_prob"), p.alias("p"), F.log(F.when(F.col("b") == 1, p).otherwise(1 - p)).alias("binary_log_prob"), count["mean"].alias("count_mean"), count["log_prob"].alias("count_log_prob"), classes.alias("classes"))
+    return rounded(out).withColumn("classes", F.transform("classes", lambda x: F.round(x, 6)))
+
+
 @query()
 def g5_covariance_spectrum(spark, d):
-    x, _ = G.packed(_train(spark, d), ["x1", "x2"], "t", "i")
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(G.covariance_spectrum(x, _SPEC))], "rank int, eigenvalue double")
+    return G.leading_spectrum(_train(spark, d), ["x1", "x2"], "i", _SPEC, 10)
 
 
 @query("SELECT s_suppkey, round(0.5 * pow(s_acctbal / 10000, 2) + exp(0.2) * (1 - exp(-pow(abs(s_acctbal) / 5000, 2))), 6) AS relevance FROM supplier")

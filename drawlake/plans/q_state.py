@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
+from drawlake.functions.numeric import stratified_normal
 from drawlake.operators import fields as C
 from drawlake.operators import mixture as M
 from drawlake.operators import particles as K
 from drawlake.operators import tree as T
+from drawlake.operators.pairing import paired
 from drawlake.plans.base import query, rounded, table
 from drawlake.streaming.monitor import summarise
 
@@ -81,9 +81,71 @@ def m6_responsibilities(spark, d):
     return rounded(M.responsibilities(M.component_log_density(_mcases(spark, d), _comps(spark, d)), _mweight(spark, d)))
 
 
-@query(f"SELECT case_id, round(ln(sum(weight * exp(log_density)) / 5), 6) AS log_prob FROM {_DENS} JOIN {_MWEIGHT} USING (log_id, idx, comp) GROUP BY case_id")
+_OWN = "(SELECT 'm' AS log_id, CAST(k AS BIGINT) AS idx, c_custkey AS case_id, CAST(k + 5 * (c_custkey % 5) AS BIGINT) AS comp FROM customer CROSS JOIN range(5) r(k))"
+_MFREQ = "(SELECT 'm' AS log_id, CAST(n_nationkey % 5 AS BIGINT) AS idx, CAST(n_nationkey AS BIGINT) AS comp, 1 + n_regionkey AS n FROM nation)"
+
+
+@query(f"WITH r AS (SELECT d.case_id, log_id, idx, d.comp, (n - CASE WHEN o.comp = d.comp THEN 1 ELSE 0 END) * exp(log_density) AS l FROM {_DENS} d JOIN {_MFREQ} USING (log_id, idx, comp) JOIN {_OWN} o USING (log_id, idx, case_id)) SELECT case_id, log_id, idx, comp, round(l / sum(l) OVER (PARTITION BY case_id, log_id, idx), 6) AS p FROM r WHERE l > 0")
+def m6_left_out(spark, d):
+    n = F.col("n_nationkey")
+    freq = table(spark, d, "nation").select(F.lit("m").alias("log_id"), (n % 5).cast("long").alias("idx"), n.cast("long").alias("comp"), (1 + F.col("n_regionkey")).cast("long").alias("n"))
+    own = table(spark, d, "customer").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    own = own.select(F.lit("m").alias("log_id"), F.col("k").cast("long").alias("idx"), F.col("c_custkey").alias("case_id"), (F.col("k") + 5 * (F.col("c_custkey") % 5)).cast("long").alias("comp"))
+    density = M.component_log_density(_mcases(spark, d), _comps(spark, d))
+    return rounded(M.left_out_responsibilities(density, freq, own).where("p > 0"))
+
+
+_Z20 = ", ".join(map(repr, stratified_normal(20)))
+_HYPERS = "(SELECT 'm' AS log_id, CAST(r_regionkey AS BIGINT) AS idx, CAST(v AS INTEGER) AS target, 1 + r_regionkey / 4.0 + v AS mean, 0.5 + v / 4.0 AS hsd, 0.8 + r_regionkey / 10.0 AS noise FROM region CROSS JOIN range(2) r(v))"
+_NEW_REAL = f"(SELECT case_id, log_id, idx, CAST(0 AS BIGINT) AS comp, sum(CASE WHEN t IS NULL THEN 0 ELSE ln(list_avg([exp(-pow(t - mean - hsd * z, 2) / (2 * noise * noise)) / (noise * sqrt(2 * pi())) for z in [{_Z20}]])) END) AS log_density FROM {_MCASES} JOIN {_HYPERS} USING (target) GROUP BY case_id, log_id, idx)"
+_W_DRAWS = "(SELECT 'm' AS log_id, CAST(r_regionkey AS BIGINT) AS idx, 1 + r_regionkey / 2.0 AS w FROM region)"
+
+
+def _hypers(spark, d):
+    r, v = F.col("r_regionkey"), F.col("v")
+    rows = table(spark, d, "region").withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
+    return rows.select(F.lit("m").alias("log_id"), r.cast("long").alias("idx"), v.alias("target"), (1 + r / 4.0 + v).alias("mean"), (0.5 + v / 4.0).alias("sd"), (0.8 + r / 10.0).alias("noise"))
+
+
+def _weights_with_new(spark, d):
+    n = F.col("n_nationkey")
+    freq = table(spark, d, "nation").select(F.lit("m").alias("log_id"), (n % 5).cast("long").alias("idx"), (n + 1).cast("long").alias("comp"), (1 + F.col("n_regionkey")).cast("long").alias("n"))
+    return M.weights(freq, 2.5)
+
+
+def _draw_weights(spark, d):
+    r = F.col("r_regionkey")
+    return table(spark, d, "region").select(F.lit("m").alias("log_id"), r.cast("long").alias("idx"), (1 + r / 2.0).alias("w"))
+
+
+# component numbers count from 1 here, as 0 is the new component
+@query(f"""WITH s AS (SELECT n_nationkey % 5 AS idx, 2.5 + sum(1 + n_regionkey) AS s FROM nation GROUP BY 1),
+w AS (SELECT 'm' AS log_id, idx, CAST(n_nationkey + 1 AS BIGINT) AS comp, (1 + n_regionkey) / s AS weight FROM nation JOIN s ON idx = n_nationkey % 5 UNION ALL SELECT 'm', idx, 0, 2.5 / s FROM s),
+a AS (SELECT case_id, log_id, idx, comp + 1 AS comp, log_density FROM {_DENS} UNION ALL SELECT case_id, log_id, idx, comp, log_density FROM {_NEW_REAL})
+SELECT case_id, round(ln(sum(w * weight * exp(log_density)) / (SELECT sum(w) FROM {_W_DRAWS})), 6) AS log_prob FROM a JOIN w USING (log_id, idx, comp) JOIN {_W_DRAWS} USING (log_id, idx) GROUP BY case_id""")
 def m7_mixture_log_prob(spark, d):
-    return rounded(M.mixture_log_prob(M.component_log_density(_mcases(spark, d), _comps(spark, d)), _mweight(spark, d)))
+    cases = _mcases(spark, d)
+    known = M.component_log_density(cases, _comps(spark, d)).withColumn("comp", F.col("comp") + 1)
+    new = M.new_component_log_density(cases, _hypers(spark, d), points=20)
+    return rounded(M.mixture_log_prob(known.unionByName(new), _weights_with_new(spark, d), _draw_weights(spark, d)))
+
+
+_BCASES = "(SELECT c_custkey AS case_id, CAST(v AS INTEGER) AS target, CASE WHEN c_custkey % 7 = v THEN NULL WHEN v = 0 THEN CAST(c_acctbal > 4000 AS INTEGER) ELSE c_nationkey % 2 END AS t FROM customer CROSS JOIN range(2) r(v))"
+
+
+@query(f"""WITH s AS (SELECT n_nationkey % 5 AS idx, 2.5 + sum(1 + n_regionkey) AS s FROM nation GROUP BY 1),
+w AS (SELECT 'm' AS log_id, idx, CAST(n_nationkey + 1 AS BIGINT) AS comp, (1 + n_regionkey) / s AS weight FROM nation JOIN s ON idx = n_nationkey % 5 UNION ALL SELECT 'm', idx, 0, 2.5 / s FROM s),
+a AS (SELECT case_id, log_id, idx, comp + 1 AS comp, sum(CASE WHEN t IS NULL THEN 0 ELSE -ln(1 + exp(CASE WHEN t = 0 THEN "offset" ELSE -"offset" END)) END) AS l FROM {_BCASES} JOIN {_COMPS} USING (target) GROUP BY ALL
+UNION ALL SELECT case_id, log_id, idx, 0, sum(CASE WHEN t IS NULL THEN 0 ELSE ln(list_avg([1 / (1 + exp(CASE WHEN t = 0 THEN mean + hsd * z ELSE -mean - hsd * z END)) for z in [{_Z20}]])) END) FROM {_BCASES} JOIN {_HYPERS} USING (target) GROUP BY ALL)
+SELECT case_id, round(ln(sum(weight * exp(l)) / 5), 6) AS log_prob FROM a JOIN w USING (log_id, idx, comp) GROUP BY case_id""")
+def m7_binary_log_prob(spark, d):
+    k, v = F.col("c_custkey"), F.col("v")
+    rows = table(spark, d, "customer").withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
+    t = F.when(k % 7 != v, F.when(v == 0, (F.col("c_acctbal") > 4000).cast("long")).otherwise((F.col("c_nationkey") % 2).cast("long")))
+    cases = rows.select(k.alias("case_id"), v.alias("target"), t.alias("t"))
+    known = M.component_log_density(cases, _comps(spark, d), "binary").withColumn("comp", F.col("comp") + 1)
+    new = M.new_component_log_density(cases, _hypers(spark, d), "binary", points=20)
+    return rounded(M.mixture_log_prob(known.unionByName(new), _weights_with_new(spark, d)))
 
 
 @query(f"SELECT log_id, idx, comp, CAST(0 AS INTEGER) AS target, count(*) AS n, round(avg(q / 10), 6) AS mean, round((2.0 / 4 + sum(q / 10) / 0.25) / (1 / 4.0 + count(*) / 0.25), 6) AS offset_mean, round(1 / (1 / 4.0 + count(*) / 0.25), 6) AS offset_variance FROM {_ASSIGN} GROUP BY ALL")
@@ -93,6 +155,14 @@ def m8_component_stats(spark, d):
     return rounded(M.component_stats(rows.drop("q"), cases, 2.0, 2.0, 0.5))
 
 
+@query(f"SELECT log_id, idx, count(*) AS n, round(sum(pow(q / 10 - comp / 50.0, 2)), 4) AS squares, CAST(3 + count(*) AS DOUBLE) AS shape, round((3.0 + count(*)) / (3.0 * 0.25 + sum(pow(q / 10 - comp / 50.0, 2))), 6) AS precision FROM {_ASSIGN} GROUP BY log_id, idx")
+def m8_pooled_noise(spark, d):
+    rows = _assign(spark, d).withColumn("case_id", F.struct("case_id", "q"))
+    cases = rows.select("case_id").distinct().withColumn("target", F.lit(0)).withColumn("t", F.col("case_id.q") / 10)
+    comps = M.frequencies(rows).select(*M.DRAW, "comp", F.lit(0).alias("target"), (F.col("comp") / 50.0).alias("offset"))
+    return rounded(M.pooled_noise(rows.drop("q"), cases, comps, 3.0, 0.5)).withColumn("squares", F.round("squares", 4))
+
+
 @query("SELECT c_custkey AS case_id, round(ln(0.4 * CASE WHEN c_custkey % 2 = 1 THEN 0.9 ELSE 0.1 END * CASE WHEN c_nationkey % 2 = 1 THEN 0.2 ELSE 0.8 END + 0.6 * CASE WHEN c_custkey % 2 = 1 THEN 0.3 ELSE 0.7 END * CASE WHEN c_nationkey % 2 = 1 THEN 0.5 ELSE 0.5 END), 6) AS log_prob FROM customer")
 def m9_known_mixture(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), (F.col("c_custkey") % 2).alias("b1"), (F.col("c_nationkey") % 2).alias("b2"))
@@ -159,10 +229,10 @@ def t7_cut(spark, d):
     return T.cut(n, T.ancestors(n), 0.4).withColumn("cluster", F.col("cluster").cast("long"))
 
 
-@query()
+@query(f"SELECT tree, node, round(0.5 * divt - ln(1 - divt) + 0.25 * (1 / (1 - divt) - 1), 6) AS e, round(divt, 6) AS back FROM {_NODES} WHERE node < 0")
 def t8_divergence_function(spark, d):
     e = T.cumulative_divergence(F.col("divt"), 0.5, 1.0, 0.25)
-    return _nodes(spark, d).where("node < 0").select("tree", "node", e.alias("e"), T.inverse_divergence(e, 0.5, 1.0, 0.25).alias("back"))
+    return rounded(_nodes(spark, d).where("node < 0").select("tree", "node", e.alias("e"), T.inverse_divergence(e, 0.5, 1.0, 0.25).alias("back")))
 
 
 @query(f"SELECT n.tree, round(sum(ln(1 / (1 - n.divt)) - (SELECT sum(1.0 / i) FROM range(1, CAST(16 / pow(2, floor(log2(n.h))) AS BIGINT)) r(i)) * (-ln(1 - n.divt) + ln(1 - coalesce(p.divt, 0)))), 6) AS log_prob FROM {_NODES} n LEFT JOIN {_NODES} p ON p.tree = n.tree AND p.node = n.parent WHERE n.node < 0 GROUP BY n.tree")
@@ -179,8 +249,11 @@ def t10_path_log_prob(spark, d):
 
 
 _SRC = "(SELECT CAST(s_nationkey % 3 AS VARCHAR) AS log_id, CAST(s_nationkey AS BIGINT) AS idx, s_suppkey AS src, (s_suppkey % 40) / 4.0 AS x, (s_suppkey % 9) / 3.0 AS y, (s_suppkey % 5) / 5.0 AS z, 1 + abs(s_acctbal) / 1000 AS q, (s_suppkey % 7) / 1.0 AS start, (s_suppkey % 7) / 1.0 + 5 AS stop, 2.0 AS u FROM supplier)"
-_REC = "(SELECT c_custkey AS receptor, (c_custkey % 60) / 4.0 AS x, (c_custkey % 7) / 2.0 AS y, 0.5 AS z, 6.0 AS t FROM customer)"
-_PLUME = "exp(-pow(r.y - s.y, 2) / (2 * pow(0.1 * (r.x - s.x), 2))) * (exp(-pow(r.z - s.z, 2) / (2 * pow(0.1 * (r.x - s.x), 2))) + exp(-pow(r.z + s.z, 2) / (2 * pow(0.1 * (r.x - s.x), 2)))) / (2 * pi() * pow(0.1 * (r.x - s.x), 2) * u)"
+_REC = "(SELECT c_custkey AS receptor, (c_custkey % 60) / 4.0 - 5 AS x, (c_custkey % 7) / 2.0 AS y, 0.5 AS z, 6.0 AS t FROM customer)"
+# source at (x, y, z), receptor r downwind where s.x > r.x; density n(v) = exp(-v^2/2) / sqrt(2 pi)
+_PLUMES = f"""(SELECT s.*, r.receptor, r.t, s.x - r.x AS xd, 0.12 * (s.x - r.x) / sqrt(1 + 0.05 * (s.x - r.x)) AS sy, 0.1 * (s.x - r.x) / sqrt(1 + 0.02 * (s.x - r.x)) AS sz, s.y - r.y AS yd, s.z - r.z AS down, s.z + r.z AS mirror FROM {_SRC} s JOIN {_REC} r ON s.x > r.x)"""
+_PLUME = "(exp(-pow(yd / sy, 2) / 2) / sy * (exp(-pow(down / sz, 2) / 2) + exp(-pow(mirror / sz, 2) / 2)) / sz / (2 * pi()) / u)"
+_FLOW = C.Flow(0.12, 0.05, 0.1, 0.02)
 
 
 def _sources(spark, d):
@@ -190,43 +263,54 @@ def _sources(spark, d):
 
 def _receptors(spark, d):
     k = F.col("c_custkey")
-    return table(spark, d, "customer").select(k.alias("receptor"), ((k % 60) / 4.0).alias("x"), ((k % 7) / 2.0).alias("y"), F.lit(0.5).alias("z"), F.lit(6.0).alias("t"))
+    return table(spark, d, "customer").select(k.alias("receptor"), ((k % 60) / 4.0 - 5).alias("x"), ((k % 7) / 2.0).alias("y"), F.lit(0.5).alias("z"), F.lit(6.0).alias("t"))
 
 
-@query(f"SELECT s.src, round(sum({_PLUME}), 6) AS total, round(max({_PLUME}), 6) AS peak FROM {_SRC} s JOIN {_REC} r ON r.x > s.x GROUP BY s.src")
+@query(f"SELECT src, round(sum({_PLUME}), 6) AS total, round(max({_PLUME}), 6) AS peak FROM {_PLUMES} GROUP BY src UNION ALL SELECT src, 0, 0 FROM {_SRC} WHERE x <= (SELECT min(x) FROM {_REC})")
 def c1_plume(spark, d):
     r = _receptors(spark, d).select("receptor", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"))
-    rows = r.join(F.broadcast(_sources(spark, d)), F.col("rx") > F.col("x"))
-    c = C.plume(F.col("rx") - F.col("x"), F.col("ry") - F.col("y"), F.col("z"), F.col("rz"), F.col("u"))
-    return rounded(rows.groupBy("src").agg(F.sum(c).alias("total"), F.max(c).alias("peak")))
+    c = C.plume(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"), F.col("z"), F.col("rz"), F.col("u"), _FLOW)
+    return rounded(paired(r, _sources(spark, d)).groupBy("src").agg(F.sum(c).alias("total"), F.max(c).alias("peak")))
+
 
+_TOTAL = f"(SELECT a.log_id, a.idx, a.receptor, coalesce(sum({_PLUME} * sqrt(q)) FILTER (WHERE 6 - xd / 2 >= start AND 6 - xd / 2 <= stop), 0) AS total FROM (SELECT DISTINCT log_id, idx, receptor FROM {_SRC} CROSS JOIN {_REC}) a LEFT JOIN {_PLUMES} p ON p.log_id = a.log_id AND p.idx = a.idx AND p.receptor = a.receptor GROUP BY ALL)"
 
-_TOTAL = f"(SELECT log_id, idx, receptor, sum({_PLUME} * q * CASE WHEN 6 - (r.x - s.x) / 2 >= start AND 6 - (r.x - s.x) / 2 < stop THEN 1 ELSE 0 END) AS total FROM {_SRC} s JOIN {_REC} r ON r.x > s.x GROUP BY ALL)"
+
+def _totals(spark, d):
+    return C.receptor_total(_sources(spark, d), _receptors(spark, d), _FLOW, power=2.0, timed=True)
 
 
 @query(f"SELECT log_id, idx, receptor, round(total, 6) AS total FROM {_TOTAL}")
 def c2_receptor_total(spark, d):
-    return rounded(C.receptor_total(_sources(spark, d), _receptors(spark, d), timed=True))
+    return rounded(_totals(spark, d))
 
 
-@query(f"SELECT receptor, round(sum(idx * total) / sum(idx), 6) AS mean FROM {_TOTAL} WHERE idx > 0 GROUP BY receptor")
-def c3_detector_prediction(spark, d):
-    from drawlake.operators.predict import predict_mean
+_Z101 = ", ".join(map(repr, stratified_normal(101)))
+_PICK = "round((list_extract(v, len(v) // 2 + 1) + list_extract(v, (len(v) - 1) // 2 + 1)) / 2, 6) AS median, " + ", ".join(f"round(list_extract(v, CAST(floor(0.5 + {f} * len(v)) AS BIGINT) + 1), 6) AS q{a}, round(list_extract(v, len(v) - CAST(floor(0.5 + {f} * len(v)) AS BIGINT)), 6) AS q{b}" for f, a, b in ((0.1, 10, 90), (0.01, "01", 99)))
 
-    return rounded(predict_mean(C.receptor_total(_sources(spark, d), _receptors(spark, d), timed=True).where("idx > 0"), ["receptor"], F.col("total"), F.col("idx")))
+
+@query(f"""WITH p AS (SELECT t.*, exp(-2 + idx / 20.0) AS sd, (receptor % 9) / 20.0 AS value FROM {_TOTAL} t),
+v AS (SELECT receptor, list_sort(flatten(list([total + sd * z for z in [{_Z101}]]))) AS v FROM p GROUP BY receptor)
+SELECT p.receptor, round(avg(total), 6) AS mean, CASE WHEN p.receptor % 4 > 0 THEN round(ln(avg(exp(-pow((value - total) / sd, 2) / 2) / sd / sqrt(2 * pi()))), 6) END AS log_prob, any_value(m.median) AS median, any_value(m.q10) AS q10, any_value(m.q90) AS q90, any_value(m.q01) AS q01, any_value(m.q99) AS q99
+FROM p JOIN (SELECT receptor, {_PICK} FROM v) m USING (receptor) GROUP BY p.receptor""")
+def c3_detector_prediction(spark, d):
+    draws = _sources(spark, d).select("log_id", "idx", (-2 + F.col("idx") / 20.0).alias("log_width")).distinct()
+    k = F.col("c_custkey")
+    observed = table(spark, d, "customer").select(k.alias("receptor"), F.when(k % 4 > 0, (k % 9) / 20.0).alias("value"))
+    return rounded(C.detector_prediction(_totals(spark, d), draws, observed))
 
 
-@query(f"""WITH w AS (SELECT DISTINCT log_id, idx, 1 + idx / 10.0 AS w FROM {_SRC}), c AS (SELECT least(floor(6 * x / 9.75), 5) AS a, least(floor(4 * y / (8 / 3.0)), 3) AS b, w * q AS v FROM {_SRC} JOIN w USING (log_id, idx))
-SELECT CAST(i AS INTEGER) AS x_cell, CAST(j AS INTEGER) AS y_cell, round(coalesce(sum(v), 0) / (SELECT sum(w) FROM w), 6) AS intensity FROM range(6) p(i) CROSS JOIN range(4) q(j) LEFT JOIN c ON a = i AND b = j GROUP BY i, j""")
+@query(f"""WITH w AS (SELECT DISTINCT log_id, idx, 1 + idx / 10.0 AS w FROM {_SRC}), c AS (SELECT least(floor(6 * x / 9.75), 5) AS a, least(floor(4 * y / (8 / 3.0)), 3) AS b, start, stop, w * q AS v FROM {_SRC} JOIN w USING (log_id, idx))
+SELECT CAST(i AS INTEGER) AS x_cell, CAST(j AS INTEGER) AS y_cell, CAST(k AS INTEGER) AS t_cell, round(coalesce(sum(v * greatest(1 - (greatest(start - 2.4 * k, 0) + greatest(2.4 * (k + 1) - stop, 0)) / 2.4, 0)), 0) / (SELECT sum(w) FROM w), 6) AS intensity FROM range(6) p(i) CROSS JOIN range(4) q(j) CROSS JOIN range(5) r(k) LEFT JOIN c ON a = i AND b = j GROUP BY i, j, k""")
 def c4_intensity_grid(spark, d):
     s = _sources(spark, d)
     w = s.select("log_id", "idx", (1 + F.col("idx") / 10.0).alias("w")).distinct()
-    return rounded(C.intensity_grid(s, w, {"x": (0.0, 9.75, 6), "y": (0.0, 8 / 3.0, 4)}))
+    return rounded(C.intensity_grid(s, w, {"x": (0.0, 9.75, 6), "y": (0.0, 8 / 3.0, 4)}, times=(12.0, 5)))
 
 
-@query(f"SELECT log_id, idx, count(*) AS n, round(sum(q), 6) AS total_q, round(max(q), 6) AS max_q, round(sum(q * 5), 6) AS released, CAST(5 AS DOUBLE) AS mean_duration FROM {_SRC} GROUP BY ALL")
+@query(f"SELECT log_id, idx, count(*) AS n, round(sum(q), 6) AS total_q, round(max(q), 6) AS max_q, [round(x, 6) for x in list_reverse_sort(list(q))] AS sorted_q, round(sum(q * 5), 6) AS released, CAST(5 AS DOUBLE) AS mean_duration FROM (SELECT * REPLACE (sqrt(q) AS q) FROM {_SRC}) GROUP BY ALL")
 def c5_source_quantities(spark, d):
-    return rounded(C.source_quantities(_sources(spark, d)))
+    return rounded(C.source_quantities(_sources(spark, d), 2.0)).withColumn("sorted_q", F.transform("sorted_q", lambda x: F.round(x, 6)))
 
 
 # particles: first three parts of each embedding, configurations of vectors by label and id

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from drawlake.functions import formula as formulas
 from drawlake.functions import numeric as N
 from drawlake.operators import covariance as G
-from drawlake.operators import data, diagnostics, draws, likelihood, mixture, predict, tree
+from drawlake.operators import data, diagnostics, draws, fields, likelihood, mixture, pairing, predict, tree
 from drawlake.sources import tables
 from drawlake.streaming.monitor import monitor
 
@@ -170,3 +170,157 @@ def test_queries_against_sql(spark, sf_dir, name):
     cols = sorted(df.columns)
     want = con.sql("SELECT " + ", ".join(f'"{c}"' for c in cols) + f" FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, (tuple(r[c] for c in cols) for r in df.collect()))) == sorted(map(str, want))
+
+
+def test_special_functions_in_batches():
+    x = np.r_[np.linspace(-4.3, 30, 200), 1e5]
+    assert N.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-12) and np.isinf(N.log_gamma(np.array([0.0, -3.0]))).all()
+    z = np.linspace(-7, 7, 201)
+    assert N.cdf(z) == pytest.approx([0.5 * math.erfc(-v / math.sqrt(2)) for v in z], rel=1e-11)
+    assert N.cdf(N.quantiles(np.array([1e-6, 0.3, 0.999]))) == pytest.approx([1e-6, 0.3, 0.999]) and np.isnan(N.quantiles(np.array([1.5]))[0])
+
+
+def test_special_functions_keep_nulls(spark):
+    df = spark.createDataFrame([(0.5,), (None,), (2.0,)], "p double")
+    assert [r.v for r in df.select(N.normal_quantile(F.col("p")).alias("v")).collect()] == [pytest.approx(0, abs=1e-12), None, None]
+    assert [r.v for r in df.select(N.lgamma(F.col("p")).alias("v")).collect()] == pytest.approx([math.lgamma(0.5), None, 0.0])
+
+
+def test_pairs_in_blocks(spark):
+    left, right = spark.range(7).withColumnRenamed("id", "a"), spark.range(30).withColumnRenamed("id", "b")
+    want = sorted((a, b) for a in range(7) for b in range(30))
+    for most in (100, 4):
+        assert sorted(map(tuple, pairing.paired(left, right, most=most).collect())) == want
+        assert pairing.paired(left, right, F.col("a") == F.col("b"), most).count() == 7
+
+
+def test_numbered_keeps_order(spark):
+    df = spark.range(1000, numPartitions=7).select((F.col("id") * 3).alias("k")).where("k % 4 > 0")
+    rows = tables.numbered(df).orderBy("k").collect()
+    assert [r.row_id for r in rows] == list(range(1, len(rows) + 1)) and tables.numbered(df.limit(0)).count() == 0
+
+
+def test_unknown_quantities_and_counts(spark):
+    q = spark.createDataFrame([("a", 1, "w", 1, 2.0), ("a", 1, "w", 2, 3.0), ("a", 1, "v", 1, 5.0)], "log_id string, idx long, quantity string, pos int, value double")
+    for text in ("z", "w@1:3", "wz"):
+        with pytest.raises(ValueError):
+            diagnostics.quantity_table(q, text)
+    w, v = q.where("quantity = 'w'"), q.where("quantity = 'v'")
+    assert sorted((r.x, r.y) for r in diagnostics.quantity_pairs(w, v).collect()) == [(2.0, 5.0), (3.0, 5.0)]
+    three = v.unionByName(v.withColumn("pos", F.lit(2))).unionByName(v.withColumn("pos", F.lit(3)))
+    with pytest.raises(Exception, match="numbers of values differ"):
+        diagnostics.quantity_pairs(w, three).collect()
+
+
+def test_run_quantities_by_modifier(spark):
+    c = {"log_weight": F.lit(-7.0), "delta": F.lit(2000.0), "consecutive_accepts": F.lit(-4), "proposals": F.lit(0), "rejects": F.lit(0)}
+    got = [value(spark, draws.run_quantity(*a)) for a in (("Q", c), ("Q", c, 0), ("Q", c, 5), ("D", c), ("C", c, 0), ("C", c, 1), ("C", c, 2), ("r", c))]
+    assert got == pytest.approx([math.exp(-7), -7, -5, 1000, 0, 4, 4 * 2 * (1 - math.exp(-1.2 - 4)), None])
+
+
+def test_append_and_copy_ranges(spark):
+    t = spark.createDataFrame([(3, 1.0), (9, 2.0)], "idx long, value double")
+    s = spark.createDataFrame([(2, 5.0), (4, 6.0), (8, 7.0)], "idx long, value double")
+    assert sorted(map(tuple, draws.append_draws(t, s, "3:8").collect())) == [(3, 1.0), (9, 2.0), (10, 6.0), (11, 7.0)]
+    assert sorted(map(tuple, draws.append_draws(t, s, at_last=True).collect())) == [(3, 1.0), (9, 2.0), (9, 5.0), (10, 6.0), (11, 7.0)]
+    r = spark.createDataFrame([(-1, "S", 0.0), (2, "q", 1.0), (4, "b", 2.0), (6, "q", 3.0)], "idx long, type string, value double")
+    assert sorted(r.idx for r in draws.copy_draws(r, 5, 10, ("b",), "2:6%2").collect()) == [-1, 5, 15]
+
+
+def test_new_component_is_never_lost(spark):
+    weight = spark.createDataFrame([("m", 1, 1, 0.75), ("m", 1, 0, 0.25)], "log_id string, idx long, comp long, weight double")
+    known = spark.createDataFrame([(7, "m", 1, 1, -1.0)], "case_id long, log_id string, idx long, comp long, log_density double")
+    with pytest.raises(ValueError):
+        mixture.mixture_log_prob(known, weight)
+    both = known.unionByName(known.withColumn("comp", F.lit(0).cast("long")))
+    assert mixture.mixture_log_prob(both, weight).first().log_prob == pytest.approx(-1)
+    cases = spark.createDataFrame([(7, 0, 1.0), (7, 1, None)], "case_id long, target int, t double")
+    hypers = spark.createDataFrame([("m", 1, 0, 0.0, 1.0, 1.0), ("m", 1, 1, 0.0, 1.0, 1.0)], "log_id string, idx long, target int, mean double, sd double, noise double")
+    got = mixture.new_component_log_density(cases, hypers, points=2000).first().log_density
+    assert got == pytest.approx(-0.25 - 0.5 * math.log(4 * math.pi), abs=2e-3)
+
+
+def test_draw_weights_count(spark):
+    weight = spark.createDataFrame([("m", 1, 1, 1.0), ("m", 2, 1, 1.0)], "log_id string, idx long, comp long, weight double")
+    density = spark.createDataFrame([(7, "m", 1, 1, 0.0), (7, "m", 2, 1, math.log(3.0))], "case_id long, log_id string, idx long, comp long, log_density double")
+    w = spark.createDataFrame([("m", 1, 3.0), ("m", 2, 1.0)], "log_id string, idx long, w double")
+    assert mixture.mixture_log_prob(density, weight, w).first().log_prob == pytest.approx(math.log(6 / 4))
+
+
+def test_plume_is_downwind_of_the_source(spark):
+    flow = fields.Flow(0.2, 0.1, 0.3, 0.05)
+    assert value(spark, fields.plume(F.lit(-1.0), F.lit(0.0), F.lit(1.0), F.lit(1.0), F.lit(2.0), flow)) == 0
+    sy, sz = 0.2 * 3 / math.sqrt(1.3), 0.3 * 3 / math.sqrt(1.15)
+    n = lambda v: math.exp(-v * v / 2) / math.sqrt(2 * math.pi)
+    want = n(0.5 / sy) / sy * (n(0.4 / sz) + n(1.6 / sz)) / sz / 2
+    assert value(spark, fields.plume(F.lit(3.0), F.lit(0.5), F.lit(1.0), F.lit(0.6), F.lit(2.0), flow)) == pytest.approx(want)
+    assert [value(spark, fields.active(F.lit(2.0), F.lit(2.0), F.lit(t), F.lit(1.0), F.lit(3.0))) for t in (1.9, 2.0, 4.0, 4.1)] == [False, True, True, False]
+
+
+def test_receptors_without_source_get_zero(spark):
+    src = spark.createDataFrame([("a", 1, 0.0, 0.0, 1.0, 4.0, 2.0)], "log_id string, idx long, x double, y double, z double, q double, u double")
+    rec = spark.createDataFrame([(1, -2.0, 0.0, 1.0), (2, 5.0, 0.0, 1.0)], "receptor long, x double, y double, z double")
+    none = spark.createDataFrame([("a", 1), ("a", 2)], "log_id string, idx long")
+    got = {(r.idx, r.receptor): r.total for r in fields.receptor_total(src, rec, fields.Flow(), draws=none).collect()}
+    assert got[1, 1] > 0 and got[1, 2] == got[2, 1] == got[2, 2] == 0
+
+
+def test_replicates_do_not_depend_on_partitions(spark):
+    df = spark.range(4000)
+    column = {k: likelihood.replicate(k, F.col("id"), "s", F.array(F.lit(0.0), F.lit(math.log(3.0))) if k == "class" else F.lit(1.0), F.lit(0.5), 5.0).alias(k) for k in ("gaussian", "t", "binary", "class", "count", "survival")}
+    a, b = (sorted(map(tuple, df.repartition(n).select("id", *column.values()).collect())) for n in (1, 7))
+    assert a == b
+    mean = dict(zip(column, np.mean([r[1:] for r in a], axis=0)))
+    for kind, want in {"gaussian": 1, "t": 1, "binary": 1 / (1 + math.exp(-1)), "class": 0.75, "count": math.e, "survival": math.exp(-1)}.items():
+        assert mean[kind] == pytest.approx(want, abs=0.08), kind
+
+
+def test_quantiles_refuse_weights(spark):
+    df = spark.createDataFrame([(1, 0.0, 1.0, 1.0), (1, 1.0, 1.0, 2.0)], "k int, m double, s double, w double")
+    with pytest.raises(ValueError):
+        predict.pooled_quantiles(df, ["k"], F.col("m"), F.col("s"), w=F.col("w"))
+    assert predict.pooled_quantiles(df, ["k"], F.col("m"), F.col("s"), w=F.lit(1.0)).count() == 1
+
+
+def test_network_gradient_against_differences(spark):
+    rng = np.random.default_rng(2)
+    x, t = rng.normal(size=(40, 2)), rng.normal(size=40)
+    df = spark.createDataFrame([(float(a), float(b), float(c), i % 4 == 0) for i, ((a, b), c) in enumerate(zip(x, t))], "a double, b double, t double, v boolean")
+    start = {"ih": [rng.normal(size=(2, 3))], "bh": [rng.normal(size=3)], "ho": [rng.normal(size=(3, 1))], "io": rng.normal(size=(2, 1)), "bo": rng.normal(size=1)}
+    net = predict.Network(["tanh"])
+    trace = predict.network_fit(df, ["a", "b"], "t", start, net, steps=3, step=0.5, validation="v")
+    train = np.arange(40) % 4 > 0
+    loss = lambda p: ((net.output(x[train], p)[:, 0] - t[train]) ** 2).sum() / 2
+    assert trace[0][1] == pytest.approx(2 * loss(start) / 30) and trace[0][2] == pytest.approx(np.mean((net.output(x[~train], start)[:, 0] - t[~train]) ** 2))
+    for name, at in (("ih", (1, 2)), ("bh", (0,)), ("ho", (2, 0)), ("io", (0, 0)), ("bo", (0,))):
+        own = lambda p: p[name][0] if name in ("ih", "bh", "ho") else p[name]
+        ends = []
+        for h in (1e-5, -1e-5):
+            p = {k: [v[0].copy()] if isinstance(v, list) else v.copy() for k, v in start.items()}
+            own(p)[at] += h
+            ends.append(loss(p))
+        moved = (own(start)[at] - own(trace[1][3])[at]) / (0.5 / 31)
+        assert moved == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-5)
+    assert predict.early_stop(trace)[2] == min(r[2] for r in trace)
+
+
+def test_leading_spectrum_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "i long, a double, b double")
+    spec = G.Spec(constant=0.3, linear=[0.2, 0.1], parts=[(0.0, [1.0, 0.5], 2.0)], noise=0.2)
+    want, vectors = np.linalg.eigh(spec.matrix(x, x) + 0.04 * np.eye(60))
+    got = G.leading_spectrum(df, ["a", "b"], "i", spec, 4).orderBy("rank").collect()
+    assert [r.eigenvalue for r in got] == pytest.approx(list(want[::-1][:4]), rel=1e-6)
+    assert abs(np.dot(got[0].vector, vectors[:, -1])) == pytest.approx(1, abs=1e-5)
+
+
+def test_covariance_column_and_matrix_agree(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(6, 3)), 1)
+    spec = G.Spec(constant=0.3, linear=[0.2, 0.1, 0.4], spread=1, spreads=frozenset({1}), omit=frozenset({0}), parts=[G.Part(0.1, [1.0, 0.5, 0.2], 1.5, delta=frozenset({2}), omit=frozenset({0})), G.Part(0.0, [0.3, 0.3, 0.3], 2.0, times=frozenset({0, 2}))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i long, a double, b double, c double")
+    got = {(r.i, r.j): r.c for r in G.covariance(df, df.withColumnRenamed("i", "j"), ["a", "b", "c"], spec).collect()}
+    want = spec.matrix(x, x)
+    assert all(got[i, j] == pytest.approx(want[i, j]) for i in range(6) for j in range(6))
+    assert spec.diagonal(x) == pytest.approx(np.diag(want))
