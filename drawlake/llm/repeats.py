@@ -16,7 +16,9 @@
 4. The extents of all occurrences of a text are merged and cut out.
 
 Scale. An anchor with more than ``HOT`` distinct contexts is never gathered in one task: its windows are
-hashed and counted by grouped aggregation, which combines on the map side.
+hashed and counted by grouped aggregation, which combines on the map side. To find the anchors that occur
+again, the ``HEAVY`` most common ones are marked by a broadcast list, without a shuffle; only the others are
+joined by hash. Texts are told apart by 128 bits of id and content.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from drawlake.llm.common import materialize
 
 GRAM = 64
 HOT = 50_000
+HEAVY = 1024
 _PLACE = U64((1 << 30) - 1)
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -122,9 +125,9 @@ def _contexts(length: int):
                     for column, value in zip(rows, (m["hash"], uids[i], p, text[max(0, p - before) : p], text[p : p + length])):
                         column.append(value)
                 if len(rows[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()))], names)
                     rows = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()))], names)
 
     return run
 
@@ -247,21 +250,26 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
     """``docs(doc_id, text, ...)`` -> ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept])`` for each row.
 
     Null text is empty. Repeated rows are copies of one another, so their texts go if long enough. A null
-    doc_id is allowed; texts are judged by content. Other columns are ignored. ``length`` must be
-    greater than 64.
+    doc_id is allowed, and rows may share a doc_id; texts are judged by content. Texts shorter than ``length``
+    lose nothing, very long ones are treated whole, no rows give no rows. Other columns are ignored, whatever
+    their names. ``length`` must be greater than 64.
     """
     if length <= GRAM:
         raise ValueError(f"length must exceed {GRAM}")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    uid = F.xxhash64("doc_id", "text").alias("uid")
-    marked = materialize(read.select(uid, "text").mapInArrow(_mark(length), f"uid long, digest binary, n_bytes long, hashes array<long>, places array<int>, local {_SPANS}"), "marked")
+    uid = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text")))).alias("uid")
+    marked = materialize(read.select(uid, "text").mapInArrow(_mark(length), f"uid binary, digest binary, n_bytes long, hashes array<long>, places array<int>, local {_SPANS}"), "marked")
     classes = marked.groupBy("digest").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"), F.first("hashes").alias("hashes"), F.first("places").alias("places"))
     each = classes.select("uid", "copies", F.explode(F.arrays_zip("hashes", "places")).alias("m")).select("uid", "copies", F.col("m.hashes").alias("hash"), F.col("m.places").alias("place"))
     each = materialize(each, "anchors")
     common = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = each.join(common.select("hash"), "hash", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("hash", "place")).alias("marks"))
+    common = materialize(common, "common")
+    heavy = common.where(F.col("n") > HEAVY).orderBy(F.desc("n"), "hash").limit(HEAVY).select("hash")
+    heavy = F.broadcast(each.sparkSession.createDataFrame([(r["hash"],) for r in heavy.collect()], "hash long"))
+    rest = each.join(heavy, "hash", "left_anti").join(common.select("hash"), "hash", "left_semi")
+    wanted = each.join(heavy, "hash", "left_semi").unionByName(rest).groupBy("uid").agg(F.collect_list(F.struct("hash", "place")).alias("marks"))
     texts = read.select(uid, "text").join(wanted, "uid")
-    found = texts.mapInArrow(_contexts(length), "hash long, uid long, place int, left binary, right binary")
+    found = texts.mapInArrow(_contexts(length), "hash long, uid binary, place int, left binary, right binary")
     hot = materialize(common.where(F.col("n") > HOT).select("hash"), "hot")
     groups = max(64, each.count() // 4000)
     if hot.isEmpty():
@@ -269,7 +277,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
     else:
         found = materialize(found, "contexts")
         cool, rest = found.join(hot, "hash", "left_anti"), [_hot_extents(found.join(hot, "hash", "left_semi"), length)]
-    spans = cool.groupBy(F.pmod("hash", F.lit(groups)).alias("g")).applyInPandas(_scan(length), "uid long, start long, end long")
+    spans = cool.groupBy(F.pmod("hash", F.lit(groups)).alias("g")).applyInPandas(_scan(length), "uid binary, start long, end long")
     for more in rest:
         spans = spans.unionByName(more)
     local = marked.select("uid", F.explode("local").alias("s")).select("uid", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))

@@ -140,6 +140,36 @@ def test_repeats_against_brute_force(spark, length):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()), texts[r.doc_id][:50]
 
 
+def test_repeats_of_a_whole_table(spark):
+    """Every document of the sf0.01 table against all its windows of 400 bytes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    raw = {r.doc_id: (r.text or "").encode() for r in docs.select("doc_id", "text").collect()}
+    hashes = {k: np.array([hash(b[i : i + 400]) for i in range(len(b) - 399)], np.int64) for k, b in raw.items()}
+    value, count = np.unique(np.concatenate(list(hashes.values())), return_counts=True)
+    again = value[count > 1]
+    changed = 0
+    for r in repeats.remove_repeats(docs).collect():
+        b = raw[r.doc_id]
+        edge = np.zeros(len(b) + 1, np.int64)
+        at = np.flatnonzero(np.isin(hashes[r.doc_id], again))
+        edge[at] += 1
+        np.subtract.at(edge, at + 400, 1)
+        gone = np.cumsum(edge)[:-1] > 0
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        runs = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
+        changed += bool(runs)
+    assert changed > 100
+
+
+def test_repeats_of_heavy_anchors(spark, monkeypatch):
+    passage = words(100, 9)
+    docs = spark.createDataFrame([(i % 5 or None, words(20 + i, i) + passage + words(15, 50 + i), "en", "s", 1) for i in range(12)], DOCS)
+    plain = sorted((str(r.doc_id), *r[1:]) for r in repeats.remove_repeats(docs, 400).collect())
+    monkeypatch.setattr(repeats, "HEAVY", 2)
+    assert sorted((str(r.doc_id), *r[1:]) for r in repeats.remove_repeats(docs, 400).collect()) == plain
+
+
 def test_repeats_hot_path_equals_tree(spark, monkeypatch):
     passage = words(100, 9)
     docs = spark.createDataFrame([(i, words(20 + i, i) + passage + words(15, 50 + i), "en", "s", 1) for i in range(12)], DOCS)
