@@ -95,26 +95,30 @@ def _pieces(key: tuple, capacity: int, end_id: int, with_ids: bool):
 def _price(values: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
     """Unbounded knapsack: how many of each class are worth most within ``room`` units."""
     best, choice = np.zeros(room + 1), np.full(room + 1, -1)
+    worth, number = np.full(room + 1, -1.0), np.full(room + 1, -1)
+    worth[sizes], number[sizes] = values, np.arange(len(sizes))
     for c in range(1, room + 1):
+        gain = worth[1 : c + 1] + best[c - 1 :: -1]  # a piece of size s, and the best of the room it leaves
+        k = int(gain.argmax())
         best[c] = best[c - 1]
-        fit = sizes <= c
-        if fit.any():
-            gain = np.where(fit, values + best[np.maximum(c - sizes, 0)], -1.0)
-            k = int(gain.argmax())
-            if gain[k] > best[c] + 1e-12:
-                best[c], choice[c] = gain[k], k
+        if gain[k] > best[c] + 1e-12:
+            best[c], choice[c] = gain[k], k + 1
     pattern, c = np.zeros(len(sizes), np.int64), room
     while c > 0:
         if choice[c] < 0:
             c -= 1
             continue
-        pattern[choice[c]] += 1
-        c -= sizes[choice[c]]
+        pattern[number[choice[c]]] += 1
+        c -= choice[c]
     return pattern
 
 
-def patterns_for(counts: dict[int, int], room: int, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
-    """(pattern, times) that use each class exactly as often as ``counts`` says; sizes and room in units."""
+def patterns_for(counts: dict[int, int], room: int, rounds: int = 20_000, gap: float = 1e-4, smooth: float = 0.8) -> list[tuple[dict[int, int], int]]:
+    """(pattern, times) that use each class exactly as often as ``counts`` says; sizes and room in units.
+
+    Prices are smoothed towards those that gave the best lower bound so far. Generation ends when the program's
+    value is within the share ``gap`` of the bound, or no pattern is worth more than one sequence.
+    """
     classes = sorted((s for s, n in counts.items() if n), reverse=True)
     if not classes:
         return []
@@ -124,10 +128,17 @@ def patterns_for(counts: dict[int, int], room: int, rounds: int = 4000) -> list[
     basis = np.array(columns, float).T
     inverse = np.diag(1 / np.diag(basis))
     used = inverse @ need
+    bound, centre = 0.0, None
     for _ in range(rounds):
         prices = inverse.sum(0)  # every pattern costs one sequence
-        pattern = _price(prices, sizes, room)
-        if prices @ pattern <= 1 + 1e-7:
+        for asked in [prices] if centre is None else [smooth * centre + (1 - smooth) * prices, prices]:
+            pattern = _price(asked, sizes, room)
+            worth = max(1.0, float(asked @ pattern))
+            if asked @ need / worth > bound:
+                bound, centre = asked @ need / worth, asked / worth
+            if prices @ pattern > 1 + 1e-9:
+                break
+        if prices @ pattern <= 1 + 1e-9 or used.sum() <= bound * (1 + gap):
             break
         column = inverse @ pattern
         ratio = np.where(column > 1e-11, used / np.where(column > 1e-11, column, 1), np.inf)
@@ -160,7 +171,8 @@ def pack(docs: DataFrame, key: tuple, capacity: int = 2048, end_id: int = 1, ste
     """One row per piece: ``keep``, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked for).
 
     ``key`` is (vocabulary file, rank file or None, split pattern or None). Null and empty texts hold only
-    the separator; repeated rows are packed each; no rows give no rows. Other columns are ignored.
+    the separator; repeated rows are packed each, very long texts are encoded and cut whole, no rows give no rows.
+    Columns that are not kept are ignored.
     """
     if capacity % step:
         raise ValueError("capacity must be a multiple of step")

@@ -529,6 +529,14 @@ def test_patterns_cover_counts():
     assert sum(t for _, t in plan) <= 1.05 * sum(s * n for s, n in counts.items()) / 256 + 60
 
 
+def test_patterns_are_near_the_bound():
+    """Of pieces that fill sequences without a rest, hardly more sequences are used than their lengths need."""
+    counts = {s: 4000 - 10 * s for s in range(1, 256)}
+    plan = packing.patterns_for(counts, 256)
+    need = sum(s * n for s, n in counts.items()) / 256
+    assert sum(t for _, t in plan) <= need * 1.0002 + 256
+
+
 def test_pipeline_against_stages(spark, sf_dir):
     import corpus_pipeline
 
