@@ -190,7 +190,8 @@ def write_warc(pages: DataFrame, root: str, min_bytes: int = 0, roll_bytes: int
     parts = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = shard_ranges(weight, parts)
     nulls, total = weight.agg(F.sum(F.when(F.col("page_id").isNull(), F.col("n"))), F.sum("n")).first()
-    shard = _sharded(ranges, max(1, -(-(nulls or 0) * parts // max(total or 1, 1))))
+    null_shards = max(1, -(-(nulls or 0) * parts // max(total or 1, 1)))
+    shard = _sharded(ranges, null_shards)
     # referrals travel with the pages through the one sort, each right before its page, so pages are shuffled once
     rows = pages.select("page_id", "sha1", F.lit(True).alias("page"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
     known = referrals(pages.select("page_id", "sha1", F.octet_length("html").alias("n")), min_bytes)
@@ -198,7 +199,8 @@ def write_warc(pages: DataFrame, root: str, min_bytes: int = 0, roll_bytes: int
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(f"{root}/data")
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
-    ordered = full.repartitionByRange(parts, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "sha1", "page", "url", "html")
+    # one shard a task
+    ordered = full.repartitionById(max(f + c for _, f, c in zip(*ranges)) + null_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "sha1", "page", "url", "html")
     ordered.mapInArrow(_write(f"{root}/data", roll_bytes, date, level), MANIFEST).write.parquet(f"{root}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
