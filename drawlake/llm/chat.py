@@ -2,53 +2,68 @@
 
 For every participant of a conversation the whole dialogue is rendered with that speaker as assistant
 and the others as named users; the mask lists the character ranges that the assistant wrote, which are
-the ones to learn from. System turns stay system turns and are no participants.
+the ones to learn from. System turns stay system turns and are no participants. What texts and names hold of
+the markers is escaped (a backslash goes between the two characters), so no text can pose as another turn.
 
-Scale. A dialogue longer than ``part_turns`` turn numbers is rendered in parts, cut by turn number
-alone, so a conversation that holds a large share of all rows spreads over tasks. Participants are
-found by a grouped distinct, which combines on the map side.
+Scale. A dialogue is one row as long as its turn numbers span less than ``part_turns`` and none is repeated
+``part_rows`` times, which is some megabytes. A longer one is rendered in parts, cut at multiples of these; the
+parts of a perspective, in order, are the whole dialogue, and masks count from the start of their part. So a
+conversation that holds a large share of all rows spreads over tasks. Participants are found by a grouped
+distinct, which combines on the map side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|", "|>"
 
 
-def rotate(turns: DataFrame, part_turns: int = 64) -> DataFrame:
+def escaped(text: Column) -> Column:
+    """``text`` without markers: a backslash more goes into whatever looks like one, so that one less gives it back."""
+    return F.regexp_replace(F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|"), r"\|(\\*)>", r"|\\$1>")
+
+
+def rotate(turns: DataFrame, part_turns: int = 4096, part_rows: int = 4096) -> DataFrame:
     """``turns(conv_id, turn, role, text, ...)`` -> one row per conversation, perspective and part.
 
-    Columns: conv_id, perspective, part, n_turns, n_learned (assistant turns), rendered, mask
-    (array of start and end in characters, end exclusive).
+    Columns: conv_id, perspective, part and piece (0 but for very long dialogues; their order is that of the
+    dialogue), n_turns, n_learned (assistant turns), rendered, mask (array of start and end in characters, end
+    exclusive).
 
     Turns are ordered by turn, then role, then text; repeated rows are kept. A null role is the
     participant ``unknown``, null text is empty, a null turn counts as turn 0, a null conv_id is a
-    conversation of its own. A conversation of system turns only has no perspective and gives no row.
+    conversation of its own. A conversation of system turns only has no perspective and gives no row, nor
+    does an empty table; very long texts are rendered whole. Line breaks in names become blanks where they are
+    shown. Other columns are ignored, whatever their names.
     """
     who = F.coalesce(F.col("role").cast("string"), F.lit("unknown"))
     lines = turns.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), who.alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lines = lines.withColumn("part", F.floor(F.col("turn") / part_turns).cast("long"))
-    grouped = lines.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text"))
+    # the window and the grouping need the same partitioning, so rows are shuffled once
+    lines = lines.withColumn("piece", F.floor((place - 1) / part_rows).cast("long"))
+    grouped = lines.groupBy("conv_id", "part", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
     people = lines.where("role <> 'system'").select(F.col("conv_id").alias("_conv"), F.col("role").alias("perspective")).distinct()
     both = grouped.join(people, grouped["conv_id"].eqNullSafe(people["_conv"])).drop("_conv")
 
-    def rendered(s: F.Column) -> F.Column:
+    def line(s: Column) -> Column:
         own = s["role"] == F.col("perspective")
-        head = F.when(own, F.lit("assistant")).when(s["role"] == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), s["role"]))
-        return F.struct(own.alias("own"), F.concat(F.lit(OPEN), head, F.lit(CLOSE + "\n")).alias("head"), s["text"].alias("text"))
+        name = F.regexp_replace(escaped(s["role"]), r"[\r\n]", " ")
+        head = F.when(own, F.lit("assistant")).when(s["role"] == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), name))
+        return F.struct(own.alias("own"), F.concat(F.lit(OPEN), head, F.lit(CLOSE + "\n")).alias("head"), escaped(s["text"]).alias("text"))
 
-    both = both.withColumn("lines", F.transform("said", rendered))
+    both = both.withColumn("lines", F.transform("said", line))
     whole = F.array_join(F.transform("lines", lambda s: F.concat(s["head"], s["text"], F.lit(f"{OPEN}end{CLOSE}\n"))), "")
     tail = len(f"{OPEN}end{CLOSE}\n")
     widths = F.transform("lines", lambda s: F.struct(s["own"].alias("own"), F.length(s["head"]).cast("long").alias("h"), F.length(s["text"]).cast("long").alias("t")))
     kind = "struct<at:bigint,spans:array<struct<start:bigint,end:bigint>>>"
     start = F.from_json(F.lit('{"at":0,"spans":[]}'), kind)
 
-    def add(s: F.Column, w: F.Column) -> F.Column:
+    def add(s: Column, w: Column) -> Column:
         span = F.struct((s["at"] + w["h"]).alias("start"), (s["at"] + w["h"] + w["t"]).alias("end"))
         return F.struct((s["at"] + w["h"] + w["t"] + tail).alias("at"), F.when(w["own"], F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"))
 
     mask = F.aggregate(widths, start, add)["spans"]
-    return both.select("conv_id", "perspective", "part", F.size("lines").cast("long").alias("n_turns"), F.size(F.filter("lines", lambda s: s["own"])).cast("long").alias("n_learned"), whole.alias("rendered"), mask.alias("mask"))
+    return both.select("conv_id", "perspective", "part", "piece", F.size("lines").cast("long").alias("n_turns"), F.size(F.filter("lines", lambda s: s["own"])).cast("long").alias("n_learned"), whole.alias("rendered"), mask.alias("mask"))
