@@ -4,14 +4,18 @@ Texts become token templates: numbers, names (capitalised inside a sentence) and
 into typed placeholders, runs of one placeholder into one; other words are lower-cased and stripped of
 marks. A capitalised word that opens a sentence may be a name or a plain word: windows over it are formed
 under both readings (as a name it also takes up the names that follow it), on both sides. Windows of five
-template tokens of the benchmark are joined by hash with those of the documents. A document's windows that match an item are aligned, and the values in their slots must map one to one (each
-benchmark value always to the same document value); windows that break the mapping do not count, and a
-window counts if one of its readings keeps it. A document is contaminated by an item if it holds ``share`` or more of the item's windows, or a run of
-``run_words`` words of it. So re-parameterised questions are caught as well as copies.
-
-Scale. The benchmark is joined as a broadcast hash table in blocks of at most ``block_windows`` windows
-(17 bytes each reading; two readings for each opening word in it); a benchmark beyond that is joined block
-by block, over documents written once with a number for each row. Documents are not shuffled; their windows are formed and looked up ``STARTS`` places at a time.
+template tokens of the benchmark are joined by hash with those of the documents. A document's windows that
+match an item are aligned, and the values in their slots must map one to one (each benchmark value always to
+the same document value); windows that break the mapping do not count, and a window counts if one of its
+readings keeps it. A document is contaminated by an item if it holds ``share`` or more of the item's windows,
+or a run of ``run_words`` words of it. So re-parameterised questions are caught as well as copies.
+
+Scale. The benchmark's windows are broadcast as a sorted table of hashes (17 bytes each reading; two readings
+for each opening word in it), in blocks of at most ``block_windows`` windows, and looked up by binary search; a
+benchmark beyond that is joined block by block, over documents written once with a number for each row.
+Documents are not shuffled; their windows are formed and looked up ``STARTS`` places at a time. A window that
+many items share is first only counted for each of them, ``PAIRS`` pairs at a time, and matched with those
+that enough other windows hit.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from drawlake.llm.common import materialize, union_all
 
 WINDOW = 5
 STARTS = 1 << 16
+PAIRS = 1 << 18
 #: Unit words, fixed values.
 UNITS = "mm cm m km in ft mi g kg mg lb oz l ml s sec min h hours hour minutes minute seconds days day years year percent dollars euros usd eur mph kmh c f".split()
 _MARKS = np.arange(256, dtype=np.uint8)
@@ -143,7 +148,7 @@ def _index(items: list[tuple[int, str]]) -> dict:
         size += [max(int(n) - WINDOW + 1, 0) for n in np.diff(bounds)]
     hashes, owner, place, reading = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hashes, U64), (owner, np.int32), (place, np.int32), (reading, np.uint8)))
     order = np.argsort(hashes, kind="stable")
-    return {"hash": hashes[order], "owner": owner[order], "place": place[order], "reading": reading[order], "slots": slots, "either": either, "joined": joined, "size": size, "ids": [i for i, _ in items]}
+    return {"hash": hashes[order], "owner": owner[order], "place": place[order], "reading": reading[order], "slots": slots, "either": either, "joined": joined, "size": np.array(size, np.int64), "may": np.array([int(x.sum()) for x in joined], np.int64), "ids": [i for i, _ in items]}
 
 
 def _aligned(match: list[tuple[int, int, int, int]], doc: tuple, item: tuple) -> tuple[set[int], set[int], bool]:
@@ -171,12 +176,38 @@ def _aligned(match: list[tuple[int, int, int, int]], doc: tuple, item: tuple) ->
     return held, gone, changed
 
 
+def _chunks(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of windows with about ``PAIRS`` pairs each."""
+    upto = np.cumsum(hi - lo)
+    edges = np.unique(np.r_[0, np.searchsorted(upto, np.arange(PAIRS, upto[-1] if len(upto) else 0, PAIRS), "right"), len(lo)])
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+
+
+def _pairs(lo: np.ndarray, hi: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, row of the index) for the windows a to b."""
+    n = hi[a:b] - lo[a:b]
+    rows = np.repeat(np.arange(a, b), n)
+    return rows, np.repeat(lo[a:b] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(rows))
+
+
 def judge(hits: tuple[np.ndarray, np.ndarray, np.ndarray], doc: tuple, index: dict, share: float, run_words: int) -> list[tuple[int, float, bool]]:
     """(item number, share of its windows, re-parameterised) for the items that contaminate a text, by its windows that match: (first token, hash, reading)."""
     start, key, read = hits
     lo, hi = np.searchsorted(index["hash"], key, "left"), np.searchsorted(index["hash"], key, "right")
-    rows = np.repeat(np.arange(len(key)), hi - lo)
-    at = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange(len(rows))
+    chunks = _chunks(lo, hi)
+    enough = None
+    if len(chunks) > 1:
+        # no item can contaminate the text of which fewer windows are hit than it needs, however often each
+        hits_of = np.zeros(len(index["size"]), np.int64)
+        for a, b in chunks:
+            np.add.at(hits_of, index["owner"][_pairs(lo, hi, a, b)[1]], 1)
+        enough = hits_of >= np.minimum(share * (index["size"] - index["may"]), run_words - WINDOW + 1 - index["may"])
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a, b in chunks:
+        rows, at = _pairs(lo, hi, a, b)
+        keep = slice(None) if enough is None else enough[index["owner"][at]]
+        found.append((rows[keep], at[keep]))
+    rows, at = (np.concatenate(x) for x in zip(*found))
     owner, place = index["owner"][at], index["place"][at]
     names = np.bitwise_count(read[rows]) + np.bitwise_count(index["reading"][at])
     out = []
@@ -184,7 +215,7 @@ def judge(hits: tuple[np.ndarray, np.ndarray, np.ndarray], doc: tuple, index: di
         own = np.flatnonzero(owner == item)
         p, q = start[rows[own]], place[own]
         total = index["size"][item]
-        may = int(index["joined"][item].sum())  # a token left out takes its place with it
+        may = index["may"][item]  # a token left out takes its place with it
         if len(np.unique(q)) < min(share * (total - may), run_words - WINDOW + 1 - may):
             continue
         best, changed = 0.0, False
@@ -284,8 +315,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, run
 
     ``items`` are the ids of the benchmark items found (sorted), ``share`` the largest share of one item's
     windows, ``reparameterised`` whether some item was found with other slot values. Null and empty texts
-    are clean. Items with fewer than five template tokens have no window and match nothing. Rows that
-    share a doc_id are judged each; with an empty benchmark all are clean. Other columns are ignored.
+    are clean, very long ones are judged whole. Items with fewer than five template tokens have no window and match
+    nothing. Rows that share a doc_id are judged each; with an empty benchmark all are clean, and no rows give no
+    rows. Other columns are ignored, whatever their names.
     """
     shared = _shared(benchmark, block_windows)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -295,7 +327,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, run
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, run_words: int = 13, block_windows: int = 2_000_000) -> DataFrame:
-    """The rows without those that hold a benchmark item, each by its own text; columns are unchanged."""
+    """The rows without those that hold a benchmark item, each by its own text, whatever its id; columns are unchanged."""
     shared = _shared(benchmark, block_windows)
     text = docs["text"].cast("string")
     if len(shared) == 1:
