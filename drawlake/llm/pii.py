@@ -334,7 +334,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` for each row.
 
     Counts and hash are of the base spans; ``spans`` also lists those the field adds. Null text is empty,
-    a null doc_id is kept, repeated rows are judged each. Other columns are ignored.
+    a null doc_id is kept, repeated rows are judged each, very long texts are read whole, no rows give no rows.
+    Other columns are ignored, whatever their names.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return read.mapInArrow(_find(train()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -149,11 +149,17 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every document."""
+    """``(doc_id, held_out, score, predicted)`` for every row.
+
+    Null, empty and blank texts get the prior; very long ones are scored whole. A null doc_id is kept, never held
+    out and never learned from; repeated rows get equal scores; a doc_id with several labels counts once, with the
+    smallest. A score equal to ``cut`` counts as 1. With no rows there is no result; with no labels every text gets the
+    same score. Other columns are ignored, whatever their names.
+    """
     scored = score(docs, fit(docs, labels), ["doc_id"])
     return scored.select("kept.doc_id", held_out(F.col("kept.doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
-    """The documents that score ``cut`` or more, with their columns unchanged."""
+    """The rows that score ``cut`` or more, each by its own text (see ``classify``), with their columns unchanged."""
     return score(docs, fit(docs, labels), docs.columns).where(F.col("score") >= cut).select("kept.*")

@@ -207,6 +207,26 @@ def test_quality_scores_do_not_depend_on_neighbours():
     assert np.allclose(score(texts), [score([t])[0] for t in texts], atol=1e-12) and score([""])[0] == 1 / (1 + np.exp(-0.3))
 
 
+def test_quality_score_by_hand():
+    """A block's scores are the prior plus the mean weight of words, pairs and n-grams, each text counted on its own."""
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.normal(size=1 << quality.BITS).astype(np.float32), -0.2)
+    texts = ["the cat sat", "a", "", "the the the", "naïve  café\n" + words(200, 3)]
+    [(_, _, data, starts)] = quality.blocks(pa.array(texts))
+    got = model.score_block(data, starts)
+    for text, score in zip(texts, got):
+        block = f"{text} ".encode()
+        parts = list(quality.features(np.frombuffer(block, np.uint8), np.array([0, len(block)])))
+        own = np.concatenate([ids for ids, _ in parts])
+        tokens = text.split()
+        padded = f"{text} "
+        n_grams = sum(not any(c.isspace() for c in padded[i + 1 : i + n - 1]) for n in quality.GRAMS for i in range(len(padded) - n + 1))
+        assert len(parts[3][0]) == len(tokens) and len(parts[4][0]) == max(len(tokens) - 1, 0)
+        assert len(own) == len(tokens) + max(len(tokens) - 1, 0) + n_grams
+        z = model.bias + (model.weights[own].astype(float).mean() if len(own) else 0.0)
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
 def test_quality_odd_rows(spark, odd):
     table = spark.createDataFrame([(3, 1, 0), (6, 0, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(odd, table).collect()
@@ -245,6 +265,29 @@ def test_calibration_finds_the_least_loss():
     assert langid.log_loss(logits * 5, targets, 5.0) < langid.log_loss(logits * 5, targets, 1.0)
 
 
+def test_langid_prediction_by_hand(spark, sf_dir):
+    """Scores of the operator against a plain softmax over counted n-grams."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for d in docs.limit(60).collect():
+        letters = [c.lower() if c.isalpha() else " " for c in (d.text or "") + " "]
+        if not any(c != " " for c in letters):
+            assert (got[d.doc_id].lang_pred, got[d.doc_id].score) == ("und", 0.0)
+            continue
+        squeezed = "".join(c for i, c in enumerate(letters) if c != " " or i == 0 or letters[i - 1] != " ")
+        total = np.zeros(len(model.languages))
+        count = 0
+        for n, (ids, _) in zip(langid.GRAMS, langid.grams(np.frombuffer(f"{d.text} ".encode(), np.uint8), np.array([0, len(f"{d.text} ".encode())]))):
+            assert len(ids) == max(len(squeezed) - n + 1, 0)
+            total += model.weights[:, ids].astype(float).sum(1)
+            count += len(ids)
+        z = (model.bias + total / max(count, 1)) / model.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        assert got[d.doc_id].lang_pred == model.languages[int(p.argmax())] and got[d.doc_id].score == pytest.approx(p.max(), abs=1e-6)
+
+
 def test_langid_odd_rows(spark, odd):
     got = {r.doc_id: r.lang_pred for r in langid.identify(odd).collect()}
     assert got[1] == got[2] == got[8] == "und" and got[3] in ("en", "fr")  # these random letters carry no language
@@ -302,6 +345,46 @@ def test_pii_stretches_cover_reach():
             assert any(a <= max(lo, m.start() - 60) and min(hi, m.start() + 60) <= b for a, b in parts)
 
 
+def test_pii_columns_against_brute_force(spark, sf_dir):
+    """Counts, hash and base part of the spans of every document, from the written patterns alone."""
+    patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+    extra = [(10**6, ("lorem ipsum 12 " * 40_000) + "mail a.b@c.org or +1 (017) 555-7713 now", "en", "s", 1), (10**6 + 1, "é 1.2.3.4, 4111 1111 1111 1111", "en", "s", 1)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(spark.createDataFrame(extra, DOCS))
+
+    def good(kind, found):
+        digits = re.sub("[^0-9]", "", found)
+        if kind == 1:
+            return all(int(p) <= 255 for p in found.split("."))
+        if kind == 2:
+            return 12 <= len(digits) <= 19 and sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(digits[::-1])) % 10 == 0
+        return kind == 0 or 9 <= len(digits) <= 15
+
+    got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    for d in docs.collect():
+        want = [(m.start(), k, m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, d.text or "") if good(k, m[0])]
+        said = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(want))
+        r = got[d.doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for _, k, _ in want) for kind in range(4)]
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and (not said or set(said.split(",")) <= set(r.spans.split(",")))
+        starts = [int(x.split(":")[1]) for x in r.spans.split(",") if x]
+        assert starts == sorted(starts)
+    assert got[10**6].n_email == 1 == got[10**6].n_phone and got[10**6 + 1].n_card == 1
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(3)
+    field = pii.Field(np.zeros((1, pii._N)), rng.normal(size=(pii._N, pii._N)))
+    batch = [rng.normal(size=(n, pii._N)) for n in (1, 3, 4)]
+    import itertools
+
+    for emit, path in zip(batch, field.viterbi(batch)):
+        def total(p, emit=emit):
+            ends = [0, *p, 0]
+            return sum(field.move[a, b] for a, b in zip(ends[:-1], ends[1:])) + sum(emit[t, x] for t, x in enumerate(p))
+
+        assert total(path) == pytest.approx(max(total(p) for p in itertools.product(range(pii._N), repeat=len(emit))))
+
+
 def test_pii_odd_rows(spark, odd):
     assert pii.find_pii(odd).count() == 9 and pii.find_pii(odd.limit(0)).count() == 0
     docs = spark.createDataFrame([(1, "to a.b@c.org now", "en", "s", 1), (2, None, "en", "s", 1)], DOCS)
@@ -360,6 +443,22 @@ def test_decontamination_judges_rows(spark):
         assert left.columns == docs.columns and {(r.doc_id, r.text) for r in left.collect()} == {rows[1], rows[3], rows[4], rows[6]}
 
 
+def test_decontamination_of_shared_windows(spark, monkeypatch):
+    """A window that very many items share is counted in chunks, with the same verdicts."""
+    start = "which of the following is true of"
+    bench = spark.createDataFrame([(i, f"{start} {words(12, i)}") for i in range(300)], "item_id long, text string")
+    rows = [(1, f"{start} {words(12, 77)} and more"), (2, f"{words(20, 900)} {start} {words(9, 901)}"), (3, f"{start} " * 40), (4, f"{words(30_000, 5)} {start} {words(12, 250)}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumn("items", F.lit("x")).withColumn("row", F.lit(0)).withColumn("doc", F.lit(1))
+    plain = {r.doc_id: r.items for r in decontam.contamination(docs, bench).collect()}
+    assert plain == {1: [77], 2: [], 3: [], 4: [250]}
+    monkeypatch.setattr(decontam, "PAIRS", 50)
+    assert {r.doc_id: r.items for r in decontam.contamination(docs, bench).collect()} == plain
+    for block in (2_000_000, 900):
+        left = decontam.drop_contaminated(docs, bench, block_windows=block)
+        assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {2, 3}
+    assert decontam.contamination(docs.limit(0), bench).count() == 0
+
+
 def test_windows_in_parts(monkeypatch):
     texts = ["Anna Berg met Peter. Yes. No. Bob said: Carl Dahl has 5 kg", "", "One two", "Over the hill. Far away Ida Lund 7 8 sang"] * 3
     [(_, _, data, starts)] = decontam.blocks(pa.array(texts))
@@ -409,6 +508,31 @@ def test_nearest_against_brute_force(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_nearest_odd_rows(spark):
+    """Repeated ids, extra columns, vectors of other dimensions, and fewer candidates than asked for."""
+    rng = np.random.default_rng(6)
+    v = {i: rng.normal(size=6) for i in range(40)}
+    rows = [(i, [float(x) for x in a]) for i, a in v.items()] + [(7, [float(x) for x in -v[7]]), (9, [float(x) for x in v[9]]), (50, [1.0, 2.0]), (51, [2.0, 1.0]), (100, [3.0]), (None, [1.0] * 6)]
+    rows += [(0, [float(x) for x in v[0] * 3])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("shard", F.lit("x")).withColumn("reach", F.lit(0))
+    got = collections.defaultdict(list)
+    for r in ann.nearest(table, k=5, shard_rows=5, block_queries=1).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == {0, 50} and got[50] == [51]
+    cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    best = {i: max(cos(v[0], x) for x in ([a, -a] if i == 7 else [a])) for i, a in v.items() if i}
+    assert got[0] == sorted(best, key=lambda i: (-best[i], i))[:5]
+
+
+def test_nearest_factor(spark, sf_dir):
+    """Factor 1 is exact whatever the shards; a smaller one prunes more and keeps most."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    exact = sorted(map(tuple, ann.nearest(table, every=5).collect()))
+    assert sorted(map(tuple, ann.nearest(table, every=5, shard_rows=40, block_queries=9).collect())) == exact
+    loose = {(r.query_id, r.vec_id) for r in ann.nearest(table, every=5, factor=0.8, shard_rows=40).collect()}
+    assert len(loose & {(q, i) for q, _, i, _ in exact}) > 0.5 * len(exact)
+
+
 def test_tree_of_equal_distances_is_shallow():
     unit = np.eye(1500)
     found = ann.Search(ann.Tree(unit), unit, np.arange(1500), unit[:20], np.arange(20), 3, 1.0)
@@ -584,3 +708,62 @@ def test_pipeline_against_stages(spark, sf_dir):
             assert all(not pii.base_spans(t or "") for t in after.values())
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(after)
+
+
+def test_pipeline_run_against_brute_force(spark, tmp_path):
+    """run() on a small corpus: which rows it keeps and what it packs, stage by stage worked out by hand."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    good = {i: words(40 + i % 9, i) for i in range(100, 160)}
+    bad = {i: words(40, i).upper().replace(" ", "!! ") for i in range(200, 230)}
+    item = words(40, 900)
+    rows = [*good.items(), *bad.items()]
+    rows += [(300, good[100]), (50, good[101].upper().lower() + " end"), (301, f"{words(30, 901)} {item} {words(30, 902)}"), (302, f"{words(30, 903)} mail ann.b@c.example.org or 192.168.1.7 {words(20, 904)}")]
+    rows += [(303, None), (304, ""), (305, words(30_000, 905)), (306, "same row " + words(30, 906)), (306, "same row " + words(30, 906)), (307, words(30, 907)), (307, words(30, 908)), (None, words(30, 909)), (None, words(30, 909))]
+    kinds = DOCS + ", score string, _text int, kept int"
+    path = f"{tmp_path}/corpus"
+    spark.createDataFrame([(i, t, "en", "s", 1, "x", 0, 1) for i, t in rows], kinds).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, int(i in good), 0) for i in [*good, *bad]], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, words(25, 950))], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+    model = quality.fit(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+
+    def score(text):
+        [(_, _, data, starts)] = quality.blocks(pa.array([text or ""]))
+        return model.score_block(data, starts)[0]
+
+    left = [(i, t) for i, t in rows if score(t) >= 0.3]
+    assert not {i for i, _ in left} & set(bad) and {i for i, _ in left} >= set(good)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in left]
+    group = components(dict(enumerate(sets)), 80)
+    least = {}
+    for k, (i, _) in enumerate(left):
+        if i is not None and sets[k]:
+            least[group[k]] = min(i, least.get(group[k], i))
+    left = [(i, t) for k, (i, t) in enumerate(left) if i is None or not sets[k] or i == least[group[k]]]
+    assert {300, 101} & {i for i, _ in left} == set() and 50 in {i for i, _ in left}
+    left = [(i, t) for i, t in left if item not in (t or "")]
+    left = [(i, t if t is None else t.replace("ann.b@c.example.org", "[EMAIL]").replace("192.168.1.7", "[IP]")) for i, t in left]
+    slow = Tokenizer.from_file(KEY[0])
+    want = collections.Counter()
+    for i, t in left:
+        ids = np.array([*slow.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for at in range(0, len(ids), 2048):
+            piece = ids[at : at + 2048]
+            want[i, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)] += 1
+    got = corpus_pipeline.run(spark, path).collect()
+    assert collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
+    fill = collections.defaultdict(int)
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    path = f"{tmp_path}/none"
+    for name, kinds in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kinds).write.parquet(f"{path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, path).count() == 0
