@@ -43,7 +43,13 @@ STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("decont
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each result but the last is written to the shared folder and read again."""
+    """All stages in order; each result but the last is written to the shared folder and read again.
+
+    Rows are judged each by their own text, whatever their ids. Null and empty texts have the quality prior, are no
+    copies, hold nothing, and are packed as a separator alone. Null ids are kept by every stage; repeated rows of one id
+    stay or go together; very long texts are treated whole. Columns beyond those of ``documents`` pass to the last
+    stage; no rows give no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
