@@ -325,20 +325,22 @@ def _find(field: Field):
             found = find_spans([t or "" for t in batch.column(1).to_pylist()], field)
             counts = [pa.array([sum(k == kind for _, k, _ in b) for b, _ in found], pa.int64()) for kind in range(4)]
             hashes = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, hashes, pa.array([_joined(a) for _, a in found], pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            spans, n = pa.array([_joined(a) for _, a in found], pa.string()), pa.array([len(a) for _, a in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, hashes, spans, n], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     return run
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` for each row.
+    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans)`` for each row.
 
-    Counts and hash are of the base spans; ``spans`` also lists those the field adds. Null text is empty,
+    Counts by kind and the hash are of the base spans; ``spans`` also lists those the field adds, and ``n_spans``
+    counts them all. Null text is empty,
     a null doc_id is kept, repeated rows are judged each, very long texts are read whole, no rows give no rows.
     Other columns are ignored, whatever their names.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(_find(train()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return read.mapInArrow(_find(train()), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def _mask(field: Field, column: int):

@@ -247,7 +247,7 @@ def _cut(with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept])`` for each row.
+    """``docs(doc_id, text, ...)`` -> ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], repeated)`` for each row.
 
     Null text is empty. Repeated rows are copies of one another, so their texts go if long enough. A null
     doc_id is allowed, and rows may share a doc_id; texts are judged by content. Texts shorter than ``length``
@@ -287,4 +287,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
     cut = materialize(spans.join(whole, "uid", "full").select("uid", F.coalesce("whole", F.lit(False)).alias("whole"), F.when(F.col("whole").isNull(), F.col("spans")).alias("spans")), "spans")
     out = read.withColumn("uid", uid).join(cut, "uid", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
     out = out.mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = out.withColumn("repeated", F.col("n_spans") > 0)
     return out if with_text else out.drop("kept")
