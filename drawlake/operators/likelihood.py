@@ -62,16 +62,20 @@ def survival(t: Column, log_hazard: Column) -> Column:
     return F.when(t.isNull(), 0.0).when(t < 0, t * F.exp(h)).otherwise(h - t * F.exp(h))
 
 
-def survival_pieces(cases: DataFrame, breaks: list[float]) -> DataFrame:
-    """One row per case and time piece: piece, start, exposure and whether the event ends it.
+def survival_pieces(cases: DataFrame, breaks: list[float], log_time: bool = False) -> DataFrame:
+    """One row per case and time piece: piece, start, time_input, exposure and whether the event ends it.
 
-    The last piece is open. A time on a break ends the piece before it.
+    The last piece is open. A time on a break ends the piece before it. ``time_input`` is the time at which the hazard
+    of a piece is evaluated: the first break, the middle of a piece (of its logs, with ``log_time``), the last break.
     """
     edges = [0.0, *breaks]
-    pieces = F.array(*[F.struct(F.lit(i).alias("piece"), F.lit(a).alias("start"), F.lit(b).cast("double").alias("stop")) for i, (a, b) in enumerate(zip(edges, [*breaks, None]))])
+    scale = math.log if log_time else float
+    inner = [(scale(a) + scale(b)) / 2 for a, b in zip(breaks[:-1], breaks[1:])]
+    inputs = [scale(breaks[0]), *inner, scale(breaks[-1])]
+    pieces = F.array(*[F.struct(F.lit(i).alias("piece"), F.lit(a).alias("start"), F.lit(b).cast("double").alias("stop"), F.lit(at).alias("time_input")) for i, (a, b, at) in enumerate(zip(edges, [*breaks, None], inputs))])
     rows = cases.withColumn("_t", F.abs("t")).withColumn("_p", F.explode(pieces)).where("_t > _p.start or (_p.start = 0 and _t = 0)")
     last = F.col("_p.stop").isNull() | (F.col("_t") <= F.col("_p.stop"))
-    return rows.select(*cases.columns, "_p.piece", "_p.start", (F.least("_t", F.coalesce("_p.stop", "_t")) - F.col("_p.start")).alias("exposure"), (last & (F.col("t") >= 0)).alias("event"))
+    return rows.select(*cases.columns, "_p.piece", "_p.start", "_p.time_input", (F.least("_t", F.coalesce("_p.stop", "_t")) - F.col("_p.start")).alias("exposure"), (last & (F.col("t") >= 0)).alias("event"))
 
 
 def survival_guess(log_hazard: Column) -> dict[str, Column]:

@@ -248,11 +248,12 @@ def gradient_fit(cases: DataFrame, inputs: list[str], target: str, steps: int =
     return trace
 
 
-def network_fit(cases: DataFrame, inputs: list[str], target: str, start: dict, network: Network, steps: int, step: float, validation: str | None = None, prior: float = 0.0) -> list[tuple[int, float, float | None, dict]]:
+def network_fit(cases: DataFrame, inputs: list[str], target: str, start: dict, network: Network, steps: int, step: float | dict[str, float], validation: str | None = None, prior: float = 0.0) -> list[tuple[int, float, float | None, dict]]:
     """Full-batch gradient descent of a network with one layer of tanh units on squared error.
 
     Every step broadcasts the parameters, sums partial gradients of Arrow batches over the cases and divides
-    by N + 1. Rows where the boolean column ``validation`` holds give a second loss only. Returns (step, loss, loss on
+    by N + 1; ``step`` is one number or one for each group of parameters (ih, bh, ho, io, bo). Rows where the
+    boolean column ``validation`` holds give a second loss only. Returns (step, loss, loss on
     validation rows, parameters), all before the step's move. Cases are persisted for the passes.
     """
     if network.units != ["tanh"]:
@@ -285,7 +286,8 @@ def network_fit(cases: DataFrame, inputs: list[str], target: str, start: dict, n
         sums = np.array([found[i] for i in range(len(found))])
         trace.append((at, sums[0] / max(sums[1], 1), sums[2] / sums[3] if sums[3] else None, now))
         parts = np.split(sums[4:], np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
-        moved = [w - step / (sums[1] + 1) * (g.reshape(s) + prior * w) for w, g, s in zip(flat(now), parts, shapes)]
+        size = [step[n] if isinstance(step, dict) else step for n in names]
+        moved = [w - h / (sums[1] + 1) * (g.reshape(s) + prior * w) for w, g, s, h in zip(flat(now), parts, shapes, size)]
         now = {n: [w] if n in ("ih", "bh", "ho") else w for n, w in zip(names, moved)}
     rows.unpersist()
     return trace

@@ -324,3 +324,10 @@ def test_covariance_column_and_matrix_agree(spark):
     want = spec.matrix(x, x)
     assert all(got[i, j] == pytest.approx(want[i, j]) for i in range(6) for j in range(6))
     assert spec.diagonal(x) == pytest.approx(np.diag(want))
+
+
+def test_pieces_take_their_hazard_inputs(spark):
+    df = spark.createDataFrame([(1, 3.0), (2, -0.5)], "case_id long, t double")
+    rows = likelihood.survival_pieces(df, [0.5, 2.0, 2.5], log_time=True).orderBy("case_id", "piece").collect()
+    assert [r.time_input for r in rows] == pytest.approx([math.log(0.5), 0.0, (math.log(2) + math.log(2.5)) / 2, math.log(2.5), math.log(0.5)])
+    assert [r.exposure for r in rows] == pytest.approx([0.5, 1.5, 0.5, 0.5, 0.5]) and [r.event for r in rows] == [False, False, False, True, False]
