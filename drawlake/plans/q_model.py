@@ -59,9 +59,9 @@ def l6_survival(spark, d):
     return rounded(_surv(spark, d, pairs(spark, d)).groupBy("case_id").agg(F.sum(L.survival(F.col("t"), F.col("o") / 4)).alias("log_prob")))
 
 
-@query(f"""WITH b(piece, start, stop, at) AS (VALUES (0, 0.0, 0.5, 0.5), (1, 0.5, 1.0, 0.75), (2, 1.0, 1e30, 1.0)),
+@query(f"""WITH b(piece, start, stop, inp) AS (VALUES (0, 0.0, 0.5, 0.5), (1, 0.5, 1.0, 0.75), (2, 1.0, 1e30, 1.0)),
 c AS (SELECT case_id, x1, CASE WHEN case_id % 4 = 0 THEN -1 ELSE 1 END * (0.1 + (case_id % 23) / 10.0) AS t FROM {CASES})
-SELECT case_id, round(sum(CASE WHEN abs(t) <= stop AND t >= 0 THEN x1 / 10 + at ELSE 0 END - (least(abs(t), stop) - start) * exp(x1 / 10 + at)), 6) AS log_prob, count(*) AS pieces
+SELECT case_id, round(sum(CASE WHEN abs(t) <= stop AND t >= 0 THEN x1 / 10 + inp ELSE 0 END - (least(abs(t), stop) - start) * exp(x1 / 10 + inp)), 6) AS log_prob, count(*) AS pieces
 FROM c JOIN b ON abs(t) > start GROUP BY case_id""")
 def l7_survival_pieces(spark, d):
     rows = L.survival_pieces(_surv(spark, d, cases(spark, d).select("case_id", "x1")), [0.5, 1.0])
