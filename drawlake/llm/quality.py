@@ -8,7 +8,9 @@ costs one table look-up per feature. A pair of equal words hashes to one common
 the model learn that repetition itself is a sign.
 
 Training uses a bounded sample of labelled rows, ``per_class`` of each label (chosen by a hash of the
-id); the classes' shares over *all* labelled rows set the prior. Scoring reads whole texts.
+id); the classes' shares over *all* labelled rows set the prior. Every fifth row is kept apart from training, and
+a line through the margins of those, fitted by logistic regression, makes the scores probabilities.
+Scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from drawlake.llm.common import hash_share, held_out
 
 BITS = 18
 GRAMS = (3, 4, 5)
+#: Fewest rows of each label from which some are kept apart.
+APART = 50
 _BLANK = np.zeros(128, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -86,14 +90,19 @@ def train(texts: list[str], labels: list[int], prior: float, dim: int = 8, epoch
             ids, n = np.unique(np.concatenate([x[at[i] : at[i + 1]] for x, at in parts]), return_counts=True)
             docs.append((ids, (n / max(n.sum(), 1)).astype(np.float32)))
     labels = np.asarray(labels, np.int64)
-    size = np.bincount(labels, minlength=2)
-    weight = len(labels) / (2 * np.maximum(size, 1))
+    apart = np.zeros(len(docs), bool)
+    for label in (0, 1):
+        own = np.flatnonzero(labels == label)
+        apart[own[4::5]] = min(np.bincount(labels, minlength=2)) >= APART
+    size = np.bincount(labels[~apart], minlength=2)
+    weight = size.sum() / (2 * np.maximum(size, 1))
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     squares = np.full(1 << BITS, 1e-3, np.float32)
     layer, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
     layer += rng.normal(0, 0.5, layer.shape).astype(np.float32)
-    steps = epochs * len(docs)
-    for step, i in enumerate(x for _ in range(epochs) for x in rng.permutation(len(docs))):
+    used = np.flatnonzero(~apart)
+    steps = epochs * len(used)
+    for step, i in enumerate(x for _ in range(epochs) for x in rng.permutation(used)):
         ids, share = docs[i]
         if not len(ids):
             continue
@@ -112,7 +121,31 @@ def train(texts: list[str], labels: list[int], prior: float, dim: int = 8, epoch
         bias -= 0.02 * now * error
     margin = layer[1] - layer[0]
     shift = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-    return Model((vectors @ margin).astype(np.float32), float(bias[1] - bias[0] + shift))
+    weights, offset = (vectors @ margin).astype(np.float32), float(bias[1] - bias[0] + shift)
+    held = np.flatnonzero(apart)
+    if len(held):
+        z = np.array([offset + docs[i][1] @ weights[docs[i][0]] for i in held])
+        slope, moved = calibrate(z, labels[held], prior)
+        weights, offset = weights * np.float32(slope), slope * offset + moved
+    return Model(weights, offset)
+
+
+def calibrate(margin: np.ndarray, labels: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and offset of Platt's logistic regression, classes weighed by ``prior``; 1 and 0 if margins do not rise with the label."""
+    n = np.bincount(labels, minlength=2)
+    target = np.where(labels == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    weight = np.where(labels == 1, prior / n[1], (1 - prior) / n[0]) * len(labels)
+    x = np.stack([margin, np.ones(len(margin))], axis=1)
+    at = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip((x * at).sum(1), -500, 500)))
+        slope = ((weight * (p - target))[:, None] * x).sum(0)
+        bend = np.einsum("n,ni,nj->ij", weight * p * (1 - p), x, x) + 1e-6 * np.eye(2)
+        step = np.linalg.solve(bend, slope)
+        at = at - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 and np.isfinite(at).all() else (1.0, 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, parts: int = 5, seed: int = 11) -> Model:

@@ -227,6 +227,18 @@ def test_quality_score_by_hand():
         assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
 
 
+def test_quality_calibration():
+    """Platt's line gives back the odds that labels were drawn with, and leaves hopeless margins alone."""
+    rng = np.random.default_rng(0)
+    z = rng.normal(0, 2, 20_000)
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(2 * z - 1)))).astype(int)
+    slope, moved = quality.calibrate(z, y, y.mean())
+    assert slope == pytest.approx(2, rel=0.05) and moved == pytest.approx(-1, abs=0.1)
+    assert quality.calibrate(-z, y, y.mean()) == (1.0, 0.0)
+    sure = np.where(y[:200] == 1, 3.0, -3.0)
+    assert 0 < quality.calibrate(sure, y[:200], 0.9)[0] < 20
+
+
 def test_quality_odd_rows(spark, odd):
     table = spark.createDataFrame([(3, 1, 0), (6, 0, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(odd, table).collect()
