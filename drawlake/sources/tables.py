@@ -30,22 +30,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(lines: DataFrame, name: str = "row_id") -> DataFrame:
-    """Add ``row_id`` from 1 in the order in which the rows stand (files in order of name).
+def numbered(lines: DataFrame, name: str = "row_id", split: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``row_id`` from 1 in the order in which the rows stand.
 
-    Rows are written once with their partition and place in it; the partitions' sizes, one number each, give the
-    offsets. So no row passes through Python, and no partition is evaluated twice in two ways.
+    Rows are written once with an id that increases within a partition; one count for each partition gives the
+    offsets. So no row passes through Python, and no partition is evaluated twice in two ways. With ``split``,
+    columns that tell from which part of which file a row comes, these are counted and ordered instead of partitions.
     """
-    held = 33  # bits that an increasing id leaves for the place within a partition
-    mark = lines.withColumn("_id", F.monotonically_increasing_id())
-    rows = written(mark.withColumn("_part", F.shiftright("_id", held)).withColumn("_at", F.col("_id").bitwiseAND((1 << held) - 1)).drop("_id"), "numbered")
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n")).orderBy("_part").collect()
+    rows = lines.withColumn("_id", F.monotonically_increasing_id())
+    if not split:
+        rows = rows.withColumn("_part", F.shiftright("_id", 33))  # the bits below count within a partition
+    rows, keys = written(rows, "numbered"), list(split) or ["_part"]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_id").alias("_first")).orderBy(*keys).collect()
     before, offsets = 0, []
     for r in sizes:
-        offsets.append((r["_part"], before))
+        offsets.append((*(r[k] for k in keys), before - r["_first"] + 1))
         before += r["_n"]
-    table = lines.sparkSession.createDataFrame(offsets, "_part long, _before long")
-    return rows.join(F.broadcast(table), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    table = lines.sparkSession.createDataFrame(offsets, f"{kinds}, _shift long")
+    return rows.join(F.broadcast(table), keys).withColumn(name, F.col("_id") + F.col("_shift")).drop(*keys, "_id", "_shift")
 
 
 def parse_numeric(lines: DataFrame, items: list[int], text: str = "value") -> DataFrame:
@@ -64,8 +67,9 @@ def parse_numeric(lines: DataFrame, items: list[int], text: str = "value") -> Da
 
 
 def read_numeric(spark: SparkSession, path: str, items: list[int]) -> DataFrame:
-    """``row_id, i1, ...`` of a text file; a bad or missing item is an error."""
-    parsed = parse_numeric(numbered(spark.read.text(path)), items)
+    """``row_id, i1, ...`` of a text file, or of files in order of name; a bad or missing item is an error."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+    parsed = parse_numeric(numbered(lines, split=("_path", "_start")), items)
     wrong = parsed.where("bad").agg(F.min("row_id")).first()[0]
     if wrong is not None:
         raise ValueError(f"{path}: bad or missing number on line {wrong}")

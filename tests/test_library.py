@@ -331,3 +331,10 @@ def test_pieces_take_their_hazard_inputs(spark):
     rows = likelihood.survival_pieces(df, [0.5, 2.0, 2.5], log_time=True).orderBy("case_id", "piece").collect()
     assert [r.time_input for r in rows] == pytest.approx([math.log(0.5), 0.0, (math.log(2) + math.log(2.5)) / 2, math.log(2.5), math.log(0.5)])
     assert [r.exposure for r in rows] == pytest.approx([0.5, 1.5, 0.5, 0.5, 0.5]) and [r.event for r in rows] == [False, False, False, True, False]
+
+
+def test_files_are_read_in_order_of_name(spark, tmp_path):
+    for name, n in (("b", 3), ("a", 2), ("c", 400)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{ord(name)} {i}\n" for i in range(n)))
+    rows = tables.read_numeric(spark, str(tmp_path), [1, 2]).orderBy("row_id").collect()
+    assert [(r.row_id, r.i1, r.i2) for r in rows] == [(k + 1, float(ord(n)), float(i)) for k, (n, i) in enumerate([*(("a", i) for i in range(2)), *(("b", i) for i in range(3)), *(("c", i) for i in range(400))])]
