@@ -172,55 +172,88 @@ class Network:
         return out
 
 
+#: Most bytes of packed draws that are broadcast at once.
+BLOCK_BYTES = 64 << 20
+
+
+def draw_blocks(draws: list[tuple[str, int, dict]]) -> list[list[tuple[str, int, dict]]]:
+    """``draws`` cut so that the arrays of a block have at most ``BLOCK_BYTES`` (or belong to one draw)."""
+    out, held = [[]], 0
+    for draw in draws:
+        size = sum(np.asarray(x).nbytes for v in draw[2].values() if v is not None for x in (v if isinstance(v, list) else [v]) if x is not None)
+        if out[-1] and held + size > BLOCK_BYTES:
+            out.append([])
+            held = 0
+        out[-1].append(draw)
+        held += size
+    return out
+
+
+def _each_block(cases: DataFrame, draws: list[tuple[str, int, dict]], make, schema: str) -> DataFrame:
+    """The results of ``make(broadcast draws)`` over all blocks; cases are read once for each."""
+    parts = [cases.mapInPandas(make(cases.sparkSession.sparkContext.broadcast(block)), schema) for block in draw_blocks(draws)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def net_forward(cases: DataFrame, key: str, inputs: list[str], draws: list[tuple[str, int, dict]], network: Network, keep: list[str] | None = None) -> DataFrame:
     """``(key, log_id, idx, j, o)`` and the inputs in ``keep``: outputs of every draw on every case, cases in Arrow batches, draws packed once."""
-    shared = cases.sparkSession.sparkContext.broadcast(draws)
     kept = keep or []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = batch[inputs].to_numpy(np.float64)
-            for log_id, idx, draw in shared.value:
-                o = network.output(x, draw)
-                n, k = o.shape
-                yield pd.DataFrame({**{c: np.repeat(batch[c].to_numpy(), k) for c in (key, *kept)}, "log_id": log_id, "idx": idx, "j": np.tile(np.arange(k), n), "o": o.ravel()})
+    def make(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                x = batch[inputs].to_numpy(np.float64)
+                for log_id, idx, draw in shared.value:
+                    o = network.output(x, draw)
+                    n, k = o.shape
+                    yield pd.DataFrame({**{c: np.repeat(batch[c].to_numpy(), k) for c in (key, *kept)}, "log_id": log_id, "idx": idx, "j": np.tile(np.arange(k), n), "o": o.ravel()})
+
+        return run
 
     kinds = "".join(f"{c} double, " for c in kept)
-    return cases.select(key, *[F.col(c).cast("double") for c in inputs]).mapInPandas(run, f"{key} long, {kinds}log_id string, idx long, j int, o double")
+    read = cases.select(key, *[F.col(c).cast("double") for c in inputs])
+    return _each_block(read, draws, make, f"{key} long, {kinds}log_id string, idx long, j int, o double")
 
 
 def hidden_spread(cases: DataFrame, inputs: list[str], draws: list[tuple[str, int, dict]], network: Network) -> DataFrame:
     """Population standard deviation over cases of each unit: partial sums per batch, then one small aggregate."""
-    shared = cases.sparkSession.sparkContext.broadcast(draws)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = batch[inputs].to_numpy(np.float64)
-            for log_id, idx, draw in shared.value:
-                for layer, h in enumerate(network.hidden(x, draw)):
-                    yield pd.DataFrame({"log_id": log_id, "idx": idx, "layer": layer, "unit": np.arange(h.shape[1]), "n": len(h), "s": h.sum(0), "s2": (h * h).sum(0)})
+    def make(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                x = batch[inputs].to_numpy(np.float64)
+                for log_id, idx, draw in shared.value:
+                    for layer, h in enumerate(network.hidden(x, draw)):
+                        yield pd.DataFrame({"log_id": log_id, "idx": idx, "layer": layer, "unit": np.arange(h.shape[1]), "n": len(h), "s": h.sum(0), "s2": (h * h).sum(0)})
 
-    parts = cases.select(*inputs).mapInPandas(run, "log_id string, idx long, layer int, unit int, n long, s double, s2 double")
+        return run
+
+    parts = _each_block(cases.select(*inputs), draws, make, "log_id string, idx long, layer int, unit int, n long, s double, s2 double")
     mean = F.sum("s") / F.sum("n")
     return parts.groupBy("log_id", "idx", "layer", "unit").agg(F.sqrt(F.greatest(F.sum("s2") / F.sum("n") - mean * mean, F.lit(0.0))).alias("sd"))
 
 
 def difference_variance(points: DataFrame, inputs: list[str], moved: str, widths: list[float], draws: list[tuple[str, int, dict]], network: Network) -> DataFrame:
     """Mean squared change of the outputs between ``moved`` - w/2 and + w/2, by draw and width."""
-    shared = points.sparkSession.sparkContext.broadcast(draws)
     at = inputs.index(moved)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = batch[inputs].to_numpy(np.float64)
-            for log_id, idx, draw in shared.value:
-                for width in widths:
-                    step = np.zeros(len(inputs))
-                    step[at] = width / 2
-                    d = network.output(x + step, draw) - network.output(x - step, draw)
-                    yield pd.DataFrame({"log_id": [log_id], "idx": [idx], "width": [width], "n": [d.size], "s": [float((d * d).sum())]})
-
-    parts = points.select(*inputs).mapInPandas(run, "log_id string, idx long, width double, n long, s double")
+    def make(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                x = batch[inputs].to_numpy(np.float64)
+                for log_id, idx, draw in shared.value:
+                    for width in widths:
+                        step = np.zeros(len(inputs))
+                        step[at] = width / 2
+                        d = network.output(x + step, draw) - network.output(x - step, draw)
+                        yield pd.DataFrame({"log_id": [log_id], "idx": [idx], "width": [width], "n": [d.size], "s": [float((d * d).sum())]})
+
+        return run
+
+    parts = _each_block(points.select(*inputs), draws, make, "log_id string, idx long, width double, n long, s double")
     return parts.groupBy("log_id", "idx", "width").agg((F.sum("s") / F.sum("n")).alias("mean_square"))
 
 

@@ -338,3 +338,14 @@ def test_files_are_read_in_order_of_name(spark, tmp_path):
         (tmp_path / f"{name}.txt").write_text("".join(f"{ord(name)} {i}\n" for i in range(n)))
     rows = tables.read_numeric(spark, str(tmp_path), [1, 2]).orderBy("row_id").collect()
     assert [(r.row_id, r.i1, r.i2) for r in rows] == [(k + 1, float(ord(n)), float(i)) for k, (n, i) in enumerate([*(("a", i) for i in range(2)), *(("b", i) for i in range(3)), *(("c", i) for i in range(400))])]
+
+
+def test_draws_in_blocks_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    made = [("a", i, {"ih": [rng.normal(size=(2, 3))], "ho": [rng.normal(size=(3, 1))], "bo": rng.normal(size=1)}) for i in range(5)]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(30, 2)))], "k long, a double, b double")
+    net = predict.Network(["tanh"])
+    results = lambda: [sorted(map(tuple, x.collect())) for x in (predict.net_forward(df, "k", ["a", "b"], made, net), predict.hidden_spread(df, ["a", "b"], made, net), predict.difference_variance(df, ["a", "b"], "a", [0.5], made, net))]
+    whole = results()
+    monkeypatch.setattr(predict, "BLOCK_BYTES", 200)
+    assert len(predict.draw_blocks(made)) == 3 and results() == whole
