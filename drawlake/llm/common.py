@@ -49,6 +49,27 @@ def hash_share(doc_id: F.Column, seed: int) -> F.Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
+#: Rows from which a key is heavy, and the most keys that are treated so.
+HEAVY = 1024
+
+
+def heavy_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """The at most ``HEAVY`` most common keys of ``counts`` that have more than ``HEAVY`` rows, as a small local table."""
+    rows = counts.where(F.col(n) > HEAVY).orderBy(F.desc(n), key).limit(HEAVY).select(key).collect()
+    return counts.sparkSession.createDataFrame([(r[0],) for r in rows], f"{key} {counts.schema[key].dataType.simpleString()}")
+
+
+def skewed_join(rows: DataFrame, other: DataFrame, key: str, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left_semi) with ``other``, which has one row for each key.
+
+    Rows of the ``heavy`` keys stay where they are and meet a broadcast of those few rows of ``other``; only the
+    rest is shuffled, so no task gets the rows of a common key.
+    """
+    few = F.broadcast(heavy)
+    hot = rows.join(few, key, "left_semi").join(F.broadcast(other.join(few, key, "left_semi")), key, how)
+    return hot.unionByName(rows.join(few, key, "left_anti").join(other, key, how))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` of longs -> ``(id, component)``, component being the smallest id reachable.
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawlake.llm.bytesops import BYTE_VALUES, LOWER, U64, blocks, mix, prefix_hash, range_hash, word_bounds
-from drawlake.llm.common import connected_components, materialize
+from drawlake.llm.common import connected_components, heavy_keys, materialize, skewed_join
 
 BLOCK = 1_000_000  # elements
 
@@ -189,11 +189,11 @@ def _overlaps(percent: int):
     return run
 
 
-def _missing_links(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _missing_links(members: DataFrame, heavy: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components among the members of buckets that hold several."""
     named = members.where("size > 2").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     unsettled = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    asked = named.join(unsettled, "key", "left_semi").select("id", "component").distinct()
+    asked = skewed_join(named, materialize(unsettled, "unsettled"), "key", heavy, "left_semi").select("id", "component").distinct()
     asked = materialize(asked.join(sets, "id").select(F.monotonically_increasing_id().alias("doc"), "id", "component", "elements"), "asked")
     first = _first_elements(asked.drop("component"), percent).join(asked.select("id", "component"), "id")
     first = materialize(first, "first")
@@ -221,7 +221,9 @@ def _components(docs: DataFrame, words: int, percent: int, rows: int, bands: int
 
     spread = classes.select("id", "n_shingles", F.explode("bands").alias("key"))  # keys of different bands differ
     buckets = spread.groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(spread.join(buckets, "key").select("key", "size", "id", "n_shingles", "pivot"), "buckets")
+    buckets = materialize(buckets, "keys")
+    heavy = heavy_keys(buckets, "key", "size")
+    members = materialize(skewed_join(spread, buckets, "key", heavy).select("key", "size", "id", "n_shingles", "pivot"), "buckets")
     pairs = members.where("id <> pivot.id").where(f"100 * least(n_shingles, pivot.n_shingles) >= {percent} * greatest(n_shingles, pivot.n_shingles)")
     pairs = pairs.select(F.col("pivot.id").alias("u"), F.col("id").alias("v")).distinct()
 
@@ -230,7 +232,7 @@ def _components(docs: DataFrame, words: int, percent: int, rows: int, bands: int
     sets = materialize(texts.select("id", "text").mapInArrow(_elements(words), "id binary, elements array<long>"), "sets")
     links = materialize(_confirmed(pairs, sets, percent), "links")
     found = connected_components(links)
-    more = materialize(_missing_links(members, found, sets, percent), "more")
+    more = materialize(_missing_links(members, heavy, found, sets, percent), "more")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
 
