@@ -16,8 +16,8 @@
 4. The extents of all occurrences of a text are merged and cut out.
 
 Scale. An anchor with more than ``HOT`` distinct contexts is never gathered in one task: its windows are
-hashed and counted by grouped aggregation, which combines on the map side. To find the anchors that occur
-again, the ``HEAVY`` most common ones are marked by a broadcast list, without a shuffle; only the others are
+hashed and counted by grouped aggregation, which combines on the map side. To find the anchors and texts that
+occur again, the most common ones are marked by a broadcast list, without a shuffle; only the others are
 joined by hash. Texts are told apart by 128 bits of id and content.
 """
 
@@ -33,11 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawlake.llm.bytesops import BYTE_VALUES, U64, blocks, column_bytes, gram_hash, mix, prefix_hash
-from drawlake.llm.common import materialize
+from drawlake.llm.common import heavy_keys, materialize, skewed_join
 
 GRAM = 64
 HOT = 50_000
-HEAVY = 1024
 _PLACE = U64((1 << 30) - 1)
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -264,10 +263,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
     each = materialize(each, "anchors")
     common = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     common = materialize(common, "common")
-    heavy = common.where(F.col("n") > HEAVY).orderBy(F.desc("n"), "hash").limit(HEAVY).select("hash")
-    heavy = F.broadcast(each.sparkSession.createDataFrame([(r["hash"],) for r in heavy.collect()], "hash long"))
-    rest = each.join(heavy, "hash", "left_anti").join(common.select("hash"), "hash", "left_semi")
-    wanted = each.join(heavy, "hash", "left_semi").unionByName(rest).groupBy("uid").agg(F.collect_list(F.struct("hash", "place")).alias("marks"))
+    wanted = skewed_join(each, common.select("hash"), "hash", heavy_keys(common, "hash", "n"), "left_semi").groupBy("uid").agg(F.collect_list(F.struct("hash", "place")).alias("marks"))
     texts = read.select(uid, "text").join(wanted, "uid")
     found = texts.mapInArrow(_contexts(length), "hash long, uid binary, place int, left binary, right binary")
     hot = materialize(common.where(F.col("n") > HOT).select("hash"), "hot")
@@ -281,8 +277,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
     for more in rest:
         spans = spans.unionByName(more)
     local = marked.select("uid", F.explode("local").alias("s")).select("uid", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
-    copied = classes.where("copies > 1").select("digest")
-    whole = marked.where(F.col("n_bytes") >= length).join(copied, "digest", "left_semi").select("uid").distinct().select("uid", F.lit(True).alias("whole"))
+    copied = materialize(classes.where("copies > 1").select("digest", "copies"), "copied")
+    whole = skewed_join(marked.where(F.col("n_bytes") >= length).select("digest", "uid"), copied.select("digest"), "digest", heavy_keys(copied, "digest", "copies"), "left_semi").select("uid").distinct().select("uid", F.lit(True).alias("whole"))
     spans = spans.unionByName(local).groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     cut = materialize(spans.join(whole, "uid", "full").select("uid", F.coalesce("whole", F.lit(False)).alias("whole"), F.when(F.col("whole").isNull(), F.col("spans")).alias("spans")), "spans")
     out = read.withColumn("uid", uid).join(cut, "uid", "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")

@@ -112,6 +112,24 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert minhash.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_skewed_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 3)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 9 + [2] * 5 + [3] * 4 + [4] * 2 + [5])], "k long, i long")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    heavy = common.heavy_keys(counts, "k", "n")
+    assert {r.k for r in heavy.collect()} == {1, 2, 3}
+    other = counts.where("k <> 2 and n > 1").withColumn("x", F.col("k") * 10)
+    assert sorted(map(tuple, common.skewed_join(rows, other, "k", heavy).collect())) == sorted(map(tuple, rows.join(other, "k").collect()))
+    assert common.skewed_join(rows, other, "k", heavy, "left_semi").count() == 15
+
+
+def test_near_duplicates_of_heavy_buckets(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plain = sorted(map(tuple, minhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(common, "HEAVY", 2)
+    assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == plain
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)], "u long, v long")
     got = {r.id: r.component for r in common.connected_components(edges).collect()}
@@ -166,7 +184,7 @@ def test_repeats_of_heavy_anchors(spark, monkeypatch):
     passage = words(100, 9)
     docs = spark.createDataFrame([(i % 5 or None, words(20 + i, i) + passage + words(15, 50 + i), "en", "s", 1) for i in range(12)], DOCS)
     plain = sorted((str(r.doc_id), *r[1:]) for r in repeats.remove_repeats(docs, 400).collect())
-    monkeypatch.setattr(repeats, "HEAVY", 2)
+    monkeypatch.setattr(common, "HEAVY", 2)
     assert sorted((str(r.doc_id), *r[1:]) for r in repeats.remove_repeats(docs, 400).collect()) == plain
 
 
