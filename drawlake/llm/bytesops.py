@@ -109,3 +109,25 @@ def code_points(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     np.cumsum(first, out=count[1:])
     chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), "<u4")
     return chars, count[starts]
+
+
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each range, one range after the other."""
+    upto = np.cumsum(size)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin - upto + size, size)
+
+
+_SHORT = 15
+_LOW_MASK = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(_SHORT + 1)], U64)
+_HIGH_MASK = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(_SHORT + 1)], U64)
+
+
+def packed(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two numbers that hold the bytes and the size of each range of up to 15 bytes, and which ranges are so short; of others they say nothing."""
+    padded = np.append(data, np.zeros(16, np.uint8))
+    words = np.ndarray(len(data) + 9, "<u8", padded.data, strides=(1,))
+    short = size <= _SHORT
+    own = np.where(short, size, 0)
+    low = words[begin] & _LOW_MASK[own]
+    high = words[np.minimum(begin + 8, len(data))] & _HIGH_MASK[own] | own.astype(U64) << U64(56)
+    return low, high, short

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from drawlake.llm import ann, chat, decontam, langid, minhash, packing, pii, quality, repeats, warc
+from drawlake.llm import ann, chat, decontam, langid, minhash, packing, pii, quality, repeats, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), (path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_minhash, op3_decontaminate, op4_langid, op5_pii, op6_repeats, op7_neighbours, op8_chat, op9_warc, op10_packing)}
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_minhash, op3_decontaminate, op4_langid, op5_pii, op6_repeats, op7_neighbours, op8_chat, op9_warc, op10_packing, op11_tokens)}
 
 _ESCAPED = r"regexp_replace(regexp_replace({x}, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g')"
 _CHAT = rf"""
