@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from drawlake.llm import ann, chat, decontam, langid, minhash, packing, pii, quality, repeats, tokens, warc
+from drawlake.llm import ann, chat, decontam, langid, lexical, minhash, packing, pii, quality, repeats, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,11 @@ def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_minhash, op3_decontaminate, op4_langid, op5_pii, op6_repeats, op7_neighbours, op8_chat, op9_warc, op10_packing, op11_tokens)}
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_minhash, op3_decontaminate, op4_langid, op5_pii, op6_repeats, op7_neighbours, op8_chat, op9_warc, op10_packing, op11_tokens, op12_lexical)}
 
 _ESCAPED = r"regexp_replace(regexp_replace({x}, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g')"
 _CHAT = rf"""
@@ -106,4 +110,18 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
-ORACLE_SQL = {"op7_neighbours": _NEAREST, "op8_chat": _CHAT, "op9_warc": _WARC}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_LEXICAL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+stats AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), stats),
+items AS (SELECT DISTINCT item_id, text, unnest({_TERMS}) AS term FROM benchmark),
+scores AS (
+  SELECT item_id, text, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM items JOIN tf USING (term) JOIN weights USING (term), stats GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scores WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""
+
+ORACLE_SQL = {"op7_neighbours": _NEAREST, "op8_chat": _CHAT, "op9_warc": _WARC, "op12_lexical": _LEXICAL}
