@@ -132,12 +132,12 @@ def best(item: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[
     return order[rank < k], rank[rank < k]
 
 
-def _score(shared, k: int):
+def _score(shared, k: int, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
         items = at["items"]
         top, top_id = np.zeros((items, k), np.int64), np.full((items, k), NO_ID)
-        step = max(1, CELLS // max(items, 1))
+        step = max(1, cells // max(items, 1))
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             n = batch.column(1).to_numpy()
@@ -171,7 +171,7 @@ def _score(shared, k: int):
     return run
 
 
-def _search_block(docs: DataFrame, items: list[tuple[int | None, str]], k: int) -> DataFrame:
+def _search_block(docs: DataFrame, items: list[tuple[int | None, str]], k: int, cells: int) -> DataFrame:
     """``search`` for items that the driver holds."""
     spark = docs.sparkSession
     terms = Terms([t for _, t in items])
@@ -185,7 +185,7 @@ def _search_block(docs: DataFrame, items: list[tuple[int | None, str]], k: int)
     of_item = np.repeat(np.arange(len(items)), [len(own) for own in terms.of_text])
     order = np.argsort(of_term, kind="stable")
     index = {"items": len(items), "docs": n, "words": found.get(-2, 0), "weight": np.array(weight, np.int64), "posting": of_item[order], "first": np.searchsorted(of_term[order], np.arange(terms.count + 1))}
-    heaps = counted.where(F.size("terms") > 0).mapInArrow(_score(spark.sparkContext.broadcast(index), k), "item long, doc_id long, score long")
+    heaps = counted.where(F.size("terms") > 0).mapInArrow(_score(spark.sparkContext.broadcast(index), k, cells), "item long, doc_id long, score long")
     names = spark.createDataFrame([(i, item_id) for i, (item_id, _) in enumerate(items)], "item long, item_id long")
     by = [F.desc("score"), F.col("doc_id").asc_nulls_last()]
     part = Window.partitionBy("item", "part").orderBy(*by)
@@ -194,14 +194,15 @@ def _search_block(docs: DataFrame, items: list[tuple[int | None, str]], k: int)
     return ranked.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 10, block_bytes: int = 8 << 20, cells: int = CELLS) -> DataFrame:
     """``(item_id, rank, doc_id, score)``: the k best of ``docs(doc_id, text, ...)`` for each of ``items(item_id, text, ...)``.
 
     Only scores above 0 count; equal ones are ranked by ascending doc_id, null ids last. Null and empty texts have no
     terms: as documents they count for nothing, as items they find nothing. Very long texts are taken whole. Repeated
     documents are ranked each; equal rows of ``items`` count once, different texts of one item_id are items each, and so
     is one with a null id. Without documents or items there are no rows. Other columns are ignored, whatever
-    their names. ``block_bytes`` bounds the texts of the items that are indexed at once.
+    their names. ``block_bytes`` bounds the texts of the items that are indexed at once, ``cells`` a
+    task's matrix of items by documents.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     asked = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
@@ -210,5 +211,5 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, block_bytes: int = 8
     for part in range(parts):
         own = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
         if own or part == 0:
-            found.append(_search_block(read, [tuple(r) for r in own], k))
+            found.append(_search_block(read, [tuple(r) for r in own], k, cells))
     return union_all(found)

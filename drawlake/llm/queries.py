@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from drawlake.llm import ann, chat, decontam, langid, lexical, minhash, packing, pii, quality, repeats, tokens, warc
+from drawlake.llm import ann, chat, decontam, langid, lexical, minhash, packing, pii, quality, repeats, tokens, trie, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,11 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_minhash, op3_decontaminate, op4_langid, op5_pii, op6_repeats, op7_neighbours, op8_chat, op9_warc, op10_packing, op11_tokens, op12_lexical)}
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_minhash, op3_decontaminate, op4_langid, op5_pii, op6_repeats, op7_neighbours, op8_chat, op9_warc, op10_packing, op11_tokens, op12_lexical, op13_trie)}
 
 _ESCAPED = r"regexp_replace(regexp_replace({x}, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g')"
 _CHAT = rf"""
@@ -124,4 +128,32 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY scor
 SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10
 """
 
-ORACLE_SQL = {"op7_neighbours": _NEAREST, "op8_chat": _CHAT, "op9_warc": _WARC, "op12_lexical": _LEXICAL}
+_TRIE = r"""
+WITH own AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda s, i: xor(s >> 1, (s & 1) * 3988292384))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)),
+turns AS (
+  SELECT c.conv_id, 0 AS later, o.pos, o.t FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos < c.h
+  UNION ALL SELECT c.conv_id, 1, o.pos, o.t FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos >= c.h),
+seqs AS (SELECT conv_id, coalesce(list(t ORDER BY later, pos) FILTER (t IS NOT NULL), []) AS s FROM convs LEFT JOIN turns USING (conv_id) GROUP BY conv_id),
+members AS (SELECT conv_id, len(s) AS n, d, s[1:d] AS p FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM seqs)),
+nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(p[-1].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM members GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (p, d)),
+below AS (
+  SELECT p[1:a] AS p, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT p, saved, n_children, unnest(range(d + 1)) AS a FROM full_nodes) GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, b.n_leaves, b.saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN below b USING (p, d) LEFT JOIN nodes u ON u.d = f.d - 1 AND u.p = f.p[1:f.d - 1]
+"""
+
+ORACLE_SQL = {"op7_neighbours": _NEAREST, "op8_chat": _CHAT, "op9_warc": _WARC, "op12_lexical": _LEXICAL, "op13_trie": _TRIE}

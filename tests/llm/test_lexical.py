@@ -46,14 +46,13 @@ def corpus(n, seed, words=60):
 
 
 @pytest.mark.parametrize("cells", [lexical.CELLS, 64])
-def test_against_brute_force(spark, monkeypatch, cells):
+def test_against_brute_force(spark, cells):
     """Ties, repeated documents and long terms; batches of any size give the same."""
-    monkeypatch.setattr(lexical, "CELLS", cells)
     docs = list(enumerate(corpus(300, 1)))
     docs += [(1000 + i, docs[7][1]) for i in range(40)] + [docs[3], docs[3]]
     items = list(enumerate(corpus(12, 2)))
-    assert run(spark, docs, items) == brute(docs, items, 10)
-    assert run(spark, docs, items, k=3) == brute(docs, items, 3)
+    assert run(spark, docs, items, cells=cells) == brute(docs, items, 10)
+    assert run(spark, docs, items, k=3, cells=cells) == brute(docs, items, 3)
 
 
 def test_blocks_of_items(spark):
