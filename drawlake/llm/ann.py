@@ -12,6 +12,7 @@ The same rule on the small tree, with the k-th distance within the sample, decid
 Shards of more than ``shard_rows`` vectors (many equal ones, say) are searched in slices; a shard that
 more than ``block_queries`` queries visit is sent once for each such block of them.
 
+Bounds allow for the rounding of squared distances, so equal directions of unequal lengths are not told apart by it.
 Leaves rank by the cosine itself, summed in component order in double precision, ties to the smaller id.
 """
 
@@ -32,7 +33,7 @@ LEAF = 256
 SAMPLE = 4096
 SAMPLE_BYTES = 16 << 20
 MOST_SHARDS = 1024
-SLACK = 1e-9  # beyond rounding of unit-sphere distances
+SLACK = 1e-9  # beyond rounding of cosines
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray, norm_a: np.ndarray, norm_b: np.ndarray) -> np.ndarray:
@@ -75,6 +76,21 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ik,jk->ij", a, b)
 
 
+def error(dim: int) -> float:
+    """More than rounding can change a squared distance of unit vectors, or a cosine."""
+    return 32 * (dim + 8) * 2.0**-52
+
+
+def least(away, dim: int):
+    """No more than the true distance; near 0 a distance is known to some 1e-7 only, as its square is rounded."""
+    return np.sqrt(np.maximum(np.square(away) - error(dim), 0))
+
+
+def most(away, dim: int):
+    """No less than the true distance."""
+    return np.sqrt(np.square(away) + error(dim))
+
+
 class Search:
     """The k nearest of each query in one tree; ``reach`` is a distance within which k others are known to be."""
 
@@ -98,11 +114,11 @@ class Search:
             return
         point, inner, outer, inside, outside = node
         away = distance(self.q_unit[active], self.tree.unit[point][None])[:, 0]
-        near_in = away <= (inner + outer) / 2
-        for first, gap, a, b in ((near_in, outer - away, inside, outside), (~near_in, away - inner, outside, inside)):
+        near_in, dim = away <= (inner + outer) / 2, self.q_unit.shape[1]
+        for first, gap, a, b in ((near_in, least(outer, dim) - most(away, dim), inside, outside), (~near_in, least(away, dim) - most(inner, dim), outside, inside)):
             self._walk(a, active[first])
             rest = active[first]
-            self._walk(b, rest[gap[first] <= self.factor * self.reach[rest] + SLACK])
+            self._walk(b, rest[gap[first] <= self.factor * most(self.reach[rest], dim)])
 
     def _leaf(self, rows: np.ndarray, active: np.ndarray) -> None:
         rough = products(self.q_unit[active], self.tree.unit[rows])
@@ -190,14 +206,15 @@ class Top:
     def visits(self, unit: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, shard) for all shards that may hold something within ``reach`` of a query."""
         found: list[tuple[np.ndarray, int]] = []
+        dim, reach = unit.shape[1], most(reach, unit.shape[1])
 
         def walk(node, rows: np.ndarray) -> None:
             if isinstance(node, int):
                 found.append((rows, node))
             elif len(rows):
                 away = distance(unit[rows], node[0][None])[:, 0]
-                walk(node[2], rows[away - node[1] <= reach[rows] + SLACK])
-                walk(node[3], rows[node[1] - away <= reach[rows] + SLACK])
+                walk(node[2], rows[least(away, dim) - most(node[1], dim) <= reach[rows]])
+                walk(node[3], rows[least(node[1], dim) - most(away, dim) <= reach[rows]])
 
         walk(self.root, np.arange(len(unit)))
         return np.concatenate([r for r, _ in found]), np.concatenate([np.full(len(r), n) for r, n in found])

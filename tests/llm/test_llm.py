@@ -538,6 +538,23 @@ def test_nearest_against_brute_force(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [8192, 300, 40])
+def test_nearest_of_scaled_copies(spark, shard_rows):
+    """Vectors on three directions, of any lengths: cosines differ by rounding only, and that decides."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3, 48))[rng.integers(0, 3, 2000)] * rng.uniform(0.01, 100, (2000, 1))
+    x[::97] = x[0]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(table, shard_rows=shard_rows, block_queries=7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    n = ann.norms(x)
+    for q in range(0, 2000, 50):
+        s = ann.exact_cosine(np.repeat(x[q][None], 2000, 0), x, np.full(2000, n[q]), n)
+        want = [i for i in np.lexsort((np.arange(2000), -s)) if i != q][:5]
+        assert got[q] == [(i, s[i]) for i in want]
+
+
 def test_nearest_odd_rows(spark):
     """Repeated ids, extra columns, vectors of other dimensions, and fewer candidates than asked for."""
     rng = np.random.default_rng(6)
