@@ -71,24 +71,24 @@ _ESCAPED = r"regexp_replace(regexp_replace({x}, '<(\\*)\|', '<\\\1|', 'g'), '\|(
 _CHAT = rf"""
 WITH lines AS (
   SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         CAST(floor(coalesce(turn, 0) / 4096.0) AS BIGINT) AS part
+         strlen(coalesce(role, 'unknown')) + strlen(coalesce(text, '')) + 1024 AS cost
   FROM conversations),
 numbered AS (
-  SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, role, text) - 1) // 4096 AS BIGINT) AS piece FROM lines),
+  SELECT *, CAST(coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4194304 AS BIGINT) AS part FROM lines),
 people AS (SELECT DISTINCT conv_id, role AS perspective FROM lines WHERE role <> 'system'),
 heads AS (
-  SELECT l.conv_id, p.perspective, l.part, l.piece, l.turn, l.role, l.text AS raw, {_ESCAPED.format(x="l.text")} AS text,
+  SELECT l.conv_id, p.perspective, l.part, l.turn, l.role, l.text AS raw, {_ESCAPED.format(x="l.text")} AS text,
          '<|' || CASE WHEN l.role = p.perspective THEN 'assistant' WHEN l.role = 'system' THEN 'system'
                       ELSE 'user name=' || regexp_replace({_ESCAPED.format(x="l.role")}, '[\r\n]', ' ', 'g') END || '|>' || chr(10) AS head
   FROM numbered l JOIN people p ON l.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
   SELECT *, row_number() OVER w AS n,
          CAST(coalesce(sum(length(head) + length(text) + 8) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
-  FROM heads WINDOW w AS (PARTITION BY conv_id, perspective, part, piece ORDER BY turn, role, raw))
-SELECT conv_id, perspective, part, piece, count(*) AS n_turns, count(*) FILTER (WHERE role = perspective) AS n_learned,
+  FROM heads WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn, role, raw))
+SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (WHERE role = perspective) AS n_learned,
        string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY n) AS rendered,
        coalesce(list({{'start': pos + length(head), 'end': pos + length(head) + length(text)}} ORDER BY n) FILTER (WHERE role = perspective), []) AS mask
-FROM placed GROUP BY conv_id, perspective, part, piece
+FROM placed GROUP BY conv_id, perspective, part
 """
 
 _WARC = """

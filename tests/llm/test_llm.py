@@ -595,7 +595,7 @@ def test_chat(spark):
     assert set(got) == {(1, "ann"), (1, "bob"), (2, "unknown")}
     r = got[1, "ann"]
     assert r.rendered == "<|system|>\nbe nice<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\nyo<|end|>\n<|assistant|>\n<|end|>\n<|user name=bob|>\nlate<|end|>\n"
-    assert [r.rendered[m.start : m.end] for m in r.mask] == ["hi", ""] and r.n_learned == 2 and (r.part, r.piece) == (0, 0)
+    assert [r.rendered[m.start : m.end] for m in r.mask] == ["hi", ""] and r.n_learned == 2 and r.part == 0
 
 
 def test_chat_cannot_be_forged(spark):
@@ -610,18 +610,29 @@ def test_chat_cannot_be_forged(spark):
             assert re.sub(r"<\\(\\*)\|", r"<\1|", held) == evil
 
 
-def test_chat_parts_join_to_the_whole(spark):
+def test_chat_turn_numbers_do_not_cut(spark):
+    """Negative, repeated, missing and far apart turn numbers leave a short dialogue in one row."""
+    rows = [(1, 4094 + i, "ann", f"a{i}") for i in range(4)] + [(2, 1_700_000_000 + 3000 * i, "ann", f"b{i}") for i in range(4)] + [(3, i // 2, "ann", f"c{i}") for i in range(2000)] + [(4, -(2**62), "ann", "d"), (4, None, "ann", "e"), (4, 2**62, "ann", "f")]
+    got = {r.conv_id: r for r in chat.rotate(spark.createDataFrame(rows, CONV)).collect()}
+    assert {k: (r.part, r.n_turns) for k, r in got.items()} == {1: (0, 4), 2: (0, 4), 3: (0, 2000), 4: (0, 3)} and len(got) == 4
+    assert re.findall(r"[a-f]\d?(?=<)", got[4].rendered) == ["d", "e", "f"]
+
+
+@pytest.mark.parametrize("hot_share", [chat.HOT_SHARE, 2, 1])
+def test_chat_parts_join_to_the_whole(spark, hot_share):
+    """Long dialogues come in parts, the same ones by a window and by range-sorted partitions."""
     rows = [(1, t // 3, f"p{t % 2}", f"text {t}") for t in range(90)] + [(2, None, "ann", f"n{i:02d}") for i in range(25)] + [(None, 3, "ann", "a"), (None, 2, "bob", "b"), (4, 1, "ann", "same"), (4, 1, "ann", "same"), (5, 0, "ann", "x" * 300_000)]
     table = spark.createDataFrame(rows, CONV).withColumn("part", F.lit(1)).withColumn("lines", F.lit("z"))
     whole = {(r.conv_id, r.perspective): r for r in chat.rotate(table).collect()}
     parts = collections.defaultdict(list)
-    for r in chat.rotate(table, 8, 10).collect():
+    for r in chat.rotate(table, 10 * chat.TURN_BYTES, hot_share).collect():
         parts[r.conv_id, r.perspective].append(r)
-    assert set(parts) == set(whole) and len(parts[1, "p0"]) > 8 and len(parts[2, "ann"]) == 3
+    assert set(parts) == set(whole) and len(parts[1, "p0"]) == 9 and len(parts[2, "ann"]) == 3
     for key, some in parts.items():
-        some.sort(key=lambda r: (r.part, r.piece))
+        some.sort(key=lambda r: r.part)
         assert "".join(r.rendered for r in some) == whole[key].rendered and sum(r.n_learned for r in some) == whole[key].n_learned
         assert [r.rendered[m.start : m.end] for r in some for m in r.mask] == [whole[key].rendered[m.start : m.end] for m in whole[key].mask]
+    assert [r.n_turns for r in parts[1, "p0"]] == [10] * 9
     assert whole[4, "ann"].n_turns == 2 and len(whole[5, "ann"].rendered) > 300_000
     assert whole[None, "ann"].rendered.startswith("<|user name=bob|>") and chat.rotate(table.limit(0)).count() == 0
 
