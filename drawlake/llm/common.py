@@ -49,13 +49,18 @@ def hash_share(doc_id: F.Column, seed: int) -> F.Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
-#: Rows from which a key is heavy, and the most keys that are treated so.
+#: Rows from which a key is heavy; and its share: a key of more than a ``HEAVY_SHARE``-th of all rows is.
 HEAVY = 1024
+HEAVY_SHARE = 1 << 16
 
 
 def heavy_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
-    """The at most ``HEAVY`` most common keys of ``counts`` that have more than ``HEAVY`` rows, as a small local table."""
-    rows = counts.where(F.col(n) > HEAVY).orderBy(F.desc(n), key).limit(HEAVY).select(key).collect()
+    """Keys of ``counts`` that have more than ``HEAVY`` rows and more than a ``HEAVY_SHARE``-th of all, as a small local table.
+
+    So there are fewer than ``HEAVY_SHARE``, and each of the other keys has at most that share of the rows.
+    """
+    bound = max(HEAVY, (counts.agg(F.sum(n)).first()[0] or 0) // HEAVY_SHARE)
+    rows = counts.where(F.col(n) > bound).select(key).collect()
     return counts.sparkSession.createDataFrame([(r[0],) for r in rows], f"{key} {counts.schema[key].dataType.simpleString()}")
 
 

@@ -1,8 +1,9 @@
 """Deterministic sharded WARC writer and reader.
 
-Pages are sorted by id and cut into shards of about equal size. The cuts come from exact sums over ranges of
-ids, refined where a range is heavy; an id (or the null id) that outweighs a shard is split further by the
-digest of its payload. So shards depend on the pages alone, not on how Spark deals or samples them. A
+Pages are sorted by id and cut into shards of ``shard_bytes``: a page belongs to the shard that the bytes of all pages
+before it, divided by that size, name. The sums come from range-sorted ids and sizes, with one sum for each partition; an
+id (or the null id) that outweighs a shard is split further by the digest of its payload. So shards depend on the pages
+alone, not on settings or on how Spark deals or samples them, and their number grows with the pages, not their size. A
 shard's records are separate gzip members; a new file starts as soon as the compressed size passes a limit.
 Record ids, dates and digests are functions of the page, so a second run gives equal files and an equal
 manifest. A file is written under a temporary name that is unique to the attempt and then renamed to its final
@@ -25,13 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import scratch_path
+from drawlake.llm.common import heavy_keys, materialize, scratch_path, skewed_join
 
 MANIFEST = "file string, records long, bytes long, sha256 string"
-SPLIT = 32
+#: Bytes of pages, not compressed, that one task writes.
+SHARD_BYTES = 64 << 20
 READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -107,59 +109,50 @@ def _write(root: str, roll_bytes: int, date: str, level: int):
 
 
 def referrals(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """``(page_id, sha1, refers_to)`` for the payloads of ``pages(page_id, sha1, n)`` that another page with a smaller id has."""
-    known = pages.where("page_id is not null").where(F.col("n") >= min_bytes).select("page_id", "sha1", "n")
-    first = known.groupBy("sha1", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("size")).where("size > 1").drop("size")
-    return known.join(first, ["sha1", "n"]).where("page_id > refers_to").select("page_id", "sha1", "refers_to").distinct()
+    """``(page_id, sha1, refers_to)`` for the payloads of ``pages(page_id, sha1, n)`` that another page with a smaller id has.
 
-
-def _range_sums(edges: np.ndarray):
-    """Bytes by range of ids; range i starts at ``edges[i]``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(edges), np.int64)
-        for batch in batches:
-            at = np.searchsorted(edges, batch.column(0).to_numpy(zero_copy_only=False), "right") - 1
-            np.add.at(total, at, batch.column(1).to_numpy(zero_copy_only=False))
-        kept = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(total[kept])], ["range", "n"])
-
-    return run
+    Pages of a very common payload stay where they are and meet a broadcast of those few payloads.
+    """
+    known = pages.where("page_id is not null").where(F.col("n") >= min_bytes).select("page_id", "sha1")
+    first = known.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("size")).where("size > 1")
+    first = materialize(first, "payloads")
+    both = skewed_join(known, first.drop("size"), "sha1", heavy_keys(first, "sha1", "size"))
+    return both.where("page_id > refers_to").select("page_id", "sha1", "refers_to").distinct()
 
 
-def shard_ranges(sizes: DataFrame, shards: int) -> tuple[list[int], list[int], list[int]]:
-    """(first id, first shard, number of shards) of ranges of ids, so that shards of ``sizes(page_id, n)`` hold about equally many bytes.
+def shard_ranges(sizes: DataFrame, shard_bytes: int) -> tuple[list[int], list[int], list[int]]:
+    """(first id, first shard, number of shards) of ranges of ids, so that shards of ``sizes(page_id, sha1, n)`` hold about ``shard_bytes``.
 
-    Ranges of more than an eighth of a shard are split ``SPLIT`` ways, again and again, until they are small or
-    hold one id: the driver keeps at most a few hundred numbers a shard. A range has several shards
-    only if it is one id.
+    A range has several shards only if it is one id. The driver keeps one sum a partition and one id a shard.
     """
-    ends = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    if ends[0] is None:
-        return [0], [0], [1]
-    low, high, target = ends[0], ends[1] + 1, max(1, -(-ends[2] // shards))
-    edges, sums = [low], {low: ends[2]}
-    while True:
-        after = dict(zip(edges, [*edges[1:], high]))
-        heavy = [e for e in edges if sums.get(e, 0) > target // 8 and after[e] - e > 1]
-        if not heavy:
-            break
-        cuts = [e + (after[e] - e) * i // SPLIT for e in heavy for i in range(SPLIT)]
-        edges = sorted({*edges, *cuts})
-        found = sizes.where("page_id is not null").mapInArrow(_range_sums(np.array(edges, np.int64)), "range long, n long").groupBy("range").agg(F.sum("n").alias("n")).collect()
-        sums = {edges[r["range"]]: r["n"] for r in found}
-    starts, first, count, shard, held = [], [], [], 0, 0
-    for e in edges:
-        n = sums.get(e, 0)
-        if held and held + n > target:
-            shard, held = shard + 1, 0
-        many = -(-n // target) if n > target else 1
-        if many > 1 or not first or first[-1] != shard or count[-1] > 1:
-            starts.append(e)
-            first.append(shard)
-            count.append(many)
-        shard, held = (shard + many, 0) if many > 1 else (shard, held + n)
-    return starts, first, count
+    order = ["page_id", "sha1", "n"]
+    rows = sizes.where("page_id is not null").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(rows.select("page_id", "n", F.monotonically_increasing_id().alias("id")).withColumn("part", F.shiftright("id", 33)), "sizes")
+    before, shift = 0, []
+    for r in rows.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        shift.append((r["part"], before))
+        before += r["n"]
+    parts = rows.sparkSession.createDataFrame(shift, "part long, shift long")
+    upto = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = rows.join(F.broadcast(parts), "part").select("page_id", F.floor((F.col("shift") + upto) / shard_bytes).cast("long").alias("shard"))
+    firsts = [r["id"] for r in cut.groupBy("shard").agg(F.min("page_id").alias("id")).orderBy("shard").collect()]
+    starts, first, count = [], [], []
+    for shard, page_id in enumerate(firsts):
+        if starts and starts[-1] == page_id:
+            count[-1] += 1
+            continue
+        if count and count[-1] > 1 and page_id > starts[-1] + 1:  # what follows an id of several shards goes on in its last one
+            starts.append(starts[-1] + 1)
+            first.append(shard - 1)
+            count.append(1)
+        starts.append(page_id)
+        first.append(shard)
+        count.append(1)
+    if count and count[-1] > 1:
+        starts.append(starts[-1] + 1)
+        first.append(len(firsts) - 1)
+        count.append(1)
+    return (starts, first, count) if starts else ([0], [0], [1])
 
 
 def _sharded(ranges: tuple[list[int], list[int], list[int]], null_shards: int) -> Column:
@@ -176,7 +169,7 @@ def _sharded(ranges: tuple[list[int], list[int], list[int]], null_shards: int) -
     return F.when(F.col("page_id").isNull(), last + F.pmod(spread, F.lit(null_shards).cast("long"))).otherwise(known).cast("long")
 
 
-def write_warc(pages: DataFrame, root: str, min_bytes: int = 0, roll_bytes: int = 32 << 20, shards: int | None = None, date: str = "2024-01-01T00:00:00Z", level: int = 6) -> DataFrame:
+def write_warc(pages: DataFrame, root: str, min_bytes: int = 0, roll_bytes: int = 32 << 20, shard_bytes: int = SHARD_BYTES, date: str = "2024-01-01T00:00:00Z", level: int = 6) -> DataFrame:
     """Write ``pages(page_id, url, html, ...)`` below ``root`` and return the manifest, also written to ``root/manifest``.
 
     Null html is empty; a null page id is written as a response of its own; rows that share a page id are
@@ -186,11 +179,10 @@ def write_warc(pages: DataFrame, root: str, min_bytes: int = 0, roll_bytes: int
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumn("sha1", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    weight = pages.select("page_id", (F.octet_length("html") + 500).cast("long").alias("n"))
-    parts = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = shard_ranges(weight, parts)
-    nulls, total = weight.agg(F.sum(F.when(F.col("page_id").isNull(), F.col("n"))), F.sum("n")).first()
-    null_shards = max(1, -(-(nulls or 0) * parts // max(total or 1, 1)))
+    weight = pages.select("page_id", "sha1", (F.octet_length("html") + 500).cast("long").alias("n"))
+    ranges = shard_ranges(weight, shard_bytes)
+    nulls = weight.where("page_id is null").agg(F.sum("n")).first()[0] or 0
+    null_shards = max(1, -(-nulls // shard_bytes))
     shard = _sharded(ranges, null_shards)
     # referrals travel with the pages through the one sort, each right before its page, so pages are shuffled once
     rows = pages.select("page_id", "sha1", F.lit(True).alias("page"), "url", "html", F.lit(None).cast("long").alias("refers_to"))

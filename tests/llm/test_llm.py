@@ -641,9 +641,9 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a", "<p>x</p>"), (2, "http://b\r\nX: y", "<p>x</p>"), (9, None, None), (1, "u", ""), (None, "n", "<p>x</p>"), (7, "é", "ü" * 5000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
     root = f"file://{tmp_path}/w"
-    manifest = warc.write_warc(pages, root, roll_bytes=300, shards=2).collect()
+    manifest = warc.write_warc(pages, root, roll_bytes=300, shard_bytes=7000).collect()
     again = f"file://{tmp_path}/v"
-    assert {(m.file, m.sha256) for m in manifest} == {(m.file, m.sha256) for m in warc.write_warc(pages, again, roll_bytes=300, shards=2).collect()}
+    assert {(m.file, m.sha256) for m in manifest} == {(m.file, m.sha256) for m in warc.write_warc(pages, again, roll_bytes=300, shard_bytes=7000).collect()}
     (tmp_path / "w/data/stray.warc.gz").write_bytes(b"left over")
     got = {r.page_id: r for r in warc.read_warc(spark, root, with_payload=True).collect()}
     assert len(manifest) > 1 and len(got) == 6
@@ -665,12 +665,17 @@ def test_warc_members():
 
 
 def test_warc_is_deterministic(spark, tmp_path):
-    """However the pages are dealt, files and manifest are equal; a file that was changed or lost is an error."""
+    """However the pages are dealt and Spark is set, files and manifest are equal; a file that was changed or lost is an error."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
     rows = [(i * i, f"http://{i}", "<p>" + words(1 + i % 50, i % 300) + "</p>") for i in range(900)] + [(None, "n", words(9, i)) for i in range(300)]
     manifests = []
     for n, parts in enumerate((3, 17)):
         pages = spark.createDataFrame(rows[:: 1 - 2 * n], "page_id long, url string, html string").repartition(parts)
-        manifests.append(warc.write_warc(pages, f"file://{tmp_path}/{n}", roll_bytes=9000, shards=5).collect())
+        spark.conf.set(key, 4 + 4 * n)
+        manifests.append(warc.write_warc(pages, f"file://{tmp_path}/{n}", roll_bytes=9000, shard_bytes=150_000).collect())
+    spark.conf.set(key, before)
+    assert len({m.file[:12] for m in manifests[0]}) > 4
     assert len(manifests[0]) > 8 and sorted(map(tuple, manifests[0])) == sorted(map(tuple, manifests[1]))
     assert all(m.file in {p.name for p in (tmp_path / "0/data").iterdir()} for m in manifests[1])
     assert warc.read_warc(spark, f"file://{tmp_path}/0").count() == 1200
@@ -693,11 +698,22 @@ def test_warc_odd_rows(spark, tmp_path):
     assert sum(n for (p, *_), n in got.items() if p == 5) == 200
 
 
+def test_warc_of_a_common_payload(spark, monkeypatch):
+    """Pages of a payload that is common refer to its first page, by a shuffle or by a broadcast of the payload."""
+    rows = [(i, "u", "" if i % 3 else words(9, i % 4)) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((i, next(j for j, _, t in rows if t == html)) for i, _, html in rows)
+    for heavy in (1024, 20):
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        assert sorted((r.page_id, r.page_id if r.refers_to is None else r.refers_to) for r in warc.archive(pages).collect()) == want
+
+
 def test_shard_ranges(spark):
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.integers(0, 1 << 40, 800), np.full(400, 77), np.arange(10**12, 10**12 + 300)])
-    sizes = spark.createDataFrame([(int(i), 10) for i in ids], "page_id long, n long")
-    starts, first, count = warc.shard_ranges(sizes, 10)
+    sizes = spark.createDataFrame([(int(i), bytes([j % 7]), 10) for j, i in enumerate(ids)], "page_id long, sha1 binary, n long")
+    starts, first, count = warc.shard_ranges(sizes, 1500)
+    assert (starts, first, count) == warc.shard_ranges(sizes.repartition(9), 1500)
     assert starts == sorted(starts) and first == sorted(first) and count[starts.index(77)] == 3
     where = np.searchsorted(starts, ids, "right") - 1
     assert max(np.bincount(where)[i] / count[i] for i in range(len(starts))) <= 150
