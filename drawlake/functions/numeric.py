@@ -145,9 +145,18 @@ def log_sum_exp(*parts: Column) -> Column:
     return top + F.log(sum((F.exp(p - top) for p in parts), F.lit(0.0)))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(v)`` with ``v`` standing for ``value``, which is computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def array_log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.log(F.aggregate(values, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    """log of the sum of exp over an array, which is built once."""
+
+    def total(s: Column) -> Column:
+        return s["top"] + F.log(F.aggregate(s["v"], F.lit(0.0), lambda a, x: a + F.exp(x - s["top"])))
+
+    return bound(values, lambda v: bound(F.struct(v.alias("v"), F.array_max(v).alias("top")), total))
 
 
 def log_sum_exp_by(df: DataFrame, keys: list[str], value: Column, name: str, **sums: Column) -> DataFrame:

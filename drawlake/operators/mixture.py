@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawlake.functions.numeric import array_log_sum_exp, log_sum_exp, log_sum_exp_by, stratified_normal
+from drawlake.functions.numeric import array_log_sum_exp, lgamma, log_sum_exp, log_sum_exp_by, stratified_normal
 from drawlake.operators.pairing import paired
 
 DRAW = ["log_id", "idx"]
@@ -81,16 +81,35 @@ def component_log_density(cases: DataFrame, comps: DataFrame, kind: str = "real"
     return rows.groupBy("case_id", *DRAW, "comp").agg(F.sum(value).alias("log_density"))
 
 
+def _student_log_density(t: Column, offset: Column, sd: Column, alpha: Column, const: Column) -> Column:
+    z = (t - offset) / sd
+    return const - F.log(sd) - (alpha + 1) / 2 * F.log1p(z * z / alpha)
+
+
 def new_component_log_density(cases: DataFrame, hypers: DataFrame, kind: str = "real", points: int = 100) -> DataFrame:
     """log density of each case under a component that holds no case yet, as component 0.
 
-    ``hypers(log_id, idx, target, mean, sd[, noise])`` give the distribution of its offsets. Each target's
-    density is averaged over ``points`` fixed normal quantiles, and the averages of the targets are multiplied.
+    ``hypers(log_id, idx, target, mean, sd[, noise[, alpha]])`` give the distribution of its offsets. Each target's
+    density is averaged over ``points`` fixed normal quantiles, and the averages of the targets are multiplied. The noise
+    of a real target is ``noise`` itself where ``alpha`` is missing, null or 0. Otherwise its precision is a gamma
+    variable of shape alpha / 2 and mean 1 / noise**2, of which the average is exact: a Student density.
     """
-    names = [*DRAW, F.col("target").alias("_target"), "mean", "sd", *(["noise"] if kind == "real" else [])]
+    varied = kind == "real" and "alpha" in hypers.columns
+    if varied:
+        a = F.when(F.col("alpha") > 0, F.col("alpha").cast("double"))
+        # once for each row of the hyperparameters, not for each case
+        hypers = hypers.withColumn("_alpha", a).withColumn("_const", lgamma((a + 1) / 2) - lgamma(a / 2) - 0.5 * F.log(math.pi * a))
+    names = [*DRAW, F.col("target").alias("_target"), "mean", "sd", *(["noise"] if kind == "real" else []), *(["_alpha", "_const"] if varied else [])]
     rows = paired(cases, hypers.select(names), F.col("target") == F.col("_target"))
-    z = F.array(*[F.lit(q) for q in stratified_normal(points)])
-    each = F.transform(z, lambda q: _target_log_density(kind, F.col("t"), F.col("mean") + F.col("sd") * q, F.col("noise") if kind == "real" else None))
+
+    def density(q: Column) -> Column:
+        offset = F.col("mean") + F.col("sd") * q
+        one = _target_log_density(kind, F.col("t"), offset, F.col("noise") if kind == "real" else None)
+        if not varied:
+            return one
+        return F.when(F.col("_alpha").isNull() | F.col("t").isNull(), one).otherwise(_student_log_density(F.col("t"), offset, F.col("noise"), F.col("_alpha"), F.col("_const")))
+
+    each = F.transform(F.array(*[F.lit(q) for q in stratified_normal(points)]), density)
     rows = rows.withColumn("_l", array_log_sum_exp(each) - math.log(points))
     return rows.groupBy("case_id", *DRAW).agg(F.sum("_l").alias("log_density")).withColumn("comp", F.lit(0).cast("long")).select("case_id", *DRAW, "comp", "log_density")
 
@@ -118,15 +137,15 @@ def left_out_responsibilities(density: DataFrame, freq: DataFrame, assign: DataF
     return _softmax(rows.where(n > 0).withColumn("_l", F.log(n) + F.col("log_density")), "_l")
 
 
-def mixture_log_prob(density: DataFrame, weight: DataFrame, draw_weight: DataFrame | None = None) -> DataFrame:
+def mixture_log_prob(density: DataFrame, weight: DataFrame, draw_weight: DataFrame | None = None, new: DataFrame | None = None) -> DataFrame:
     """Predictive log probability of each case: components within draws, then the weighted mean over draws, in one sum.
 
-    ``draw_weight(log_id, idx, w)`` weighs draws, which count alike without it. A new component (0) of positive
-    weight needs its density among ``density`` (see ``new_component_log_density``); otherwise this is an error.
+    ``draw_weight(log_id, idx, w)`` weighs draws, which count alike without it. Where a new component (0) has positive
+    weight, ``new`` has to be its density (see ``new_component_log_density``); otherwise this is an error.
     """
-    new = weight.where("comp = 0 and weight > 0")
-    if not new.isEmpty() and density.where("comp = 0").isEmpty():
+    if new is None and not weight.where("comp = 0 and weight > 0").isEmpty():
         raise ValueError("the new component has weight but no density")
+    density = density if new is None else density.unionByName(new)
     draws = weight.select(*DRAW).distinct() if draw_weight is None else draw_weight
     draws = draws.select(*DRAW, (F.lit(1.0) if draw_weight is None else F.col("w")).alias("_w"))
     total = draws.agg(F.sum("_w").alias("_t"))

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawlake.functions.numeric import log_sum_exp_by, product, stratified_normal
+from drawlake.functions.numeric import log_sum_exp_by, stratified_normal
+from drawlake.operators.network import Network
 from drawlake.operators.pairing import paired
 
 #: Most draws that are broadcast at once.
@@ -136,42 +137,6 @@ def raw_log_prob(log_prob: Column, raw: Column, spec: tuple[bool, float, float])
     return out - F.log(raw) if log else out
 
 
-class Network:
-    """A layered network: units tanh, sin (sqrt2 sin(sqrt2 x)) or identity; links input-hidden, hidden-hidden, skip and direct.
-
-    A draw is a dict of arrays: ``ih`` per layer (inputs x units or None), ``hh`` per layer after the first,
-    ``bh`` per layer, ``ho`` per layer, ``bo`` and ``io``; missing parts count nothing.
-    """
-
-    UNITS = {"tanh": np.tanh, "sin": lambda x: np.sqrt(2) * np.sin(np.sqrt(2) * x), "identity": lambda x: x}
-
-    def __init__(self, units: list[str], keep: set[int] | None = None):
-        self.units, self.keep = units, keep
-
-    def hidden(self, x: np.ndarray, draw: dict) -> list[np.ndarray]:
-        layers: list[np.ndarray] = []
-        for i, unit in enumerate(self.units):
-            total = np.zeros((len(x), 1))
-            if draw.get("ih") and draw["ih"][i] is not None:
-                total = total + product(x, draw["ih"][i])
-            if i and draw.get("hh"):
-                total = total + product(layers[-1], draw["hh"][i - 1])
-            if draw.get("bh"):
-                total = total + draw["bh"][i]
-            layers.append(self.UNITS[unit](total))
-        return layers
-
-    def output(self, x: np.ndarray, draw: dict) -> np.ndarray:
-        layers = self.hidden(x, draw)
-        out = sum((product(h, w) for i, (h, w) in enumerate(zip(layers, draw["ho"])) if self.keep is None or i in self.keep), np.zeros((len(x), 1)))
-        if self.keep is None:  # components leave out direct links and biases
-            if draw.get("io") is not None:
-                out = out + product(x, draw["io"])
-            if draw.get("bo") is not None:
-                out = out + draw["bo"]
-        return out
-
-
 #: Most bytes of packed draws that are broadcast at once.
 BLOCK_BYTES = 64 << 20
 
@@ -236,6 +201,11 @@ def hidden_spread(cases: DataFrame, inputs: list[str], draws: list[tuple[str, in
     return parts.groupBy("log_id", "idx", "layer", "unit").agg(F.sqrt(F.greatest(F.sum("s2") / F.sum("n") - mean * mean, F.lit(0.0))).alias("sd"))
 
 
+def hidden_spread_scalar(spread: DataFrame) -> DataFrame:
+    """One number for each layer of ``hidden_spread``: the root of the summed variances of its units, over their number."""
+    return spread.groupBy("log_id", "idx", "layer").agg((F.sqrt(F.sum(F.col("sd") ** 2)) / F.count("*")).alias("spread"))
+
+
 def difference_variance(points: DataFrame, inputs: list[str], moved: str, widths: list[float], draws: list[tuple[str, int, dict]], network: Network) -> DataFrame:
     """Mean squared change of the outputs between ``moved`` - w/2 and + w/2, by draw and width."""
     at = inputs.index(moved)
@@ -281,56 +251,6 @@ def gradient_fit(cases: DataFrame, inputs: list[str], target: str, steps: int =
     return trace
 
 
-def network_fit(cases: DataFrame, inputs: list[str], target: str, start: dict, network: Network, steps: int, step: float | dict[str, float], validation: str | None = None, prior: float = 0.0) -> list[tuple[int, float, float | None, dict]]:
-    """Full-batch gradient descent of a network with one layer of tanh units on squared error.
-
-    Every step broadcasts the parameters, sums partial gradients of Arrow batches over the cases and divides
-    by N + 1; ``step`` is one number or one for each group of parameters (ih, bh, ho, io, bo). Rows where the
-    boolean column ``validation`` holds give a second loss only. Returns (step, loss, loss on
-    validation rows, parameters), all before the step's move. Cases are persisted for the passes.
-    """
-    if network.units != ["tanh"]:
-        raise ValueError("gradients are for one layer of tanh units")
-    keep = F.lit(False) if validation is None else F.col(validation)
-    rows = cases.select(*[F.col(c).cast("double") for c in inputs], F.col(target).cast("double").alias("_t"), keep.alias("_v")).where("_t is not null").persist()
-    names = [n for n in ("ih", "bh", "ho", "io", "bo") if start.get(n) is not None]
-    flat = lambda p: [np.asarray(p[n][0] if n in ("ih", "bh", "ho") else p[n], np.float64) for n in names]
-    shapes = [x.shape for x in flat(start)]
-
-    def gradient(now: dict):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                x, t, held = batch[inputs].to_numpy(np.float64), batch["_t"].to_numpy(np.float64), batch["_v"].to_numpy(bool)
-                hidden = network.hidden(x, now)[0]
-                e = network.output(x, now)[:, 0] - t
-                own = np.where(held, 0.0, e)[:, None]
-                back = product(own, now["ho"][0].T) * (1 - hidden * hidden)
-                parts = {"ih": product(x.T, back), "bh": back.sum(0), "ho": product(hidden.T, own), "io": product(x.T, own), "bo": own.sum(0)}
-                sums = np.concatenate([[(own**2).sum(), (~held).sum(), (e[held] ** 2).sum(), held.sum()], *(parts[n].ravel() for n in names)])
-                yield pd.DataFrame({"i": np.arange(len(sums)), "s": sums})
-
-        return run
-
-    trace, now = [], start
-    for at in range(steps):
-        found = {r["i"]: r["s"] for r in rows.mapInPandas(gradient(now), "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()}
-        if not found:
-            break
-        sums = np.array([found[i] for i in range(len(found))])
-        trace.append((at, sums[0] / max(sums[1], 1), sums[2] / sums[3] if sums[3] else None, now))
-        parts = np.split(sums[4:], np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
-        size = [step[n] if isinstance(step, dict) else step for n in names]
-        moved = [w - h / (sums[1] + 1) * (g.reshape(s) + prior * w) for w, g, s, h in zip(flat(now), parts, shapes, size)]
-        now = {n: [w] if n in ("ih", "bh", "ho") else w for n, w in zip(names, moved)}
-    rows.unpersist()
-    return trace
-
-
-def early_stop(trace: list[tuple[int, float, float | None, dict]]) -> tuple[int, float, float | None, dict]:
-    """The first step with the smallest validation loss."""
-    return min(trace, key=lambda r: (r[2], r[0]))
-
-
 def class_from_joint(rows: DataFrame, keys: list[str], label: str, log_density: str) -> DataFrame:
     """Class probabilities from joint log densities with each class filled in."""
     w = Window.partitionBy(*keys)

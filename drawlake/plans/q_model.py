@@ -9,6 +9,7 @@ from drawlake.functions.numeric import stratified_normal
 from drawlake.operators import covariance as G
 from drawlake.operators import data
 from drawlake.operators import likelihood as L
+from drawlake.operators import network as N
 from drawlake.operators import predict as P
 from drawlake.plans.base import CASES, NETS, PAIRS, cases, nets, pairs, query, rounded, table
 
@@ -111,12 +112,20 @@ def _draws(spark, d):
 
 @query(_NET_SQL)
 def p1_net_forward(spark, d):
-    return rounded(P.net_forward(cases(spark, d), "case_id", ["x1", "x2"], _draws(spark, d), P.Network(["tanh"])))
+    return rounded(P.net_forward(cases(spark, d), "case_id", ["x1", "x2"], _draws(spark, d), N.Network(["tanh"])))
+
+
+# two layers with offsets; the first layer omits the second input, the outputs the first one
+@query(f"""WITH a AS (SELECT *, tanh(w1 * (x1 + 0.1) + 0.05) + 0.3 AS h FROM {CASES} CROSS JOIN {NETS})
+SELECT case_id, 'n' AS log_id, idx, CAST(0 AS INTEGER) AS j, round(bias + 0.3 * (x2 - 0.2) + w2 * h + 0.5 * sqrt(2) * sin(sqrt(2) * (0.2 * (x1 + 0.1) + w2 * (x2 - 0.2) + w1 * h)), 6) AS o FROM a""")
+def p1_offsets_omit(spark, d):
+    draws = [(r.log_id, r.idx, {"ti": np.array([0.1, -0.2]), "th": [np.array([0.3]), None], "ih": [np.array([[r.w1], [9.0]]), np.array([[0.2], [r.w2]])], "hh": [np.array([[r.w1]])], "bh": [np.array([0.05]), None], "ho": [np.array([[r.w2]]), np.array([[0.5]])], "io": np.array([[9.0], [0.3]]), "bo": np.array([r.bias])}) for r in nets(spark, d).orderBy("idx").collect()]  # nations: a fixed number of rows
+    return rounded(P.net_forward(cases(spark, d), "case_id", ["x1", "x2"], draws, N.Network(["tanh", "sin"], omit={0: [1], -1: [0]})))
 
 
 @query(f"SELECT case_id, 'n' AS log_id, idx, CAST(0 AS INTEGER) AS j, round(w1 * tanh(w1 * x1 + w2 * x2 + 0.1) + w2 * tanh(0.5 * x1 - w1 * x2 - 0.2), 6) AS o FROM {CASES} CROSS JOIN {NETS}")
 def p2_net_components(spark, d):
-    return rounded(P.net_forward(cases(spark, d), "case_id", ["x1", "x2"], _draws(spark, d), P.Network(["tanh"], keep={0})))
+    return rounded(P.net_forward(cases(spark, d), "case_id", ["x1", "x2"], _draws(spark, d), N.Network(["tanh"], keep={0})))
 
 
 @query(f"SELECT case_id, round(sum(w / (1 + exp(-o))) / sum(w), 6) AS mean FROM {PAIRS} GROUP BY case_id")
@@ -221,7 +230,7 @@ def p12_evaluate_on_grid(spark, d):
     size = int(m["n"] ** 0.5)
     points = data.grid_n(spark, [(m["lo0"], m["hi0"], size), (m["lo1"], m["hi1"], size)])
     points = points.withColumn("case_id", F.xxhash64("x1", "x2"))
-    out = P.net_forward(points, "case_id", ["x1", "x2"], _draws(spark, d), P.Network(["tanh"]), keep=["x1", "x2"])
+    out = P.net_forward(points, "case_id", ["x1", "x2"], _draws(spark, d), N.Network(["tanh"]), keep=["x1", "x2"])
     return rounded(out.drop("case_id"))
 
 
@@ -243,12 +252,17 @@ def _net_at(x1):
 
 @query(f"SELECT 'n' AS log_id, idx, width, round(avg(pow({_net_at('x1 + width / 2')} - {_net_at('x1 - width / 2')}, 2)), 6) AS mean_square FROM {CASES} CROSS JOIN {NETS} CROSS JOIN (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) v(width) GROUP BY idx, width")
 def p14_difference_variance(spark, d):
-    return rounded(P.difference_variance(cases(spark, d), ["x1", "x2"], "x1", [0.5, 1.0], _draws(spark, d), P.Network(["tanh"])))
+    return rounded(P.difference_variance(cases(spark, d), ["x1", "x2"], "x1", [0.5, 1.0], _draws(spark, d), N.Network(["tanh"])))
 
 
 @query(f"SELECT 'n' AS log_id, idx, CAST(0 AS INTEGER) AS layer, CAST(u AS INTEGER) AS unit, round(stddev_pop(CASE u WHEN 0 THEN tanh(w1 * x1 + w2 * x2 + 0.1) ELSE tanh(0.5 * x1 - w1 * x2 - 0.2) END), 6) AS sd FROM {CASES} CROSS JOIN {NETS} CROSS JOIN range(2) r(u) GROUP BY idx, u")
 def p15_hidden_spread(spark, d):
-    return rounded(P.hidden_spread(cases(spark, d), ["x1", "x2"], _draws(spark, d), P.Network(["tanh"])))
+    return rounded(P.hidden_spread(cases(spark, d), ["x1", "x2"], _draws(spark, d), N.Network(["tanh"])))
+
+
+@query(f"SELECT 'n' AS log_id, idx, CAST(0 AS INTEGER) AS layer, round(sqrt(var_pop(tanh(w1 * x1 + w2 * x2 + 0.1)) + var_pop(tanh(0.5 * x1 - w1 * x2 - 0.2))) / 2, 6) AS spread FROM {CASES} CROSS JOIN {NETS} GROUP BY idx")
+def p15_hidden_spread_scalar(spark, d):
+    return rounded(P.hidden_spread_scalar(P.hidden_spread(cases(spark, d), ["x1", "x2"], _draws(spark, d), N.Network(["tanh"]))))
 
 
 @query("SELECT label, CAST(i % 4 AS BIGINT) AS \"group\", round(sqrt(avg(pow(CAST(v AS DOUBLE), 2))), 6) AS rms FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL")
@@ -266,6 +280,45 @@ def p17_batch_gradient(spark, d):
     return rounded(spark.createDataFrame([(t, loss) for t, loss, _ in trace], "step int, loss double"))
 
 
+_LAYERED = {"ih": [np.array([[0.3], [0.2]]), np.array([[-0.4], [0.7]])], "hh": [np.array([[0.5]])], "bh": [np.array([0.1]), np.array([0.05])], "ho": [np.array([[0.2]]), np.array([[0.6]])], "io": np.array([[0.0], [0.1]]), "bo": np.array([-0.3])}
+_PARTS = [("ih", 0, 0, "d0 * x1"), ("ih", 0, 1, "d0 * x2"), ("ih", 1, 0, "d1 * x1"), ("ih", 1, 1, "0.0 * d1"), ("hh", 0, 0, "d1 * h0"), ("bh", 0, 0, "d0"), ("bh", 1, 0, "d1"), ("ho", 0, 0, "e * h0"), ("ho", 1, 0, "e * h1"), ("io", -1, 0, "e * x1"), ("io", -1, 1, "e * x2"), ("bo", -1, 0, "e")]
+
+
+# back-propagation by hand: a tanh unit, a sine unit above it that omits the second input, logistic output
+@query(f"""WITH a AS (SELECT *, tanh(0.3 * x1 + 0.2 * x2 + 0.1) AS h0 FROM {CASES}), b AS (SELECT *, 0.5 * h0 - 0.4 * x1 + 0.05 AS s1 FROM a),
+c AS (SELECT *, sqrt(2) * sin(sqrt(2) * s1) AS h1, 2 * cos(sqrt(2) * s1) AS slope1 FROM b), e AS (SELECT *, 1 / (1 + exp(-(0.6 * h1 + 0.2 * h0 + 0.1 * x2 - 0.3))) - b AS e FROM c),
+g AS (SELECT *, 0.6 * e * slope1 AS d1, (0.2 * e + 0.5 * 0.6 * e * slope1) * (1 - h0 * h0) AS d0 FROM e)
+""" + " UNION ALL ".join(f"SELECT '{n}' AS part, CAST({layer} AS INTEGER) AS layer, CAST({i} AS INTEGER) AS place, round(avg({x}), 6) AS gradient FROM g" for n, layer, i, x in _PARTS))
+def p17_layered_gradient(spark, d):
+    rows = cases(spark, d)
+    found = N.network_gradient(rows, ["x1", "x2"], "b", _LAYERED, N.Network(["tanh", "sin"], omit={1: [1]}), "binary")
+    sums = spark.createDataFrame(found, "part string, layer int, place int, total double")  # one row a parameter
+    return rounded(sums.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n")))).select("part", "layer", "place", (F.col("total") / F.col("n")).alias("gradient")))
+
+
+_CLASS_START = {"io": np.array([[0.1, 0.0, -0.1], [0.0, 0.2, 0.0]]), "bo": np.array([0.1, 0.0, 0.0])}
+_CLASS_AT = lambda s: [f"exp({s}.a{j} * x1 + {s}.b{j} * x2 + {s}.c{j})" for j in range(3)]
+
+
+def _class_step(name, before):
+    e = _CLASS_AT(before)
+    p = [f"{x} / ({' + '.join(e)}) - CAST(case_id % 3 = {j} AS DOUBLE)" for j, x in enumerate(e)]
+    moved = ", ".join(f"any_value({before}.{v}{j}) - 0.5 / (count(*) + 1) * sum(({p[j]}) * {x}) AS {v}{j}" for j in range(3) for v, x in (("a", "x1"), ("b", "x2"), ("c", "1")))
+    return f"{name} AS (SELECT {moved} FROM {CASES} CROSS JOIN {before})"
+
+
+def _class_loss(i):
+    e = _CLASS_AT(f"s{i}")
+    return f"SELECT CAST({i} AS INTEGER) AS step, round(-avg(ln(CASE case_id % 3 WHEN 0 THEN {e[0]} WHEN 1 THEN {e[1]} ELSE {e[2]} END / ({' + '.join(e)}))), 6) AS loss FROM {CASES} CROSS JOIN s{i}"
+
+
+@query("WITH s0 AS (SELECT 0.1 AS a0, 0.0 AS a1, -0.1 AS a2, 0.0 AS b0, 0.2 AS b1, 0.0 AS b2, 0.1 AS c0, 0.0 AS c1, 0.0 AS c2), " + ", ".join(_class_step(f"s{i + 1}", f"s{i}") for i in range(2)) + " " + " UNION ALL ".join(map(_class_loss, range(3))))
+def p17_class_fit(spark, d):
+    rows = cases(spark, d).withColumn("k", F.col("case_id") % 3)
+    trace = N.network_fit(rows, ["x1", "x2"], "k", _CLASS_START, N.Network([]), steps=3, step=0.5, loss="class")
+    return rounded(spark.createDataFrame([(t, float(loss)) for t, loss, _, _ in trace], "step int, loss double"))
+
+
 @query()
 def p17_network_ensemble(spark, d):
     """Networks from two starts, trained on two halves and stopped early on the other half; their mean prediction."""
@@ -274,9 +327,9 @@ def p17_network_ensemble(spark, d):
     for k, half in enumerate(("first", "second")):
         rng = np.random.default_rng(k)
         start = {"ih": [rng.normal(0, 0.3, (2, 4))], "bh": [np.zeros(4)], "ho": [rng.normal(0, 0.3, (4, 1))], "bo": np.zeros(1)}
-        trace = P.network_fit(rows, ["x1", "x2"], "t", start, P.Network(["tanh"]), steps=6, step=0.05, validation=half)
-        chosen.append(("e", k, P.early_stop(trace)[3]))
-    return P.predict_mean(P.net_forward(rows, "case_id", ["x1", "x2"], chosen, P.Network(["tanh"])), ["case_id"], F.col("o"), F.lit(1.0))
+        trace = N.network_fit(rows, ["x1", "x2"], "t", start, N.Network(["tanh"]), steps=6, step=0.05, validation=half)
+        chosen.append(("e", k, N.early_stop(trace)[3]))
+    return P.predict_mean(P.net_forward(rows, "case_id", ["x1", "x2"], chosen, N.Network(["tanh"])), ["case_id"], F.col("o"), F.lit(1.0))
 
 
 @query(f"SELECT case_id, idx, c AS label, round(exp(-pow(t - o - c, 2)) / sum(exp(-pow(t - o - c, 2))) OVER (PARTITION BY case_id, idx), 6) AS p FROM {PAIRS} CROSS JOIN (VALUES (0), (1)) v(c)")

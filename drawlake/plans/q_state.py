@@ -127,7 +127,17 @@ def m7_mixture_log_prob(spark, d):
     cases = _mcases(spark, d)
     known = M.component_log_density(cases, _comps(spark, d)).withColumn("comp", F.col("comp") + 1)
     new = M.new_component_log_density(cases, _hypers(spark, d), points=20)
-    return rounded(M.mixture_log_prob(known.unionByName(new), _weights_with_new(spark, d), _draw_weights(spark, d)))
+    return rounded(M.mixture_log_prob(known, _weights_with_new(spark, d), _draw_weights(spark, d), new))
+
+
+# noise of the new component averaged over its prior: a Student density, with a fixed noise where alpha is 0
+_STUDENT = "CASE WHEN alpha = 0 THEN exp(-pow(t - mean - hsd * z, 2) / (2 * noise * noise)) / (noise * sqrt(2 * pi())) ELSE exp(lgamma((alpha + 1) / 2) - lgamma(alpha / 2)) / (sqrt(pi() * alpha) * noise) * pow(1 + pow((t - mean - hsd * z) / noise, 2) / alpha, -(alpha + 1) / 2) END"
+
+
+@query(f"SELECT case_id, log_id, idx, CAST(0 AS BIGINT) AS comp, round(sum(CASE WHEN t IS NULL THEN 0 ELSE ln(l) END), 6) AS log_density FROM (SELECT case_id, log_id, idx, target, any_value(t) AS t, avg({_STUDENT}) AS l FROM {_MCASES} JOIN (SELECT *, idx * 1.5 AS alpha FROM {_HYPERS}) USING (target) CROSS JOIN (SELECT unnest([{_Z20}]) AS z) GROUP BY ALL) GROUP BY case_id, log_id, idx")
+def m7_new_component(spark, d):
+    hypers = _hypers(spark, d).withColumn("alpha", F.col("idx") * 1.5)
+    return rounded(M.new_component_log_density(_mcases(spark, d), hypers, points=20))
 
 
 _BCASES = "(SELECT c_custkey AS case_id, CAST(v AS INTEGER) AS target, CASE WHEN c_custkey % 7 = v THEN NULL WHEN v = 0 THEN CAST(c_acctbal > 4000 AS INTEGER) ELSE c_nationkey % 2 END AS t FROM customer CROSS JOIN range(2) r(v))"
@@ -145,7 +155,7 @@ def m7_binary_log_prob(spark, d):
     cases = rows.select(k.alias("case_id"), v.alias("target"), t.alias("t"))
     known = M.component_log_density(cases, _comps(spark, d), "binary").withColumn("comp", F.col("comp") + 1)
     new = M.new_component_log_density(cases, _hypers(spark, d), "binary", points=20)
-    return rounded(M.mixture_log_prob(known.unionByName(new), _weights_with_new(spark, d)))
+    return rounded(M.mixture_log_prob(known, _weights_with_new(spark, d), new=new))
 
 
 @query(f"SELECT log_id, idx, comp, CAST(0 AS INTEGER) AS target, count(*) AS n, round(avg(q / 10), 6) AS mean, round((2.0 / 4 + sum(q / 10) / 0.25) / (1 / 4.0 + count(*) / 0.25), 6) AS offset_mean, round(1 / (1 / 4.0 + count(*) / 0.25), 6) AS offset_variance FROM {_ASSIGN} GROUP BY ALL")

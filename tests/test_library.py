@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from drawlake.functions import formula as formulas
 from drawlake.functions import numeric as N
 from drawlake.operators import covariance as G
-from drawlake.operators import data, diagnostics, draws, fields, likelihood, mixture, pairing, predict, tree
+from drawlake.operators import data, diagnostics, draws, fields, likelihood, mixture, network, pairing, predict, tree
 from drawlake.sources import tables
 from drawlake.streaming.monitor import monitor
 
@@ -232,14 +232,40 @@ def test_new_component_is_never_lost(spark):
     known = spark.createDataFrame([(7, "m", 1, 1, -1.0)], "case_id long, log_id string, idx long, comp long, log_density double")
     with pytest.raises(ValueError):
         mixture.mixture_log_prob(known, weight)
-    both = known.unionByName(known.withColumn("comp", F.lit(0).cast("long")))
-    assert mixture.mixture_log_prob(both, weight).first().log_prob == pytest.approx(-1)
+    assert mixture.mixture_log_prob(known, weight, new=known.withColumn("comp", F.lit(0).cast("long"))).first().log_prob == pytest.approx(-1)
     cases = spark.createDataFrame([(7, 0, 1.0), (7, 1, None)], "case_id long, target int, t double")
     hypers = spark.createDataFrame([("m", 1, 0, 0.0, 1.0, 1.0), ("m", 1, 1, 0.0, 1.0, 1.0)], "log_id string, idx long, target int, mean double, sd double, noise double")
     got = mixture.new_component_log_density(cases, hypers, points=2000).first().log_density
     assert got == pytest.approx(-0.25 - 0.5 * math.log(4 * math.pi), abs=2e-3)
 
 
+def test_new_component_averages_its_noise(spark):
+    """The exact average over the noise's prior is what very many random noises give; alpha 0 or null is a fixed noise."""
+    cases = spark.createDataFrame([(7, 0, 1.3)], "case_id long, target int, t double")
+    hypers = spark.createDataFrame([("m", i, 0, 0.2, 0.7, 0.9, a) for i, a in enumerate((0.0, None, 3.0))], "log_id string, idx long, target int, mean double, sd double, noise double, alpha double")
+    got = {r.idx: r.log_density for r in mixture.new_component_log_density(cases, hypers, points=2000).collect()}
+    rng = np.random.default_rng(0)
+    sd = 0.9 / np.sqrt(rng.gamma(1.5, 1 / 1.5, 400_000))
+    want = np.log(np.mean(np.exp(-((1.3 - rng.normal(0.2, 0.7, 400_000)) ** 2) / (2 * sd * sd)) / (sd * math.sqrt(2 * math.pi))))
+    assert got[2] == pytest.approx(want, abs=5e-3) and got[0] == got[1] != pytest.approx(got[2], abs=5e-3)
+
+
+def test_array_log_sum_exp_builds_its_array_once(spark):
+    """Time grows with the array, not with its square."""
+    import time
+
+    took = []
+    for n in (300, 3000):
+        values = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.sin(i + F.col("id")))
+        df = spark.range(2000).select(N.array_log_sum_exp(values).alias("v"))
+        start = time.time()
+        total = df.agg(F.sum("v")).first()[0]
+        took.append(time.time() - start)
+    assert took[1] < 40 * max(took[0], 0.2)
+    want = sum(np.log(np.exp(np.sin(np.arange(1, 3001) + i)).sum()) for i in range(2000))
+    assert total == pytest.approx(want)
+
+
 def test_draw_weights_count(spark):
     weight = spark.createDataFrame([("m", 1, 1, 1.0), ("m", 2, 1, 1.0)], "log_id string, idx long, comp long, weight double")
     density = spark.createDataFrame([(7, "m", 1, 1, 0.0), (7, "m", 2, 1, math.log(3.0))], "case_id long, log_id string, idx long, comp long, log_density double")
@@ -287,8 +313,8 @@ def test_network_gradient_against_differences(spark):
     x, t = rng.normal(size=(40, 2)), rng.normal(size=40)
     df = spark.createDataFrame([(float(a), float(b), float(c), i % 4 == 0) for i, ((a, b), c) in enumerate(zip(x, t))], "a double, b double, t double, v boolean")
     start = {"ih": [rng.normal(size=(2, 3))], "bh": [rng.normal(size=3)], "ho": [rng.normal(size=(3, 1))], "io": rng.normal(size=(2, 1)), "bo": rng.normal(size=1)}
-    net = predict.Network(["tanh"])
-    trace = predict.network_fit(df, ["a", "b"], "t", start, net, steps=3, step=0.5, validation="v")
+    net = network.Network(["tanh"])
+    trace = network.network_fit(df, ["a", "b"], "t", start, net, steps=3, step=0.5, validation="v")
     train = np.arange(40) % 4 > 0
     loss = lambda p: ((net.output(x[train], p)[:, 0] - t[train]) ** 2).sum() / 2
     assert trace[0][1] == pytest.approx(2 * loss(start) / 30) and trace[0][2] == pytest.approx(np.mean((net.output(x[~train], start)[:, 0] - t[~train]) ** 2))
@@ -301,7 +327,7 @@ def test_network_gradient_against_differences(spark):
             ends.append(loss(p))
         moved = (own(start)[at] - own(trace[1][3])[at]) / (0.5 / 31)
         assert moved == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-5)
-    assert predict.early_stop(trace)[2] == min(r[2] for r in trace)
+    assert network.early_stop(trace)[2] == min(r[2] for r in trace)
 
 
 def test_leading_spectrum_against_numpy(spark):
@@ -344,7 +370,7 @@ def test_draws_in_blocks_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(7)
     made = [("a", i, {"ih": [rng.normal(size=(2, 3))], "ho": [rng.normal(size=(3, 1))], "bo": rng.normal(size=1)}) for i in range(5)]
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(30, 2)))], "k long, a double, b double")
-    net = predict.Network(["tanh"])
+    net = network.Network(["tanh"])
     results = lambda: [sorted(map(tuple, x.collect())) for x in (predict.net_forward(df, "k", ["a", "b"], made, net), predict.hidden_spread(df, ["a", "b"], made, net), predict.difference_variance(df, ["a", "b"], "a", [0.5], made, net))]
     whole = results()
     monkeypatch.setattr(predict, "BLOCK_BYTES", 200)
