@@ -1,11 +1,23 @@
-"""Particle configurations ``mols(log_id, idx, mol, c array<double>, len)``, coordinates as shares of the box."""
+"""Particle configurations ``mols(log_id, idx, mol, c array<double>, len)``, coordinates as shares of the box.
+
+All pairs of a configuration are dealt to blocks of molecules, so a large one is many tasks. What needs near or far
+molecules only (neighbours, pairs within a distance) goes through periodic cells: the box is cut into equal cells, a
+molecule asks the cells around it, joined by key, and rows grow with the molecules, not with their pairs, at a
+fixed density. A cell that holds very many molecules still costs the square of their number.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drawlake.operators.pairing import MOST_ROWS
+from drawlake.sources.tables import written
+
 DRAW = ["log_id", "idx"]
+#: Molecules of a block of pairs, and of a cell on average.
+BLOCK = 4096
+PER_CELL = 2.0
 
 
 def wrapped(c: Column, length: Column, half: bool = False) -> Column:
@@ -13,13 +25,147 @@ def wrapped(c: Column, length: Column, half: bool = False) -> Column:
     return F.transform(c, lambda x: F.pmod(x + (0.5 if half else 0.0), F.lit(1.0)) * length)
 
 
-def pairs(mols: DataFrame) -> DataFrame:
-    """Squared nearest-image distance of each pair i < j of a configuration."""
-    a = mols.select(*DRAW, F.col("mol").alias("i"), F.col("c").alias("ci"), "len")
-    b = mols.select(*DRAW, F.col("mol").alias("j"), F.col("c").alias("cj"))
-    part = F.transform(F.arrays_zip("ci", "cj"), lambda p: p["ci"] - p["cj"] - F.round(p["ci"] - p["cj"]))
-    d2 = F.aggregate(part, F.lit(0.0), lambda s, d: s + d * d) * F.col("len") ** 2
-    return a.join(b, DRAW).where("i < j").select(*DRAW, "i", "j", "len", d2.alias("d2"))
+def _sized(mols: DataFrame) -> DataFrame:
+    """``mols`` with the number of molecules of their configuration, ``n``."""
+    sizes = mols.groupBy(*DRAW).agg(F.count("*").alias("n"))
+    few = sizes.limit(MOST_ROWS + 1).count() <= MOST_ROWS
+    return mols.join(F.broadcast(sizes) if few else sizes, DRAW)
+
+
+def _dimension(mols: DataFrame) -> int:
+    row = mols.select(F.size("c").alias("dim")).first()
+    return row["dim"] if row else 1
+
+
+def _distance2(a: str, b: str, dim: int) -> Column:
+    """Squared nearest-image distance of two positions, as a share of the box."""
+    parts = [F.col(a)[k] - F.col(b)[k] for k in range(dim)]
+    return sum((d - F.round(d)) ** 2 for d in parts)
+
+
+def pairs(mols: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Squared nearest-image distance of each pair i < j of a configuration; a pair of blocks is one key."""
+    dim = _dimension(mols)
+    rows = _sized(mols).withColumn("_blocks", F.ceil(F.col("n") / block)).withColumn("_own", F.pmod(F.xxhash64("mol"), F.col("_blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    a = rows.select(*DRAW, F.col("mol").alias("i"), F.col("c").alias("ci"), "len", F.col("_own").alias("_a"), every.alias("_b"))
+    b = rows.select(*DRAW, F.col("mol").alias("j"), F.col("c").alias("cj"), F.col("_own").alias("_b"), every.alias("_a"))
+    return a.join(b, [*DRAW, "_a", "_b"]).where("i < j").select(*DRAW, "i", "j", "len", (_distance2("ci", "cj", dim) * F.col("len") ** 2).alias("d2"))
+
+
+def _placed(rows: DataFrame, dim: int, shift: float = 0.0) -> DataFrame:
+    """Add the cell of each position (moved by ``shift`` boxes) as one number for each coordinate; ``_side`` cells make the box."""
+    at = [F.least(F.floor(F.pmod(F.col("c")[k] + shift, F.lit(1.0)) * F.col("_side")), F.col("_side") - 1).cast("long") for k in range(dim)]
+    return rows.withColumns({f"_c{k}": x for k, x in enumerate(at)})
+
+
+def _cell(dim: int) -> Column:
+    """One number for a cell."""
+    key = F.col("_c0")
+    for k in range(1, dim):
+        key = key * F.col("_side") + F.col(f"_c{k}")
+    return key.alias("_cell")
+
+
+def _around(rows: DataFrame, reach: int, dim: int) -> DataFrame:
+    """A row for each cell at most ``reach`` cells away in each direction, across the box's borders, none twice."""
+    side = F.col("_side")
+    low, high = F.greatest(F.lit(-reach).cast("long"), -F.floor((side - 1) / 2)), F.least(F.lit(reach).cast("long"), F.floor(side / 2))
+    for k in range(dim):
+        rows = rows.withColumn("_o", F.explode(F.sequence(low, high))).withColumn(f"_c{k}", F.pmod(F.col(f"_c{k}") + F.col("_o"), side)).drop("_o")
+    return rows
+
+
+def pairs_within(mols: DataFrame, cutoff: float) -> DataFrame:
+    """The pairs i < j at most ``cutoff`` apart: cells as wide as that, each met by its neighbours."""
+    dim = _dimension(mols)
+    rows = _placed(mols.withColumn("_side", F.greatest(F.floor(F.col("len") / cutoff), F.lit(1)).cast("long")), dim)
+    a = _around(rows, 1, dim).select(*DRAW, _cell(dim), F.col("mol").alias("i"), F.col("c").alias("ci"), "len")
+    b = rows.select(*DRAW, _cell(dim), F.col("mol").alias("j"), F.col("c").alias("cj"))
+    d2 = _distance2("ci", "cj", dim) * F.col("len") ** 2
+    return a.hint("merge").join(b, [*DRAW, "_cell"]).where("i < j").select(*DRAW, "i", "j", "len", d2.alias("d2")).where(F.col("d2") <= cutoff * cutoff)
+
+
+def _ringed(base: DataFrame, asked: DataFrame, dim: int, far: bool, rounds: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``(draw, mol, d2)``: the smallest or largest squared distance of each molecule, shares of the box; and those not settled in ``rounds``.
+
+    A molecule asks the cells around its own (far: around the point opposite to it, which is as far away as can be).
+    Whatever lies outside r cells on each side differs by r cell widths at least in some coordinate, which
+    bounds its distance; a molecule whose best lies within that bound is done, and the others ask twice as far.
+    """
+    reach, done, pending, best = 1, [], asked, F.max if far else F.min
+    while pending is not None and (rounds is None or len(done) < rounds):
+        around = _around(pending, reach, dim).select(*DRAW, "mol", "c", _cell(dim))
+        # the exploded side is much larger than it looks, so neither is broadcast
+        met = around.hint("merge").join(base, [*DRAW, "_cell"]).where("mol <> other").groupBy(*DRAW, "mol").agg(best(_distance2("c", "co", dim)).alias("d2"))
+        found = written(pending.join(met, [*DRAW, "mol"], "left"), "ring")
+        width = F.lit(float(reach)) / F.col("_side")
+        proved = F.col("d2") >= (0.5 - width) ** 2 + (dim - 1) * 0.25 if far else F.col("d2") <= width**2
+        proved = F.coalesce(proved, F.lit(False)) | (F.col("_side") <= 2 * reach + 1)
+        done.append(found.where(proved).select(*DRAW, "mol", "d2"))
+        rest = found.where(~proved).drop("d2")
+        pending, reach = None if rest.isEmpty() else rest, 2 * reach
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.where("d2 is not null"), pending
+
+
+def _gap(low: Column, high: Column, largest: bool) -> Column:
+    """The largest or smallest distance, across the box's borders, of two coordinates whose difference lies from ``low`` to ``high``."""
+    ends = [F.abs(x - F.round(x)) for x in (low, high)]
+    if largest:
+        return F.when(F.floor(high - 0.5) >= F.ceil(low - 0.5), 0.5).otherwise(F.greatest(*ends))
+    return F.when(F.floor(high) >= F.ceil(low), 0.0).otherwise(F.least(*ends))
+
+
+def _boxed(rows: DataFrame, asked: DataFrame, dim: int) -> DataFrame:
+    """``(draw, mol, d2)``: the largest squared distance of each molecule of ``asked``, by boxes.
+
+    About as many cells as the root of the molecules' number are made of the box, and each is shrunk to what it holds. Of the
+    pairs of cells only those are searched whose largest possible distance reaches the smallest possible one of some pair
+    of the same first cell. This serves molecules that lie in clumps, with nothing opposite to them.
+    """
+    coarse = lambda df: _placed(df.withColumn("_side", F.greatest(F.floor(F.pow(F.col("n").cast("double"), 0.5 / dim)), F.lit(1)).cast("long")), dim)
+    at = [F.pmod(F.col("c")[k], F.lit(1.0)) for k in range(dim)]
+    own = coarse(rows).select(*DRAW, "mol", "c", _cell(dim))
+    ask = coarse(asked).select(*DRAW, "mol", "c", _cell(dim))
+    boxes = own.groupBy(*DRAW, "_cell").agg(F.count("*").alias("held"), *[f(x).alias(f"{n}{k}") for k, x in enumerate(at) for n, f in (("low", F.min), ("high", F.max))])
+    boxes = written(boxes, "boxes")
+    first = boxes.join(ask.select(*DRAW, "_cell").distinct(), [*DRAW, "_cell"], "left_semi")
+    other = boxes.select(*DRAW, *[F.col(c).alias(f"{c}_") for c in boxes.columns if c not in DRAW])
+    both = first.hint("merge").join(other, DRAW).where("_cell <> _cell_ or held > 1")
+    span = [(F.col(f"low{k}") - F.col(f"high{k}_"), F.col(f"high{k}") - F.col(f"low{k}_")) for k in range(dim)]
+    most, least = (sum(_gap(low, high, largest) ** 2 for low, high in span) for largest in (True, False))
+    both = both.select(*DRAW, "_cell", "_cell_", most.alias("most"), least.alias("least"))
+    floor = both.groupBy(*DRAW, "_cell").agg(F.max("least").alias("floor"))
+    kept = both.join(floor, [*DRAW, "_cell"]).where(F.col("most") >= F.col("floor") * (1 - 1e-12)).select(*DRAW, "_cell", "_cell_")
+    there = own.select(*DRAW, F.col("_cell").alias("_cell_"), F.col("mol").alias("other"), F.col("c").alias("co"))
+    met = ask.hint("merge").join(kept, [*DRAW, "_cell"]).hint("merge").join(there, [*DRAW, "_cell_"]).where("mol <> other")
+    return met.groupBy(*DRAW, "mol").agg(F.max(_distance2("c", "co", dim)).alias("d2"))
+
+
+def cell_neighbours(mols: DataFrame, per_cell: float = PER_CELL) -> DataFrame:
+    """``(draw, mol, nearest, farthest)``: exact distances of each molecule's nearest and farthest other, without all pairs.
+
+    Cells hold ``per_cell`` molecules on average. Farthest ones that two rounds of cells do not settle are found by
+    boxes. A molecule that is alone in its configuration has no row.
+    """
+    dim = _dimension(mols)
+    side = F.greatest(F.floor(F.pow(F.col("n") / per_cell, F.lit(1 / dim))), F.lit(1)).cast("long")
+    rows = written(_sized(mols).where("n > 1").select(*DRAW, "mol", "c", "len", "n", side.alias("_side")), "cells")
+    base = _placed(rows, dim).select(*DRAW, _cell(dim), F.col("mol").alias("other"), F.col("c").alias("co"))
+    near, _ = _ringed(base, _placed(rows.drop("len"), dim), dim, far=False)
+    far, rest = _ringed(base, _placed(rows.drop("len"), dim, 0.5), dim, far=True, rounds=2)
+    if rest is not None:
+        far = far.unionByName(_boxed(rows, rest, dim))
+    both = near.withColumnRenamed("d2", "_near").join(far.withColumnRenamed("d2", "_far"), [*DRAW, "mol"]).join(rows.select(*DRAW, "mol", "len"), [*DRAW, "mol"])
+    return both.select(*DRAW, "mol", (F.sqrt("_near") * F.col("len")).alias("nearest"), (F.sqrt("_far") * F.col("len")).alias("farthest"))
+
+
+def extremes(neighbour: DataFrame) -> DataFrame:
+    """The smallest and largest distance of any two molecules of each configuration."""
+    return neighbour.groupBy(*DRAW).agg(F.min("nearest").alias("nearest"), F.max("farthest").alias("farthest"))
 
 
 def neighbours(pair: DataFrame) -> DataFrame:

@@ -323,15 +323,18 @@ def c5_source_quantities(spark, d):
     return rounded(C.source_quantities(_sources(spark, d), 2.0)).withColumn("sorted_q", F.transform("sorted_q", lambda x: F.round(x, 6)))
 
 
-# particles: first three parts of each embedding, configurations of vectors by label and id
-_MOLS = "(SELECT CAST(label AS VARCHAR) AS log_id, vec_id // 50 AS idx, vec_id AS mol, [CAST(embedding[i] AS DOUBLE) - floor(CAST(embedding[i] AS DOUBLE)) for i in [1, 2, 3]] AS c, 4.0 AS len FROM embeddings)"
+# particles: each three parts of an embedding are a molecule, configurations by label and id
+_MOLS = "(SELECT CAST(label AS VARCHAR) AS log_id, vec_id // 50 AS idx, vec_id * 1000 + k AS mol, [CAST(embedding[3 * k + i] AS DOUBLE) - floor(CAST(embedding[3 * k + i] AS DOUBLE)) for i in [1, 2, 3]] AS c, 4.0 AS len FROM (SELECT *, unnest(range(len(embedding) // 3)) AS k FROM embeddings))"
 _DIST = f"(SELECT a.log_id, a.idx, a.mol AS i, b.mol AS j, 16 * list_sum([pow(a.c[k] - b.c[k] - round(a.c[k] - b.c[k]), 2) for k in [1, 2, 3]]) AS d2 FROM {_MOLS} a JOIN {_MOLS} b ON a.log_id = b.log_id AND a.idx = b.idx AND a.mol < b.mol)"
+# the same with one configuration for each label
+_BIG = f"(SELECT * REPLACE (CAST(0 AS BIGINT) AS idx) FROM {_MOLS})"
 
 
 def _mols(spark, d):
     e = table(spark, d, "embeddings")
-    c = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") - F.floor(x.cast("double")))
-    return e.select(F.col("label").cast("string").alias("log_id"), F.floor(F.col("vec_id") / 50).alias("idx"), F.col("vec_id").alias("mol"), c.alias("c"), F.lit(4.0).alias("len"))
+    e = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.size("embedding") / 3).cast("int") - 1)))
+    c = F.transform(F.slice("embedding", 3 * F.col("k") + 1, 3), lambda x: x.cast("double") - F.floor(x.cast("double")))
+    return e.select(F.col("label").cast("string").alias("log_id"), F.floor(F.col("vec_id") / 50).alias("idx"), (F.col("vec_id") * 1000 + F.col("k")).alias("mol"), c.alias("c"), F.lit(4.0).alias("len"))
 
 
 @query(f"SELECT mol, [round(4 * (x + 0.5 - floor(x + 0.5)), 6) for x in c] AS c FROM {_MOLS}")
@@ -346,7 +349,13 @@ def k2_pair_distances(spark, d):
 
 @query(f"WITH b AS (SELECT log_id, idx, i AS mol, d2 FROM {_DIST} UNION ALL SELECT log_id, idx, j, d2 FROM {_DIST}) SELECT log_id, idx, mol, round(sqrt(min(d2)), 6) AS nearest, round(sqrt(max(d2)), 6) AS farthest FROM b GROUP BY ALL")
 def k3_neighbours(spark, d):
-    return rounded(K.neighbours(K.pairs(_mols(spark, d))))
+    return rounded(K.cell_neighbours(_mols(spark, d)))
+
+
+@query(f"SELECT a.log_id, CAST(0 AS BIGINT) AS idx, round(sqrt(min(d2)), 6) AS nearest, round(sqrt(max(d2)), 6) AS farthest FROM (SELECT a.log_id, 16 * (pow(a.x - b.x - round(a.x - b.x), 2) + pow(a.y - b.y - round(a.y - b.y), 2) + pow(a.z - b.z - round(a.z - b.z), 2)) AS d2 FROM (SELECT *, c[1] AS x, c[2] AS y, c[3] AS z FROM {_BIG}) a JOIN (SELECT *, c[1] AS x, c[2] AS y, c[3] AS z FROM {_BIG}) b ON a.log_id = b.log_id AND a.mol < b.mol) a GROUP BY ALL")
+def k3_extremes(spark, d):
+    mols = _mols(spark, d).withColumn("idx", F.lit(0).cast("long"))
+    return rounded(K.extremes(K.cell_neighbours(mols)))
 
 
 @query(f"SELECT log_id, idx, round(sum(least(4 * (1 / pow(d2, 6) - 1 / pow(d2, 3)), 10)), 6) AS energy FROM {_DIST} GROUP BY ALL")
@@ -354,6 +363,12 @@ def k4_energy(spark, d):
     return rounded(K.energy(K.pairs(_mols(spark, d)), 10.0))
 
 
+@query(f"SELECT log_id, idx, round(sum(least(4 * (1 / pow(d2, 6) - 1 / pow(d2, 3)), 10)), 6) AS energy FROM {_DIST} WHERE d2 <= 1.21 GROUP BY ALL")
+def k4_energy_within(spark, d):
+    """Energy of the pairs at most 1.1 apart, found by cells."""
+    return rounded(K.energy(K.pairs_within(_mols(spark, d), 1.1), 10.0))
+
+
 @query(f"WITH n AS (SELECT log_id, idx, count(*) AS n FROM {_MOLS} GROUP BY ALL), v AS (SELECT log_id, idx, sum(CASE WHEN 4 * (1 / pow(d2, 6) - 1 / pow(d2, 3)) >= 10 THEN 0 ELSE 24 * (2 / pow(d2, 6) - 1 / pow(d2, 3)) END) AS v FROM {_DIST} GROUP BY ALL) SELECT log_id, idx, round(v, 6) AS virial, CAST(64 AS DOUBLE) AS volume, round(n / 64, 6) AS density, round((n * 1.5 + v / 3) / 64, 6) AS pressure FROM n JOIN v USING (log_id, idx)")
 def k5_pressure(spark, d):
     m = _mols(spark, d)
