@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+EULER = 0.57721566490153286
 HALF_LOG_2PI = 0.5 * math.log(2 * math.pi)
 #: Largest |z| that the normal quantile returns (fixed value).
 MAX_Z = 5.612002

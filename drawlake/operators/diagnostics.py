@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlake.functions.numeric import log_sum_exp_by
+from drawlake.operators.ordered import running_sum
+from drawlake.sources.tables import written
 
 
 def parse_quantities(text: str) -> list[tuple[str, int, int | None]]:
@@ -120,42 +125,110 @@ def se_by_length(series: DataFrame) -> DataFrame:
     return _submeans(series).groupBy("n").agg(r.alias("realizations"), F.when(r > 1, F.sqrt(F.var_pop("m") / (r - 1))).alias("se"))
 
 
-def _chunked(series: DataFrame, max_lag: int, chunk: int = 100_000) -> DataFrame:
-    """Rows with their chunk; the first ``max_lag`` rows after a chunk are repeated at its end (``own`` false)."""
-    here = F.floor((F.col("t") - 1) / chunk)
-    own = series.withColumn("chunk", here).withColumn("own", F.lit(True))
-    over = series.where(((F.col("t") - 1) % chunk < max_lag) & (F.col("t") > chunk)).withColumn("chunk", here - 1).withColumn("own", F.lit(False))
-    return own.unionByName(over)
+#: Fewest and most points of a block of a series.
+BLOCKS = 1 << 12, 1 << 18
+#: Into how many parts the pairs of blocks at one distance are dealt.
+LAG_PARTS = 8
 
 
-def autocovariance(series: DataFrame, max_lag: int, presumed: float | None = None) -> DataFrame:
-    """Mean product of deviations at each lag, over all pairs in all realizations.
+def _lag_sums(block: int, max_lag: int):
+    """Sums of products and numbers of pairs by lag, from rows ``(k, x, px, y, py)``: values and places of two blocks k blocks apart.
 
-    ``t`` must count 1, 2, ... within a realization. Long realizations are cut into chunks that overlap by ``max_lag``.
+    A task adds up all pairs of blocks of one distance, which come one after the other, before it gives them out.
     """
-    mean = F.lit(presumed) if presumed is not None else F.col("_mean")
-    centred = series if presumed is not None else series.crossJoin(F.broadcast(series.agg(F.avg("value").alias("_mean"))))
-    rows = _chunked(centred.select("realization", "t", (F.col("value") - mean).alias("d")), max_lag)
-    w = Window.partitionBy("realization", "chunk").orderBy("t")
-    ahead = F.collect_list("d").over(w.rowsBetween(0, max_lag))
-    pairs = rows.withColumn("ahead", ahead).where("own").select("d", F.posexplode("ahead").alias("lag", "e"))
-    return pairs.groupBy("lag").agg(F.avg(F.col("d") * F.col("e")).alias("covariance"), F.count("*").alias("pairs"))
 
-
-def autocorrelation(series: DataFrame, max_lag: int, presumed: float | None = None) -> DataFrame:
+    def correlation(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sums of x[i] * y[i + m] for m from 1 - len(x) to len(y) - 1."""
+        size = 1 << (len(x) + len(y) - 2).bit_length()
+        out = np.fft.irfft(np.conj(np.fft.rfft(x, size)) * np.fft.rfft(y, size), size) if size > 1 else x * y
+        return np.concatenate([out[size - len(x) + 1 :], out[: len(y)]])
+
+    def dense(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        n = int(places[-1]) + 1
+        if len(places) == n:
+            return values, None
+        out, held = np.zeros(n), np.zeros(n)
+        out[places], held[places] = values, 1.0
+        return out, held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums, counts = None, None, None
+
+        def given() -> pa.RecordBatch:
+            lags = (now - 1) * block + 1 + np.arange(2 * block - 1)
+            kept = (counts > 0) & (lags >= 0) & (lags <= max_lag)
+            return pa.RecordBatch.from_arrays([pa.array(lags[kept]), pa.array(sums[kept]), pa.array(counts[kept])], ["lag", "s", "n"])
+
+        for batch in batches:
+            for k, *parts in zip(*(c.to_pylist() if i == 0 else c for i, c in enumerate(batch.columns))):
+                if k != now:
+                    if now is not None:
+                        yield given()
+                    now, sums, counts = k, np.zeros(2 * block - 1), np.zeros(2 * block - 1, np.int64)
+                x, px, y, py = (p.values.to_numpy() for p in parts)
+                (x, held_x), (y, held_y) = dense(x, px), dense(y, py)
+                m = np.arange(1 - len(x), len(y))
+                if held_x is None and held_y is None:
+                    pairs = np.minimum(len(x), len(y) - m) - np.maximum(0, -m)
+                else:
+                    ones = [np.ones(len(v)) if h is None else h for v, h in ((x, held_x), (y, held_y))]
+                    pairs = np.rint(correlation(*ones)).astype(np.int64)
+                found = correlation(x, y)
+                first = len(x) - 1 if k == 0 else 0  # within a block each pair counts once
+                at = slice(block - 1 + int(m[first]), block + int(m[-1]))
+                sums[at] += found[first:]
+                counts[at] += pairs[first:]
+        if now is not None:
+            yield given()
+
+    return run
+
+
+def autocovariance(series: DataFrame, max_lag: int | None = None, presumed: float | None = None) -> DataFrame:
+    """Mean product of deviations at each lag, over all pairs in all realizations; up to the longest realization without ``max_lag``.
+
+    ``t`` counts from 1 within a realization; points that are missing or null are in no pair. Realizations are cut into
+    blocks, and the products of two blocks at all lags come from one fast Fourier transform of each. So n points
+    cost n log n for lags of at most a block, and n * max_lag / block beyond; no lag is cut off by a block's end.
+    """
+    known = series.where("value is not null")
+    facts = known.agg(F.avg("value").alias("mean"), F.max("t").alias("longest")).first()
+    longest = facts["longest"] or 1
+    max_lag = longest - 1 if max_lag is None else min(max_lag, longest - 1)
+    block = min(max(BLOCKS[0], 1 << (4 * max_lag).bit_length()), BLOCKS[1])
+    centre = presumed if presumed is not None else facts["mean"] or 0.0
+    cut = known.select("realization", F.floor((F.col("t") - 1) / block).alias("block"), F.struct(((F.col("t") - 1) % block).cast("int").alias("p"), (F.col("value") - float(centre)).alias("d")).alias("x"))
+    held = cut.groupBy("realization", "block").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    held = written(held.select("realization", "block", F.col("x.d").alias("v"), F.col("x.p").alias("p")), "series-blocks")
+    far = (max_lag + block - 1) // block
+    last = (longest - 1) // block
+    left = held.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(far).cast("long"), last - F.col("block")))))
+    left = left.select("realization", (F.col("block") + F.col("k")).alias("block"), "k", F.col("v").alias("x"), F.col("p").alias("px"))
+    both = left.hint("merge").join(held, ["realization", "block"])
+    part = F.pmod(F.xxhash64("realization", "block"), F.lit(LAG_PARTS))
+    dealt = both.select("k", "x", "px", F.col("v").alias("y"), F.col("p").alias("py"), part.alias("part")).repartition("k", "part").sortWithinPartitions("k").drop("part")
+    found = dealt.mapInArrow(_lag_sums(block, max_lag), "lag long, s double, n long").groupBy("lag").agg(F.sum("s").alias("s"), F.sum("n").alias("pairs"))
+    return found.select(F.col("lag").cast("int").alias("lag"), (F.col("s") / F.col("pairs")).alias("covariance"), "pairs")
+
+
+def autocorrelation(series: DataFrame, max_lag: int | None = None, presumed: float | None = None) -> DataFrame:
     """Correlation by lag and 1 + 2 * its running sum; no rows if the variance is 0."""
-    c = autocovariance(series, max_lag, presumed)
+    c = written(autocovariance(series, max_lag, presumed), "autocovariance")
     base = c.where("lag = 0").select(F.col("covariance").alias("_v"))
     rho = c.crossJoin(F.broadcast(base)).where("_v > 0").select("lag", (F.col("covariance") / F.col("_v")).alias("correlation"))
-    total = F.sum("correlation").over(Window.orderBy("lag").rowsBetween(Window.unboundedPreceding, 0))  # max_lag + 1 rows
-    return rho.select("lag", "correlation", (2 * total - 1).alias("cumulative"))
+    return running_sum(rho, "lag", {"cumulative": F.col("correlation")}).withColumn("cumulative", 2 * F.col("cumulative") - 1)
 
 
-def se_from_correlations(series: DataFrame, max_lag: int) -> DataFrame:
-    """Standard error of the mean from autocovariances up to a lag, realizations weighted by their share squared."""
-    c = autocovariance(series, max_lag)
-    sizes = series.groupBy("realization").agg(F.count("*").alias("n"))
-    own = sizes.crossJoin(F.broadcast(c)).where("lag < n").groupBy("realization", "n").agg(F.sum(F.when(F.col("lag") == 0, F.col("covariance")).otherwise(2 * (1 - F.col("lag") / F.col("n")) * F.col("covariance"))).alias("v"))
+def se_from_correlations(series: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """Standard error of the mean from autocovariances up to a lag, realizations weighted by their share squared.
+
+    A realization of n points needs the sums of covariances, plain and times the lag, below n; these are running sums.
+    """
+    c = written(autocovariance(series, max_lag), "autocovariance")
+    sums = running_sum(c, "lag", {"plain": F.when(F.col("lag") > 0, 2 * F.col("covariance")).otherwise(F.col("covariance")), "times": 2 * F.col("lag") * F.col("covariance")})
+    top = c.agg(F.max("lag").alias("_top"))
+    sizes = series.groupBy("realization").agg(F.count("*").alias("n")).crossJoin(F.broadcast(top)).withColumn("lag", F.least(F.col("n") - 1, F.col("_top")).cast("int"))
+    own = sizes.join(sums, "lag").withColumn("v", F.col("plain") - F.col("times") / F.col("n"))
     return own.agg(F.sqrt(F.sum(F.col("v") * F.col("n")) / F.sum("n") ** 2).alias("se"))
 
 

@@ -99,6 +99,15 @@ def a3_autocovariance(spark, d):
     return rounded(A.autocovariance(series(spark, d), 10))
 
 
+_ALL = _COV.replace("AND b.t BETWEEN a.t AND a.t + 10", "AND b.t >= a.t")
+
+
+@query(f"WITH {_ALL} SELECT CAST(lag AS INTEGER) AS lag, round(covariance, 6) AS covariance, pairs FROM c")
+def a3_all_lags(spark, d):
+    """Up to the longest realization less 1."""
+    return rounded(A.autocovariance(series(spark, d)))
+
+
 @query(f"WITH {_COV}, r AS (SELECT lag, covariance / (SELECT covariance FROM c WHERE lag = 0) AS rho FROM c) SELECT CAST(lag AS INTEGER) AS lag, round(rho, 6) AS correlation, round(2 * sum(rho) OVER (ORDER BY lag) - 1, 6) AS cumulative FROM r")
 def a4_autocorrelation(spark, d):
     return rounded(A.autocorrelation(series(spark, d), 10))

@@ -196,15 +196,19 @@ def t1_ancestors(spark, d):
     return T.ancestors(_nodes(spark, d))
 
 
-@query(f"SELECT tree, ancestor AS node, CAST(2 AS BIGINT) AS children, count(*) AS leaves FROM {_ANC} WHERE node > 0 GROUP BY tree, ancestor")
+@query(f"WITH l AS (SELECT tree, ancestor AS node, count(*) AS leaves FROM {_ANC} WHERE node > 0 GROUP BY tree, ancestor), c AS (SELECT n.tree, n.parent, n.node, coalesce(l.leaves, 1) AS leaves FROM {_NODES} n LEFT JOIN l USING (tree, node) WHERE parent <> 0) SELECT tree, parent AS node, count(*) AS children, CAST(sum(leaves) AS BIGINT) AS leaves, [CAST(x AS BIGINT) for x in list(leaves ORDER BY node)] AS by_child FROM c GROUP BY tree, parent")
 def t2_node_table(spark, d):
-    n = _nodes(spark, d)
-    return T.node_table(n, T.ancestors(n))
+    return T.node_table(T.tour(_nodes(spark, d))).withColumn("by_child", F.col("by_child.leaves"))
 
 
 @query(f"SELECT tree, node AS leaf, CAST(max(hops) AS BIGINT) AS depth FROM {_ANC} WHERE node > 0 GROUP BY tree, node")
 def t3_leaf_depth(spark, d):
-    return T.leaf_depths(T.ancestors(_nodes(spark, d)))
+    return T.leaf_depths(T.tour(_nodes(spark, d)))
+
+
+@query(f"SELECT tree, round(avg(depth), 6) AS average, CAST(max(depth) AS BIGINT) AS deepest FROM (SELECT tree, node, max(hops) AS depth FROM {_ANC} WHERE node > 0 GROUP BY tree, node) GROUP BY tree")
+def t3_depth_summary(spark, d):
+    return rounded(T.depth_summary(T.leaf_depths(T.tour(_nodes(spark, d)))))
 
 
 @query(f"SELECT tree, round(avg(divt), 6) AS mean_divt, [round(x, 6) for x in list_slice(list(divt ORDER BY divt, node), 1, 3)] AS earliest FROM {_NODES} WHERE node < 0 GROUP BY tree")
@@ -223,20 +227,17 @@ _LCA = f"(SELECT q.tree, q.a, q.b, CASE WHEN q.a = q.b THEN 1.0 ELSE (SELECT max
 
 @query(f"SELECT tree, a, b, round(divt, 6) AS divt FROM {_LCA.replace('@asked', _ASKED)}")
 def t5_common_ancestor(spark, d):
-    n = _nodes(spark, d)
-    return rounded(T.common_ancestor(_asked(spark, d).select("tree", "a", "b"), T.ancestors(n), n))
+    return rounded(T.common_ancestor(_asked(spark, d).select("tree", "a", "b"), T.tour(_nodes(spark, d))))
 
 
 @query(f"SELECT q.tree, q.a, q.b, q.c, ab.divt > ac.divt AS closer FROM {_ASKED} q JOIN {_LCA.replace('@asked', _ASKED)} ab ON ab.tree = q.tree JOIN {_LCA.replace('@asked', '(SELECT tree, a, c AS b FROM ' + _ASKED + ')')} ac ON ac.tree = q.tree")
 def t6_triples(spark, d):
-    n = _nodes(spark, d)
-    return T.triples(_asked(spark, d), T.ancestors(n), n)
+    return T.triples(_asked(spark, d), T.tour(_nodes(spark, d)))
 
 
 @query(f"SELECT tree, node AS leaf, CAST(-(h >> 2) AS BIGINT) AS cluster FROM {_NODES} WHERE node > 0")
 def t7_cut(spark, d):
-    n = _nodes(spark, d)
-    return T.cut(n, T.ancestors(n), 0.4).withColumn("cluster", F.col("cluster").cast("long"))
+    return T.cut(_nodes(spark, d), 0.4)
 
 
 @query(f"SELECT tree, node, round(0.5 * divt - ln(1 - divt) + 0.25 * (1 / (1 - divt) - 1), 6) AS e, round(divt, 6) AS back FROM {_NODES} WHERE node < 0")
@@ -247,15 +248,13 @@ def t8_divergence_function(spark, d):
 
 @query(f"SELECT n.tree, round(sum(ln(1 / (1 - n.divt)) - (SELECT sum(1.0 / i) FROM range(1, CAST(16 / pow(2, floor(log2(n.h))) AS BIGINT)) r(i)) * (-ln(1 - n.divt) + ln(1 - coalesce(p.divt, 0)))), 6) AS log_prob FROM {_NODES} n LEFT JOIN {_NODES} p ON p.tree = n.tree AND p.node = n.parent WHERE n.node < 0 GROUP BY n.tree")
 def t9_divergence_log_prob(spark, d):
-    n = _nodes(spark, d)
-    return rounded(T.divergence_log_prob(n, T.node_table(n, T.ancestors(n)), 0.0, 1.0, 0.0))
+    return rounded(T.divergence_log_prob(T.tour(_nodes(spark, d)), 0.0, 1.0, 0.0))
 
 
 @query(f"SELECT tree, node AS leaf, round(4 * ln(0.5), 6) AS log_prob FROM {_NODES} WHERE node > 0")
 def t10_path_log_prob(spark, d):
     n = _nodes(spark, d)
-    c = T.ancestors(n)
-    return rounded(T.path_log_prob(n, c, T.node_table(n, c)))
+    return rounded(T.path_log_prob(n, T.tour(n)))
 
 
 _SRC = "(SELECT CAST(s_nationkey % 3 AS VARCHAR) AS log_id, CAST(s_nationkey AS BIGINT) AS idx, s_suppkey AS src, (s_suppkey % 40) / 4.0 AS x, (s_suppkey % 9) / 3.0 AS y, (s_suppkey % 5) / 5.0 AS z, 1 + abs(s_acctbal) / 1000 AS q, (s_suppkey % 7) / 1.0 AS start, (s_suppkey % 7) / 1.0 + 5 AS stop, 2.0 AS u FROM supplier)"

@@ -91,12 +91,6 @@ def test_series_against_numpy(spark):
     assert got[0] == pytest.approx(diagnostics.series_moments(s).first().variance)
 
 
-def test_chunks_change_nothing(spark):
-    s = spark.range(1, 101).select(F.lit(1).alias("realization"), F.col("id").alias("t"), F.sin("id").alias("value"))
-    rows = diagnostics._chunked(s, 3, 10)
-    assert rows.where("own").count() == 100 and rows.where("not own").count() == 27
-
-
 def test_likelihood_special_cases(spark):
     assert value(spark, likelihood.gaussian(F.lit(None).cast("double"), F.lit(0.0), F.lit(1.0))) == 0
     assert value(spark, likelihood.binary(F.lit(1.0), F.lit(-1000.0))) == pytest.approx(-1000)
@@ -136,8 +130,7 @@ def test_chain_shaped_tree(spark):
     n = 9
     rows = [(1, -i, -(i - 1) if i > 1 else 0, i / 20) for i in range(1, n)] + [(1, i, -i, 1.0) for i in range(1, n)] + [(1, n, -(n - 1), 1.0)]
     nodes = spark.createDataFrame(rows, "tree long, node long, parent long, divt double")
-    closure = tree.ancestors(nodes)
-    depth = {r.leaf: r.depth for r in tree.leaf_depths(closure).collect()}
+    depth = {r.leaf: r.depth for r in tree.leaf_depths(tree.tour(nodes)).collect()}
     assert depth[n] == n - 1 and depth[1] == 1 and tree.invalid_trees(nodes).count() == 0
     assert tree.invalid_trees(nodes.where("node <> 3")).count() == 1
 
