@@ -212,13 +212,15 @@ def class_probabilities(means: list[Column], variances: list[Column], points: in
     return F.transform(F.aggregate(rows, zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q)), lambda p: p / points)
 
 
-def leading_spectrum(train: DataFrame, inputs: list[str], order: str, spec: Spec, count: int, spare: int = 8, rounds: int = 12) -> DataFrame:
-    """``(rank, eigenvalue, vector)``: the largest eigenvalues of the training covariance of one draw, with unit vectors.
-
-    Block iteration: in each round tasks multiply their rows of the covariance, which is never formed as a whole,
-    by a block of vectors; the vectors are then made orthogonal. Inputs and the block (a few numbers for each
-    case, at most ``MOST_SPECTRUM`` cases) are sent to all tasks. Elements of a vector stand in the order of
-    ``order``; signs are such that a vector's sum is not negative.
+def leading_spectrum(train: DataFrame, inputs: list[str], order: str, spec: Spec, count: int, spare: int = 8, rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
+    """``(rank, eigenvalue, bound, vector)``: the largest eigenvalues of the training covariance of one draw, with unit vectors.
+
+    A space of vectors grows by blocks: in each round tasks multiply their rows of the covariance, which is never formed as
+    a whole, by the block of residuals of the best approximations so far, made orthogonal to the space; a space of four
+    blocks is reduced to its best one. The norm of a residual, ``bound``, is the most that an eigenvalue can be off.
+    Rounds end when each bound is at most ``tolerance`` times the largest eigenvalue; if ``rounds`` do not reach it, that
+    is an error. Inputs and the block (a few numbers for each case, at most ``MOST_SPECTRUM`` cases) are sent to
+    all tasks. Elements of a vector stand in the order of ``order``; signs are such that a vector's sum is not negative.
     """
     spark = train.sparkSession
     if train.limit(MOST_SPECTRUM + 1).count() > MOST_SPECTRUM:
@@ -246,16 +248,30 @@ def leading_spectrum(train: DataFrame, inputs: list[str], order: str, spec: Spec
         return out
 
     if not n:
-        return spark.createDataFrame([], "rank int, eigenvalue double, vector array<double>")
-    v = np.linalg.qr(np.random.default_rng(1).normal(size=(n, width)))[0]
+        return spark.createDataFrame([], "rank int, eigenvalue double, bound double, vector array<double>")
+    space = np.linalg.qr(np.random.default_rng(1).normal(size=(n, width)))[0]
+    image = multiply(space)
     for _ in range(rounds):
-        v = np.linalg.qr(multiply(v))[0]
-    small = product(v.T, multiply(v))
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    v = product(v, turn[:, ::-1])
-    v *= np.where(v.sum(0) < 0, -1.0, 1.0)
-    rows = [(k, float(values[::-1][k]), v[:, k].tolist()) for k in range(min(count, width))]
-    return spark.createDataFrame(rows, "rank int, eigenvalue double, vector array<double>")
+        small = product(space.T, image)
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        values, turn = values[::-1][:width], turn[:, ::-1][:, :width]
+        best, best_image = product(space, turn), product(image, turn)
+        rest = best_image - best * values
+        bound = np.sqrt((rest * rest).sum(0))
+        if bound[:count].max() <= tolerance * values[0]:
+            break
+        if space.shape[1] + width > min(4 * width, n):
+            space, image = best, best_image
+        for _ in range(2):
+            rest = rest - product(space, product(space.T, rest))
+            rest = np.linalg.qr(rest)[0]
+        rest = rest[:, : n - space.shape[1]]
+        space, image = np.concatenate([space, rest], axis=1), np.concatenate([image, multiply(rest)], axis=1)
+    else:
+        raise ValueError(f"{rounds} rounds leave a bound of {bound[:count].max()}")
+    best = best * np.where(best.sum(0) < 0, -1.0, 1.0)
+    rows = [(k, float(values[k]), float(bound[k]), best[:, k].tolist()) for k in range(min(count, width))]
+    return spark.createDataFrame(rows, "rank int, eigenvalue double, bound double, vector array<double>")
 
 
 def relevance(linear: Column, log_scale: Column, rel: Column, power: float) -> Column:

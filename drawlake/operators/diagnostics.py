@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlake.functions.numeric import log_sum_exp_by
-from drawlake.operators.ordered import running_sum
+from drawlake.operators.ordered import range_sorted, running_sum
+from drawlake.operators.pairing import MOST_ROWS
 from drawlake.sources.tables import written
 
 
@@ -85,11 +86,19 @@ def argmin(df: DataFrame, key: str, value: str, by: list[str]) -> DataFrame:
 
 
 def tour_count(df: DataFrame) -> DataFrame:
-    """Trips from inverse temperature 1 to the smallest one and back, per log."""
+    """Trips from inverse temperature 1 to the smallest one and back, per log.
+
+    Draws are sorted by ranges, so one log spreads over tasks; trips are counted in each partition, and again between
+    the last draw of a partition and the first of the log's next one.
+    """
     ends = df.groupBy("log_id").agg(F.min("inv_temp").alias("_low"))
-    marks = df.join(ends, "log_id").where((F.col("inv_temp") == 1) | (F.col("inv_temp") == F.col("_low"))).withColumn("cold", F.col("inv_temp") == 1)
-    back = F.lag("cold").over(Window.partitionBy("log_id").orderBy("idx"))
-    return marks.withColumn("_b", F.col("cold") & ~back).groupBy("log_id").agg(F.coalesce(F.sum(F.col("_b").cast("long")), F.lit(0)).alias("tours"))
+    few = ends.limit(MOST_ROWS + 1).count() <= MOST_ROWS
+    marks = df.join(F.broadcast(ends) if few else ends, "log_id").where((F.col("inv_temp") == 1) | (F.col("inv_temp") == F.col("_low")))
+    rows = range_sorted(marks.select("log_id", "idx", (F.col("inv_temp") == 1).alias("cold")), "log_id", "idx")
+    before = F.lag("cold").over(Window.partitionBy("log_id", "_part").orderBy("_id"))
+    inside = rows.withColumn("_b", (F.col("cold") & ~before).cast("long")).groupBy("log_id", "_part").agg(F.coalesce(F.sum("_b"), F.lit(0)).alias("n"), F.min_by("cold", "_id").alias("first"), F.max_by("cold", "_id").alias("last"))
+    seam = F.col("first") & ~F.lag("last").over(Window.partitionBy("log_id").orderBy("_part"))
+    return inside.withColumn("n", F.col("n") + F.coalesce(seam.cast("long"), F.lit(0))).groupBy("log_id").agg(F.sum("n").alias("tours"))
 
 
 def top_magnitudes(df: DataFrame, by: list[str], value: Column, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawlake.operators.ordered import grouped_number
 from drawlake.sources.tables import numbered
 
 
@@ -29,10 +30,17 @@ def select_range(df: DataFrame, text: str, anchor: str = "zero", index: str = "i
 
 
 def select_evenly(df: DataFrame, low: int, high: int, num: int, log: str = "log_id") -> DataFrame:
-    """The first index at or after each of ``num`` evenly spaced targets, per log."""
+    """The first index at or after each of ``num`` evenly spaced targets, per log.
+
+    The last target at or before an index is found by arithmetic, however many targets there are.
+    """
     num = min(num, high - low + 1)
-    targets = sorted({int(low + i * (high - low) / max(num - 1, 1) + 0.5) for i in range(num)})
-    cells = df.where(F.col("idx").between(low, high)).withColumn("_t", F.array_max(F.filter(F.array(*map(F.lit, targets)), lambda t: t <= F.col("idx"))))
+    step = (high - low) / max(num - 1, 1)
+    target = lambda i: (low + i * step + 0.5).cast("long")
+    near = F.floor((F.col("idx") - low) / step) if step else F.lit(0)
+    tries = [near + k for k in (-1, 0, 1)]
+    at = F.greatest(*[F.when((i >= 0) & (i < num) & (target(i) <= F.col("idx")), i) for i in tries])
+    cells = df.where(F.col("idx").between(low, high)).withColumn("_t", target(at.cast("double")))
     chosen = cells.groupBy(log, "_t").agg(F.min("idx").alias("idx")).drop("_t").distinct()
     return df.join(chosen, [log, "idx"], "left_semi")
 
@@ -59,8 +67,7 @@ def at_temperature(df: DataFrame, inv_temp: float = 1.0, also_highest: bool = Fa
         low = df.groupBy("log_id").agg(F.min("inv_temp").alias("_low"))
         df = df.join(low, "log_id")
         keep = keep | (F.col("inv_temp") == F.col("_low"))
-    out = df.where(keep).withColumn("new_idx", F.row_number().over(Window.partitionBy("log_id").orderBy("idx")))
-    return out.drop("_low")
+    return grouped_number(df.where(keep).drop("_low"), "log_id", "idx", "new_idx")
 
 
 def state_as_of(records: DataFrame, index: int) -> DataFrame:

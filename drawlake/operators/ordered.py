@@ -23,3 +23,12 @@ def running_sum(df: DataFrame, order: str, values: dict[str, Column]) -> DataFra
     upto = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(F.broadcast(shift), "_part").withColumns({n: F.sum(f"_v_{n}").over(upto) + F.col(f"_b_{n}") for n in values})
     return out.select(*df.columns, *values)
+
+
+def grouped_number(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """Add the number, from 1, of each row within its group by ``order``; a group of any size spreads over partitions."""
+    rows = range_sorted(df, group, order)
+    held = rows.groupBy(group, "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = held.select(group, "_part", (before - F.col("_first") + 1).alias("_shift"))
+    return rows.join(shift, [group, "_part"]).withColumn(name, (F.col("_id") + F.col("_shift")).cast("int")).select(*df.columns, name)

@@ -11,7 +11,8 @@ from drawlake.operators import particles as K
 from drawlake.operators import tree as T
 from drawlake.operators.pairing import paired
 from drawlake.plans.base import query, rounded, table
-from drawlake.streaming.monitor import summarise
+from drawlake.sources.tables import scratch_path
+from drawlake.streaming.monitor import monitored
 
 _COMP = "(ascii(l_returnflag) * 2 + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END)"
 _ASSIGN = f"(SELECT CAST(l_suppkey % 5 AS VARCHAR) AS log_id, CAST(l_suppkey AS BIGINT) AS idx, l_orderkey * 10 + l_linenumber AS case_id, CAST({_COMP} AS BIGINT) AS comp, l_quantity AS q FROM lineitem)"
@@ -376,4 +377,6 @@ def k5_pressure(spark, d):
 
 @query("SELECT user_id, event_type, count(*) AS n, max(event_id) AS last, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY ALL")
 def w1_monitor(spark, d):
-    return rounded(summarise(table(spark, d, "events"), ["user_id", "event_type"], "event_id", "value"))
+    """A stream over the event files, whatever their number: the pattern names a file as well as a folder of files."""
+    schema = table(spark, d, "events").schema
+    return rounded(monitored(spark, f"{d}/events.parque[t]", schema, ["user_id", "event_type"], "event_id", "value", scratch_path(spark, "monitor")))
