@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawlake.functions.numeric import log_sum_exp_by, stratified_normal
+from drawlake.functions.numeric import HALF_LOG_2PI, log_sum_exp_by, stratified_normal
 from drawlake.operators.network import Network
 from drawlake.operators.pairing import paired
 
@@ -183,6 +183,45 @@ def net_forward(cases: DataFrame, key: str, inputs: list[str], draws: list[tuple
     return _each_block(read, draws, make, f"{key} long, {kinds}log_id string, idx long, j int, o double")
 
 
+def net_predict(cases: DataFrame, key: str, inputs: list[str], draws: list[tuple[str, int, dict]], network: Network, log_weight: list[float] | None = None, targets: list[str] | None = None, noise: list[float] | None = None) -> DataFrame:
+    """``(key, j, mean[, log_prob])``: weighted mean outputs of all draws, and the log of the weighted mean density of the targets.
+
+    ``log_weight`` and ``noise`` (the standard deviation of normal targets) have a number for each draw; draws count
+    alike without weights. A task keeps, for each case and output of a batch, the sum of weights, of weighted outputs, and of weighted
+    densities with their largest exponent; so a row for each case, output and block of draws leaves it, never one for
+    each draw. Blocks merge by key. A case with a null target has a mean, and a log probability of 0.
+    """
+    weights = np.zeros(len(draws)) if log_weight is None else np.asarray(log_weight, np.float64)
+    weights = weights - weights.max(initial=-np.inf) if len(draws) else weights
+    packed = [(log_id, idx, {**draw, "_w": np.array([w]), "_sd": np.array([s])}) for (log_id, idx, draw), w, s in zip(draws, weights, noise or [1.0] * len(draws))]
+
+    def make(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                x = batch[inputs].to_numpy(np.float64)
+                t = batch[targets].to_numpy(np.float64) if targets else None
+                mass, total, top, held = 0.0, 0.0, -np.inf, 0.0
+                for _, _, draw in shared.value:
+                    o, lw = network.output(x, draw), draw["_w"][0]
+                    mass, total = mass + np.exp(lw), total + np.exp(lw) * o
+                    if targets:
+                        z = np.clip((t - o) / draw["_sd"][0], -1e10, 1e10)
+                        one = np.where(np.isnan(t), lw, lw - z * z / 2 - np.log(draw["_sd"][0]) - HALF_LOG_2PI)
+                        new = np.maximum(top, one)
+                        top, held = new, held * np.exp(np.where(np.isneginf(top), 0.0, top - new)) + np.exp(one - new)
+                n, k = total.shape
+                state = {key: np.repeat(batch[key].to_numpy(), k), "j": np.tile(np.arange(k), n), "mass": mass, "total": total.ravel()}
+                yield pd.DataFrame(state | ({"part": (top + np.log(held)).ravel()} if targets else {"part": 0.0}))
+
+        return run
+
+    read = cases.select(key, *[F.col(c).cast("double") for c in (*inputs, *(targets or []))])
+    parts = _each_block(read, packed, make, f"{key} long, j int, mass double, total double, part double")
+    sums = log_sum_exp_by(parts, [key, "j"], F.col("part"), "_l", mass=F.col("mass"), total=F.col("total"))
+    mean = (F.col("total") / F.col("mass")).alias("mean")
+    return sums.select(key, "j", mean, *([(F.col("_l") - F.log("mass")).alias("log_prob")] if targets else []))
+
+
 def hidden_spread(cases: DataFrame, inputs: list[str], draws: list[tuple[str, int, dict]], network: Network) -> DataFrame:
     """Population standard deviation over cases of each unit: partial sums per batch, then one small aggregate."""
 

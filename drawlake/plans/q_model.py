@@ -138,6 +138,15 @@ def p4_predict_mean(spark, d):
     return rounded(P.predict_mean(pairs(spark, d), ["case_id"], F.col("o"), F.col("w")))
 
 
+# evaluation of networks and reduction in one pass
+@query(f"""WITH o AS (SELECT case_id, t, sd, exp(log_weight - 2.4) AS w, bias + w1 * tanh(w1 * x1 + w2 * x2 + 0.1) + w2 * tanh(0.5 * x1 - w1 * x2 - 0.2) + 0.3 * x2 AS y FROM {CASES} CROSS JOIN {NETS})
+SELECT case_id, CAST(0 AS INTEGER) AS j, round(sum(w * y) / sum(w), 6) AS mean, round(ln(sum(w * exp(-pow((t - y) / sd, 2) / 2) / (sd * sqrt(2 * pi()))) / sum(w)), 6) AS log_prob FROM o GROUP BY case_id""")
+def p5_net_predict(spark, d):
+    few = nets(spark, d).orderBy("idx").collect()  # nations: a fixed number of rows
+    out = P.net_predict(cases(spark, d), "case_id", ["x1", "x2"], _draws(spark, d), N.Network(["tanh"]), [r.log_weight for r in few], ["t"], [r.sd for r in few])
+    return rounded(out)
+
+
 _LP = f"(SELECT case_id, ln(sum(w * exp({_GAUSS})) / sum(w)) AS log_prob FROM {PAIRS} GROUP BY case_id)"
 
 

@@ -119,3 +119,27 @@ def test_spread_scalar(spark):
     df, inputs, _ = frame(spark, x, np.zeros((50, 1)), np.zeros(50))
     got = {r.layer: r.spread for r in predict.hidden_spread_scalar(predict.hidden_spread(df, inputs, [("a", 1, p)], NET)).collect()}
     assert got == pytest.approx({i: np.sqrt(h.var(axis=0).sum()) / h.shape[1] for i, h in enumerate(NET.hidden(x, p))})
+
+
+def test_net_predict_against_numpy(spark, monkeypatch):
+    """Means and log probabilities in one pass; blocks of draws change nothing, far targets and null ones are no trouble."""
+    rng = np.random.default_rng(9)
+    x, t = rng.normal(size=(40, 3)), rng.normal(size=(40, 2))
+    t[0] = 500.0
+    draws = [("a", i, layered(rng, 3, 2)) for i in range(7)]
+    lw, sd = rng.normal(size=7) * 3 + 900, rng.uniform(0.2, 2, 7)
+    rows = [(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(x, t))]
+    rows[3] = (*rows[3][:4], None, rows[3][5])
+    df = spark.createDataFrame(rows, "k long, x0 double, x1 double, x2 double, t0 double, t1 double").repartition(3)
+    o = np.stack([NET.output(x, p) for _, _, p in draws])
+    w = np.exp(lw - lw.max())[:, None, None]
+    mean = (w * o).sum(0) / w.sum()
+    logs = -((t - o) ** 2) / (2 * sd[:, None, None] ** 2) - np.log(sd)[:, None, None] - 0.5 * np.log(2 * np.pi) + np.log(w / w.sum())
+    want = np.log(np.exp(logs - logs.max(0)).sum(0)) + logs.max(0)
+    want[3, 0] = 0.0
+    for most in (predict.BLOCK_BYTES, 900):
+        monkeypatch.setattr(predict, "BLOCK_BYTES", most)
+        got = {(r.k, r.j): (r["mean"], r.log_prob) for r in predict.net_predict(df, "k", ["x0", "x1", "x2"], draws, NET, lw.tolist(), ["t0", "t1"], sd.tolist()).collect()}
+        assert len(got) == 80 and all(got[i, j] == (pytest.approx(mean[i, j]), pytest.approx(want[i, j], abs=1e-9)) for i in range(40) for j in range(2))
+    plain = {(r.k, r.j): r["mean"] for r in predict.net_predict(df, "k", ["x0", "x1", "x2"], draws, NET).collect()}
+    assert all(plain[i, j] == pytest.approx(o.mean(0)[i, j]) for i, j in plain)
