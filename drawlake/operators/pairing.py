@@ -4,24 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Most rows that are broadcast.
+#: Most rows, and most bytes of their values, that are broadcast.
 MOST_ROWS = 100_000
+MOST_BYTES = 64 << 20
 #: Into how many parts the left side of a block join is dealt, so that tasks outnumber blocks.
 LEFT_PARTS = 16
 
 
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df``, and about how many bytes their values take; one pass."""
+    size = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        c, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            own = F.octet_length(c)
+        elif isinstance(kind, (T.ArrayType, T.MapType)):
+            own = 8 * F.greatest(F.size(c), F.lit(0))
+        elif isinstance(kind, T.StructType):
+            own = F.lit(8 * len(kind.fields))
+        else:
+            own = F.lit(8)
+        size = size + F.coalesce(own, F.lit(0)).cast("long")
+    row = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return row[0], row[1]
+
+
 def paired(left: DataFrame, right: DataFrame, on: Column | None = None, most: int = MOST_ROWS) -> DataFrame:
     """All pairs of rows that meet ``on`` (all pairs, if it is None).
 
-    ``right`` is broadcast if a count shows at most ``most`` rows. A larger one is cut in blocks of about that
+    ``right`` is broadcast if it has at most ``most`` rows and ``MOST_BYTES``. A larger one is cut in blocks of about that
     size by a hash of its rows, and an equi-join on the block lets each task hold one block; pairs then stream
     through, and later sums by key merge the partial results of the blocks.
     """
-    if right.limit(most + 1).count() <= most:
+    n, size = measured(right)
+    blocks = max(-(-n // most), -(-size // MOST_BYTES))
+    if blocks <= 1:
         right = F.broadcast(right)
         return left.crossJoin(right) if on is None else left.join(right, on)
-    blocks = -(-right.count() // most)
     dealt = F.pmod(F.xxhash64(*left.columns), F.lit(LEFT_PARTS))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     a = left.withColumn("_part", dealt).withColumn("_block", each(blocks))
