@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drawlake.llm.bytesops import BYTE_VALUES, LOWER, U64, blocks, mix, prefix_hash, range_hash, word_bounds
 from drawlake.llm.common import materialize, union_all
@@ -279,11 +280,13 @@ def _probe(shared, share: float, run_words: int):
     return run
 
 
-def _sieve(shared, share: float, run_words: int):
+def _sieve(shared, share: float, run_words: int, place: int, columns: int):
+    """The first ``columns`` columns of the rows whose text, in column ``place``, is clean."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items, _, _ = _judged(batch.column(batch.num_columns - 1), shared.value, share, run_words)
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array([not x for x in items], pa.bool_()))
+            items, _, _ = _judged(batch.column(place), shared.value, share, run_words)
+            yield pa.RecordBatch.from_arrays(batch.columns[:columns], names=batch.schema.names[:columns]).filter(pa.array([not x for x in items], pa.bool_()))
 
     return run
 
@@ -331,7 +334,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8,
     shared = _shared(benchmark, block_windows)
     text = docs["text"].cast("string")
     if len(shared) == 1:
-        return docs.select("*", text.alias("_judged")).mapInArrow(_sieve(shared[0], share, run_words), docs.schema)
+        n = len(docs.columns)
+        if docs.schema["text"].dataType == T.StringType():  # a text goes to the workers once
+            return docs.mapInArrow(_sieve(shared[0], share, run_words, docs.columns.index("text"), n), docs.schema)
+        return docs.select("*", text.alias("_judged")).mapInArrow(_sieve(shared[0], share, run_words, n, n), docs.schema)
     kept = materialize(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), text.alias("text")), "rows")
     gone = _verdicts(kept.select("row", F.lit(None).cast("long").alias("doc_id"), "text"), shared, share, run_words).where(F.size("items") > 0).select("row")
     return kept.join(gone, "row", "left_anti").select("doc.*")

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drawlake.llm.bytesops import U64, blocks, code_points, gram_hash, mix, prefix_hash, range_hash
 from drawlake.llm.common import hash_share, held_out
@@ -165,12 +166,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, parts: int =
     return train([r["text"] for r in rows], [r["quality"] for r in rows], prior)
 
 
-def _score(model: Model):
+def _score(model: Model, inside: int | None):
+    """``inside``: the place of the text within the struct of kept columns, if it stands there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score_block(data, starts) for _, _, data, starts in blocks(batch.column(batch.num_columns - 1))]
+            text = batch.column(1) if inside is None else batch.column(0).field(inside)
+            scores = [model.score_block(data, starts) for _, _, data, starts in blocks(text)]
             scores = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["kept", "score"])
 
     return run
 
@@ -178,7 +182,10 @@ def _score(model: Model):
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``(kept, score)``: the columns ``keep`` as a struct, and the probability of label 1; null text is empty, rows stay as they are."""
     read = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(_score(model), f"kept {read.schema['kept'].dataType.simpleString()}, score double")
+    inside = keep.index("text") if "text" in keep and docs.schema["text"].dataType == T.StringType() else None
+    if inside is not None:  # a text goes to the workers once
+        read = read.select("kept")
+    return read.mapInArrow(_score(model, inside), f"kept {read.schema['kept'].dataType.simpleString()}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
