@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from drawlake.operators.ordered import grouped_number
 from drawlake.sources.tables import numbered
 
+#: Indexes in one range of an as-of join.
+RANGE = 65_536
+
 
 def parse_range(text: str) -> tuple[int, int | None, int, int | None]:
     """``low:high%mod`` or ``low:high+num`` as (low, high, mod, num); low is 1 if left out, a single number stands alone."""
@@ -76,6 +79,32 @@ def state_as_of(records: DataFrame, index: int) -> DataFrame:
     return records.where(F.col("idx") <= index).groupBy("log_id", "type").agg(F.max_by(F.struct(*rest), "idx").alias("_r")).select("log_id", "type", "_r.*")
 
 
+def states_as_of(records: DataFrame, indexes: DataFrame) -> DataFrame:
+    """``(log_id, at, type, ...)``: for each index ``at`` of ``indexes(log_id, at)``, the latest record of each type at or before it.
+
+    An as-of join: indexes, once for each type of their log, stand among the records in ranges of ``RANGE`` indexes, and take
+    the last record of their range; where it holds none yet, the last one of the ranges before, of which each
+    log and type keeps one row a range. So a log of any length spreads over its ranges, and records shuffle once.
+    Repeated indexes count once; of records of equal index and type the one with the largest further columns counts;
+    rows with null log, type or index take no part, and types without a record up to ``at`` give no row.
+    """
+    rest = [c for c in records.columns if c not in ("log_id", "type")]
+    kept = records.where("log_id is not null and type is not null and idx is not null")
+    one = F.struct("idx", *[c for c in rest if c != "idx"])
+    kind = kept.select(one.alias("_r")).schema["_r"].dataType
+    types = kept.select("log_id", "type").distinct()
+    asked = indexes.select("log_id", "at").where("at is not null").distinct().join(types, "log_id")
+    both = kept.select("log_id", "type", F.col("idx").alias("at"), one.alias("_r")).unionByName(asked.withColumn("_r", F.lit(None).cast(kind)))
+    both = both.withColumn("_range", F.floor(F.col("at") / RANGE))
+    ranges = ["log_id", "type", "_range"]
+    upto = Window.partitionBy(*ranges).orderBy("at", F.col("_r").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("log_id", "type").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*ranges).agg(F.max("_r").alias("_r")).select(*ranges, F.max("_r").over(before).alias("_old"))
+    own = both.withColumn("_own", F.last("_r", ignorenulls=True).over(upto)).where("_r is null").join(carried, ranges)
+    out = own.withColumn("_r", F.coalesce("_own", "_old")).where("_r is not null")
+    return out.select("log_id", "at", "type", *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def reweight(df: DataFrame, extra: DataFrame) -> DataFrame:
     """Add ``extra(log_id, idx, add)`` to the log weights."""
     return df.join(extra, ["log_id", "idx"]).withColumn("log_weight", F.col("log_weight") + F.col("add")).drop("add")

@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from drawlake.functions.numeric import HALF_LOG_2PI, log_sum_exp_by, stratified_normal
 from drawlake.operators.network import Network
 from drawlake.operators.pairing import paired
+from drawlake.operators.selection import SALTS, selected
+from drawlake.sources.tables import written
 
 #: Most draws that are broadcast at once.
 MOST_DRAWS = 10_000
+#: Most draws of a case that meet in one row for quantiles.
+MOST_GATHERED = 1024
 
 
 def cross(cases: DataFrame, draws: DataFrame) -> DataFrame:
@@ -58,11 +62,14 @@ def class_scores(means: list[Column], target: Column) -> dict[str, Column]:
     return {"wrong": (-best["k"] != target).cast("double"), "squared": squared, "log_prob": F.log(F.get(F.array(*means), target.cast("int")))}
 
 
-def pooled_quantiles(rows: DataFrame, keys: list[str], mean: Column, sd: Column, points: int = 101, shares: tuple[float, ...] = (0.1, 0.01), w: Column | None = None) -> DataFrame:
+def pooled_quantiles(rows: DataFrame, keys: list[str], mean: Column, sd: Column, points: int = 101, shares: tuple[float, ...] = (0.1, 0.01), w: Column | None = None, gathered: int = MOST_GATHERED) -> DataFrame:
     """Median and lower/upper quantiles of the pooled predictive points, ``points`` normal quantiles per draw.
 
     For even n the median is the mean of the two in the middle; a quantile is sorted[int(0.5 + f n)] and its mirror.
-    Two numbers per draw and case are gathered by case; the points are formed and sorted in Arrow batches.
+    Two numbers per draw and case are written once. If no case has more than ``gathered`` draws, these meet by case and the
+    points are formed and sorted in Arrow batches; else the places are found by counts (``selection.selected``), and
+    no case's draws meet. Both give the same values. Points of null or NaN
+    means or deviations stand above all numbers; a place that falls on one is null.
     Weighted draws are refused: with ``w`` given, weights that differ are an error.
     """
     if w is not None:
@@ -71,12 +78,16 @@ def pooled_quantiles(rows: DataFrame, keys: list[str], mean: Column, sd: Column,
             raise ValueError("quantiles of weighted draws are not defined")
     z = np.array(stratified_normal(points))
     names = ["median", *(n for f in shares for n in (f"q{round(f * 100):02d}", f"q{round(100 - f * 100)}"))]
+    pool = written(rows.select(*keys, mean.cast("double").alias("_m"), sd.cast("double").alias("_s")), "pool")
+    counts = pool.groupBy(*keys).agg((F.count("*") * points).alias("_n"))
+    if (counts.agg(F.max("_n")).first()[0] or 0) > gathered * points:
+        return _selected_quantiles(pool, counts, keys, z, shares, names)
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def quantiles(mean: pd.Series, sd: pd.Series) -> pd.DataFrame:
         out = np.full((len(mean), len(names)), np.nan)
         for i, (m, s) in enumerate(zip(mean, sd)):
-            v = (np.asarray(m)[:, None] + np.asarray(s)[:, None] * z).ravel()
+            v = (np.asarray(m, np.float64)[:, None] + np.asarray(s, np.float64)[:, None] * z).ravel()
             n = len(v)
             at = [n // 2, (n - 1) // 2]
             for f in shares:
@@ -86,8 +97,20 @@ def pooled_quantiles(rows: DataFrame, keys: list[str], mean: Column, sd: Column,
             out[i] = [(v[0] + v[1]) / 2, *v[2:]]
         return pd.DataFrame(out, columns=names)
 
-    pool = rows.groupBy(*keys).agg(F.collect_list(F.struct(mean.alias("m"), sd.alias("s"))).alias("_v"))
-    return pool.select(*keys, quantiles("_v.m", "_v.s").alias("_q")).select(*keys, "_q.*")
+    met = pool.groupBy(*keys).agg(F.collect_list(F.struct("_m", "_s")).alias("_v"))
+    return met.select(*keys, quantiles("_v._m", "_v._s").alias("_q")).select(*keys, "_q.*")
+
+
+def _selected_quantiles(pool: DataFrame, counts: DataFrame, keys: list[str], z: np.ndarray, shares: tuple[float, ...], names: list[str]) -> DataFrame:
+    n = F.col("_n")
+    low = [F.floor(0.5 + f * n) for f in shares]
+    places = [F.floor(n / 2), F.floor((n - 1) / 2), *(p for x in low for p in (x, n - 1 - x))]
+    wanted = counts.select(*keys, F.posexplode(F.array(*places)).alias("_p", "_rank"))
+    pool = pool.withColumn("_salt", F.pmod(F.col("_metadata.row_index"), F.lit(SALTS)).cast("int"))
+    found = selected(pool, keys, z, wanted)
+    at = lambda i: F.max(F.when(F.col("_p") == i, F.col("value")))
+    middle = F.nullif((at(0) + at(1)) / 2, F.lit(float("nan")))
+    return found.groupBy(*keys).agg(middle.alias(names[0]), *[at(i).alias(name) for i, name in enumerate(names[1:], 2)])
 
 
 def mean_of_medians(rows: DataFrame, keys: list[str], median: Column, w: Column) -> DataFrame:

@@ -185,6 +185,14 @@ def d6_state_as_of(spark, d):
     return D.state_as_of(e, e.agg(F.max("idx")).first()[0] // 2)
 
 
+@query("WITH e AS (SELECT CAST(user_id % 4 AS VARCHAR) AS log_id, event_type AS type, event_id AS idx, value FROM events), q AS (SELECT * FROM (SELECT DISTINCT log_id, type FROM e), (SELECT idx AS at FROM e WHERE idx % 10 = 0)) SELECT q.log_id, q.at, q.type, e.idx, e.value FROM q ASOF JOIN e ON q.log_id = e.log_id AND q.type = e.type AND q.at >= e.idx")
+def d6_states_as_of(spark, d):
+    """State of four logs at every tenth index."""
+    e = table(spark, d, "events").select((F.col("user_id") % 4).cast("string").alias("log_id"), F.col("event_type").alias("type"), F.col("event_id").alias("idx"), "value")
+    at = e.where("idx % 10 = 0").select(F.col("idx").alias("at")).join(F.broadcast(e.select("log_id").distinct()))
+    return D.states_as_of(e, at)
+
+
 @query(f"SELECT log_id, idx, round(log_weight + (idx % 10) / 10.0, 6) AS log_weight FROM {DRAWS} WHERE idx % 2 = 0")
 def d7_reweight(spark, d):
     q = draws(spark, d).select("log_id", "idx", "log_weight")

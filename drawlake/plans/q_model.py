@@ -11,7 +11,7 @@ from drawlake.operators import data
 from drawlake.operators import likelihood as L
 from drawlake.operators import network as N
 from drawlake.operators import predict as P
-from drawlake.plans.base import CASES, NETS, PAIRS, cases, nets, pairs, query, rounded, table
+from drawlake.plans.base import CASES, DRAWS, NETS, PAIRS, cases, draws, nets, pairs, query, rounded, table
 
 _GAUSS = "(-pow((t - o) / sd, 2) / 2 - ln(sd) - 0.5 * ln(2 * pi()))"
 
@@ -180,6 +180,12 @@ def p7_median_quantiles(spark, d):
     return rounded(P.pooled_quantiles(pairs(spark, d), ["case_id"], F.col("o"), F.col("sd")))
 
 
+@query(f"WITH v AS (SELECT log_id, v, row_number() OVER (PARTITION BY log_id ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY log_id) AS n FROM (SELECT log_id, value + (0.05 + (idx % 11) / 50.0) * unnest([{_Z101}]) AS v FROM {DRAWS})) SELECT log_id, round((max(v) FILTER (r = n // 2) + max(v) FILTER (r = (n - 1) // 2)) / 2, 6) AS median, " + ", ".join(f"round(max(v) FILTER (r = floor(0.5 + {f} * n)), 6) AS q{a}, round(max(v) FILTER (r = n - 1 - floor(0.5 + {f} * n)), 6) AS q{b}" for f, a, b in ((0.1, 10, 90), (0.01, "01", 99))) + " FROM v GROUP BY log_id")
+def p7_selected_quantiles(spark, d):
+    """Each log's draws pooled: all orders in four groups, so the places are found by counts."""
+    return rounded(P.pooled_quantiles(draws(spark, d), ["log_id"], F.col("value"), 0.05 + (F.col("idx") % 11) / 50.0))
+
+
 @query(f"SELECT case_id, round(sum(w * exp(o / 5)) / sum(w), 6) AS mean_of_medians FROM {PAIRS} GROUP BY case_id")
 def p8_mean_of_medians(spark, d):
     return rounded(P.mean_of_medians(pairs(spark, d), ["case_id"], F.exp(F.col("o") / 5), F.col("w")))
