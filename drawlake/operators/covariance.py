@@ -133,6 +133,15 @@ def train_covariance(train: DataFrame, inputs: list[str], spec: Spec, lags: dict
     return pairs.withColumn("c", F.col("c") + extra.otherwise(0.0))
 
 
+def packed_by_draw(table: DataFrame, order: str, column: str, draw: str = "idx") -> dict[int, np.ndarray]:
+    """Latent values or noise variances ``table(draw, order, column)`` as an array for each draw, in the order of the training cases."""
+    most = table.groupBy(draw).count().agg(F.max("count")).first()[0] or 0
+    if most > MOST_TRAIN:
+        raise ValueError(f"exact prediction is for up to {MOST_TRAIN} training cases")
+    rows = table.groupBy(draw).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).cast("double").alias("v")))).alias("a")).select(draw, F.col("a.v").alias("v"))
+    return {r[draw]: np.array(r["v"]) for r in rows.toLocalIterator()}
+
+
 def packed(train: DataFrame, inputs: list[str], target: str, order: str) -> tuple[np.ndarray, np.ndarray]:
     """Training cases as arrays; more than MOST_TRAIN is an error, since the exact method is cubic."""
     rows = train.select(*inputs, target, order).orderBy(order).limit(MOST_TRAIN + 1).toPandas()
@@ -150,13 +159,19 @@ def _lower_inverse(low: np.ndarray) -> np.ndarray:
     return out
 
 
-def gp_predict(x: np.ndarray, t: np.ndarray, test: DataFrame, key: str, inputs: list[str], draws: list[tuple[int, Spec]]) -> DataFrame:
-    """``(key, idx, mean, variance)``: the factor of each draw is made once and broadcast, test cases come in batches."""
+def gp_predict(x: np.ndarray, t: np.ndarray, test: DataFrame, key: str, inputs: list[str], draws: list[tuple[int, Spec]], values: dict[int, np.ndarray] | None = None, variances: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """``(key, idx, mean, variance)`` of the latent value: the factor of each draw is made once and broadcast, test cases come in batches.
+
+    A draw in ``values`` brings latent values of the training cases, which stand for the targets and carry no noise (models of
+    classes and counts); one in ``variances`` brings a noise variance for each training case instead of the common one.
+    """
     factors = []
     for idx, spec in draws:
-        low = np.linalg.cholesky(spec.matrix(x, x) + (spec.noise**2 + spec.jitter**2) * np.eye(len(x)))
+        own = (values or {}).get(idx)
+        noise = 0.0 if own is not None else (variances or {}).get(idx, spec.noise**2)
+        low = np.linalg.cholesky(spec.matrix(x, x) + np.diag(np.full(len(x), spec.jitter**2) + noise))
         inverse = _lower_inverse(low)
-        factors.append((idx, spec, inverse, inverse @ t))
+        factors.append((idx, spec, inverse, inverse @ (t if own is None else own)))
     shared = test.sparkSession.sparkContext.broadcast((x, factors))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

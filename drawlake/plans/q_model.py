@@ -399,6 +399,18 @@ def g3_gp_predict(spark, d):
     return _gp(spark, d)
 
 
+@query()
+def g3_gp_latent(spark, d):
+    """Draws with latent values of their own, and one with a noise variance for each training case."""
+    train = _train(spark, d)
+    x, t = G.packed(train, ["x1", "x2"], "t", "i")
+    many = train.withColumn("idx", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])))
+    values = G.packed_by_draw(many.where("idx < 3").withColumn("f", F.sin(F.col("x1") * F.col("idx") / 2)), "i", "f")
+    variances = G.packed_by_draw(many.where("idx = 3").withColumn("v", 0.1 + (F.col("i") % 5) / 10.0), "i", "v")
+    spec = G.Spec(constant=0.5, linear=[0.3, 0.2], parts=[(0.1, [0.4, 0.6], 2.0)], noise=0.3, jitter=0.1)
+    return G.gp_predict(x, t, cases(spark, d), "case_id", ["x1", "x2"], [(k, spec) for k in (1, 2, 3)], values, variances)
+
+
 @query()
 def g4_gp_class_probability(spark, d):
     p = _gp(spark, d).withColumn("p", G.binary_probability(F.col("mean"), F.col("variance")))

@@ -126,6 +126,21 @@ def test_gp_against_numpy(spark):
     assert [r["mean"] for r in got] == pytest.approx(list(want))
 
 
+def test_gp_variances_latent_values_and_noise_by_case(spark):
+    rng = np.random.default_rng(2)
+    x, t, z, f, v = rng.normal(size=(20, 2)), rng.normal(size=20), rng.normal(size=(5, 2)), rng.normal(size=20), rng.uniform(0.1, 1, 20)
+    spec = G.Spec(constant=0.3, linear=[0.2, 0.1], parts=[(0.0, [1.0, 0.5], 2.0)], noise=0.2, jitter=0.3)
+    test = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(z)], "k long, a double, b double")
+    table = spark.createDataFrame([(idx, i, float(y)) for idx, own in ((2, f), (3, v)) for i, y in reversed(list(enumerate(own)))], "idx long, i long, y double")
+    values, variances = (G.packed_by_draw(table.where(f"idx = {idx}"), "i", "y") for idx in (2, 3))
+    got = {(r["idx"], r["k"]): r for r in G.gp_predict(x, t, test, "k", ["a", "b"], [(1, spec), (2, spec), (3, spec)], values, variances).collect()}
+    kk, own = spec.matrix(z, x), np.diag(spec.matrix(z, z)) + 0.09
+    for idx, noise, target in ((1, np.full(20, 0.04), t), (2, np.zeros(20), f), (3, v, t)):
+        k = spec.matrix(x, x) + np.diag(0.09 + noise)
+        assert [got[idx, i]["mean"] for i in range(5)] == pytest.approx(list(kk @ np.linalg.solve(k, target)))
+        assert [got[idx, i]["variance"] for i in range(5)] == pytest.approx(list(own - (kk * np.linalg.solve(k, kk.T).T).sum(1)))
+
+
 def test_chain_shaped_tree(spark):
     n = 9
     rows = [(1, -i, -(i - 1) if i > 1 else 0, i / 20) for i in range(1, n)] + [(1, i, -i, 1.0) for i in range(1, n)] + [(1, n, -(n - 1), 1.0)]
