@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawlake.functions.numeric import log_phi
-from drawlake.operators.pairing import paired
+from drawlake.operators.pairing import paired, returned
 from drawlake.operators.predict import pooled_quantiles, predict_log_prob, predict_mean
 
 
@@ -36,20 +36,50 @@ def active(xd: Column, u: Column, t: Column, start: Column, stop: Column) -> Col
     return (t - xd / u).between(start, stop)
 
 
+def _spots(receptors: DataFrame, timed: bool = False) -> DataFrame:
+    """Receptors with their place (and time) as ``rx, ry, rz[, t]``."""
+    return receptors.select("receptor", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"), *(["t"] if timed else []))
+
+
+def _reached(flow: Flow) -> Column:
+    return plume(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"), F.col("z"), F.col("rz"), F.col("u"), flow)
+
+
+def source_plume(sources: DataFrame, receptors: DataFrame, flow: Flow) -> DataFrame:
+    """``(src, total, peak)``: sum and largest of a unit source's values over all receptors.
+
+    Each pair of different places is evaluated once, and counts for as many receptors as stand there.
+    """
+    spots = _spots(receptors).groupBy("rx", "ry", "rz").agg(F.count("*").alias("_n"))
+    where = ["x", "y", "z", "u"]
+    values = paired(spots, sources.select(where).distinct()).withColumn("_v", _reached(flow))
+    found = values.groupBy(where).agg(F.sum(F.col("_v") * F.col("_n")).alias("total"), F.max("_v").alias("peak"))
+    return returned(sources.select("src", *where), found, where).select("src", "total", "peak")
+
+
 def receptor_total(sources: DataFrame, receptors: DataFrame, flow: Flow, power: float = 1.0, timed: bool = False, draws: DataFrame | None = None) -> DataFrame:
     """``(log_id, idx, receptor, total)``: sum over sources of kernel times q^(1/power), for every draw and receptor.
 
-    Receptors that no source reaches get 0. ``draws(log_id, idx)`` adds draws that have no source at all.
+    Receptors that no source reaches get 0. ``draws(log_id, idx)`` adds draws that have no source at all. Receptors at one
+    place (and time) have the same totals, and a draw's sources of one place and span are summed before: each pair of
+    different ones is evaluated once.
     """
-    r = receptors.select("receptor", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"), *(["t"] if timed else []))
-    xd = F.col("x") - F.col("rx")
-    value = plume(xd, F.col("y") - F.col("ry"), F.col("z"), F.col("rz"), F.col("u"), flow) * F.pow(F.col("q"), F.lit(1 / power))
+    r = _spots(receptors, timed)
+    where = ["rx", "ry", "rz", *(["t"] if timed else [])]
+    spots = r.select(where).distinct()
+    own = ["log_id", "idx", "x", "y", "z", "u", *(["start", "stop"] if timed else [])]
+    released = sources.groupBy(own).agg(F.sum(F.pow(F.col("q"), F.lit(1 / power))).alias("_q"))
+    value = _reached(flow) * F.col("_q")
     if timed:
-        value = F.when(active(xd, F.col("u"), F.col("t"), F.col("start"), F.col("stop")), value).otherwise(0.0)
-    out = paired(r, sources).select("log_id", "idx", "receptor", value.alias("v"))
+        value = F.when(active(F.col("x") - F.col("rx"), F.col("u"), F.col("t"), F.col("start"), F.col("stop")), value).otherwise(0.0)
+    out = paired(spots, released).select("log_id", "idx", *where, value.alias("v"))
     if draws is not None:
-        out = out.unionByName(paired(r.select("receptor"), draws.select("log_id", "idx").distinct()).withColumn("v", F.lit(0.0)))
-    return out.groupBy("log_id", "idx", "receptor").agg(F.sum("v").alias("total"))
+        out = out.unionByName(paired(spots, draws.select("log_id", "idx").distinct()).withColumn("v", F.lit(0.0)))
+    out = returned(r, out.groupBy("log_id", "idx", *where).agg(F.sum("v").alias("total")), where)
+    dealt = r.select("receptor").repartition(1 + r.count() // 100_000, "receptor")
+    if not dealt.groupBy("receptor").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return out.groupBy("log_id", "idx", "receptor").agg(F.sum("total").alias("total"))
+    return out.select("log_id", "idx", "receptor", "total")
 
 
 def detector_prediction(totals: DataFrame, draws: DataFrame, observed: DataFrame) -> DataFrame:

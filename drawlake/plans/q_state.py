@@ -9,7 +9,6 @@ from drawlake.operators import fields as C
 from drawlake.operators import mixture as M
 from drawlake.operators import particles as K
 from drawlake.operators import tree as T
-from drawlake.operators.pairing import paired
 from drawlake.plans.base import query, rounded, table
 from drawlake.sources.tables import scratch_path
 from drawlake.streaming.monitor import monitored
@@ -278,9 +277,7 @@ def _receptors(spark, d):
 
 @query(f"SELECT src, round(sum({_PLUME}), 6) AS total, round(max({_PLUME}), 6) AS peak FROM {_PLUMES} GROUP BY src UNION ALL SELECT src, 0, 0 FROM {_SRC} WHERE x <= (SELECT min(x) FROM {_REC})")
 def c1_plume(spark, d):
-    r = _receptors(spark, d).select("receptor", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"))
-    c = C.plume(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"), F.col("z"), F.col("rz"), F.col("u"), _FLOW)
-    return rounded(paired(r, _sources(spark, d)).groupBy("src").agg(F.sum(c).alias("total"), F.max(c).alias("peak")))
+    return rounded(C.source_plume(_sources(spark, d), _receptors(spark, d), _FLOW))
 
 
 _TOTAL = f"(SELECT a.log_id, a.idx, a.receptor, coalesce(sum({_PLUME} * sqrt(q)) FILTER (WHERE 6 - xd / 2 >= start AND 6 - xd / 2 <= stop), 0) AS total FROM (SELECT DISTINCT log_id, idx, receptor FROM {_SRC} CROSS JOIN {_REC}) a LEFT JOIN {_PLUMES} p ON p.log_id = a.log_id AND p.idx = a.idx AND p.receptor = a.receptor GROUP BY ALL)"
