@@ -390,8 +390,7 @@ def g2_noise_by_case(spark, d):
 
 
 def _gp(spark, d):
-    x, t = G.packed(_train(spark, d), ["x1", "x2"], "t", "i")
-    return G.gp_predict(x, t, cases(spark, d), "case_id", ["x1", "x2"], [(1, _SPEC), (2, G.Spec(constant=0.4, parts=[(0.0, [0.5, 0.5], 2.0)], noise=0.4))])
+    return G.gp_predictions(_train(spark, d), cases(spark, d), "case_id", ["x1", "x2"], [(1, _SPEC), (2, G.Spec(constant=0.4, parts=[(0.0, [0.5, 0.5], 2.0)], noise=0.4))], "t", "i")
 
 
 @query()
@@ -402,13 +401,9 @@ def g3_gp_predict(spark, d):
 @query()
 def g3_gp_latent(spark, d):
     """Draws with latent values of their own, and one with a noise variance for each training case."""
-    train = _train(spark, d)
-    x, t = G.packed(train, ["x1", "x2"], "t", "i")
-    many = train.withColumn("idx", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])))
-    values = G.packed_by_draw(many.where("idx < 3").withColumn("f", F.sin(F.col("x1") * F.col("idx") / 2)), "i", "f")
-    variances = G.packed_by_draw(many.where("idx = 3").withColumn("v", 0.1 + (F.col("i") % 5) / 10.0), "i", "v")
+    train = _train(spark, d).withColumns({"f1": F.sin(F.col("x1") / 2), "f2": F.sin(F.col("x1") * 2 / 2), "v3": 0.1 + (F.col("i") % 5) / 10.0})
     spec = G.Spec(constant=0.5, linear=[0.3, 0.2], parts=[(0.1, [0.4, 0.6], 2.0)], noise=0.3, jitter=0.1)
-    return G.gp_predict(x, t, cases(spark, d), "case_id", ["x1", "x2"], [(k, spec) for k in (1, 2, 3)], values, variances)
+    return G.gp_predictions(train, cases(spark, d), "case_id", ["x1", "x2"], [(k, spec) for k in (1, 2, 3)], "t", "i", {1: "f1", 2: "f2"}, {3: "v3"})
 
 
 @query()

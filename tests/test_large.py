@@ -50,3 +50,21 @@ def test_equal_points_are_one_in_kernel_density(spark, monkeypatch):
     want = {k: v.max() + np.log(np.exp(v - v.max()).mean()) for k, v in log_k.items()}
     got = {r.k: r.log_density for r in G.kernel_density(train, test, "k", ["x", "y"], 0.5).collect()}
     assert got == pytest.approx(want) and met == [[11, 21]]
+
+
+def test_predictions_from_many_cases_equal_those_of_full_factors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, *map(float, rng.uniform(-1, 10, 1)), float(i % 17) / 10) for i in range(900)]
+    train = spark.createDataFrame(rows, "i long, a double, b double").withColumns({"t": F.sin("a"), "f": F.cos("a"), "v": 0.1 + F.col("i") % 5 / 10})
+    test = spark.createDataFrame([(i, *map(float, rng.uniform(-1, 11, 2))) for i in range(120)], "k long, a double, b double")
+    spec = G.Spec(constant=0.5, linear=[0.3, 0.2], parts=[(0.1, [0.4, 0.6], 2.0)], noise=0.3, jitter=0.1)
+    found = []
+    for most in (3000, 100):
+        monkeypatch.setattr(G, "MOST_TRAIN", most)
+        out = G.gp_predictions(train, test, "k", ["a", "b"], [(1, spec), (2, spec), (3, spec)], "t", "i", {1: "f"}, {2: "v"})
+        found.append({(r.idx, r.k): (r.mean, r.variance) for r in out.collect()})
+    want, got = (np.array([f[k] for k in sorted(found[0])]) for f in found)
+    assert len(got) == 360 and np.abs(got - want).max() < 1e-7
+    monkeypatch.setattr(G, "MOST_RANK", 5)
+    with pytest.raises(ValueError, match="rank"):
+        G.gp_predictions(train, test, "k", ["a", "b"], [(1, spec)], "t", "i")
