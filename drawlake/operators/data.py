@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from drawlake.operators.pairing import dealt
 from drawlake.sources.tables import numbered
 
 
@@ -110,9 +111,11 @@ def case_indicators(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     and one more that all test cases share."""
     own = numbered(train.select(key).orderBy(key), "_place").withColumn("split", F.lit("train"))
     rows = own.unionByName(test.select(key, F.lit(None).cast("long").alias("_place"), F.lit("test").alias("split")))
-    n = train.agg(F.count("*").alias("_n"))
-    rows = rows.crossJoin(F.broadcast(n)).withColumn("_place", F.coalesce(F.col("_place") - 1, F.col("_n")))
-    return rows.select(key, "split", F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n")), lambda i: (i == F.col("_place")).cast("int")).alias("hot"))
+    n = train.count()
+    place = F.coalesce(F.col("_place") - 1, F.lit(n)).cast("int")
+    rows = dealt(rows, 20_000_000 // (n + 1))  # a row is as wide as there are training cases
+    zeros = lambda k: F.array_repeat(F.lit(0), k)
+    return rows.select(key, "split", F.concat(zeros(place), F.array(F.lit(1)), zeros(F.lit(n) - place)).alias("hot"))
 
 
 def one_hot(column: Column, k: int) -> Column:

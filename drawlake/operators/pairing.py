@@ -42,6 +42,12 @@ def held(df: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in partitions of about ``rows`` rows, if its largest one holds more."""
+    total, largest = held(df)
+    return df.repartition(-(-total // max(1, rows))) if largest > max(1, rows) else df
+
+
 def paired(left: DataFrame, right: DataFrame, on: Column | None = None, most: int = MOST_ROWS) -> DataFrame:
     """All pairs of rows that meet ``on`` (all pairs, if it is None).
 
@@ -59,9 +65,8 @@ def paired(left: DataFrame, right: DataFrame, on: Column | None = None, most: in
         right = F.broadcast(right)
         return left.crossJoin(right) if on is None else left.join(right, on)
     parts = max(LEFT_PARTS, -(-rows * n // (blocks * PAIRS_OF_BLOCK)))
-    dealt = F.pmod(F.xxhash64(*left.columns), F.lit(parts))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    a = left.withColumn("_part", dealt).withColumn("_block", each(blocks))
+    a = left.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.lit(parts))).withColumn("_block", each(blocks))
     b = right.withColumn("_other_block", F.pmod(F.xxhash64(*right.columns), F.lit(blocks))).withColumn("_other_part", each(parts))
     # by number, as few bytes that make many pairs would otherwise be put into few tasks
     a, b = a.repartition(blocks * parts, "_block", "_part"), b.repartition(blocks * parts, "_other_block", "_other_part")

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from drawlake.operators import covariance as G
-from drawlake.operators import fields, pairing
+from drawlake.functions.numeric import stratified_normal
+from drawlake.operators import data, fields, pairing
+from drawlake.operators.pairing import dealt
 
 
 def test_few_partitions_that_make_many_pairs_are_dealt_anew(spark, monkeypatch):
@@ -68,3 +70,22 @@ def test_predictions_from_many_cases_equal_those_of_full_factors(spark, monkeypa
     monkeypatch.setattr(G, "MOST_RANK", 5)
     with pytest.raises(ValueError, match="rank"):
         G.gp_predictions(train, test, "k", ["a", "b"], [(1, spec)], "t", "i")
+
+
+def test_wide_indicator_rows_are_dealt(spark, monkeypatch):
+    ids = spark.range(1, 31, numPartitions=1).withColumnRenamed("id", "k")
+    monkeypatch.setattr(data, "dealt", lambda df, rows: dealt(df, min(rows, 4)))
+    out = data.case_indicators(ids.where("k % 3 > 0"), ids.where("k % 3 = 0"), "k")
+    assert out.groupBy(F.spark_partition_id()).count().count() > 4
+    place = {k: i for i, k in enumerate(k for k in range(1, 31) if k % 3)}
+    assert {r.k: r.hot for r in out.collect()} == {k: [int(i == place.get(k, 20)) for i in range(21)] for k in range(1, 31)}
+
+
+def test_latent_averages_run_on_arrays(spark):
+    df = spark.createDataFrame([(0.3, 0.5, 2.0), (-1.0, 0.1, 0.0)], "m double, v double, t double")
+    out = df.select(G.binary_probability(F.col("m"), F.col("v")).alias("p"), G.count_prediction(F.col("t"), F.col("m"), F.col("v"))["mean"].alias("c"), G.class_probabilities([F.col("m"), F.lit(0.0)], [F.col("v"), F.lit(0.2)]).alias("q"))
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+    z = np.array(stratified_normal(100))
+    for r, (m, v) in zip(out.collect(), [(0.3, 0.5), (-1.0, 0.1)]):
+        at = m + np.sqrt(v) * z
+        assert (r.p, r.c, sum(r.q)) == pytest.approx(((1 / (1 + np.exp(-at))).mean(), np.exp(at).mean(), 1.0))
