@@ -11,6 +11,7 @@ from drawlake.operators import data
 from drawlake.operators import likelihood as L
 from drawlake.operators import network as N
 from drawlake.operators import predict as P
+from drawlake.operators.pairing import dealt
 from drawlake.plans.base import CASES, DRAWS, NETS, PAIRS, cases, draws, nets, pairs, query, rounded, table
 
 _GAUSS = "(-pow((t - o) / sd, 2) / 2 - ln(sd) - 0.5 * ln(2 * pi()))"
@@ -429,7 +430,7 @@ def g4_latent_predictions(spark, d):
     p = G.binary_probability(m, v)
     count = G.count_prediction(k, m, v)
     classes = G.class_probabilities([m, F.lit(0.3), v], [v, F.lit(0.2), F.lit(0.5)])
-    out = cases(spark, d).select("case_id", G.gaussian_log_prob(F.col("t"), m, v, 0.3).alias("real_log_prob"), p.alias("p"), F.log(F.when(F.col("b") == 1, p).otherwise(1 - p)).alias("binary_log_prob"), count["mean"].alias("count_mean"), count["log_prob"].alias("count_log_prob"), classes.alias("classes"))
+    out = dealt(cases(spark, d), 50_000).select("case_id", G.gaussian_log_prob(F.col("t"), m, v, 0.3).alias("real_log_prob"), p.alias("p"), F.log(F.when(F.col("b") == 1, p).otherwise(1 - p)).alias("binary_log_prob"), count["mean"].alias("count_mean"), count["log_prob"].alias("count_log_prob"), classes.alias("classes"))
     return rounded(out).withColumn("classes", F.transform("classes", lambda x: F.round(x, 6)))
 
 
