@@ -296,9 +296,11 @@ _Z101 = ", ".join(map(repr, stratified_normal(101)))
 _PICK = "round((list_extract(v, len(v) // 2 + 1) + list_extract(v, (len(v) - 1) // 2 + 1)) / 2, 6) AS median, " + ", ".join(f"round(list_extract(v, CAST(floor(0.5 + {f} * len(v)) AS BIGINT) + 1), 6) AS q{a}, round(list_extract(v, len(v) - CAST(floor(0.5 + {f} * len(v)) AS BIGINT)), 6) AS q{b}" for f, a, b in ((0.1, 10, 90), (0.01, "01", 99)))
 
 
-@query(f"""WITH p AS (SELECT t.*, exp(-2 + idx / 20.0) AS sd, (receptor % 9) / 20.0 AS value FROM {_TOTAL} t),
+# far from what was observed likelihoods underflow, so they are averaged relative to the largest of a receptor
+@query(f"""WITH g AS (SELECT t.*, exp(-2 + idx / 20.0) AS sd, (receptor % 9) / 20.0 AS value FROM {_TOTAL} t),
+l AS (SELECT *, -pow((value - total) / sd, 2) / 2 - ln(sd) - 0.5 * ln(2 * pi()) AS l FROM g), p AS (SELECT *, max(l) OVER (PARTITION BY receptor) AS top FROM l),
 v AS (SELECT receptor, list_sort(flatten(list([total + sd * z for z in [{_Z101}]]))) AS v FROM p GROUP BY receptor)
-SELECT p.receptor, round(avg(total), 6) AS mean, CASE WHEN p.receptor % 4 > 0 THEN round(ln(avg(exp(-pow((value - total) / sd, 2) / 2) / sd / sqrt(2 * pi()))), 6) END AS log_prob, any_value(m.median) AS median, any_value(m.q10) AS q10, any_value(m.q90) AS q90, any_value(m.q01) AS q01, any_value(m.q99) AS q99
+SELECT p.receptor, round(avg(total), 6) AS mean, CASE WHEN p.receptor % 4 > 0 THEN round(any_value(top) + ln(avg(exp(l - top))), 6) END AS log_prob, any_value(m.median) AS median, any_value(m.q10) AS q10, any_value(m.q90) AS q90, any_value(m.q01) AS q01, any_value(m.q99) AS q99
 FROM p JOIN (SELECT receptor, {_PICK} FROM v) m USING (receptor) GROUP BY p.receptor""")
 def c3_detector_prediction(spark, d):
     draws = _sources(spark, d).select("log_id", "idx", (-2 + F.col("idx") / 20.0).alias("log_width")).distinct()

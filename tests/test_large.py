@@ -1,5 +1,6 @@
 """Work that has to stay bounded, or grow with the input only, on larger tables."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from drawlake.operators import covariance as G
 from drawlake.functions.numeric import stratified_normal
 from drawlake.operators import data, fields, pairing
 from drawlake.operators.pairing import dealt
+from drawlake.plans.registry import ORACLE_SQL
 
 
 def test_few_partitions_that_make_many_pairs_are_dealt_anew(spark, monkeypatch):
@@ -89,3 +91,11 @@ def test_latent_averages_run_on_arrays(spark):
     for r, (m, v) in zip(out.collect(), [(0.3, 0.5), (-1.0, 0.1)]):
         at = m + np.sqrt(v) * z
         assert (r.p, r.c, sum(r.q)) == pytest.approx(((1 / (1 + np.exp(-at))).mean(), np.exp(at).mean(), 1.0))
+
+
+def test_sql_of_detectors_holds_far_from_observations():
+    """A likelihood of exp(-5000) is no error and no 0 in the SQL."""
+    db = duckdb.connect()
+    db.execute("CREATE TABLE customer AS SELECT CAST(9 AS BIGINT) AS c_custkey")
+    db.execute("CREATE TABLE supplier AS SELECT CAST(28 + 2520 * i AS BIGINT) AS s_suppkey, 0 AS s_nationkey, 9000.0 AS s_acctbal FROM range(4000) r(i)")
+    assert db.execute(f"SELECT log_prob FROM ({ORACLE_SQL['c3_detector_prediction']})").fetchone()[0] < -1000
