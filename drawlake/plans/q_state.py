@@ -354,7 +354,7 @@ def k3_neighbours(spark, d):
 @query(f"SELECT a.log_id, CAST(0 AS BIGINT) AS idx, round(sqrt(min(d2)), 6) AS nearest, round(sqrt(max(d2)), 6) AS farthest FROM (SELECT a.log_id, 16 * (pow(a.x - b.x - round(a.x - b.x), 2) + pow(a.y - b.y - round(a.y - b.y), 2) + pow(a.z - b.z - round(a.z - b.z), 2)) AS d2 FROM (SELECT *, c[1] AS x, c[2] AS y, c[3] AS z FROM {_BIG}) a JOIN (SELECT *, c[1] AS x, c[2] AS y, c[3] AS z FROM {_BIG}) b ON a.log_id = b.log_id AND a.mol < b.mol) a GROUP BY ALL")
 def k3_extremes(spark, d):
     mols = _mols(spark, d).withColumn("idx", F.lit(0).cast("long"))
-    return rounded(K.extremes(K.cell_neighbours(mols)))
+    return rounded(K.pair_extremes(mols))
 
 
 @query(f"SELECT log_id, idx, round(sum(least(4 * (1 / pow(d2, 6) - 1 / pow(d2, 3)), 10)), 6) AS energy FROM {_DIST} GROUP BY ALL")
