@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlake.functions.numeric import array_log_sum_exp, lgamma, log_sum_exp, log_sum_exp_by, stratified_normal
-from drawlake.operators.pairing import paired
+from drawlake.operators.pairing import MOST_BYTES, MOST_ROWS, measured, paired
 
 DRAW = ["log_id", "idx"]
+#: Most rows of cases met with components that one task holds.
+ROWS_OF_TASK = 500_000
 
 
 def frequencies(assign: DataFrame) -> DataFrame:
@@ -73,10 +75,22 @@ def _target_log_density(kind: str, t: Column, offset: Column, sd: Column | None)
     return F.when(t.isNotNull(), one).otherwise(0.0)
 
 
+def _met(cases: DataFrame, right: DataFrame, cost: int = 1) -> DataFrame:
+    """The rows of ``cases`` and ``right`` of equal targets; each takes ``cost`` times what a row usually does.
+
+    Where ``right`` is broadcast, the rows of a case are dealt to one of as many partitions as keep a task's rows
+    bounded, so that sums and windows by case and anything else need no shuffle of pairs.
+    """
+    on, (n, size) = F.col("target") == F.col("_target"), measured(right)
+    if n > MOST_ROWS or size > MOST_BYTES:
+        return paired(cases, right, on)
+    return cases.repartition(max(1, -(-cases.count() * n * cost // ROWS_OF_TASK)), "case_id").join(F.broadcast(right), on)
+
+
 def component_log_density(cases: DataFrame, comps: DataFrame, kind: str = "real") -> DataFrame:
     """log density of each case (case_id, target, t) under each component, for real or binary targets; missing targets count nothing."""
     names = [*DRAW, "comp", F.col("target").alias("_target"), "offset", *(["sd"] if kind == "real" else [])]
-    rows = paired(cases, comps.select(names), F.col("target") == F.col("_target"))
+    rows = _met(cases, comps.select(names))
     value = _target_log_density(kind, F.col("t"), F.col("offset"), F.col("sd") if kind == "real" else None)
     return rows.groupBy("case_id", *DRAW, "comp").agg(F.sum(value).alias("log_density"))
 
@@ -100,7 +114,7 @@ def new_component_log_density(cases: DataFrame, hypers: DataFrame, kind: str = "
         # once for each row of the hyperparameters, not for each case
         hypers = hypers.withColumn("_alpha", a).withColumn("_const", lgamma((a + 1) / 2) - lgamma(a / 2) - 0.5 * F.log(math.pi * a))
     names = [*DRAW, F.col("target").alias("_target"), "mean", "sd", *(["noise"] if kind == "real" else []), *(["_alpha", "_const"] if varied else [])]
-    rows = paired(cases, hypers.select(names), F.col("target") == F.col("_target"))
+    rows = _met(cases, hypers.select(names), max(1, points // 20))
 
     def density(q: Column) -> Column:
         offset = F.col("mean") + F.col("sd") * q
@@ -120,7 +134,7 @@ def responsibilities(density: DataFrame, weight: DataFrame) -> DataFrame:
 
 
 def _softmax(rows: DataFrame, value: str) -> DataFrame:
-    w = Window.partitionBy("case_id", *DRAW)
+    w = Window.partitionBy(*DRAW, "case_id")
     p = F.exp(F.col(value) - F.max(value).over(w))
     return rows.withColumn("_p", p).select("case_id", *DRAW, "comp", (F.col("_p") / F.sum("_p").over(w)).alias("p"))
 
@@ -132,7 +146,10 @@ def left_out_responsibilities(density: DataFrame, freq: DataFrame, assign: DataF
     only if ``share`` is positive.
     """
     own = assign.select(*DRAW, "case_id", F.col("comp").alias("_own"))
-    rows = density.join(freq, [*DRAW, "comp"]).join(own, [*DRAW, "case_id"])
+    n, draws = freq.agg(F.count("*"), F.count_distinct(*DRAW)).first()
+    parts = max(1, -(-own.count() * n // (max(1, draws) * ROWS_OF_TASK)))
+    dealt = lambda df: df.repartition(parts, *DRAW, "case_id")
+    rows = dealt(density.join(freq, [*DRAW, "comp"])).hint("merge").join(dealt(own), [*DRAW, "case_id"])
     n = F.col("n") - F.when(F.col("comp") == F.col("_own"), 1).otherwise(0) + share
     return _softmax(rows.where(n > 0).withColumn("_l", F.log(n) + F.col("log_density")), "_l")
 

@@ -1,5 +1,7 @@
 """Work that has to stay bounded, or grow with the input only, on larger tables."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from drawlake.operators import covariance as G
 from drawlake.functions.numeric import stratified_normal
-from drawlake.operators import data, fields, pairing
+from drawlake.operators import data, fields, mixture, pairing
 from drawlake.operators.pairing import dealt
 from drawlake.plans.registry import ORACLE_SQL
 
@@ -99,3 +101,52 @@ def test_sql_of_detectors_holds_far_from_observations():
     db.execute("CREATE TABLE customer AS SELECT CAST(9 AS BIGINT) AS c_custkey")
     db.execute("CREATE TABLE supplier AS SELECT CAST(28 + 2520 * i AS BIGINT) AS s_suppkey, 0 AS s_nationkey, 9000.0 AS s_acctbal FROM range(4000) r(i)")
     assert db.execute(f"SELECT log_prob FROM ({ORACLE_SQL['c3_detector_prediction']})").fetchone()[0] < -1000
+
+
+def exchanges(df):
+    """Columns and numbers of partitions of the shuffles of the plan of ``df``."""
+    return re.findall(r"Exchange hashpartitioning\((.*), (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("kind", ["real", "binary"])
+def test_cases_meet_components_without_a_shuffle_of_pairs(spark, monkeypatch, kind):
+    monkeypatch.setattr(mixture, "ROWS_OF_TASK", 30)
+    rng = np.random.default_rng(4)
+    t = {(c, k): None if (c + k) % 5 == 0 else float(rng.integers(0, 2)) for c in range(40) for k in (0, 1)}
+    params = {(i, g, k): (float(rng.normal()), 0.5 + g / 3) for i in (1, 2) for g in range(1, 4) for k in (0, 1)}
+    cases = spark.createDataFrame([(*k, v) for k, v in t.items()], "case_id long, target int, t double")
+    comps = spark.createDataFrame([("m", i, g, k, *v) for (i, g, k), v in params.items()], "log_id string, idx long, comp long, target int, offset double, sd double")
+    freq = spark.createDataFrame([("m", i, g, g) for i in (1, 2) for g in range(1, 4)], "log_id string, idx long, comp long, n long")
+    own = spark.createDataFrame([("m", i, c, 1 + c % 3) for i in (1, 2) for c in range(40)], "log_id string, idx long, case_id long, comp long")
+
+    def log_one(v, m, s):
+        if v is None:
+            return 0.0
+        return -((v - m) ** 2) / (2 * s * s) - np.log(s * np.sqrt(2 * np.pi)) if kind == "real" else -np.log1p(np.exp(m if v == 0 else -m))
+
+    want = {(c, i, g): sum(log_one(t[c, k], *params[i, g, k]) for k in (0, 1)) for c in range(40) for i in (1, 2) for g in range(1, 4)}
+    density = mixture.component_log_density(cases, comps, kind)
+    assert {(r.case_id, r.idx, r.comp): r.log_density for r in density.collect()} == pytest.approx(want)
+    weight = mixture.weights(freq, 0.0, finite=3)
+    plain = mixture.responsibilities(density, weight)
+    every = [x for x in exchanges(plain) if x[0].startswith("case_id")]
+    assert every and all(c.count("#") == 1 and int(n) == 32 for c, n in every)
+    left = mixture.left_out_responsibilities(density, freq, own)
+    for found, mass in ((plain, lambda c, g: g), (left, lambda c, g: g - (g == 1 + c % 3))):
+        got = {(r.case_id, r.idx, r.comp): r.p for r in found.collect()}
+        for c in range(40):
+            for i in (1, 2):
+                p = np.array([mass(c, g) * np.exp(want[c, i, g]) for g in range(1, 4)])
+                assert [got.get((c, i, g), 0.0) for g in range(1, 4)] == pytest.approx(p / p.sum())
+    assert set(int(n) for c, n in exchanges(left) if "case_id" in c and c.count("#") == 3) == {8}
+
+
+def test_new_component_is_dealt_by_cases(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "ROWS_OF_TASK", 20)
+    cases = spark.range(60, numPartitions=1).selectExpr("id AS case_id", "0 AS target", "id / 10.0D AS t")
+    hypers = spark.createDataFrame([("m", i, 0, 0.5 * i, 1.0, 0.7) for i in (1, 2)], "log_id string, idx long, target int, mean double, sd double, noise double")
+    out = mixture.new_component_log_density(cases, hypers, points=40)
+    z = np.array(stratified_normal(40))
+    want = {(c, i): np.log(np.mean(np.exp(-((c / 10 - 0.5 * i - z) ** 2) / (2 * 0.49)) / (0.7 * np.sqrt(2 * np.pi)))) for c in range(60) for i in (1, 2)}
+    assert {(r.case_id, r.idx): r.log_density for r in out.collect()} == pytest.approx(want)
+    assert exchanges(out) and all(c.count("#") == 1 and int(n) == 12 for c, n in exchanges(out))
