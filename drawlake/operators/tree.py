@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drawlake.functions.numeric import EULER
+from drawlake.operators.pairing import MOST_ROWS
 from drawlake.sources.tables import written
 
 #: Children of a node of the table of minima.
@@ -23,6 +24,12 @@ def _written(df: DataFrame) -> DataFrame:
     return written(df, "tree")
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """``df`` as the right side of a join: broadcast by its rows, as written files are far smaller than what they hold."""
+    few = df.select("tree").limit(MOST_ROWS + 1).count() <= MOST_ROWS
+    return F.broadcast(df) if few else df.hint("merge")
+
+
 def tour(nodes: DataFrame, sums: dict[str, Column] | None = None) -> DataFrame:
     """``(tree, node, parent, divt, place, depth, size, leaves, ...)`` of each node.
 
@@ -33,7 +40,7 @@ def tour(nodes: DataFrame, sums: dict[str, Column] | None = None) -> DataFrame:
     sums = sums or {}
     own = nodes.select("tree", "node", "parent", *[c.alias(n) for n, c in sums.items()])
     first = own.where("parent <> 0").groupBy("tree", F.col("parent").alias("node")).agg(F.min("node").alias("_first"))
-    own = own.withColumn("_next", F.lead("node").over(Window.partitionBy("tree", "parent").orderBy("node"))).join(first, ["tree", "node"], "left")
+    own = own.withColumn("_next", F.lead("node").over(Window.partitionBy("tree", "parent").orderBy("node"))).join(_side(first), ["tree", "node"], "left")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     node = F.col("node").cast("long")
     # entering a node has an even number, leaving it the odd one above
@@ -42,14 +49,15 @@ def tour(nodes: DataFrame, sums: dict[str, Column] | None = None) -> DataFrame:
     leave = own.select("tree", (2 * node + 1).alias("arc"), after.alias("to"), none.alias("place"), (-one).alias("depth"), none.alias("leaves"), *[(-F.col(n)).alias(n) for n in sums])
     names = ["place", "depth", "leaves", *sums]
     arcs = _written(enter.unionByName(leave))
+    few = arcs.limit(MOST_ROWS + 1).count() <= MOST_ROWS  # each round has as many
     while not arcs.where("to is not null").isEmpty():
         there = arcs.select("tree", F.col("arc").alias("to"), F.col("to").alias("_to"), *[F.col(n).alias(f"_{n}") for n in names])
-        arcs = _written(arcs.join(there, ["tree", "to"], "left").select("tree", "arc", F.col("_to").alias("to"), *[(F.col(n) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in names]))
+        arcs = _written(arcs.join(F.broadcast(there) if few else there.hint("merge"), ["tree", "to"], "left").select("tree", "arc", F.col("_to").alias("to"), *[(F.col(n) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in names]))
     inside = F.pmod("arc", F.lit(2)) == 0
     value = lambda n, entered: F.max(F.when(inside == entered, F.col(n)))
     at = arcs.groupBy("tree", F.floor(F.col("arc") / 2).alias("node")).agg(value("place", True).alias("place"), (-value("depth", True)).alias("depth"), (value("place", True) - value("place", False)).alias("size"), (value("leaves", True) - value("leaves", False)).alias("leaves"), *[(-value(n, True)).alias(f"_{n}") for n in sums])
     kept = nodes.select("tree", "node", "parent", "divt", *[c.alias(n) for n, c in sums.items()])
-    out = kept.join(at, ["tree", "node"])
+    out = kept.join(F.broadcast(at) if few else at.hint("merge"), ["tree", "node"])
     return out.select("tree", "node", "parent", "divt", "place", "depth", "size", "leaves", *[(F.col(f"_{n}") + F.col(n)).alias(n) for n in sums])
 
 
@@ -138,12 +146,13 @@ def common_ancestor(pairs: DataFrame, tours: DataFrame) -> DataFrame:
     than a row a node, and some dozen rows a pair.
     """
     place = lambda n: tours.select("tree", F.col("node").alias(n), F.col("place").alias(f"_{n}"))
+    tours = _written(tours)
     minima, levels = _minima(tours)
-    both = pairs.where("a <> b").select("tree", "a", "b").distinct().join(place("a"), ["tree", "a"]).join(place("b"), ["tree", "b"])
+    both = pairs.where("a <> b").select("tree", "a", "b").distinct().join(_side(place("a")), ["tree", "a"]).join(_side(place("b")), ["tree", "b"])
     both = both.withColumn("_low", F.least("_a", "_b")).withColumn("_high", F.greatest("_a", "_b") - 1)
     asked = both.select("tree", "a", "b", F.explode(_cells(F.col("_low"), F.col("_high"), levels)).alias("_c")).select("tree", "a", "b", "_c.level", "_c.cell")
-    top = asked.join(minima, ["tree", "level", "cell"]).groupBy("tree", "a", "b").agg(F.min("least").alias("_t")).select("tree", "a", "b", F.col("_t.parent").alias("node"))
-    found = top.join(tours.select("tree", "node", "divt"), ["tree", "node"])
+    top = asked.join(_side(minima), ["tree", "level", "cell"]).groupBy("tree", "a", "b").agg(F.min("least").alias("_t")).select("tree", "a", "b", F.col("_t.parent").alias("node"))
+    found = top.join(_side(tours.select("tree", "node", "divt")), ["tree", "node"])
     return found.select("tree", "a", "b", "divt").unionByName(pairs.where("a = b").select("tree", "a", "b", F.lit(1.0).alias("divt")).distinct())
 
 
@@ -152,7 +161,7 @@ def triples(asked: DataFrame, tours: DataFrame) -> DataFrame:
     every = asked.select("tree", "a", "b").union(asked.select("tree", "a", F.col("c").alias("b"))).distinct()
     times = _written(common_ancestor(every, tours))
     one, two = (times.select("tree", "a", F.col("b").alias(n), F.col("divt").alias(t)) for n, t in (("b", "ab"), ("c", "ac")))
-    return asked.join(one, ["tree", "a", "b"]).join(two, ["tree", "a", "c"]).select("tree", "a", "b", "c", (F.col("ab") > F.col("ac")).alias("closer"))
+    return asked.join(_side(one), ["tree", "a", "b"]).join(_side(two), ["tree", "a", "c"]).select("tree", "a", "b", "c", (F.col("ab") > F.col("ac")).alias("closer"))
 
 
 def cut(nodes: DataFrame, time: float) -> DataFrame:
@@ -162,7 +171,7 @@ def cut(nodes: DataFrame, time: float) -> DataFrame:
     """
     above = nodes.select("tree", F.col("node").alias("parent"), F.col("divt").alias("_up"))
     late = (F.col("node") > 0) | (F.col("divt") > time)
-    marked = nodes.join(above, ["tree", "parent"], "left").withColumn("_top", F.when(late & (F.coalesce("_up", F.lit(float("-inf"))) <= time), F.col("node")).otherwise(0).cast("long"))
+    marked = nodes.join(_side(above), ["tree", "parent"], "left").withColumn("_top", F.when(late & (F.coalesce("_up", F.lit(float("-inf"))) <= time), F.col("node")).otherwise(0).cast("long"))
     return tour(marked, {"cluster": F.col("_top")}).where("node > 0").select("tree", F.col("node").alias("leaf"), "cluster")
 
 
@@ -214,7 +223,7 @@ def harmonic(n: Column) -> Column:
 def divergence_log_prob(tours: DataFrame, c0: float, c1: float, c2: float) -> DataFrame:
     """Sum over internal nodes of log a(t) - H(n - 1) (A(t) - A(parent's t)); a term with no time passed is 0."""
     up = tours.select("tree", F.col("node").alias("parent"), F.col("divt").alias("t0"))
-    rows = tours.where("node < 0").join(up, ["tree", "parent"], "left").withColumn("t0", F.coalesce("t0", F.lit(0.0)))
+    rows = tours.where("node < 0").join(_side(up), ["tree", "parent"], "left").withColumn("t0", F.coalesce("t0", F.lit(0.0)))
     t = F.col("divt")
     passed = cumulative_divergence(t, c0, c1, c2) - cumulative_divergence(F.col("t0"), c0, c1, c2)
     term = F.log(divergence_rate(t, c0, c1, c2)) - harmonic(F.col("leaves") - 1) * passed
@@ -224,5 +233,5 @@ def divergence_log_prob(tours: DataFrame, c0: float, c1: float, c2: float) -> Da
 def path_log_prob(nodes: DataFrame, tours: DataFrame) -> DataFrame:
     """log probability of following the path from the root to each leaf, children chosen by their leaves."""
     above = tours.select("tree", F.col("node").alias("parent"), F.col("leaves").alias("_m"))
-    steps = tours.join(above, ["tree", "parent"], "left").withColumn("_l", F.coalesce(F.log(F.col("leaves") / F.col("_m")), F.lit(0.0)))
+    steps = tours.join(_side(above), ["tree", "parent"], "left").withColumn("_l", F.coalesce(F.log(F.col("leaves") / F.col("_m")), F.lit(0.0)))
     return tour(steps, {"log_prob": F.col("_l")}).where("node > 0").select("tree", F.col("node").alias("leaf"), "log_prob")

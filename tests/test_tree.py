@@ -118,6 +118,17 @@ def test_tables_and_probabilities_against_paths(spark, trees):
         assert depths[t] == (pytest.approx(np.mean(own)), max(own))
 
 
+def test_tables_of_many_nodes_are_not_broadcast(spark, trees, monkeypatch):
+    """Written files are far smaller than what they hold, so that Spark would send them to the driver."""
+    nodes = frame(spark, trees)
+    plain = {(r.tree, r.node): r.place for r in T.tour(nodes).collect()}
+    monkeypatch.setattr(T, "MOST_ROWS", 1)
+    tours = T.tour(nodes)
+    plans = [tours, T.divergence_log_prob(tours, 0.0, 1.0, 0.5), T.common_ancestor(spark.createDataFrame([(1, 1, 2), (5, 7, 9)], "tree long, a int, b int"), tours)]
+    assert not any("Broadcast" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    assert {(r.tree, r.node): r.place for r in tours.collect()} == plain
+
+
 def test_deep_chain(spark):
     """A chain of 6,000 leaves: two rows a node in the tour, a row a node and little more in the minima."""
     n = 6_000
