@@ -348,7 +348,7 @@ def k2_pair_distances(spark, d):
 
 @query(f"WITH b AS (SELECT log_id, idx, i AS mol, d2 FROM {_DIST} UNION ALL SELECT log_id, idx, j, d2 FROM {_DIST}) SELECT log_id, idx, mol, round(sqrt(min(d2)), 6) AS nearest, round(sqrt(max(d2)), 6) AS farthest FROM b GROUP BY ALL")
 def k3_neighbours(spark, d):
-    return rounded(K.cell_neighbours(_mols(spark, d)))
+    return rounded(K.every_neighbour(_mols(spark, d)))
 
 
 @query(f"SELECT a.log_id, CAST(0 AS BIGINT) AS idx, round(sqrt(min(d2)), 6) AS nearest, round(sqrt(max(d2)), 6) AS farthest FROM (SELECT a.log_id, 16 * (pow(a.x - b.x - round(a.x - b.x), 2) + pow(a.y - b.y - round(a.y - b.y), 2) + pow(a.z - b.z - round(a.z - b.z), 2)) AS d2 FROM (SELECT *, c[1] AS x, c[2] AS y, c[3] AS z FROM {_BIG}) a JOIN (SELECT *, c[1] AS x, c[2] AS y, c[3] AS z FROM {_BIG}) b ON a.log_id = b.log_id AND a.mol < b.mol) a GROUP BY ALL")
