@@ -196,6 +196,28 @@ def test_repeats_hot_path_equals_tree(spark, monkeypatch):
     assert sorted(map(tuple, repeats.remove_repeats(docs, 400).collect())) == tree
 
 
+def test_repeats_send_equal_contexts_of_a_text_once(spark, monkeypatch):
+    """Lines repeated within each text give many places of one anchor, but few contexts: no text counts more than those."""
+    texts = [words(20 + i, i) + "he. Is on" * 200 + words(15, 50 + i) for i in range(6)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    seen = collections.Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    want = [sum(any(seen[t[j : j + 400]] > 1 for j in range(max(0, i - 399), min(i, len(t) - 400) + 1)) for i in range(len(t))) for t in texts]
+    batch = pa.RecordBatch.from_pydict({"uid": [b"a"], "text": [texts[0]], "marks": [[{"hash": 1, "place": texts[0].index("he. Is on") + 500 + 9 * i} for i in range(40)]]})
+    assert [b.num_rows for b in repeats._contexts(400)(iter([batch]))] == [1]
+
+    def plain(*_):
+        raise AssertionError("few contexts, but windows are counted")
+
+    with monkeypatch.context() as m:
+        m.setattr(repeats, "HOT", 40)
+        m.setattr(repeats, "_hot_extents", plain)
+        got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(6)] == want
+    monkeypatch.setattr(repeats, "HOT", 2)
+    monkeypatch.setattr(common, "HEAVY", 2)
+    assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs).collect()} == got
+
+
 def test_repeats_odd_rows(spark, odd):
     got = {r.doc_id: r for r in repeats.remove_repeats(odd).collect()}
     assert got[1].n_bytes == 0 and got[2].n_spans == 0 and repeats.remove_repeats(odd.limit(0)).count() == 0
