@@ -379,8 +379,7 @@ _PARTS = G.Spec(constant=0.5, linear=[0.3, 0.2], spread=1, spreads=frozenset({0}
 
 @query(f"SELECT a.i, b.i AS j, round(0.13 * a.x1 * b.x1 + 0.04 * a.x2 * b.x2 + exp(0.2 - 0.4 * abs(a.x1 - b.x1) - CASE WHEN a.x2 = b.x2 THEN 0 ELSE 0.6 END) + exp(-0.4) / (1 + pow(0.3 * (a.x1 - b.x1), 2)) * a.x2 * b.x2, 6) AS c FROM {_TRAIN} a CROSS JOIN {_TRAIN} b")
 def g1_covariance_parts(spark, d):
-    t = _train(spark, d)
-    return rounded(G.covariance(t, t.withColumnRenamed("i", "j"), ["x1", "x2"], _PARTS, keep={"linear", "0", "1"}))
+    return rounded(G.own_covariance(_train(spark, d), ["x1", "x2"], _PARTS, keep={"linear", "0", "1"}))
 
 
 @query(f"SELECT a.i, b.i AS j, round({_COV_SQL} + CASE WHEN a.i = b.i THEN 0.0001 + 0.1 + (a.i % 5) / 10.0 ELSE 0 END, 6) AS c FROM {_TRAIN} a CROSS JOIN {_TRAIN} b")
